@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, quality, simhash, telephony, toxicity, urlfilter
+from . import langid, packing, quality, simhash, telephony, toxicity, urlfilter
 from .common import fold, store
 
 PREDICT_AT = 0.7
@@ -47,6 +47,17 @@ def op6_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telephony.media_report(telephony.encode_media(table(spark, sf_dir, "documents")))
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """A file of the public tokenizers, installed on every executor."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 URL_RULES = "VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')"
 
 
@@ -78,6 +89,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_simhash": op3_simhash,
         "op5_quality": op5_quality,
         "op6_telephony": op6_telephony,
+        "op8_packing": op8_packing,
         "op9_url_filter": op9_url_filter,
     }
 

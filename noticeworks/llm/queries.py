@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, packing, quality, simhash, telephony, toxicity, urlfilter
-from .common import fold, store
+from . import decontam, langid, packing, quality, simhash, telephony, toxicity, urlfilter, warczip
+from .common import fold, new_path, store
 
 PREDICT_AT = 0.7
 
@@ -35,6 +35,26 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "warc")
+    warczip.write_packages(table(spark, sf_dir, "pages"), path)
+    return warczip.read_packages(spark, path).drop("payload", "url")
+
+
+#: The last three columns come from SHA-1; base32 takes five bits a digit.
+OP4_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body, sha1(coalesce(html, '')) AS sha FROM pages),
+d AS (SELECT page_id, octet_length(body) AS n, sha, max(page_id) OVER (PARTITION BY sha) AS last, CAST(unhex(sha) AS BIT)::VARCHAR AS bits FROM p)
+SELECT page_id, n AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         CAST(1 + 16 * substr(bits, CAST(5 * i + 1 AS BIGINT), 1)::INT + 8 * substr(bits, CAST(5 * i + 2 AS BIGINT), 1)::INT + 4 * substr(bits, CAST(5 * i + 3 AS BIGINT), 1)::INT
+                + 2 * substr(bits, CAST(5 * i + 4 AS BIGINT), 1)::INT + substr(bits, CAST(5 * i + 5 AS BIGINT), 1)::INT AS BIGINT), 1)), '') AS payload_digest,
+       CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> last THEN last END AS refers_to
+FROM d
+"""
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = store(quality.document_statistics(table(spark, sf_dir, "documents")), "quality-stats").df.withColumn("held_out", fold(F.col("doc_id"), 4) == 2)
     labels = table(spark, sf_dir, "labels").filter(fold(F.col("doc_id"), 4) != 2).select("doc_id", F.col("quality").alias("label"))
@@ -91,6 +111,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_toxicity": op1_toxicity,
         "op2_language_id": op2_language_id,
         "op3_simhash": op3_simhash,
+        "op4_warc": op4_warc,
         "op5_quality": op5_quality,
         "op6_telephony": op6_telephony,
         "op8_packing": op8_packing,
@@ -100,4 +121,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_url_filter": OP9_SQL}
+    return {"op4_warc": OP4_SQL, "op9_url_filter": OP9_SQL}

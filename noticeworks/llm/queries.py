@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, packing, quality, simhash, telephony, toxicity, urlfilter, warczip
+from . import decontam, langid, packing, quality, simhash, suffixdedup, telephony, toxicity, urlfilter, warczip
 from .common import fold, new_path, store
 
 PREDICT_AT = 0.7
@@ -67,6 +67,10 @@ def op6_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telephony.media_report(telephony.encode_media(table(spark, sf_dir, "documents")))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.removal_report(table(spark, sf_dir, "documents"))
+
+
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     """A file of the public tokenizers, installed on every executor."""
     import public_tokenizers
@@ -114,6 +118,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_warc": op4_warc,
         "op5_quality": op5_quality,
         "op6_telephony": op6_telephony,
+        "op7_suffix_dedup": op7_suffix_dedup,
         "op8_packing": op8_packing,
         "op9_url_filter": op9_url_filter,
         "op10_decontamination": op10_decontamination,

@@ -20,7 +20,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", (fold(F.col("doc_id"), 3) == 1).alias("held_out"))
     labels = table(spark, sf_dir, "labels").filter(fold(F.col("doc_id"), 3) != 1).select("doc_id", F.col("toxic").alias("label"))
-    known = docs.filter(~F.col("held_out")).select("doc_id", "text").join(labels, "doc_id")
+    known = docs.filter(~F.col("held_out")).select("doc_id", "text").join(labels.hint("merge"), "doc_id")
     scored = toxicity.score_toxicity(docs, toxicity.fit_toxicity(known), keep=["held_out"])
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= PREDICT_AT).cast("int").alias("predicted"))
 

@@ -2,55 +2,27 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import gc
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text that a task turns into arrays at a time.
-CHUNK_BYTES = 4 << 20
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; where unset (tests), a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-@dataclass
-class Stored:
-    """A table written to the shared folder: it cuts lineage and survives lost executors."""
+from noticeworks.tables import Stored, drop_path, new_path, shared_dir, store
 
-    df: DataFrame
-    path: str
+__all__ = ["Stored", "byte_chunks", "drop_path", "fold", "new_path", "release", "runs", "shared_dir", "store", "utf8"]
 
-    def drop(self) -> None:
-        drop_path(self.df.sparkSession, self.path)
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def store(df: DataFrame, name: str) -> Stored:
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return Stored(spark.read.schema(df.schema).parquet(path), path)
+#: Bytes of text that a task turns into arrays at a time.
+CHUNK_BYTES = 4 << 20
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of finished stages whose results are stored: it follows the driver's
+    garbage collection, which a small driver program seldom needs by itself."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def fold(doc_id: Column, parts: int) -> Column:

@@ -19,8 +19,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from noticeworks.operators.components import components
+
 from .common import byte_chunks, store
-from .components import components
 
 SEED, SHINGLE, DISTANCE, PIVOTS = 42, 4, 4, 16
 BLOCKS = [(0, 10), *((10 + 9 * i, 9) for i in range(6))]

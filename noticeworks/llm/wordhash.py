@@ -26,7 +26,7 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-def _grown(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the multiplier and of its inverse modulo 2**64."""
     if len(_powers[0]) < n:
         size = 1 << max(20, (n - 1).bit_length())
@@ -54,7 +54,7 @@ def hash_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     if inside[0]:
         edge = np.concatenate(([0], edge))
     start, end = edge[::2], edge[1::2]  # each text ends with a separator
-    power, inverse = _grown(len(buf))
+    power, inverse = powers(len(buf))
     total = np.cumsum(values[buf] * power)
     before = np.where(start > 0, total[start - 1], np.uint64(0))
     hashes = mix((total[end - 1] - before) * inverse[start])

@@ -134,9 +134,14 @@ def greedy_similar(rows: list[dict]) -> list[dict]:
     return kept
 
 
-def _replay(df: DataFrame, group: str, step: Callable[[list[dict]], list[dict]]) -> DataFrame:
-    """Rows of one group in order through ``step``; rows alone in their group pass by."""
-    names = df.columns
+def _sized(df: DataFrame, group: str) -> DataFrame:
+    """The rows with their group's size, written once: the splits below all read it."""
+    return store(df.join(df.groupBy(group).agg(F.count("*").alias("_n")), group).select(*df.columns, "_n"), "dedup-sized").df
+
+
+def _replay(sized: DataFrame, group: str, step: Callable[[list[dict]], list[dict]]) -> DataFrame:
+    """Rows of one group in order through ``step``; rows alone in their group pass by; large groups are left out."""
+    names = [c for c in sized.columns if c != "_n"]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = pdf.sort_values("ingest_ord").to_dict("records")
@@ -145,10 +150,13 @@ def _replay(df: DataFrame, group: str, step: Callable[[list[dict]], list[dict]])
             r["strong"] = list(r["strong"]) if r["strong"] is not None else []
         return pd.DataFrame(step(rows), columns=names)
 
-    sizes = df.groupBy(group).agg(F.count("*").alias("_n"))
-    sized = df.join(sizes, group)
     alone = sized.filter("_n = 1").select(*names)
-    return alone.unionByName(sized.filter("_n > 1").select(*names).groupBy(group).applyInPandas(run, df.schema))
+    several = sized.filter((F.col("_n") > 1) & (F.col("_n") <= GROUP_ROWS)).select(*names)
+    return alone.unionByName(several.groupBy(group).applyInPandas(run, several.schema))
+
+
+def _large(sized: DataFrame) -> DataFrame:
+    return sized.filter(F.col("_n") > GROUP_ROWS).drop("_n")
 
 
 def identity_components(df: DataFrame, *, order: str = "ingest_ord", keys: str = "strong") -> DataFrame:
@@ -171,42 +179,37 @@ def merge_large(df: DataFrame, group: str) -> DataFrame:
     ranked = df.withColumns({"_rank": F.struct(priority.alias("p"), says.alias("s"), (-F.col("ingest_ord")).alias("o")), "_row": F.struct(*names)})
     first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("ingest_ord")))
     agg = ranked.groupBy(group).agg(
-        F.max_by("_row", "_rank").alias("k"), F.min("ingest_ord").alias("_ord"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("tags")))).alias("_tags"), F.max_by("summary", F.struct(F.length("summary"), "_rank")).alias("_summary"),
+        F.max_by("_row", "_rank").alias("_keep"), F.min("ingest_ord").alias("_ord"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("tags")))).alias("_tags"), F.max_by("summary", F.struct(F.length("summary"), "_rank")).alias("_summary"),
         first("announcement_date").alias("_announced"), first("bid_date").alias("_due"), F.array_sort(F.collect_set("source")).alias("_sources"), F.array_distinct(F.flatten(F.collect_set("strong"))).alias("_strong"),
     )
     changed = {
-        "ingest_ord": F.col("_ord"), "tags": F.col("_tags"), "summary": F.when(F.length("k.summary") >= F.length("_summary"), F.col("k.summary")).otherwise(F.col("_summary")), "announcement_date": F.coalesce("k.announcement_date", "_announced"),
-        "bid_date": F.coalesce("k.bid_date", "_due"), "backup_source": F.nullif(F.array_join(F.array_remove(F.col("_sources"), F.col("k.source")), ","), F.lit("")), "strong": F.col("_strong"),
+        "ingest_ord": F.col("_ord"), "tags": F.col("_tags"), "summary": F.when(F.length("_keep.summary") >= F.length("_summary"), F.col("_keep.summary")).otherwise(F.col("_summary")), "announcement_date": F.coalesce("_keep.announcement_date", "_announced"),
+        "bid_date": F.coalesce("_keep.bid_date", "_due"), "backup_source": F.nullif(F.array_join(F.array_remove(F.col("_sources"), F.col("_keep.source")), ","), F.lit("")), "strong": F.col("_strong"),
     }
-    return agg.select(group, *((changed[c] if c in changed else F.col(f"k.{c}")).alias(c) for c in names))
-
-
-def _split_sizes(df: DataFrame, group: str) -> tuple[DataFrame, DataFrame]:
-    large = df.groupBy(group).agg(F.count("*").alias("_n")).filter(F.col("_n") > GROUP_ROWS).select(group)
-    return df.join(large, group, "left_anti"), df.join(large, group, "left_semi").select(*df.columns)
+    return agg.select(group, *((changed[c] if c in changed else F.col(f"_keep.{c}")).alias(c) for c in names))
 
 
 def exact_dedup(df: DataFrame, group: str = "exact_key") -> DataFrame:
     """Pass 2."""
-    small, large = _split_sizes(df, group)
-    return _replay(small.select(*df.columns), group, fold).unionByName(merge_large(large, group).select(*df.columns))
+    sized = _sized(df, group)
+    return _replay(sized, group, fold).unionByName(merge_large(_large(sized), group).select(*df.columns))
 
 
 def fuzzy_dedup(df: DataFrame) -> DataFrame:
     """Pass 3: blocks of one organisation and day (a null day is a day)."""
     blocked = df.withColumn("_block", F.concat_ws("|", "n_org", F.coalesce(F.col("record_date").cast("string"), F.lit(""))))
-    small, large = _split_sizes(blocked, "_block")
-    large = store(large, "dedup-large").df
-    pairs = fuzzy_pairs(large, block=["_block"], least=SIMILAR).select(F.col("b_ord").alias("u"), F.col("a_ord").alias("v"))
-    linked = large.join(components(pairs).df.withColumnsRenamed({"u": "ingest_ord", "v": "_group"}), "ingest_ord", "left").withColumn("_group", F.coalesce("_group", "ingest_ord"))
-    merged = merge_large(linked, "_group").select(*blocked.columns)
-    return _replay(small.select(*blocked.columns), "_block", greedy_similar).unionByName(merged).drop("_block")
+    sized = _sized(blocked, "_block")
+    out, large = _replay(sized, "_block", greedy_similar), _large(sized)
+    if not large.isEmpty():
+        pairs = fuzzy_pairs(large, block=["_block"], least=SIMILAR).select(F.col("b_ord").alias("u"), F.col("a_ord").alias("v"))
+        linked = large.join(components(pairs).df.withColumnsRenamed({"u": "ingest_ord", "v": "_group"}), "ingest_ord", "left").withColumn("_group", F.coalesce("_group", "ingest_ord"))
+        out = out.unionByName(merge_large(linked, "_group").select(*blocked.columns))
+    return out.drop("_block")
 
 
 def deduplicate(df: DataFrame) -> DataFrame:
     """All three passes over rows with n_title, n_org, record_date, exact_key and keys (see standardize_keys)."""
     rows = store(df.withColumn("strong", K.strong_keys(F.col("keys"))), "dedup-rows").df
-    grouped = rows.join(identity_components(rows), "ingest_ord").withColumnRenamed("component", "_component")
-    small, large = _split_sizes(grouped, "_component")
-    once = _replay(small.select(*grouped.columns), "_component", greedy_identity).unionByName(merge_large(large, "_component").select(*grouped.columns)).drop("_component")
-    return fuzzy_dedup(exact_dedup(once)).drop("strong")
+    grouped = _sized(rows.join(identity_components(rows), "ingest_ord").withColumnRenamed("component", "_component"), "_component")
+    once = _replay(grouped, "_component", greedy_identity).unionByName(merge_large(_large(grouped), "_component").select(*grouped.drop("_n").columns)).drop("_component")
+    return fuzzy_dedup(store(exact_dedup(once), "dedup-exact").df).drop("strong")

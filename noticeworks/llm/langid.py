@@ -74,10 +74,12 @@ def fit_languages(docs: DataFrame, *, text_col: str = "text", lang_col: str = "l
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(row[at].astype(np.int64))], ["lang", "bin", "n"])
 
     known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(text_col, lang_col)
-    rows = known.mapInArrow(count, "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")).toPandas()
-    languages = sorted(rows["lang"].unique())
+    rows = known.mapInArrow(count, "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")).toArrow()
+    names = rows["lang"].to_pylist()
+    languages = sorted(set(names))
+    place = {name: i for i, name in enumerate(languages)}
     counts = np.zeros((BINS, len(languages)))
-    counts[rows["bin"].to_numpy(), np.searchsorted(languages, rows["lang"]) if len(rows) else []] = rows["n"].to_numpy()
+    counts[rows["bin"].to_numpy(), np.array([place[x] for x in names], np.int64)] = rows["n"].to_numpy()
     counts += SMOOTHING
     return LanguageModel(list(languages), np.log(counts / counts.sum(0)).astype(np.float32))
 

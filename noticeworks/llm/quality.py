@@ -138,13 +138,14 @@ def fit_quality(labelled: DataFrame) -> Discriminant:
         flat = np.concatenate([n, total.reshape(-1), square.reshape(-1)])
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat)], ["i", "x"])
 
-    rows = labelled.select("stats", F.col("label").cast("int").alias("label")).mapInArrow(sums, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).toPandas().sort_values("i")
-    flat = rows["x"].to_numpy() if len(rows) else np.zeros(2 + 2 * size + 2 * size * size)
+    rows = labelled.select("stats", F.col("label").cast("int").alias("label")).mapInArrow(sums, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).toArrow()
+    flat = np.zeros(2 + 2 * size + 2 * size * size)
+    flat[rows["i"].to_numpy()] = rows["x"].to_numpy()
     model = discriminant(flat[:2], flat[2 : 2 + 2 * size].reshape(2, size), flat[2 + 2 * size :].reshape(2, size, size))
     id_col = next(c for c in labelled.columns if c not in ("stats", "label"))
-    sample = labelled.orderBy(F.xxhash64(id_col), id_col).limit(CALIBRATION_ROWS).select("stats", "label").toPandas()
+    sample = labelled.orderBy(F.xxhash64(id_col), id_col).limit(CALIBRATION_ROWS).select("stats", "label").toArrow()
     if len(sample):
-        d = model.difference(np.array(sample["stats"].tolist()))
+        d = model.difference(np.array(sample["stats"].to_pylist()))
         model.weights = fit_logistic(np.column_stack([d, np.tanh(d)]), sample["label"].to_numpy().astype(float))
     return model
 

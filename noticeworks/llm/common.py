@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from noticeworks.tables import Stored, drop_path, new_path, shared_dir, store
 
-__all__ = ["Stored", "byte_chunks", "drop_path", "fold", "new_path", "release", "runs", "shared_dir", "store", "utf8"]
+__all__ = ["Stored", "byte_chunks", "drop_path", "fold", "new_path", "release", "runs", "shared_dir", "store"]
 
 #: Bytes of text that a task turns into arrays at a time.
 CHUNK_BYTES = 4 << 20
@@ -20,9 +21,11 @@ CHUNK_BYTES = 4 << 20
 
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of finished stages whose results are stored: it follows the driver's
-    garbage collection, which a small driver program seldom needs by itself."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    garbage collection, which a small driver program seldom needs by itself. The first round frees what holds the rest."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def fold(doc_id: Column, parts: int) -> Column:
@@ -30,11 +33,6 @@ def fold(doc_id: Column, parts: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % parts
 
 
-def utf8(column: pa.Array) -> list[bytes]:
-    """The rows as UTF-8 bytes; null rows are empty."""
-    return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
-
-
 def runs(sizes: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Cut rows into ranges of about ``most`` bytes; a larger row stands alone."""
     start, total = 0, 0
@@ -48,8 +46,8 @@ def runs(sizes: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]
 
 
 def byte_chunks(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Slices of the batches with their texts as bytes, each of about CHUNK_BYTES."""
+    """Slices of the batches with their texts as UTF-8 bytes (null: empty), each of about CHUNK_BYTES."""
     for batch in batches:
-        texts = utf8(batch.column(text))
+        texts = [x or b"" for x in batch.column(text).cast(pa.binary()).to_pylist()]
         for i, j in runs(np.fromiter(map(len, texts), np.int64, len(texts))):
             yield batch.slice(i, j - i), texts[i:j]

@@ -1,10 +1,15 @@
 """Removal of repeated byte strings, by a distributed difference-cover suffix algorithm.
 
-The text to sort is first narrowed without loss. Every string of LENGTH bytes has an anchor, its least gram by hash; a
-string that occurs twice has an anchor gram that occurs twice. So only runs of strings whose anchor gram may repeat
-(by a Bloom filter of bounded size) are kept, as fragments.
+The text to sort is first narrowed, without loss. The anchor of a string of LENGTH bytes is its least gram by hash, so
+equal strings have equal anchors, at equal places. An anchor's context is the run of strings that it anchors.
 
-On the fragments, positions 1 and 2 modulo 3 are the sample:
+* Strings whose anchor gram stands nowhere else occur once.
+* A context that also occurs earlier is repeated as a whole, and its strings need no further look.
+* Of a gram with one context, the first occurrence is all that stays.
+* Of a gram with up to DIRECT contexts (some 140 kB), the first occurrences' strings are compared in one group.
+
+What is left are the contexts of crowded grams: the ends of passages that many texts share. They go to the suffix
+algorithm. Positions 1 and 2 modulo 3 of a context are its sample:
 
 1. sort the sampled triples of LETTER-byte letters and name them by rank;
 2. recurse on the names: triples of names, sorted and named again, cover 9 letters;
@@ -12,13 +17,14 @@ On the fragments, positions 1 and 2 modulo 3 are the sample:
    position is ordered by the bytes up to its sampled suffix, that suffix's name, and the bytes left to LENGTH;
 4. compare neighbours in that order: equal prefixes stand together, and all but the earliest are repeats.
 
-Names are ranks of exact keys; no result rests on a hash.
+No hot gram or context is brought into one task: such groups are aggregated, joined with skew handling or sorted.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,110 +32,179 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_chunks, store
-from .wordhash import mix
+from .common import byte_chunks, release, runs, store
+from .wordhash import mix, powers
 
-LENGTH, GRAM, LETTER = 100, 32, 9
-#: Bits of the Bloom filter; strings in a fragment; bytes of a text that are hashed at a time.
-BLOOM_BITS, FRAGMENT, SEGMENT = 1 << 26, 4096, 1 << 22
+LENGTH, GRAM, LETTER, DIRECT = 100, 32, 9, 1024
+#: Bytes whose anchors are found together; longest piece of a text. Bits of the Bloom filter: at least, at most, a gram.
+BLOCK, SEGMENT = 1 << 18, 1 << 22
+BLOOM_LEAST, BLOOM_MOST, BLOOM_GRAM = 1 << 20, 1 << 29, 16
 _AT_BITS = np.uint64(24)
-
-
-def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """A hash of the GRAM (a power of two) bytes from each position on."""
-    h = mix(data.astype(np.uint64) + np.uint64(1))
-    size = 1
-    while size < GRAM:
-        h = mix(h[: len(h) - size] * np.uint64(0xD6E8FEB86659FD93) + h[size:])
-        size *= 2
-    return h
-
-
-def anchors(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """(anchor position, anchor hash) of each string of ``length`` bytes in ``data`` (fewer than 2**24)."""
-    h = gram_hashes(data)
-    width = length - GRAM + 1
-    if len(h) < width:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    least = ((h >> _AT_BITS) << _AT_BITS) | np.arange(len(h), dtype=np.uint64)
-    size = 1
-    while 2 * size <= width:
-        least = np.minimum(least[: len(least) - size], least[size:])
-        size *= 2
-    least = np.minimum(least[: len(h) - width + 1], least[width - size : len(h) - size + 1])
-    at = (least & np.uint64((1 << 24) - 1)).astype(np.int64)
-    return at, h[at]
-
-
-def _segments(texts: list[bytes], length: int) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(text, offset, bytes): each string of ``length`` bytes lies in one segment."""
-    for i, t in enumerate(texts):
-        for at in range(0, max(0, len(t) - length + 1), SEGMENT):
-            yield i, at, np.frombuffer(t, np.uint8, min(SEGMENT + length - 1, len(t) - at), at)
-
-
-def _bloom_places(h: np.ndarray) -> list[np.ndarray]:
-    x = mix(h)
-    return [((x >> np.uint64(s)) & np.uint64(BLOOM_BITS - 1)).astype(np.int64) for s in (0, 19, 38)]
+_CONTEXT = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
+
+
+@lru_cache(maxsize=1)
+def _values() -> np.ndarray:
+    return np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64)
+
+
+def _pieces(texts: list[bytes], length: int) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
+    """(text numbers, offsets, bytes) of about BLOCK bytes; each string of ``length`` bytes lies in one piece."""
+    cut = [(i, at, t[at : at + SEGMENT + length - 1] if len(t) > SEGMENT else t) for i, t in enumerate(texts) for at in range(0, len(t) - length + 1, SEGMENT)]
+    for a, b in runs(np.array([len(x[2]) for x in cut], np.int64), BLOCK):
+        yield tuple(map(list, zip(*cut[a:b], strict=True)))  # type: ignore[misc]
+
+
+def contexts_of(texts: list[bytes], length: int = LENGTH) -> dict[str, np.ndarray]:
+    """The contexts of the texts, in order: text, lo (its first string), n (strings), off (the anchor's place after
+    lo), gram and ctx (hashes of the anchor's gram and of the whole context)."""
+    out: dict[str, list[np.ndarray]] = {k: [] for k in ("text", "lo", "n", "off", "gram", "ctx")}
+    for numbers, offsets, parts in _pieces(texts, length):
+        buf = np.frombuffer(b"".join(parts), np.uint8)
+        power, inverse = powers(len(buf) + 1)
+        total = np.zeros(len(buf) + 1, np.uint64)
+        np.cumsum(_values()[buf] * power[:-1], out=total[1:])
+        grams = mix((total[GRAM:] - total[:-GRAM]) * inverse[: len(buf) - GRAM + 1])
+        least = (grams & ~np.uint64((1 << 24) - 1)) | np.arange(len(grams), dtype=np.uint64)
+        width, size = length - GRAM + 1, 1
+        while 2 * size <= width:
+            least = np.minimum(least[:-size], least[size:])
+            size *= 2
+        least = np.minimum(least[: len(grams) - width + 1], least[width - size :][: len(grams) - width + 1])
+        at = (least & np.uint64((1 << 24) - 1)).astype(np.int64)
+        # Strings that cross the end of a piece are none.
+        end = np.cumsum([len(x) for x in parts])
+        crossing = np.zeros(len(at) + 1, np.int32)
+        np.add.at(crossing, np.minimum(np.maximum(end - length + 1, 0), len(at)), 1)
+        np.add.at(crossing, np.minimum(end, len(at)), -1)
+        whole = np.cumsum(crossing[:-1]) == 0
+        new = np.ones(len(at), bool)
+        new[1:] = (at[1:] != at[:-1]) | ~whole[:-1] | ~whole[1:]
+        first = np.flatnonzero(new)
+        n = np.diff(np.append(first, len(at)))
+        first, n = first[whole[first]], n[whole[first]]
+        piece = np.searchsorted(end, first, side="right")
+        off = at[first] - first
+        ctx = mix((total[first + n - 1 + length] - total[first]) * inverse[first] + n.astype(np.uint64) * _CONTEXT[0] + off.astype(np.uint64) * _CONTEXT[1])
+        start = end - np.array([len(x) for x in parts])
+        for k, v in (("text", np.array(numbers)[piece]), ("lo", first - start[piece] + np.array(offsets)[piece]), ("n", n), ("off", off), ("gram", grams[at[first]]), ("ctx", ctx)):
+            out[k].append(v)
+    none = {"gram": np.uint64, "ctx": np.uint64}
+    return {k: np.concatenate(v) if v else np.zeros(0, none.get(k, np.int64)) for k, v in out.items()}
+
+
+def _places(h: np.ndarray, bits: int) -> list[np.ndarray]:
+    """Three places of a gram in a Bloom filter of ``bits`` (a power of two)."""
+    x, y = mix(h), mix(h ^ _CONTEXT[0])
+    return [(v & np.uint64(bits - 1)).astype(np.int64) for v in (x, x >> np.uint64(32), y)]
 
 
 def repeated_grams(docs: DataFrame, text_col: str, length: int) -> np.ndarray:
-    """Bits of a Bloom filter that holds every anchor gram with two or more anchors."""
+    """Words of a Bloom filter that holds every anchor gram with two or more contexts. Its size follows their number up
+    to BLOOM_MOST bits; beyond that it lets more grams pass, which costs rows and no result."""
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in byte_chunks(batches, text_col):
-            found = []
-            for _, _, data in _segments(texts, length):
-                at, h = anchors(data, length)
-                found.append(h[np.concatenate([[True], at[1:] != at[:-1]])])
-            if found:
-                h, n = np.unique(np.concatenate(found), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int32))], ["gram", "n"])
+            h, n = np.unique(contexts_of(texts, length)["gram"], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int32))], ["gram", "n"])
+
+    counted = docs.select(text_col).mapInArrow(grams, "gram long, n int").groupBy("gram").agg(F.sum("n").alias("n")).filter("n > 1").select("gram")
+    held = store(counted, "suffix-grams")
+    want = max(1, held.df.count() * BLOOM_GRAM)
+    bits = min(max(1 << (want - 1).bit_length(), BLOOM_LEAST), BLOOM_MOST)
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = np.unique(np.concatenate(_bloom_places(batch.column("gram").to_numpy().view(np.uint64))))
-            byte, first = np.unique(at >> 6, return_index=True)
-            bits = np.bitwise_or.reduceat(np.uint64(1) << (at & 63).astype(np.uint64), first) if len(at) else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(byte.astype(np.int32)), pa.array(bits.view(np.int64))], ["word", "bits"])
+            at = np.unique(np.concatenate(_places(batch.column("gram").to_numpy().view(np.uint64), bits)))
+            word, first = np.unique(at >> 6, return_index=True)
+            value = np.bitwise_or.reduceat(np.uint64(1) << (at & 63).astype(np.uint64), first) if len(at) else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int32)), pa.array(value.view(np.int64))], ["word", "bits"])
 
-    counted = docs.select(text_col).mapInArrow(grams, "gram long, n int").groupBy("gram").agg(F.sum("n").alias("n")).filter("n > 1").select("gram")
-    rows = counted.mapInArrow(places, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
-    words = np.zeros(BLOOM_BITS >> 6, np.uint64)
+    rows = held.df.mapInArrow(places, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    words = np.zeros(bits >> 6, np.uint64)
     words[rows["word"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
+    held.drop()
     return words
 
 
-def fragments(docs: DataFrame, bloom: np.ndarray, id_col: str, text_col: str, length: int) -> DataFrame:
-    """(id, tid, at, data): runs of strings that may repeat, FRAGMENT strings at most, each with its whole bytes."""
+def tid(text_col: str) -> Column:
+    """Tells apart rows that share an id."""
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
+def repeated_contexts(docs: DataFrame, bloom: np.ndarray, id_col: str, text_col: str, length: int) -> DataFrame:
+    """(gram, ctx, id, tid, lo, n, off): contexts whose gram may have another."""
     sent = docs.sparkSession.sparkContext.broadcast(bloom)
 
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in byte_chunks(batches, text_col):
+            words, c = sent.value, contexts_of(texts, length)
+            may = np.ones(len(c["gram"]), bool)
+            for at in _places(c["gram"], len(words) << 6):
+                may &= (words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+            take = pa.array(c["text"][may])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c["gram"][may].view(np.int64)), pa.array(c["ctx"][may].view(np.int64)), batch.column("id").take(take), batch.column("tid").take(take), pa.array(c["lo"][may]), pa.array(c["n"][may].astype(np.int32)), pa.array(c["off"][may].astype(np.int32))],
+                ["gram", "ctx", "id", "tid", "lo", "n", "off"],
+            )
+
+    rows = docs.select(F.col(id_col).alias("id"), tid(text_col).alias("tid"), text_col)
+    return rows.mapInArrow(find, f"gram long, ctx long, id {dict(docs.dtypes)[id_col]}, tid long, lo long, n int, off int")
+
+
+def _with_bytes(reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame:
+    """(gram, contexts, id, tid, lo, n, off, data): contexts with their bytes."""
+    by_text = reps.groupBy("id", "tid").agg(F.collect_list(F.struct("gram", "contexts", "lo", "n", "off")).alias("reps"))
+    texts = docs.select(F.col(id_col).alias("d_id"), tid(text_col).alias("d_tid"), text_col)
+    # Rows equal in id and text bring their contexts twice; what follows takes them as one.
+    joined = by_text.join(texts, F.col("id").eqNullSafe(F.col("d_id")) & (F.col("tid") == F.col("d_tid"))).select("id", "tid", "reps", text_col)
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in byte_chunks(batches, text_col):
-            words = sent.value
-            rows, starts, data_out = [], [], []
-            for i, base, data in _segments(texts, length):
-                _, h = anchors(data, length)
-                may = np.ones(len(h), bool)
-                for at in _bloom_places(h):
-                    may &= (words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
-                edge = np.flatnonzero(np.diff(np.concatenate([[False], may, [False]])))
-                raw = data.tobytes()
-                for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-                    for x in range(a, b, FRAGMENT):
-                        rows.append(i)
-                        starts.append(base + x)
-                        data_out.append(raw[x : min(x + FRAGMENT, b) + length - 1])
-            if rows:
-                at = pa.array(rows, pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column("id").take(at), batch.column("tid").take(at), pa.array(starts, pa.int64()), pa.array(data_out, pa.binary())], ["id", "tid", "at", "data"])
-
-    return docs.select(F.col(id_col).alias("id"), tid(text_col).alias("tid"), text_col).mapInArrow(cut, f"id {dict(docs.dtypes)[id_col]}, tid long, at long, data binary")
+            reps = batch.column("reps")
+            rows = reps.flatten()
+            source = np.repeat(np.arange(len(reps)), [len(x) for x in reps])
+            lo, n = (rows.field(c).to_numpy() for c in ("lo", "n"))
+            data = [texts[i][a : a + k - 1 + length] for i, a, k in zip(source.tolist(), lo.tolist(), n.tolist(), strict=True)]
+            take = pa.array(source)
+            yield pa.RecordBatch.from_arrays([rows.field("gram"), rows.field("contexts"), batch.column("id").take(take), batch.column("tid").take(take), rows.field("lo"), rows.field("n"), rows.field("off"), pa.array(data, pa.binary())], ["gram", "contexts", "id", "tid", "lo", "n", "off", "data"])
 
+    return joined.mapInArrow(cut, f"gram long, contexts long, id {dict(docs.dtypes)[id_col]}, tid long, lo long, n int, off int, data binary")
 
-def tid(text_col: str) -> Column:
-    """Tells apart rows that share an id."""
-    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+def _small_groups(contested: DataFrame, length: int) -> DataFrame:
+    """(id, tid, lo, n): repeated strings among grams of a few contexts, as runs. A group has DIRECT rows at most."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gram, seen, last = None, set(), None
+        for batch in batches:
+            source, lo, n = [], [], []
+            for row, (g, i_d, t, at, k, off, data) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("gram", "id", "tid", "lo", "n", "off", "data")), strict=True)):
+                if g != gram:
+                    gram, seen = g, set()
+                elif last == (i_d, t, at):
+                    continue  # the same row once more
+                last = (i_d, t, at)
+                run = 0
+                for i in range(k + 1):
+                    # Equal strings have their anchor at one place; the group's one gram tells nothing more.
+                    key = (off - i, data[i : i + length]) if i < k else None
+                    if key in seen:
+                        run += 1
+                        continue
+                    if run:
+                        source.append(row)
+                        lo.append(at + i - run)
+                        n.append(run)
+                        run = 0
+                    if key:
+                        seen.add(key)
+            take = pa.array(source, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(take), batch.column("tid").take(take), pa.array(lo, pa.int64()), pa.array(n, pa.int32())], ["id", "tid", "lo", "n"])
+
+    parts = int(contested.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = contested.repartition(parts, "gram").sortWithinPartitions("gram", "id", "tid", "lo")
+    return ordered.mapInArrow(compare, f"id {dict(contested.dtypes)['id']}, tid long, lo long, n int")
 
 
 def _named(keys: DataFrame) -> DataFrame:
@@ -147,7 +222,7 @@ def _named(keys: DataFrame) -> DataFrame:
 
 
 def _sampled(n: int) -> np.ndarray:
-    at = np.arange(n)
+    at = np.arange(max(0, n))
     return at[at % 3 != 0]
 
 
@@ -191,6 +266,7 @@ def sampled_names(frags: DataFrame) -> DataFrame:
         source = frags.select("frag", "data") if kind == "binary" else named.groupBy("frag").agg(F.collect_list("x").alias("x"), F.collect_list("name").alias("name"))  # noqa: F821
         rows = source.mapInArrow(run, f"frag long, x int, key {kind}")
         named = store(rows.join(_named(rows), "key").select("frag", "x", "name"), "suffix-names").df
+        release(frags.sparkSession)
     return named
 
 
@@ -226,38 +302,62 @@ def repeats(frags: DataFrame, length: int = LENGTH) -> DataFrame:
     suffixes = together.mapInArrow(merge, f"id {kind}, tid long, p long, head binary, name long, tail binary")
     key = ["head", "name", "tail"]
     least = suffixes.groupBy(*key).agg(F.min(F.struct("id", "tid", "p")).alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    later = suffixes.join(least, key).filter((F.col("least") < F.struct("id", "tid", "p")) & ~(F.col("id").eqNullSafe(F.col("least.id")) & (F.col("tid") != F.col("least.tid"))))
+    later = suffixes.join(least, key).filter(F.col("least") < F.struct("id", "tid", "p"))
     return later.select("id", "tid", "p").distinct()
 
 
-def removed_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
+def removed_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, direct: int = DIRECT) -> DataFrame:
     """(id, tid, spans): the maximal byte ranges [from, to) covered by strings of ``length`` bytes that also start
-    earlier (smaller id, or same text, earlier start). Texts without such a range have no row. Of rows with one id,
-    none is earlier than another; a null id is earlier than all."""
+    earlier: in a text of smaller id, or earlier in the same text. Texts without such a range have no row. A null id is
+    earlier than all; texts that share an id are in order of their hash, and rows equal in both are one."""
+    spark = docs.sparkSession
+    id_type = dict(docs.dtypes)[id_col]
     bloom = repeated_grams(docs, text_col, length)
-    numbered = store(fragments(docs, bloom, id_col, text_col, length).withColumn("frag", F.monotonically_increasing_id()), "suffix-fragments")
+    release(spark)
+    found = store(repeated_contexts(docs, bloom, id_col, text_col, length), "suffix-contexts")
+    first = found.df.groupBy("gram", "ctx").agg(F.min(F.struct("id", "tid", "lo", "n", "off")).alias("first"), F.count("*").alias("rows"))
+    first = store(first, "suffix-first")
+    here = F.struct("id", "tid", "lo")
+    later = found.df.join(first.df.filter("rows > 1").select("gram", "ctx", "first"), ["gram", "ctx"]).filter(F.struct("first.id", "first.tid", "first.lo") < here).select("id", "tid", "lo", "n")
+    whole = store(later, "suffix-later")
+    found.drop()
+    release(spark)
+    contexts = first.df.groupBy("gram").agg(F.count("*").alias("contexts")).filter("contexts > 1")
+    reps = first.df.join(contexts, "gram").select("gram", "contexts", "first.*")
+    contested = store(_with_bytes(reps, docs, id_col, text_col, length).withColumn("frag", F.monotonically_increasing_id()), "suffix-contested")
+    first.drop()
+    release(spark)
+    small = store(_small_groups(contested.df.filter(F.col("contexts") <= direct), length), "suffix-small")
+    crowded = contested.df.filter(F.col("contexts") > direct).select("frag", "id", "tid", F.col("lo").alias("at"), "data")
+    sorted_out = store(repeats(crowded, length).select("id", "tid", F.col("p").alias("lo"), F.lit(1).alias("n")), "suffix-sorted")
+    contested.drop()
+    release(spark)
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for p in batch.column("p"):
-                p = np.sort(p.values.to_numpy())
-                gap = np.flatnonzero(p[1:] > p[:-1] + length)  # runs that touch are one
-                out.append([{"from": int(a), "to": int(b) + length} for a, b in zip(p[np.append(0, gap + 1)], p[np.append(gap, len(p) - 1)], strict=True)])
+            for lo, n in zip(batch.column("lo"), batch.column("n"), strict=True):
+                lo, n = lo.values.to_numpy(), n.values.to_numpy()
+                by = np.argsort(lo, kind="stable")
+                lo, end = lo[by], np.maximum.accumulate((lo + n)[by]) + length - 1
+                gap = np.flatnonzero(lo[1:] > end[:-1])  # ranges that touch are one
+                out.append([{"from": int(a), "to": int(b)} for a, b in zip(lo[np.append(0, gap + 1)], end[np.append(gap, len(lo) - 1)], strict=True)])
             kind = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("tid"), pa.array(out, kind)], ["id", "tid", "spans"])
 
-    found = repeats(numbered.df, length).groupBy("id", "tid").agg(F.collect_list("p").alias("p"))
-    return found.mapInArrow(spans, f"id {dict(docs.dtypes)[id_col]}, tid long, spans array<struct<from:long,to:long>>")
+    removed = whole.df.unionByName(small.df).unionByName(sorted_out.df).groupBy("id", "tid").agg(F.collect_list("lo").alias("lo"), F.collect_list("n").alias("n"))
+    return removed.mapInArrow(spans, f"id {id_type}, tid long, spans array<struct<from:long,to:long>>")
 
 
-def with_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """``docs`` with the column ``spans`` (empty where nothing repeats)."""
+def with_spans(docs: DataFrame, name: str = "spans", *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
+    """``docs`` with the column ``name`` (empty where nothing repeats)."""
     spans = store(removed_spans(docs, id_col=id_col, text_col=text_col, length=length), "suffix-spans").df
+    release(docs.sparkSession)
     spans = spans.withColumnsRenamed({"id": "span_id", "tid": "span_tid", "spans": "found_spans"})
-    joined = docs.join(spans, F.col(id_col).eqNullSafe(F.col("span_id")) & (tid(text_col) == F.col("span_tid")), "left")
+    own = docs.withColumn("_tid", F.xxhash64(F.coalesce(docs[text_col], F.lit(""))))
+    joined = own.join(spans, own[id_col].eqNullSafe(spans["span_id"]) & (own["_tid"] == spans["span_tid"]), "left")
     none = F.array().cast("array<struct<from:long,to:long>>")
-    return joined.select(*(docs[c] for c in docs.columns), F.coalesce("found_spans", none).alias("spans"))
+    return joined.select(*(own[c] for c in docs.columns), F.coalesce("found_spans", none).alias(name))
 
 
 def kept(raw: bytes, spans: list[dict]) -> bytes:
@@ -286,13 +386,15 @@ def removal_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """``docs`` with repeated bytes cut out of the texts. A character that is only partly covered stays whole."""
-    schema = docs.schema
+    """``docs`` with repeated bytes cut out of the texts. A character that is only partly covered stays whole.
+
+    Null texts stay null; other columns, whatever their names, stay as they are."""
+    schema, marks = docs.schema, "spans" + "_" * max(map(len, docs.columns))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in byte_chunks(batches, text_col):
             out = []
-            for raw, found, spans in zip(texts, batch.column(text_col).is_valid().to_pylist(), batch.column("spans").to_pylist(), strict=True):
+            for raw, found, spans in zip(texts, batch.column(text_col).is_valid().to_pylist(), batch.column(marks).to_pylist(), strict=True):
                 for s in spans:
                     while s["from"] < len(raw) and raw[s["from"]] & 0xC0 == 0x80:
                         s["from"] += 1
@@ -301,4 +403,4 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                 out.append(kept(raw, spans).decode("utf-8", "replace") if found else None)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == text_col else batch.column(c) for c in schema.names], schema.names)
 
-    return with_spans(docs, id_col=id_col, text_col=text_col, length=length).mapInArrow(cut, schema)
+    return with_spans(docs, marks, id_col=id_col, text_col=text_col, length=length).mapInArrow(cut, schema)

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +17,7 @@ from noticeworks.tables import Stored, drop_path, new_path, shared_dir, store
 __all__ = ["Stored", "byte_chunks", "drop_path", "fold", "new_path", "release", "runs", "shared_dir", "store"]
 
 #: Bytes of text that a task turns into arrays at a time.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def release(spark: SparkSession) -> None:
@@ -48,6 +49,7 @@ def runs(sizes: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]
 def byte_chunks(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of the batches with their texts as UTF-8 bytes (null: empty), each of about CHUNK_BYTES."""
     for batch in batches:
-        texts = [x or b"" for x in batch.column(text).cast(pa.binary()).to_pylist()]
-        for i, j in runs(np.fromiter(map(len, texts), np.int64, len(texts))):
-            yield batch.slice(i, j - i), texts[i:j]
+        column = batch.column(text).cast(pa.binary())
+        sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        for i, j in runs(sizes):
+            yield batch.slice(i, j - i), [x or b"" for x in column.slice(i, j - i).to_pylist()]

@@ -9,6 +9,7 @@ import subprocess
 import sys
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -22,7 +23,7 @@ def plain(v):
     v = v.tolist() if hasattr(v, "tolist") and not isinstance(v, str | bytes) else v
     if isinstance(v, list):
         return [plain(x) for x in v]
-    if v is None or v != v:
+    if v is None or v is pd.NA or v != v:
         return None
     if isinstance(v, datetime.date):
         return str(v)[:10]

@@ -2,14 +2,14 @@
 
 Merging depends on the order of rows, so rows carry ``ingest_ord``. Rows that could merge are brought together by
 components (pass 1) or keys (passes 2 and 3); inside such a group the rows are replayed in order. Groups of one row
-skip Python. Groups over GROUP_ROWS are merged by native aggregation (pass 2), or linked pair by pair and merged by
-component (passes 1 and 3).
+skip Python. Groups of every size follow that one rule: a task reads a group as a stream and holds only the entries kept.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from datetime import date
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -20,9 +20,8 @@ from noticeworks.rules import SOURCE_PRIORITY
 from noticeworks.tables import store
 
 from .components import components
-from .link import fuzzy_pairs
 
-GROUP_ROWS, SIMILAR = 5_000, 0.90
+SIMILAR = 0.90
 CONFIDENCE = {"high_confidence": 2, "boundary": 1, "excluded_low_score": 0, "excluded_strong": 0}
 LOOKUPS = (("g0v_unit_id", "unit_id"), ("g0v_job_number", "job_number"), ("g0v_tender_api_url", "tender_api_url"))
 
@@ -89,7 +88,7 @@ def merge(a: dict, b: dict) -> dict:
     return out
 
 
-def greedy_identity(rows: list[dict]) -> list[dict]:
+def greedy_identity(rows: Iterable[dict]) -> list[dict]:
     """A row joins the entry of its first known key; the merged row's keys then point to that entry."""
     where: dict[str, int] = {}
     kept: list[dict] = []
@@ -105,15 +104,16 @@ def greedy_identity(rows: list[dict]) -> list[dict]:
     return kept
 
 
-def fold(rows: list[dict]) -> list[dict]:
+def fold(rows: Iterable[dict]) -> list[dict]:
     """D2."""
-    out = rows[0]
-    for row in rows[1:]:
+    rows = iter(rows)
+    out = next(rows)
+    for row in rows:
         out = merge(out, row)
     return [out]
 
 
-def greedy_similar(rows: list[dict]) -> list[dict]:
+def greedy_similar(rows: Iterable[dict]) -> list[dict]:
     """D3: a row joins the first entry of its block that is near enough."""
     from difflib import SequenceMatcher
 
@@ -139,24 +139,30 @@ def _sized(df: DataFrame, group: str) -> DataFrame:
     return store(df.join(df.groupBy(group).agg(F.count("*").alias("_n")), group).select(*df.columns, "_n"), "dedup-sized").df
 
 
-def _replay(sized: DataFrame, group: str, step: Callable[[list[dict]], list[dict]]) -> DataFrame:
-    """Rows of one group in order through ``step``; rows alone in their group pass by; large groups are left out."""
+def _replay(sized: DataFrame, group: str, step: Callable[[Iterable[dict]], list[dict]]) -> DataFrame:
+    """Rows of one group in order through ``step``; rows alone in their group pass by."""
     names = [c for c in sized.columns if c != "_n"]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values("ingest_ord").to_dict("records")
-        for r in rows:
-            r["metadata"] = dict(r["metadata"]) if r["metadata"] is not None else {}
-            r["strong"] = list(r["strong"]) if r["strong"] is not None else []
-        return pd.DataFrame(step(rows), columns=names)
+    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[dict]:
+        for pdf in frames:
+            for r in pdf.to_dict("records"):
+                r["metadata"] = dict(r["metadata"]) if r["metadata"] is not None else {}
+                r["strong"] = list(r["strong"]) if r["strong"] is not None else []
+                yield r
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        done: list[dict] = []
+        for _, own in groupby(rows(frames), key=lambda r: r[group]):
+            done += step(own)
+            if len(done) >= 1000:
+                yield pd.DataFrame(done, columns=names)
+                done = []
+        if done:
+            yield pd.DataFrame(done, columns=names)
 
     alone = sized.filter("_n = 1").select(*names)
-    several = sized.filter((F.col("_n") > 1) & (F.col("_n") <= GROUP_ROWS)).select(*names)
-    return alone.unionByName(several.groupBy(group).applyInPandas(run, several.schema))
-
-
-def _large(sized: DataFrame) -> DataFrame:
-    return sized.filter(F.col("_n") > GROUP_ROWS).drop("_n")
+    several = sized.filter("_n > 1").select(*names)
+    return alone.unionByName(several.repartition(group).sortWithinPartitions(group, "ingest_ord").mapInPandas(run, several.schema))
 
 
 def identity_components(df: DataFrame, *, order: str = "ingest_ord", keys: str = "strong") -> DataFrame:
@@ -169,7 +175,8 @@ def identity_components(df: DataFrame, *, order: str = "ingest_ord", keys: str =
 
 
 def merge_large(df: DataFrame, group: str) -> DataFrame:
-    """D2, D4, D5 for groups of any size, by aggregation. Of summaries of one greatest length the survivor's counts,
+    """First row, survivor, dates, tags and summary of D2, D4 and D5 by aggregation, without the metadata, scores, terms
+    and earlier backups that exact_dedup merges. Of summaries of one greatest length the survivor's counts,
     then the earliest; backup sources are in order of first appearance."""
     priority = F.lit(1)
     for name, rank in SOURCE_PRIORITY.items():
@@ -191,25 +198,18 @@ def merge_large(df: DataFrame, group: str) -> DataFrame:
 
 def exact_dedup(df: DataFrame, group: str = "exact_key") -> DataFrame:
     """Pass 2."""
-    sized = _sized(df, group)
-    return _replay(sized, group, fold).unionByName(merge_large(_large(sized), group).select(*df.columns))
+    return _replay(_sized(df, group), group, fold).select(*df.columns)
 
 
 def fuzzy_dedup(df: DataFrame) -> DataFrame:
     """Pass 3: blocks of one organisation and day (a null day is a day)."""
     blocked = df.withColumn("_block", F.concat_ws("|", "n_org", F.coalesce(F.col("record_date").cast("string"), F.lit(""))))
-    sized = _sized(blocked, "_block")
-    out, large = _replay(sized, "_block", greedy_similar), _large(sized)
-    if not large.isEmpty():
-        pairs = fuzzy_pairs(large, block=["_block"], least=SIMILAR).select(F.col("b_ord").alias("u"), F.col("a_ord").alias("v"))
-        linked = large.join(components(pairs).df.withColumnsRenamed({"u": "ingest_ord", "v": "_group"}), "ingest_ord", "left").withColumn("_group", F.coalesce("_group", "ingest_ord"))
-        out = out.unionByName(merge_large(linked, "_group").select(*blocked.columns))
-    return out.drop("_block")
+    return _replay(_sized(blocked, "_block"), "_block", greedy_similar).drop("_block")
 
 
 def deduplicate(df: DataFrame) -> DataFrame:
     """All three passes over rows with n_title, n_org, record_date, exact_key and keys (see standardize_keys)."""
     rows = store(df.withColumn("strong", K.strong_keys(F.col("keys"))), "dedup-rows").df
     grouped = _sized(rows.join(identity_components(rows), "ingest_ord").withColumnRenamed("component", "_component"), "_component")
-    once = _replay(grouped, "_component", greedy_identity).unionByName(merge_large(_large(grouped), "_component").select(*grouped.drop("_n").columns)).drop("_component")
+    once = _replay(grouped, "_component", greedy_identity).drop("_component")
     return fuzzy_dedup(store(exact_dedup(once), "dedup-exact").df).drop("strong")

@@ -1,0 +1,35 @@
+"""Groups over 5,000 rows merge by the same rule as small ones."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from noticeworks.operators import dedup, standardize
+
+from .test_operators import bids, row
+
+
+def large(spark, n, **more):
+    """One group of n rows with metadata in the second and last row, and backups in the last."""
+    rows = bids(spark, [row(i, source="gov_pcc" if i == 0 else "g0v", url=f"u{i}", **more) for i in range(n)])
+    meta = F.when(F.col("ingest_ord") == 1, F.create_map(F.lit("unit_id"), F.lit("77"))).when(F.col("ingest_ord") == n - 1, F.create_map(F.lit("keyword_confidence"), F.lit("high_confidence"), F.lit("filter_source"), F.lit("rules"))).otherwise(F.col("metadata"))
+    backup = F.when(F.col("ingest_ord") == n - 1, F.lit("mirror"))
+    return rows.withColumns({"metadata": meta, "backup_source": backup, "tags": F.array().cast("array<string>")})
+
+
+def test_exact_groups_keep_metadata(spark):
+    for n in (40, 5_001):
+        rows = large(spark, n).withColumns({"strong": F.array().cast("array<string>"), "exact_key": F.lit("k")})
+        (got,) = dedup.exact_dedup(rows).collect()
+        assert got.ingest_ord == 0 and got.source == "gov_pcc" and got.backup_source == "g0v,mirror"
+        assert got.metadata == {"unit_id": "77", "g0v_unit_id": "77", "keyword_confidence": "high_confidence", "filter_source": "rules"}
+
+
+def test_hot_block_is_not_closed_over_chains(spark):
+    """A near B and B near C, but A not near C: C stays, in a block of any size."""
+    base = "甲乙丙丁戊己庚辛壬癸子丑寅卯辰巳午未申酉"
+    a, b, c = base, base[:18] + "一二", base[:16] + "三四一二"
+    for n in (40, 5_001):
+        rows = standardize.standardize_keys(bids(spark, [row(i, title=(a, b, c)[min(i, 2)], url=f"u{i}") for i in range(n)]).withColumn("tags", F.array().cast("array<string>")))
+        got = dedup.fuzzy_dedup(rows.withColumn("strong", F.array().cast("array<string>"))).orderBy("ingest_ord").collect()
+        assert [r.ingest_ord for r in got] == [0, 2]

@@ -49,13 +49,25 @@ class Encoder:
         plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
         # The format writes a byte that is no visible character as the next free one from 256.
         shown = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
-        special = {t["content"] for t in file["added_tokens"]}
-        ranks = {bytes(shown[c] for c in token): i for token, i in file["model"]["vocab"].items() if token not in special}
+        self._added = {t["content"]: t["id"] for t in file["added_tokens"]}
+        if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in file["added_tokens"]):
+            raise ValueError("added tokens that take or ask for neighbouring characters are not supported")
+        # Of tokens that start at one place the longest counts, as in the library.
+        self._cut = re.compile("(" + "|".join(map(re.escape, sorted(self._added, key=len, reverse=True))) + ")") if self._added else None
+        ranks = {bytes(shown[c] for c in token): i for token, i in file["model"]["vocab"].items() if token not in self._added}
         self._any, self._short = (tiktoken.Encoding("file", pat_str=p, mergeable_ranks=ranks, special_tokens={}).encode_ordinary for p in (PATTERN, SHORT_RUNS))
 
     def encode(self, text: str) -> np.ndarray:
+        """Ids of plain text, in which an added token's name is text like any other."""
         return np.array(array("I", (self._any if _LONG_RUN.search(text) else self._short)(text)), np.uint32)
 
+    def encode_marked(self, text: str) -> np.ndarray:
+        """Ids as the library gives them: the name of an added token is that token, and parts the text."""
+        if not self._cut or not self._cut.search(text):
+            return self.encode(text)
+        parts = self._cut.split(text)  # every second one is an added token
+        return np.concatenate([np.array([self._added[p]], np.uint32) if i % 2 else self.encode(p) for i, p in enumerate(parts)])
+
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
@@ -151,7 +163,8 @@ COLUMNS = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"
 def pack_documents(docs: DataFrame, tokenizer: str, *, tiers: tuple[int, ...] = TIERS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each piece: id and COLUMNS.
 
-    ``tokenizer`` is the path of a byte-level BPE file on every executor. Each text's ids (null: none) end with END_ID.
+    ``tokenizer`` is the path of a byte-level BPE file on every executor. Names of its added tokens in a text are those
+    tokens, as in the library. Each text's ids (null: none) end with END_ID.
     ``sequence_id`` numbers windows, ``offset`` the ids before the piece in its window; ``sequence_length`` is the
     padded length: a window that ends at a power of two is not padded, any other to the longest tier. ``step_group``
     names a set of windows of about the same sum of ids. Repeated rows are packed as often; an empty table gives an
@@ -163,7 +176,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, *, tiers: tuple[int, ...] =
     schema = f"{id_col} {dict(docs.dtypes)[id_col]}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long, step_group long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, base = encoder(tokenizer).encode, TaskContext.get().partitionId() << 40
+        encode, base = encoder(tokenizer).encode_marked, TaskContext.get().partitionId() << 40
         names, ids, held, pool = [], {}, 0, _Pool()
         whole: list[list[Piece]] = []
         sequences = groups = 0

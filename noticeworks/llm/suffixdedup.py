@@ -6,18 +6,22 @@ equal strings have equal anchors, at equal places. An anchor's context is the ru
 * Strings whose anchor gram stands nowhere else occur once.
 * A context that also occurs earlier is repeated as a whole, and its strings need no further look.
 * Of a gram with one context, the first occurrence is all that stays.
-* Of a gram with up to DIRECT contexts (some 140 kB), the first occurrences' strings are compared in one group.
 
-What is left are the contexts of crowded grams: the ends of passages that many texts share. They go to the suffix
-algorithm. Positions 1 and 2 modulo 3 of a context are its sample:
-
-1. sort the sampled triples of LETTER-byte letters and name them by rank;
-2. recurse on the names: triples of names, sorted and named again, cover 9 letters;
-3. merge the remaining suffixes: for any two positions there is a shift of 0, 1 or 2 that makes both sampled, so each
-   position is ordered by the bytes up to its sampled suffix, that suffix's name, and the bytes left to LENGTH;
-4. compare neighbours in that order: equal prefixes stand together, and all but the earliest are repeats.
-
-No hot gram or context is brought into one task: such groups are aggregated, joined with skew handling or sorted.
+Every other context goes to the suffix algorithm, however many its gram has. Places are counted from the anchor, so
+equal strings stand at equal places, and a cover needs a common sampled shift for such pairs only: every STEP-th place
+before the anchor is sampled (STEP = LENGTH - 81, one place in 19).
+
+1. Sort the triples of LETTER-byte letters at the sampled places and name them by rank.
+2. Recurse on the names: the triple of names at a sampled place, sorted and named again, covers 81 bytes. A name that
+   only one place has ends the matter for all strings that run through it.
+3. Merge the remaining suffixes: each string is ordered by its next sampled place's name and by the bytes before and
+   behind the 81.
+4. Compare neighbours in that order, across the partitions' edges: equal strings stand together, in the order of their
+   documents and places, and all but the first are repeats.
+
+The names compare bytes; only whole contexts are taken as equal by hash (64 bits for the gram, 64 for the context).
+No hot gram, context or string is brought into one task: groups are aggregated, joined with skew handling, or sorted
+by ranges that cut through them.
 """
 
 from __future__ import annotations
@@ -28,14 +32,17 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_chunks, release, runs, store
+from .common import byte_chunks, runs, store
 from .wordhash import mix, powers
 
-LENGTH, GRAM, LETTER, DIRECT = 100, 32, 9, 1024
+LENGTH, GRAM, LETTER = 100, 32, 9
+#: Bytes that a triple of letters and a triple of names cover.
+TRIPLE, COVER = 3 * LETTER, 9 * LETTER
 #: Bytes whose anchors are found together; longest piece of a text. Bits of the Bloom filter: at least, at most, a gram.
 BLOCK, SEGMENT = 1 << 18, 1 << 22
 BLOOM_LEAST, BLOOM_MOST, BLOOM_GRAM = 1 << 20, 1 << 29, 16
@@ -153,8 +160,8 @@ def repeated_contexts(docs: DataFrame, bloom: np.ndarray, id_col: str, text_col:
 
 
 def _with_bytes(reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame:
-    """(gram, contexts, id, tid, lo, n, off, data): contexts with their bytes."""
-    by_text = reps.groupBy("id", "tid").agg(F.collect_list(F.struct("gram", "contexts", "lo", "n", "off")).alias("reps"))
+    """(id, tid, lo, n, off, data): contexts with their bytes."""
+    by_text = reps.groupBy("id", "tid").agg(F.collect_list(F.struct("lo", "n", "off")).alias("reps"))
     texts = docs.select(F.col(id_col).alias("d_id"), tid(text_col).alias("d_tid"), text_col)
     # Rows equal in id and text bring their contexts twice; what follows takes them as one.
     joined = by_text.join(texts, F.col("id").eqNullSafe(F.col("d_id")) & (F.col("tid") == F.col("d_tid"))).select("id", "tid", "reps", text_col)
@@ -167,48 +174,26 @@ def _with_bytes(reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, le
             lo, n = (rows.field(c).to_numpy() for c in ("lo", "n"))
             data = [texts[i][a : a + k - 1 + length] for i, a, k in zip(source.tolist(), lo.tolist(), n.tolist(), strict=True)]
             take = pa.array(source)
-            yield pa.RecordBatch.from_arrays([rows.field("gram"), rows.field("contexts"), batch.column("id").take(take), batch.column("tid").take(take), rows.field("lo"), rows.field("n"), rows.field("off"), pa.array(data, pa.binary())], ["gram", "contexts", "id", "tid", "lo", "n", "off", "data"])
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(take), batch.column("tid").take(take), rows.field("lo"), rows.field("n"), rows.field("off"), pa.array(data, pa.binary())], ["id", "tid", "lo", "n", "off", "data"])
 
-    return joined.mapInArrow(cut, f"gram long, contexts long, id {dict(docs.dtypes)[id_col]}, tid long, lo long, n int, off int, data binary")
+    return joined.mapInArrow(cut, f"id {dict(docs.dtypes)[id_col]}, tid long, lo long, n int, off int, data binary")
 
 
-def _small_groups(contested: DataFrame, length: int) -> DataFrame:
-    """(id, tid, lo, n): repeated strings among grams of a few contexts, as runs. A group has DIRECT rows at most."""
+def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(all bytes, start of each value among them) of a binary column without nulls."""
+    start = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    return np.frombuffer(column.buffers()[2] or b"", np.uint8), start[:-1]
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gram, seen, last = None, set(), None
-        for batch in batches:
-            source, lo, n = [], [], []
-            for row, (g, i_d, t, at, k, off, data) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("gram", "id", "tid", "lo", "n", "off", "data")), strict=True)):
-                if g != gram:
-                    gram, seen = g, set()
-                elif last == (i_d, t, at):
-                    continue  # the same row once more
-                last = (i_d, t, at)
-                run = 0
-                for i in range(k + 1):
-                    # Equal strings have their anchor at one place; the group's one gram tells nothing more.
-                    key = (off - i, data[i : i + length]) if i < k else None
-                    if key in seen:
-                        run += 1
-                        continue
-                    if run:
-                        source.append(row)
-                        lo.append(at + i - run)
-                        n.append(run)
-                        run = 0
-                    if key:
-                        seen.add(key)
-            take = pa.array(source, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(take), batch.column("tid").take(take), pa.array(lo, pa.int64()), pa.array(n, pa.int32())], ["id", "tid", "lo", "n"])
-
-    parts = int(contested.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = contested.repartition(parts, "gram").sortWithinPartitions("gram", "id", "tid", "lo")
-    return ordered.mapInArrow(compare, f"id {dict(contested.dtypes)['id']}, tid long, lo long, n int")
-
-
-def _named(keys: DataFrame) -> DataFrame:
-    """(key, name): the rank of each distinct key, as its sorted partition's number above its place there."""
+
+def _ranges(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, number) for the numbers first, first + 1, ... of each row."""
+    row = np.repeat(np.arange(len(count)), count)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + first[row]
+
+
+def _named(rows: DataFrame) -> DataFrame:
+    """(key, name) of the keys that several rows have: the rank of each, as its sorted partition's number above its
+    place there."""
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = TaskContext.get().partitionId() << 40
@@ -216,122 +201,137 @@ def _named(keys: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(np.arange(at, at + batch.num_rows))], ["key", "name"])
             at += batch.num_rows
 
-    n = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    kind = dict(keys.dtypes)["key"]
-    return keys.select("key").distinct().repartitionByRange(n, "key").sortWithinPartitions("key").mapInArrow(rank, f"key {kind}, name long")
-
-
-def _sampled(n: int) -> np.ndarray:
-    at = np.arange(max(0, n))
-    return at[at % 3 != 0]
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    several = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    return several.repartitionByRange(n, "key").sortWithinPartitions("key").mapInArrow(rank, f"key {dict(rows.dtypes)['key']}, name long")
 
 
-def _rows(batch: pa.RecordBatch, counts: list[int]) -> list[pa.Array]:
-    """The fragment's number for each of its positions."""
-    return [batch.column("frag").take(pa.array(np.repeat(np.arange(len(counts)), counts)))]
-
-
-def sampled_names(frags: DataFrame) -> DataFrame:
-    """(frag, x, name): the rank of 9 letters from each sampled position that has them."""
-    size = 3 * LETTER
+def sampled_names(frags: DataFrame, length: int = LENGTH) -> DataFrame:
+    """(frag, k, name): the rank of the COVER bytes from the place k steps before the anchor, where several have them."""
+    step = length - COVER
 
     def triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts, xs, keys = [], [], []
-            for data in batch.column("data").to_pylist():
-                x = _sampled(len(data) - size + 1)
-                counts.append(len(x))
-                xs.append(x)
-                keys.extend(data[i : i + size] for i in x.tolist())
-            yield pa.RecordBatch.from_arrays([*_rows(batch, counts), pa.array(np.concatenate(xs).astype(np.int32)), pa.array(keys, pa.binary())], ["frag", "x", "key"])
-
-    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts, xs, keys = [], [], []
-            for at, name in zip(batch.column("x"), batch.column("name"), strict=True):
-                at, name = at.values.to_numpy(), name.values.to_numpy()
-                by = np.argsort(at)
-                at, name = at[by], name[by]
-                # The sample is dense modulo 3, so a step of three letters is a fixed number of places on.
-                step = np.searchsorted(at, [at[0] + size])[0]
-                m = max(0, len(at) - 2 * step)
-                counts.append(m)
-                xs.append(at[:m])
-                keys.append(np.stack([name[:m], name[step : step + m], name[2 * step : 2 * step + m]], axis=1))
-            flat = np.concatenate(keys)
-            parts = [pa.array(np.ascontiguousarray(flat[:, k])) for k in range(3)]
-            yield pa.RecordBatch.from_arrays([*_rows(batch, counts), pa.array(np.concatenate(xs).astype(np.int32)), pa.StructArray.from_arrays(parts, ["a", "b", "c"])], ["frag", "x", "key"])
-
-    for run, kind in ((triples, "binary"), (again, "struct<a:long,b:long,c:long>")):
-        source = frags.select("frag", "data") if kind == "binary" else named.groupBy("frag").agg(F.collect_list("x").alias("x"), F.collect_list("name").alias("name"))  # noqa: F821
-        rows = source.mapInArrow(run, f"frag long, x int, key {kind}")
-        named = store(rows.join(_named(rows), "key").select("frag", "x", "name"), "suffix-names").df
-        release(frags.sparkSession)
-    return named
+            data, start = _bytes_of(batch.column("data"))
+            n, off = (batch.column(c).to_numpy().astype(np.int64) for c in ("n", "off"))
+            first = (off - n + 1) // step
+            row, k = _ranges(first, off // step - first + 1)
+            # A third of the cover each.
+            at = (start[row] + off[row] - k * step)[:, None] + TRIPLE * np.arange(3)
+            key = np.ascontiguousarray(data[at.reshape(-1, 1) + np.arange(TRIPLE)])
+            ends = np.arange(0, key.size + 1, TRIPLE, dtype=np.int32)
+            keys = pa.Array.from_buffers(pa.binary(), len(key), [None, pa.py_buffer(ends), pa.py_buffer(key)])
+            part = np.tile(np.arange(3, dtype=np.int32), len(row))
+            yield pa.RecordBatch.from_arrays([batch.column("frag").take(pa.array(np.repeat(row, 3))), pa.array(np.repeat(k.astype(np.int32), 3)), pa.array(part), keys], ["frag", "k", "part", "key"])
+
+    rows = store(frags.select("frag", "n", "off", "data").mapInArrow(triples, "frag long, k int, part int, key binary"), "suffix-triples")
+    named = store(rows.df.join(_named(rows.df), "key").select("frag", "k", "part", "name"), "suffix-names")
+    rows.drop()
+    third = [F.max(F.when(F.col("part") == i, F.col("name"))).alias(c) for i, c in enumerate("abc")]
+    again = named.df.groupBy("frag", "k").agg(*third).filter("a is not null and b is not null and c is not null")
+    again = store(again.select("frag", "k", F.struct(*"abc").alias("key")), "suffix-again")
+    named.drop()
+    out = store(again.df.join(_named(again.df), "key").select("frag", "k", "name"), "suffix-names").df
+    again.drop()
+    return out
 
 
 def repeats(frags: DataFrame, length: int = LENGTH) -> DataFrame:
     """(id, tid, p): strings of ``length`` bytes that also start earlier.
 
-    ``frags`` has id, tid, at, data and frag, a number for each row."""
-    cover = 9 * LETTER
-    if not cover + 2 <= length:
-        raise ValueError(f"length must be at least {cover + 2}")
-    names = sampled_names(frags)
-    together = frags.join(names.groupBy("frag").agg(F.collect_list("x").alias("x"), F.collect_list("name").alias("name")), "frag").select("id", "tid", "at", "data", "x", "name")
+    ``frags`` has id, tid, lo, n, off, data and frag, a number for each row."""
+    spark, step = frags.sparkSession, length - COVER
+    if step < 1:
+        raise ValueError(f"length must be at least {COVER + 1}")
+    names = sampled_names(frags, length).groupBy("frag").agg(F.collect_list(F.struct("k", "name")).alias("names"))
+    together = frags.join(names, "frag").select("id", "tid", "lo", "n", "off", "data", "names")
+    words = [f"w{i}" for i in range(-(-(step + 1) // 8))]  # the bytes around the cover, eight to a number
+    kind = dict(frags.dtypes)["id"]
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            source, ps, heads, names, tails = [], [], [], [], []
-            for row, (at, data, x, name) in enumerate(zip(batch.column("at").to_pylist(), batch.column("data").to_pylist(), batch.column("x"), batch.column("name"), strict=True)):
-                rank = np.full(len(data), -1, np.int64)
-                rank[x.values.to_numpy()] = name.values.to_numpy()
-                p = np.arange(len(data) - length + 1)
-                for shift in range(3):
-                    # With this shift two of the three classes are sampled.
-                    own = p[((p + shift) % 3) != 0]
-                    source.append(np.full(len(own), row))
-                    ps.append(own + at)
-                    heads.extend(bytes([shift]) + data[i : i + shift] for i in own.tolist())
-                    names.append(rank[own + shift])
-                    tails.extend(data[i + shift + cover : i + length] for i in own.tolist())
-            take = pa.array(np.concatenate(source))
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(take), batch.column("tid").take(take), pa.array(np.concatenate(ps)), pa.array(heads, pa.binary()), pa.array(np.concatenate(names)), pa.array(tails, pa.binary())], ["id", "tid", "p", "head", "name", "tail"])
+            lists = batch.column("names")
+            source = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+            flat = lists.flatten()
+            k, name = flat.field("k").to_numpy().astype(np.int64), flat.field("name").to_numpy()
+            data, start = _bytes_of(batch.column("data"))
+            lo, n, off = (batch.column(c).to_numpy().astype(np.int64) for c in ("lo", "n", "off"))
+            least = np.maximum(k * step, (off - n + 1)[source])
+            for a, b in runs(np.minimum(k * step + step - 1, off[source]) - least + 1, 1 << 15):
+                sampled, place = _ranges(least[a:b], (np.minimum(k * step + step - 1, off[source]) - least + 1)[a:b])
+                sampled += a
+                row = source[sampled]
+                at, shift = off[row] - place, place - k[sampled] * step
+                j = np.arange(step)
+                around = np.zeros((len(row), 8 * len(words)), np.uint8)
+                around[:, 0] = shift
+                around[:, 1 : step + 1] = data[(start[row] + at)[:, None] + j + COVER * (j >= shift[:, None])]
+                packed = around.view(np.int64)
+                take = pa.array(row)
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(take), batch.column("tid").take(take), pa.array(lo[row] + at), pa.array(name[sampled]), *(pa.array(np.ascontiguousarray(packed[:, i])) for i in range(len(words)))], ["id", "tid", "p", "name", *words])
+
+    def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, head, tail = TaskContext.get().partitionId(), None, None
+
+        def edge(row: pa.RecordBatch, end: bool) -> list[pa.Array]:
+            key = [row.column(c)[0].as_py() for c in ("name", *words)]
+            return [*row.select(place).columns, pa.array([part], pa.int32()), pa.array([key], pa.list_(pa.int64())), pa.array([end])]
 
-    kind = dict(frags.dtypes)["id"]
-    suffixes = together.mapInArrow(merge, f"id {kind}, tid long, p long, head binary, name long, tail binary")
-    key = ["head", "name", "tail"]
-    least = suffixes.groupBy(*key).agg(F.min(F.struct("id", "tid", "p")).alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    later = suffixes.join(least, key).filter(F.col("least") < F.struct("id", "tid", "p"))
-    return later.select("id", "tid", "p").distinct()
-
-
-def removed_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, direct: int = DIRECT) -> DataFrame:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if tail:  # the row that opened the last batch's last key
+                batch = pa.Table.from_batches([tail, batch]).combine_chunks().to_batches()[0]
+            head = head or batch.slice(0, 1)
+            key = np.stack([batch.column(c).to_numpy() for c in ("name", *words)])
+            new = np.append(True, (key[:, 1:] != key[:, :-1]).any(0))
+            opened = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+            tail = batch.slice(int(opened[-1]), 1)
+            # A repeated row of the table brings the key's first string once more.
+            other = np.zeros(len(new), bool)
+            for c in place:
+                column, first = batch.column(c), batch.column(c).take(pa.array(opened))
+                other |= ~pc.fill_null(pc.equal(column, first), False).to_numpy(zero_copy_only=False) & ~(pc.is_null(column).to_numpy(zero_copy_only=False) & pc.is_null(first).to_numpy(zero_copy_only=False))
+            later = batch.select(place).filter(pa.array(other))
+            none = (pa.nulls(later.num_rows, t) for t in (pa.int32(), pa.list_(pa.int64()), pa.bool_()))
+            yield pa.RecordBatch.from_arrays([*later.columns, *none], [*place, "part", "key", "end"])
+        if head:
+            for row, end in ((head, False), (tail, True)):
+                yield pa.RecordBatch.from_arrays(edge(row, end), [*place, "part", "key", "end"])
+
+    parts, place = int(spark.conf.get("spark.sql.shuffle.partitions")), ["id", "tid", "p"]
+    order = ["name", *words, *place]
+    suffixes = together.mapInArrow(merge, f"id {kind}, tid long, p long, name long, " + ", ".join(f"{w} long" for w in words))
+    ordered = suffixes.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    found = store(ordered.mapInArrow(neighbours, f"id {kind}, tid long, p long, part int, key array<long>, end boolean"), "suffix-later").df
+    # Each partition's first string is a repeat if a partition before opened its key. Two rows of a partition come here.
+    on, key, opener = [], None, None
+    for row in found.filter("part is not null").orderBy("part", "end").collect():
+        if row["key"] != key:
+            key, opener = row["key"], (row["id"], row["tid"], row["p"])
+        elif not row["end"] and (row["id"], row["tid"], row["p"]) != opener:
+            on.append(row["part"])
+    return found.filter(F.col("part").isNull() | (~F.col("end") & F.col("part").isin(on))).select(*place)
+
+
+def removed_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """(id, tid, spans): the maximal byte ranges [from, to) covered by strings of ``length`` bytes that also start
     earlier: in a text of smaller id, or earlier in the same text. Texts without such a range have no row. A null id is
     earlier than all; texts that share an id are in order of their hash, and rows equal in both are one."""
-    spark = docs.sparkSession
     id_type = dict(docs.dtypes)[id_col]
     bloom = repeated_grams(docs, text_col, length)
-    release(spark)
     found = store(repeated_contexts(docs, bloom, id_col, text_col, length), "suffix-contexts")
     first = found.df.groupBy("gram", "ctx").agg(F.min(F.struct("id", "tid", "lo", "n", "off")).alias("first"), F.count("*").alias("rows"))
     first = store(first, "suffix-first")
     here = F.struct("id", "tid", "lo")
     later = found.df.join(first.df.filter("rows > 1").select("gram", "ctx", "first"), ["gram", "ctx"]).filter(F.struct("first.id", "first.tid", "first.lo") < here).select("id", "tid", "lo", "n")
-    whole = store(later, "suffix-later")
+    whole = store(later, "suffix-whole")
     found.drop()
-    release(spark)
-    contexts = first.df.groupBy("gram").agg(F.count("*").alias("contexts")).filter("contexts > 1")
-    reps = first.df.join(contexts, "gram").select("gram", "contexts", "first.*")
+    several = first.df.groupBy("gram").agg(F.count("*").alias("contexts")).filter("contexts > 1").select("gram")
+    reps = first.df.join(several, "gram").select("first.*")
     contested = store(_with_bytes(reps, docs, id_col, text_col, length).withColumn("frag", F.monotonically_increasing_id()), "suffix-contested")
     first.drop()
-    release(spark)
-    small = store(_small_groups(contested.df.filter(F.col("contexts") <= direct), length), "suffix-small")
-    crowded = contested.df.filter(F.col("contexts") > direct).select("frag", "id", "tid", F.col("lo").alias("at"), "data")
-    sorted_out = store(repeats(crowded, length).select("id", "tid", F.col("p").alias("lo"), F.lit(1).alias("n")), "suffix-sorted")
-    contested.drop()
-    release(spark)
+    sorted_out = repeats(contested.df, length).select("id", "tid", F.col("p").alias("lo"), F.lit(1).alias("n"))
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -345,14 +345,13 @@ def removed_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
             kind = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("tid"), pa.array(out, kind)], ["id", "tid", "spans"])
 
-    removed = whole.df.unionByName(small.df).unionByName(sorted_out.df).groupBy("id", "tid").agg(F.collect_list("lo").alias("lo"), F.collect_list("n").alias("n"))
+    removed = whole.df.unionByName(sorted_out).groupBy("id", "tid").agg(F.collect_list("lo").alias("lo"), F.collect_list("n").alias("n"))
     return removed.mapInArrow(spans, f"id {id_type}, tid long, spans array<struct<from:long,to:long>>")
 
 
 def with_spans(docs: DataFrame, name: str = "spans", *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """``docs`` with the column ``name`` (empty where nothing repeats)."""
     spans = store(removed_spans(docs, id_col=id_col, text_col=text_col, length=length), "suffix-spans").df
-    release(docs.sparkSession)
     spans = spans.withColumnsRenamed({"id": "span_id", "tid": "span_tid", "spans": "found_spans"})
     own = docs.withColumn("_tid", F.xxhash64(F.coalesce(docs[text_col], F.lit(""))))
     joined = own.join(spans, own[id_col].eqNullSafe(spans["span_id"]) & (own["_tid"] == spans["span_tid"]), "left")

@@ -1,4 +1,4 @@
-"""Repeated byte strings against brute force, with narrowing and without."""
+"""Repeated byte strings against brute force."""
 
 from __future__ import annotations
 
@@ -49,12 +49,25 @@ def tangled():
     return rows + [(200, "a" * 1500), (201, "ab" * 900), (202, rows[3][1]), (203, "x" + rows[3][1]), (204, None), (205, "")]
 
 
-@pytest.mark.parametrize("direct", [1, suffixdedup.DIRECT])
-def test_tangled_texts(spark, tangled, direct, monkeypatch):
-    monkeypatch.setattr(suffixdedup, "DIRECT", direct)
-    monkeypatch.setattr(suffixdedup.removed_spans, "__kwdefaults__", suffixdedup.removed_spans.__kwdefaults__ | {"direct": direct})
+@pytest.mark.parametrize("length", [82, 100, 130])
+def test_tangled_texts(spark, tangled, length):
     df = spark.createDataFrame(tangled, "doc_id long, text string").repartition(5)
-    assert report(df) == brute(tangled)
+    assert report(df, length=length) == brute(tangled, length)
+
+
+@pytest.mark.parametrize("parts", [1, 3, 40])
+def test_strings_that_many_texts_share(spark, parts):
+    """One string in 700 different contexts, over few and many partitions, with repeated rows and ids."""
+    rng = random.Random(9)
+    draw = lambda n: "".join(rng.choice("abcdefghijklm ") for _ in range(n))
+    hot, ends = draw(112), [draw(150) for _ in range(4)]
+    rows = [(i, draw(90) + hot + draw(90) if i % 7 else draw(90) + hot + ends[i % 4][: 100 + i % 50]) for i in range(700)]
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        df = spark.createDataFrame(rows + rows[:40], "doc_id long, text string").repartition(7)
+        assert report(df) == brute(rows)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
 
 
 def test_long_texts_are_cut_into_pieces(spark, monkeypatch):

@@ -1,215 +1,240 @@
 """Duplicate resolution in three passes: shared strong keys, exact keys, near titles.
 
-Merging depends on the order of rows, so rows carry ``ingest_ord``. Rows that could merge are brought together by
-components (pass 1) or keys (passes 2 and 3); inside such a group the rows are replayed in order. Groups of one row
-skip Python. Groups of every size follow that one rule: a task reads a group as a stream and holds only the entries kept.
+Each pass names an entry for every row; ``merge_groups`` then makes one row of each entry. Merging depends on the order
+of rows (``ingest_ord``), and it is an aggregation all the same: of the rows so far, one survives, and a row that takes
+its place is a *winner*. What a field ends up with follows from winners and order: the last winner that has a value, or
+else the first row that has one. So groups of every size follow one rule, pre-aggregate, and need no task that holds them.
+
+Whether a row opens an entry or joins one is decided in order as well, among the few rows that a key or a near title
+links; that step moves row numbers, ranks and keys only.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
-from datetime import date
-from itertools import groupby
+from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from noticeworks.functions import keys as K
-from noticeworks.rules import SOURCE_PRIORITY
+from noticeworks.functions.dates import effective_day
+from noticeworks.functions.text import strip
+from noticeworks.rules import DEFAULT, RulePack
 from noticeworks.tables import store
 
 from .components import components
+from .link import fuzzy_pairs
 
 SIMILAR = 0.90
+#: Rows of a group whose winners are found together.
+CHUNK = 1 << 12
+# Ranks of keyword classes, and names under which a tender can be looked up, with their plain forms.
 CONFIDENCE = {"high_confidence": 2, "boundary": 1, "excluded_low_score": 0, "excluded_strong": 0}
-LOOKUPS = (("g0v_unit_id", "unit_id"), ("g0v_job_number", "job_number"), ("g0v_tender_api_url", "tender_api_url"))
-
-
-def _blank(value: object) -> bool:
-    return value is None or (isinstance(value, str) and not value.strip())
-
-
-def prefers(a: dict, b: dict, priority: dict[str, int] = SOURCE_PRIORITY) -> bool:
-    """Whether ``a`` (the earlier) survives: by source, then by how much it says; the earlier wins ties."""
-    pa, pb = priority.get(a["source"], 1), priority.get(b["source"], 1)
-    says = lambda r: len(r["title"]) + len(r["organization"]) + (10 if _number(r["amount_value"]) is not None else 0)
-    return pa > pb or (pa == pb and says(a) >= says(b))
-
-
-def _number(value: object) -> float | None:
-    return None if value is None or value != value else float(value)
-
-
-def merge_metadata(keep: dict, drop: dict) -> dict[str, str]:
-    """Fill what is missing, promote lookup keys, keep the best keyword confidence and its source."""
-    own, other = dict(keep["metadata"] or {}), dict(drop["metadata"] or {})
-    merged = dict(own)
-    for k, v in other.items():
-        if _blank(merged.get(k)):
-            merged[k] = v
-    for row, meta in ((keep, own), (drop, other)):
-        for name, plain in LOOKUPS:
-            link = row["url"] if name == "g0v_tender_api_url" and "/api/tender" in (row["url"] or "") else None
-            value = next((str(v).strip() for v in (meta.get(name), meta.get(plain), link) if not _blank(v)), "")
-            if value and _blank(merged.get(name)):
-                merged[name] = value
-        if CONFIDENCE.get((meta.get("keyword_confidence") or "").strip(), -1) > CONFIDENCE.get((merged.get("keyword_confidence") or "").strip(), -1):
-            merged["keyword_confidence"] = meta["keyword_confidence"]
-            if not _blank(meta.get("filter_source")):
-                merged["filter_source"] = meta["filter_source"]
-    return merged
-
-
-def merge(a: dict, b: dict) -> dict:
-    """Two rows, the earlier first."""
-    keep, drop = (a, b) if prefers(a, b) else (b, a)
-    backups: list[str] = []
-    for chain in (keep["backup_source"], drop["backup_source"], drop["source"]):
-        for s in (chain or "").split(","):
-            if s.strip() and s.strip() != keep["source"] and s.strip() not in backups:
-                backups.append(s.strip())
-    out = dict(keep)
-    out["backup_source"] = ",".join(backups) or None
-    out["tags"] = sorted({*(keep["tags"] if keep["tags"] is not None else []), *(drop["tags"] if drop["tags"] is not None else [])})
-    out["summary"] = keep["summary"] if len(keep["summary"]) >= len(drop["summary"]) else drop["summary"]
-    out["metadata"] = merge_metadata(keep, drop)
-    for d in ("announcement_date", "bid_date"):
-        out[d] = keep[d] if isinstance(keep[d], date) else drop[d]
-    if "keyword_score" in keep:
-        scores = [s for s in (_number(keep["keyword_score"]), _number(drop["keyword_score"])) if s is not None]
-        out["keyword_score"] = max(scores) if scores else None
-    for c in ("keyword_matched_terms", "keyword_reasons"):
-        if c in keep:
-            lists = [list(x) if x is not None else [] for x in (keep[c], drop[c])]
-            out[c] = list(dict.fromkeys(lists[0] + lists[1])) or None
-    out["strong"] = list(dict.fromkeys([*keep["strong"], *drop["strong"]]))
-    out["ingest_ord"] = a["ingest_ord"]
-    return out
-
-
-def greedy_identity(rows: Iterable[dict]) -> list[dict]:
-    """A row joins the entry of its first known key; the merged row's keys then point to that entry."""
-    where: dict[str, int] = {}
-    kept: list[dict] = []
-    for row in rows:
-        at = next((where[k] for k in row["strong"] if k in where), None)
-        if at is None:
-            at = len(kept)
-            kept.append(row)
-        else:
-            kept[at] = merge(kept[at], row)
-        for k in kept[at]["strong"]:
-            where[k] = at
-    return kept
-
-
-def fold(rows: Iterable[dict]) -> list[dict]:
-    """D2."""
-    rows = iter(rows)
-    out = next(rows)
-    for row in rows:
-        out = merge(out, row)
-    return [out]
-
-
-def greedy_similar(rows: Iterable[dict]) -> list[dict]:
-    """D3: a row joins the first entry of its block that is near enough."""
-    from difflib import SequenceMatcher
-
-    kept: list[dict] = []
-    for row in rows:
-        for i, entry in enumerate(kept):
-            la, lb = len(entry["n_title"]), len(row["n_title"])
-            if la + lb and 2 * min(la, lb) / (la + lb) < SIMILAR:
-                continue
-            x, y = _number(entry["amount_value"]), _number(row["amount_value"])
-            if x is not None and y is not None and abs(x - y) > 5000 and abs(x - y) / max(abs(x), abs(y), 1.0) > 0.05:
-                continue
-            if SequenceMatcher(None, entry["n_title"], row["n_title"]).ratio() >= SIMILAR:
-                kept[i] = merge(entry, row)
-                break
-        else:
-            kept.append(row)
-    return kept
-
-
-def _sized(df: DataFrame, group: str) -> DataFrame:
-    """The rows with their group's size, written once: the splits below all read it."""
-    return store(df.join(df.groupBy(group).agg(F.count("*").alias("_n")), group).select(*df.columns, "_n"), "dedup-sized").df
-
-
-def _replay(sized: DataFrame, group: str, step: Callable[[Iterable[dict]], list[dict]]) -> DataFrame:
-    """Rows of one group in order through ``step``; rows alone in their group pass by."""
-    names = [c for c in sized.columns if c != "_n"]
-
-    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[dict]:
-        for pdf in frames:
-            for r in pdf.to_dict("records"):
-                r["metadata"] = dict(r["metadata"]) if r["metadata"] is not None else {}
-                r["strong"] = list(r["strong"]) if r["strong"] is not None else []
-                yield r
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        done: list[dict] = []
-        for _, own in groupby(rows(frames), key=lambda r: r[group]):
-            done += step(own)
-            if len(done) >= 1000:
-                yield pd.DataFrame(done, columns=names)
-                done = []
-        if done:
-            yield pd.DataFrame(done, columns=names)
-
-    alone = sized.filter("_n = 1").select(*names)
-    several = sized.filter("_n > 1").select(*names)
-    return alone.unionByName(several.repartition(group).sortWithinPartitions(group, "ingest_ord").mapInPandas(run, several.schema))
+LOOKUPS = {"g0v_unit_id": "unit_id", "g0v_job_number": "job_number", "g0v_tender_api_url": "tender_api_url"}
+FOUND_APART = [*LOOKUPS, "keyword_confidence", "filter_source"]
+ORDERED = ("keyword_matched_terms", "keyword_reasons")
 
 
-def identity_components(df: DataFrame, *, order: str = "ingest_ord", keys: str = "strong") -> DataFrame:
-    """(order, component): rows that share a key, directly or through others; the component is its least order."""
-    nodes = df.select(F.col(order).alias("ord"), F.explode(keys).alias("key"))
-    hubs = nodes.groupBy("key").agg(F.min("ord").alias("hub"))
-    edges = nodes.join(hubs, "key").select(F.col("ord").alias("u"), F.col("hub").alias("v"))
-    found = components(edges).df.withColumnsRenamed({"u": order, "v": "component"})
-    return df.select(order).join(found, order, "left").select(order, F.coalesce("component", order).alias("component"))
+def _filled(c: Column) -> Column:
+    return F.coalesce(strip(c) != "", F.lit(False))
 
 
-def merge_large(df: DataFrame, group: str) -> DataFrame:
-    """First row, survivor, dates, tags and summary of D2, D4 and D5 by aggregation, without the metadata, scores, terms
-    and earlier backups that exact_dedup merges. Of summaries of one greatest length the survivor's counts,
-    then the earliest; backup sources are in order of first appearance."""
+def _rank(pack: RulePack) -> dict[str, Column]:
+    """By source, then by how much a row says."""
     priority = F.lit(1)
-    for name, rank in SOURCE_PRIORITY.items():
-        priority = F.when(F.col("source") == name, rank).otherwise(priority)
-    says = F.length("title") + F.length("organization") + F.when(F.col("amount_value").isNotNull(), 10).otherwise(0)
+    for name, p in pack.source_priority.items():
+        priority = F.when(F.col("source") == name, p).otherwise(priority)
+    says = F.length("title") + F.length("organization") + F.when(F.col("amount_value").isNotNull() & ~F.isnan("amount_value"), 10).otherwise(0)
+    return {"_p": priority, "_s": F.coalesce(says, F.lit(0))}
+
+
+def _with_winners(rows: DataFrame, group: str) -> DataFrame:
+    """Adds _at (place in the group), _held (source of the survivor so far, null at first), _won and _turn: the greater
+    _turn, the later a value takes over. Two prefix scans, over chunks of a group and inside them."""
+    rank = F.struct(F.col("_p").alias("p"), F.col("_s").alias("s"), (-F.col("ingest_ord")).alias("o"), F.col("source").alias("source"))
+    rows = rows.withColumns({"_rank": rank, "_chunk": F.floor(F.col("ingest_ord") / CHUNK)})
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
+    chunks = rows.groupBy(group, "_chunk").agg(F.max("_rank").alias("top"), F.count("*").alias("n"))
+    by_chunk = before.partitionBy(group).orderBy("_chunk")
+    chunks = chunks.select(group, "_chunk", F.max("top").over(by_chunk).alias("_top"), F.coalesce(F.sum("n").over(by_chunk), F.lit(0)).alias("_n"))
+    inside = Window.partitionBy(group, "_chunk").orderBy("ingest_ord")
+    held = F.greatest("_top", F.max("_rank").over(inside.rowsBetween(Window.unboundedPreceding, -1)))
+    marked = rows.join(chunks, [group, "_chunk"]).withColumns({"_held": held, "_at": F.col("_n") + F.row_number().over(inside) - 1})
+    marked = marked.withColumn("_won", F.col("_held").isNull() | (F.struct("_p", "_s") > F.struct("_held.p", "_held.s")))
+    turn = F.struct(F.col("_won").cast("int").alias("w"), F.when(F.col("_won"), F.col("ingest_ord")).otherwise(-F.col("ingest_ord")).alias("o"))
+    return marked.withColumns({"_turn": turn, "_held": F.col("_held.source")}).drop("_rank", "_chunk", "_top", "_n")
+
+
+def _last(value: Column, has: Column, *first: Column) -> Column:
+    """The value that stays; ``first`` counts before the turn."""
+    return F.max_by(value, F.when(has, F.struct(*(c.alias(f"f{i}") for i, c in enumerate(first)), F.col("_turn").alias("t"))))
+
+
+def _lookup(name: str) -> Column:
+    """A row's value under ``name`` counts before its plain forms, which only fill a gap: of the first two rows the
+    survivor's, then the first that has any."""
+    own, plain = F.col("metadata")[name], F.col("metadata")[LOOKUPS[name]]
+    link = F.when(F.col("url").contains("/api/tender"), strip(F.col("url"))) if name == "g0v_tender_api_url" else F.lit(None).cast("string")
+    other = F.coalesce(F.when(_filled(plain), strip(plain)), link)
+    kind = F.when(_filled(own) & F.col("_won"), 4).when(_filled(own) & (F.col("_at") == 1), 3).when((F.col("_at") < 2) & other.isNotNull(), 2).when(_filled(own) | other.isNotNull(), 1)
+    order = F.when(kind == 1, -F.col("ingest_ord")).otherwise(F.col("_turn.o"))
+    value = F.when(kind.isin(4, 3), own).when(kind == 2, other).otherwise(F.coalesce(F.when(_filled(own), strip(own)), other))
+    return F.max_by(value, F.when(kind.isNotNull(), F.struct(kind.alias("k"), F.when(kind == 2, F.col("_turn.w")).otherwise(0).alias("w"), order.alias("o"))))
+
+
+def _metadata(marked: DataFrame, group: str) -> DataFrame:
+    """(group, _meta): for each key the value that stays."""
+    entries = marked.select(group, "_turn", F.explode("metadata")).filter(~F.col("key").isin(FOUND_APART))
+    kept = entries.groupBy(group, "key").agg(_last(F.col("value"), F.lit(True), _filled(F.col("value")).cast("int")).alias("value"))
+    return kept.groupBy(group).agg(F.collect_list(F.struct("key", "value")).alias("_meta"))
+
+
+def _lists(marked: DataFrame, group: str, names: list[str]) -> DataFrame:
+    """(group, _tags, _sources, and a column for each of ORDERED): a list holds each value once. Terms of winners come
+    first, the last winner's foremost; a source stands where it was dropped last, or else where it came first."""
+    at = lambda block, time, sub, i: F.struct(F.lit(block).alias("b"), time.alias("t"), F.lit(sub).alias("s"), i.alias("i"))
+    item = lambda kind, value, place, dropped=None: F.struct(F.lit(kind).alias("kind"), value.alias("value"), place.alias("place"), (dropped if dropped is not None else F.lit(None).cast("long")).alias("dropped"))
+    order, zero = F.col("ingest_ord"), F.lit(0)
+    terms = lambda kind: lambda x, i: item(kind, x, F.when(F.col("_won"), at(0, -order, 0, i)).otherwise(at(1, order, 0, i)))
+    own = F.transform(F.filter(F.transform(F.split(F.coalesce("backup_source", F.lit("")), ","), lambda x: strip(x)), lambda x: x != ""), terms("source"))
+    held = lambda x: F.when(F.col("_won"), x["value"] != F.col("source")).otherwise(x["value"] != F.col("_held"))
+    lost = F.when(F.col("_won"), F.col("_held")).otherwise(F.col("source"))
+    drop = F.array(item("source", lost, at(1, order, 1, zero), F.when(F.col("_won"), order)))
+    parts = [F.transform(F.coalesce("tags", F.array().cast("array<string>")), lambda x: item("tag", x, at(0, F.lit(0).cast("long"), 0, zero))), F.filter(own, held), F.filter(drop, lambda x: x["value"].isNotNull() & (x["value"] != F.when(F.col("_won"), F.col("source")).otherwise(F.col("_held"))))]
+    parts += [F.transform(F.coalesce(c, F.array().cast("array<string>")), terms(c)) for c in names]
+    rows = marked.select(group, F.explode(F.concat(*parts)).alias("x")).select(group, "x.*")
+    once = rows.groupBy(group, "kind", "value").agg(F.max("dropped").alias("d"), F.min(F.when(F.col("dropped").isNull(), F.col("place"))).alias("first"))
+    early = (F.col("first.b") == 0) & (F.col("d").isNull() | (-F.col("first.t") >= F.col("d")))
+    placed = once.select(group, "kind", F.struct(F.when(F.col("d").isNotNull() & ~F.coalesce(early, F.lit(False)), at(1, F.col("d"), 1, zero)).otherwise(F.col("first")).alias("at"), F.col("value").alias("value")).alias("x"))
+    of = lambda kind: F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.col("x")))), lambda x: x["value"])
+    return placed.groupBy(group).agg(of("tag").alias("_tags"), of("source").alias("_sources"), *(of(c).alias(f"_{c}") for c in names))
+
+
+def merge_groups(df: DataFrame, group: str, *, pack: RulePack = DEFAULT) -> DataFrame:
+    """One row for each value of ``group``, at its first row's ``ingest_ord``; rows alone stay as they are.
+
+    The survivor's fields stay, with all tags sorted, the longest summary, dates and metadata filled, the best keyword
+    confidence with its source, the greatest score, and the sources of the others. ``df`` has the columns of a notice.
+    """
     names = [c for c in df.columns if c != group]
-    ranked = df.withColumns({"_rank": F.struct(priority.alias("p"), says.alias("s"), (-F.col("ingest_ord")).alias("o")), "_row": F.struct(*names)})
-    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("ingest_ord")))
-    agg = ranked.groupBy(group).agg(
-        F.max_by("_row", "_rank").alias("_keep"), F.min("ingest_ord").alias("_ord"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("tags")))).alias("_tags"), F.max_by("summary", F.struct(F.length("summary"), "_rank")).alias("_summary"),
-        first("announcement_date").alias("_announced"), first("bid_date").alias("_due"), F.array_sort(F.collect_set("source")).alias("_sources"), F.array_distinct(F.flatten(F.collect_set("strong"))).alias("_strong"),
+    held = store(df, "dedup-rows").df
+    several = held.groupBy(group).agg(F.count("*").alias("_n")).filter("_n > 1").select(group)
+    marked = store(_with_winners(held.join(several, group).withColumns(_rank(pack)), group), "dedup-marked").df
+    confidence = F.col("metadata")["keyword_confidence"]
+    class_ = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in CONFIDENCE.items() for x in kv)), strip(confidence)), F.lit(-1))
+    ordered = [c for c in ORDERED if c in names]
+    whole = marked.groupBy(group).agg(
+        F.max_by(F.struct(*names), F.when(F.col("_won"), F.col("ingest_ord"))).alias("_keep"), F.min("ingest_ord").alias("_ord"), _last(F.col("summary"), F.lit(True), F.length("summary")).alias("_summary"),
+        *(_last(F.col(d), F.col(d).isNotNull()).alias(f"_{d}") for d in ("announcement_date", "bid_date")), *(_lookup(n).alias(f"_{n}") for n in LOOKUPS),
+        _last(confidence, _filled(confidence), class_).alias("_keyword_confidence"), _last(F.col("metadata")["filter_source"], _filled(F.col("metadata")["filter_source"]), class_).alias("_filter_source"),
+        *([F.max("keyword_score").alias("_score")] if "keyword_score" in names else []),
     )
+    out = whole.join(_metadata(marked, group), group, "left").join(_lists(marked, group, ordered), group, "left")
+    found = F.filter(F.array(*(F.struct(F.lit(n).alias("key"), F.col(f"_{n}").alias("value")) for n in FOUND_APART)), lambda x: x["value"].isNotNull())
+    none = F.array().cast("array<string>")
     changed = {
-        "ingest_ord": F.col("_ord"), "tags": F.col("_tags"), "summary": F.when(F.length("_keep.summary") >= F.length("_summary"), F.col("_keep.summary")).otherwise(F.col("_summary")), "announcement_date": F.coalesce("_keep.announcement_date", "_announced"),
-        "bid_date": F.coalesce("_keep.bid_date", "_due"), "backup_source": F.nullif(F.array_join(F.array_remove(F.col("_sources"), F.col("_keep.source")), ","), F.lit("")), "strong": F.col("_strong"),
+        "ingest_ord": F.col("_ord"), "tags": F.coalesce("_tags", none), "summary": F.col("_summary"), "announcement_date": F.col("_announcement_date"), "bid_date": F.col("_bid_date"),
+        "metadata": F.map_from_entries(F.concat(F.coalesce("_meta", F.array().cast("array<struct<key:string,value:string>>")), found)), "keyword_score": F.col("_score") if "keyword_score" in names else None,
+        "backup_source": F.nullif(F.array_join(F.array_remove(F.coalesce("_sources", none), F.col("_keep.source")), ","), F.lit("")), **{c: F.when(F.size(f"_{c}") > 0, F.col(f"_{c}")) for c in ordered},
     }
-    return agg.select(group, *((changed[c] if c in changed else F.col(f"_keep.{c}")).alias(c) for c in names))
+    merged = out.select(group, *((changed[c] if c in changed else F.col(f"_keep.{c}")).alias(c) for c in names))
+    return held.join(several, group, "left_anti").select(group, *names).unionByName(merged).select(*df.columns)
 
 
-def exact_dedup(df: DataFrame, group: str = "exact_key") -> DataFrame:
-    """Pass 2."""
-    return _replay(_sized(df, group), group, fold).select(*df.columns)
+def identity_components(df: DataFrame, *, order: str = "ingest_ord", keys: str = "strong") -> DataFrame:
+    """(order, component): rows that share a key, directly or through others; the component is its least order."""
+    nodes = df.select(F.col(order).alias("ord"), F.explode(keys).alias("key"))
+    hubs = nodes.groupBy("key").agg(F.min("ord").alias("hub"))
+    edges = nodes.join(hubs, "key").select(F.col("ord").alias("u"), F.col("hub").alias("v"))
+    found = components(edges).df.withColumnsRenamed({"u": order, "v": "component"})
+    return df.select(order).join(found, order, "left").select(order, F.coalesce("component", order).alias("component"))
 
 
-def fuzzy_dedup(df: DataFrame) -> DataFrame:
-    """Pass 3: blocks of one organisation and day (a null day is a day)."""
+def identity_entries(df: DataFrame, *, pack: RulePack = DEFAULT) -> DataFrame:
+    """(ingest_ord, entry): a row joins the entry that last took its first known key, or opens one.
+
+    An entry takes the keys of the rows that open it, and of the row it has become after each join: its survivor's URL,
+    and its survivor's source keys or, where that has none, those it had. Where all rows of a component have one first
+    key they are one entry; only components of several first keys are gone through in order, by keys and ranks alone.
+    """
+    part = lambda prefix: F.get(F.filter("strong", lambda k: k.startswith(prefix)), 0)
+    rows = df.withColumns(_rank(pack)).select("ingest_ord", "_p", "_s", F.get("strong", 0).alias("lead"), part("source:gov_pcc:").alias("k0"), part("source:g0v:").alias("k1"), part("url:").alias("k2"), "strong")
+    rows = store(rows.join(identity_components(rows), "ingest_ord"), "dedup-identity").df
+    kinds = rows.groupBy("component").agg(F.count("*").alias("n"), (F.min("lead") == F.max("lead")).alias("one"))
+    plain = rows.join(kinds.filter("n = 1 or one"), "component").select("ingest_ord", F.col("component").alias("entry"))
+    mixed = rows.join(kinds.filter("n > 1 and not coalesce(one, false)"), "component").select("component", "ingest_ord", F.struct("_p", "_s").alias("rank"), "k0", "k1", "k2")
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        component, owner, best, known = None, {}, {}, {}
+        for batch in batches:
+            entries = []
+            for c, order, rank, *keys in zip(*(batch.column(x).to_pylist() for x in ("component", "ingest_ord", "rank", "k0", "k1", "k2")), strict=True):
+                if c != component:
+                    component, owner, best, known = c, {}, {}, {}
+                rank = (rank["_p"], rank["_s"])
+                entry = next((owner[k] for k in keys if k in owner), order)
+                if entry == order:
+                    best[entry], known[entry] = rank, keys
+                elif rank > best[entry]:
+                    best[entry], known[entry] = rank, [keys[0] or known[entry][0], keys[1] or known[entry][1], keys[2]]
+                else:
+                    known[entry] = [known[entry][0] or keys[0], known[entry][1] or keys[1], known[entry][2]]
+                owner |= {k: entry for k in known[entry] if k}
+                entries.append(entry)
+            yield pa.RecordBatch.from_arrays([batch.column("ingest_ord"), pa.array(entries, pa.int64())], ["ingest_ord", "entry"])
+
+    replayed = mixed.repartition("component").sortWithinPartitions("component", "ingest_ord").mapInArrow(assign, "ingest_ord long, entry long")
+    return plain.unionByName(replayed)
+
+
+def near_entries(df: DataFrame, *, pack: RulePack = DEFAULT, least: float = SIMILAR) -> DataFrame:
+    """D3: (ingest_ord, entry) of rows with a near title and amount in their block of one organisation and day (a null
+    day is a day): a row joins the first entry whose survivor is near. Other rows have no row here."""
     blocked = df.withColumn("_block", F.concat_ws("|", "n_org", F.coalesce(F.col("record_date").cast("string"), F.lit(""))))
-    return _replay(_sized(blocked, "_block"), "_block", greedy_similar).drop("_block")
-
-
-def deduplicate(df: DataFrame) -> DataFrame:
-    """All three passes over rows with n_title, n_org, record_date, exact_key and keys (see standardize_keys)."""
-    rows = store(df.withColumn("strong", K.strong_keys(F.col("keys"))), "dedup-rows").df
-    grouped = _sized(rows.join(identity_components(rows), "ingest_ord").withColumnRenamed("component", "_component"), "_component")
-    once = _replay(grouped, "_component", greedy_identity).drop("_component")
-    return fuzzy_dedup(store(exact_dedup(once), "dedup-exact").df).drop("strong")
+    pairs = store(fuzzy_pairs(blocked, block=["_block"], least=least), "dedup-near").df
+    found = components(pairs.select(F.col("a_ord").alias("u"), F.col("b_ord").alias("v"))).df
+    roots = found.select(F.col("u").alias("ingest_ord"), "v").unionByName(found.select(F.col("v").alias("ingest_ord"), "v").distinct())
+    near = pairs.groupBy(F.col("b_ord").alias("ingest_ord")).agg(F.collect_list("a_ord").alias("near"))
+    rows = df.withColumns(_rank(pack)).select("ingest_ord", "_p", "_s").join(roots, "ingest_ord").join(near, "ingest_ord", "left")
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        component, speaks, best = None, {}, {}
+        for batch in batches:
+            entries = []
+            for c, order, p, s, near in zip(*(batch.column(x).to_pylist() for x in ("v", "ingest_ord", "_p", "_s", "near")), strict=True):
+                if c != component:
+                    component, speaks, best = c, {}, {}  # survivor: its entry; entry: its survivor and rank
+                entry = min((speaks[a] for a in near or () if a in speaks), default=order)
+                if entry == order or (p, s) > best[entry][1]:
+                    speaks.pop(best[entry][0] if entry in best else None, None)
+                    speaks[order], best[entry] = entry, (order, (p, s))
+                entries.append(entry)
+            yield pa.RecordBatch.from_arrays([batch.column("ingest_ord"), pa.array(entries, pa.int64())], ["ingest_ord", "entry"])
+
+    return rows.repartition("v").sortWithinPartitions("v", "ingest_ord").mapInArrow(assign, "ingest_ord long, entry long")
+
+
+def _merge_entries(df: DataFrame, entries: DataFrame, pack: RulePack) -> DataFrame:
+    named = df.join(entries, "ingest_ord", "left").withColumn("entry", F.coalesce("entry", "ingest_ord"))
+    return merge_groups(named, "entry", pack=pack).select(*df.columns)
+
+
+def exact_dedup(df: DataFrame, group: str = "exact_key", *, pack: RulePack = DEFAULT) -> DataFrame:
+    """Pass 2 (D2)."""
+    return merge_groups(df, group, pack=pack)
+
+
+def fuzzy_dedup(df: DataFrame, *, pack: RulePack = DEFAULT) -> DataFrame:
+    """Pass 3 (D3)."""
+    return _merge_entries(df, near_entries(df, pack=pack), pack)
+
+
+def deduplicate(df: DataFrame, *, pack: RulePack = DEFAULT) -> DataFrame:
+    """All three passes over rows with n_title, n_org, amount_key, record_date, exact_key and keys (see
+    standardize_keys). Dates that the first pass filled in count in the exact key."""
+    rows = store(df.withColumn("strong", K.strong_keys(F.col("keys"))), "dedup-keys").df
+    once = _merge_entries(rows, identity_entries(rows, pack=pack), pack).drop("strong")
+    announced, due = F.col("announcement_date"), F.col("bid_date")
+    once = once.withColumns({"record_date": effective_day(announced, due), "exact_key": K.exact_key(F.col("n_title"), F.col("n_org"), announced, due, F.col("amount_key"))})
+    return fuzzy_dedup(store(exact_dedup(once, pack=pack), "dedup-exact").df, pack=pack)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -28,18 +29,46 @@ def could_reach(a: Column, b: Column, least: float) -> Column:
     total = F.greatest(la + lb, F.lit(1))
     only = lambda x, y: F.size(F.array_except(_letters(x), _letters(y)))
     by_letters = 2 * F.least(la - only(a, b), lb - only(b, a)) / total
-    return (2 * F.least(la, lb) / total >= least) & (by_letters >= least)
+    return ((2 * F.least(la, lb) / total >= least) & (by_letters >= least)) | ((la == 0) & (lb == 0))
+
+
+def letter_counts(df: DataFrame, title: str) -> dict[str, int]:
+    """How often each character occurs; there are no more than Unicode has."""
+    return {r[0]: r[1] for r in df.select(F.explode(_letters(F.col(title))).alias("x")).groupBy("x").count().collect()}
+
+
+def rare_letters(title: Column, least: float, counts: dict[str, int]) -> Column:
+    """A prefix filter: a title's rarest characters (the k-th of a kind apart from the first), as many as must hold one
+    that any title reaching ``least`` shares. Titles whose prefixes have nothing in common cannot reach it."""
+
+    @F.pandas_udf("array<string>")
+    def prefix(titles: pd.Series) -> pd.Series:
+        out = []
+        for t in titles:
+            seen: dict[str, int] = {}
+            letters = []
+            for x in t or "":
+                seen[x] = seen.get(x, 0) + 1
+                letters.append((counts.get(x, 0) // seen[x], x, seen[x]))
+            need = math.ceil(len(letters) * least / (2 - least) - 1e-9)
+            out.append([f"{x}{k}" for _, x, k in sorted(letters)[: len(letters) - need + 1]] or [""])
+        return pd.Series(out)
+
+    return prefix(title)
 
 
 def fuzzy_pairs(df: DataFrame, *, block: list[str], title: str = "n_title", order: str = "ingest_ord", amount: str | None = "amount_value", least: float = 0.90) -> DataFrame:
     """Pairs (a_ord, b_ord, score) of one block, earlier row first, whose titles reach ``least`` and whose amounts
-    are close. An equi-join on the block (null meets null); Python sees only pairs that pass the native bound."""
-    columns = [*block, title, order, *([amount] if amount else [])]
-    a, b = df.select(*columns).alias("a"), df.select(*columns).alias("b")
-    on = F.lit(True)
+    are close. An equi-join on the block (null meets null) and a rare character of the titles; of the characters that a
+    pair shares the first one brings it. Python scores only pairs that pass the native bound."""
+    rows = df.withColumn("_prefix", rare_letters(F.col(title), least, letter_counts(df, title)))
+    columns = [*block, title, order, *([amount] if amount else []), "_prefix", "_rare"]
+    rows = rows.withColumn("_rare", F.explode("_prefix")).select(*columns)
+    a, b = rows.alias("a"), rows.alias("b")
+    on = F.col("a._rare") == F.col("b._rare")
     for c in block:
         on = on & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
-    near = could_reach(F.col(f"a.{title}"), F.col(f"b.{title}"), least)
+    near = (F.array_min(F.array_intersect("a._prefix", "b._prefix")) == F.col("a._rare")) & could_reach(F.col(f"a.{title}"), F.col(f"b.{title}"), least)
     if amount:
         near = near & amounts_close(F.col(f"a.{amount}"), F.col(f"b.{amount}"))
     pairs = a.join(b, on & (F.col(f"a.{order}") < F.col(f"b.{order}")) & near)
@@ -55,10 +84,11 @@ def match_by_ids(candidates: DataFrame, targets: DataFrame) -> DataFrame:
     return hits.groupBy("cand").agg(F.min("target").alias("target"), F.count("*").alias("n"))
 
 
-def _in_band(candidates: DataFrame, targets: DataFrame, days: int, keys: list[str]) -> DataFrame:
+def _in_band(candidates: DataFrame, targets: DataFrame, days: int, keys: list[str], more: list[str] | None = None) -> DataFrame:
     """Candidates meet targets within ``days`` by an equi-join: each candidate's day is spread over the band."""
     spread = candidates.filter(F.col("day").isNotNull()).withColumn("day", F.explode(F.sequence(F.date_sub("day", max(days, 0)), F.date_add("day", max(days, 0)))))
-    return spread.join(targets.select("target", *keys, F.col("n_title").alias("t_title"), "day") if "n_title" not in keys else targets.select("target", *keys, "day"), [*keys, "day"])
+    title = [] if "n_title" in keys else [F.col("n_title").alias("t_title")]
+    return spread.join(targets.select("target", *keys, *title, *(more or []), "day"), [*keys, "day"])
 
 
 def match_by_title(candidates: DataFrame, targets: DataFrame, days: int = 1) -> DataFrame:
@@ -69,7 +99,11 @@ def match_by_title(candidates: DataFrame, targets: DataFrame, days: int = 1) ->
 
 def match_fuzzy(candidates: DataFrame, targets: DataFrame, days: int = 1, least: float = 0.92, gap: float = 0.03) -> DataFrame:
     """(cand, target, n): the best title of the organisation and band; n is 2 if the next is within ``gap``."""
-    pairs = _in_band(candidates.select("cand", "n_org", "n_title", "day"), targets, days, ["n_org"]).filter(could_reach(F.col("n_title"), F.col("t_title"), least))
+    counts = letter_counts(targets, "n_title")
+    own = candidates.select("cand", "n_org", "n_title", "day", rare_letters(F.col("n_title"), least, counts).alias("_own")).withColumn("_rare", F.explode("_own"))
+    other = targets.select("target", "n_org", "n_title", "day", rare_letters(F.col("n_title"), least, counts).alias("_other")).withColumn("_rare", F.explode("_other"))
+    first = F.array_min(F.array_intersect("_own", "_other")) == F.col("_rare")
+    pairs = _in_band(own, other, days, ["n_org", "_rare"], ["_other"]).filter(first & could_reach(F.col("n_title"), F.col("t_title"), least))
     scored = pairs.select("cand", "target", ratio("n_title", "t_title").alias("score")).filter(F.col("score") >= least)
     by = Window.partitionBy("cand").orderBy(F.desc("score"), "target")
     ranked = scored.withColumns({"rank": F.row_number().over(by), "next": F.lead("score").over(by)}).filter("rank = 1")

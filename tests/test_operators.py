@@ -51,12 +51,6 @@ def test_null_fields_and_empty_table(spark):
     assert len(resolved(spark, [row(0, title=None, org=None, url=None, amount=None, day=None, summary=None), row(1, title="x", org=None, url=None, amount=None, day=None)])) == 2
 
 
-def test_greedy_identity_is_not_closure():
-    base = {"source": "a", "title": "", "organization": "", "amount_value": None, "backup_source": None, "tags": [], "summary": "", "metadata": {}, "announcement_date": None, "bid_date": None, "url": ""}
-    rows = [base | {"ingest_ord": i, "strong": k} for i, k in enumerate((["x"], ["y"], ["x", "y"]))]
-    assert [r["strong"] for r in dedup.greedy_identity(rows)] == [["x", "y"], ["y"]]
-
-
 def test_components_do_not_depend_on_partitions(spark):
     rng = random.Random(5)
     rows = [(i, [f"k{rng.randrange(60)}" for _ in range(rng.randrange(0, 3))]) for i in range(80)]
@@ -78,12 +72,6 @@ def test_components_do_not_depend_on_partitions(spark):
         assert {r.ingest_ord: r.component for r in dedup.identity_components(df).collect()} == want
 
 
-def test_large_groups_merge_like_the_replay(spark):
-    rows = bids(spark, [row(0, source="g0v", summary="abc"), row(1, source="gov_pcc"), row(2, source="g0v", summary="abcd")]).withColumns({"tags": F.array(F.col("source")), "strong": F.array().cast("array<string>"), "k": F.lit(1)})
-    got = dedup.merge_large(rows, "k").first()
-    assert (got.source, got.summary, got.tags, got.backup_source, got.ingest_ord) == ("gov_pcc", "abcd", ["g0v", "gov_pcc"], "g0v", 0)
-
-
 def test_ratio_traps(spark):
     pairs = [("tide", "diet"), ("diet", "tide"), ("a" * 5 + "b" * 250, "b" * 250 + "a" * 5), ("", "")]
     df = spark.createDataFrame(pairs, "a string, b string")

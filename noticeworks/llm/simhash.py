@@ -22,6 +22,9 @@ from pyspark.sql import functions as F
 from noticeworks.operators.components import components
 
 from .common import byte_chunks, store
+from .nearcopies import one_of_each  # the operator's entrance for word shingles at a similarity of 0.8
+
+__all__ = ["fingerprint", "fingerprints", "near_duplicates", "one_of_each"]
 
 SEED, SHINGLE, DISTANCE, PIVOTS = 42, 4, 4, 16
 BLOCKS = [(0, 10), *((10 + 9 * i, 9) for i in range(6))]

@@ -37,15 +37,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_chunks, runs, store
+from .common import bloom_filter, byte_chunks, may_hold, runs, store
 from .wordhash import mix, powers
 
 LENGTH, GRAM, LETTER = 100, 32, 9
 #: Bytes that a triple of letters and a triple of names cover.
 TRIPLE, COVER = 3 * LETTER, 9 * LETTER
-#: Bytes whose anchors are found together; longest piece of a text. Bits of the Bloom filter: at least, at most, a gram.
+#: Bytes whose anchors are found together; longest piece of a text.
 BLOCK, SEGMENT = 1 << 18, 1 << 22
-BLOOM_LEAST, BLOOM_MOST, BLOOM_GRAM = 1 << 20, 1 << 29, 16
 _AT_BITS = np.uint64(24)
 _CONTEXT = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
 
@@ -100,15 +99,8 @@ def contexts_of(texts: list[bytes], length: int = LENGTH) -> dict[str, np.ndarra
     return {k: np.concatenate(v) if v else np.zeros(0, none.get(k, np.int64)) for k, v in out.items()}
 
 
-def _places(h: np.ndarray, bits: int) -> list[np.ndarray]:
-    """Three places of a gram in a Bloom filter of ``bits`` (a power of two)."""
-    x, y = mix(h), mix(h ^ _CONTEXT[0])
-    return [(v & np.uint64(bits - 1)).astype(np.int64) for v in (x, x >> np.uint64(32), y)]
-
-
 def repeated_grams(docs: DataFrame, text_col: str, length: int) -> np.ndarray:
-    """Words of a Bloom filter that holds every anchor gram with two or more contexts. Its size follows their number up
-    to BLOOM_MOST bits; beyond that it lets more grams pass, which costs rows and no result."""
+    """A Bloom filter that holds every anchor gram with two or more contexts."""
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in byte_chunks(batches, text_col):
@@ -117,19 +109,7 @@ def repeated_grams(docs: DataFrame, text_col: str, length: int) -> np.ndarray:
 
     counted = docs.select(text_col).mapInArrow(grams, "gram long, n int").groupBy("gram").agg(F.sum("n").alias("n")).filter("n > 1").select("gram")
     held = store(counted, "suffix-grams")
-    want = max(1, held.df.count() * BLOOM_GRAM)
-    bits = min(max(1 << (want - 1).bit_length(), BLOOM_LEAST), BLOOM_MOST)
-
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = np.unique(np.concatenate(_places(batch.column("gram").to_numpy().view(np.uint64), bits)))
-            word, first = np.unique(at >> 6, return_index=True)
-            value = np.bitwise_or.reduceat(np.uint64(1) << (at & 63).astype(np.uint64), first) if len(at) else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int32)), pa.array(value.view(np.int64))], ["word", "bits"])
-
-    rows = held.df.mapInArrow(places, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    words = np.zeros(bits >> 6, np.uint64)
-    words[rows["word"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
+    words = bloom_filter(held.df, "gram")
     held.drop()
     return words
 
@@ -146,9 +126,7 @@ def repeated_contexts(docs: DataFrame, bloom: np.ndarray, id_col: str, text_col:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in byte_chunks(batches, text_col):
             words, c = sent.value, contexts_of(texts, length)
-            may = np.ones(len(c["gram"]), bool)
-            for at in _places(c["gram"], len(words) << 6):
-                may &= (words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+            may = may_hold(words, c["gram"])
             take = pa.array(c["text"][may])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c["gram"][may].view(np.int64)), pa.array(c["ctx"][may].view(np.int64)), batch.column("id").take(take), batch.column("tid").take(take), pa.array(c["lo"][may]), pa.array(c["n"][may].astype(np.int32)), pa.array(c["off"][may].astype(np.int32))],

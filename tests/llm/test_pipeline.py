@@ -27,6 +27,21 @@ def test_decisions(spark, odd):
     assert 9 not in cut and cut[8].n_chars == len(cut[8].text) and cut[1].text is None
 
 
+def test_rows_that_share_an_id_or_have_none_stay(spark):
+    texts = ["one text of some words that nobody else has", "another text with other words and no copy at all", "a third one that is as short as the first two are"]
+    rows = [(1, texts[0], "en", "a", 1), (1, texts[1], "en", "a", 1), (None, texts[2], "en", "a", 1), (None, texts[1] + " yes", "en", "a", 1), (2, texts[0].upper(), "en", "a", 1), (1, texts[0], "en", "a", 1), (-(1 << 63), "quite different words stand in this last text of all", "en", "a", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = sorted((r.doc_id or 0, r.text) for r in p.near_duplicates(spark, docs, SMALL).collect())
+    assert got == sorted([(1, texts[0]), (1, texts[1]), (0, texts[2]), (-(1 << 63), rows[-1][1])])
+
+
+def test_empty_texts_pass_the_cut(spark):
+    long = "a passage of words that goes on for more than a hundred bytes so that it can be found in two of the documents here"
+    rows = [(1, "", "en", "a", 0), (2, None, "en", "a", 0), (3, long, "en", "a", 0), (4, long, "en", "a", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id: r.text for r in p.repeated_passages(spark, docs, SMALL).collect()} == {1: "", 2: None, 3: long}
+
+
 def test_whole_pipeline(spark):
     docs = p.table(spark, SMALL, "documents")
     kept = {}

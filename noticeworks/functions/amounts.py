@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import is_no, strip, text
+from .text import bind, is_no, strip, text
 
 # What speaks for and against an amount.
 MONEY = r"(?i)預算金額|採購金額|決標金額|底價|新[臺台]幣|[臺台]幣|NT\$?|NTD"
@@ -28,24 +28,22 @@ def is_no_amount(c: Column) -> Column:
 
 def unit_amount(c: Column) -> Column:
     """the sum of 億, 萬 and 千元 parts; null if there is none or it is zero."""
-    compact = F.regexp_replace(F.regexp_replace(c, r"\s+", ""), r"新臺幣|新台幣|臺幣|台幣|NT\$|NTD", "")
-    compact = F.replace(compact, F.lit("元整"), F.lit("元"))
-    unit = r"(\d+(?:,\d{3})*(?:\.\d+)?)(億|萬|千元)"
-    parts = F.arrays_zip(F.regexp_extract_all(compact, F.lit(unit), 1).alias("n"), F.regexp_extract_all(compact, F.lit(unit), 2).alias("u"))
-    worth = lambda p: _number(p["n"]) * F.when(p["u"] == "億", 1e8).when(p["u"] == "萬", 1e4).otherwise(1e3)
-    return F.nullif(F.aggregate(parts, F.lit(0.0), lambda total, p: total + worth(p)), F.lit(0.0))
+    unit = r"\d+(?:,\d{3})*(?:\.\d+)?(?:億|萬|千元)"
+    compact = F.replace(F.regexp_replace(c, r"\s+|新臺幣|新台幣|臺幣|台幣|NT\$|NTD", ""), F.lit("元整"), F.lit("元"))
+    worth = lambda p: _number(F.rtrim(p, F.lit("億萬千元"))) * F.when(p.endswith("億"), 1e8).when(p.endswith("萬"), 1e4).otherwise(1e3)
+    total = F.aggregate(F.regexp_extract_all(compact, F.lit(unit), 0), F.lit(0.0), lambda total, p: total + worth(p))
+    return F.when(c.rlike("[億萬千]"), bind(total, lambda x: F.nullif(x, F.lit(0.0))))
 
 
 def plain_amount(c: Column) -> Column:
     """the greatest number; without words of money only a single one of 10,000 or more."""
     values = F.transform(F.regexp_extract_all(c, F.lit(NUMBER), 0), _number)
-    return F.when(c.rlike(LOOSE_MONEY), F.array_max(values)).when((F.size(values) == 1) & (F.get(values, 0) >= LEAST_PLAIN), F.get(values, 0))
+    return bind(values, lambda v: F.when(c.rlike(LOOSE_MONEY), F.array_max(v)).when((F.size(v) == 1) & (F.get(v, 0) >= LEAST_PLAIN), F.get(v, 0)))
 
 
 def parse_amount(c: Column) -> Column:
     """F3, on text in NFKC form."""
-    clean = strip(c)
-    return F.when(~is_no_amount(clean), F.coalesce(unit_amount(clean), plain_amount(clean)))
+    return bind(strip(c), lambda clean: F.when(~is_no_amount(clean), F.coalesce(unit_amount(clean), plain_amount(clean))))
 
 
 def amount_key(value: Column, normal_raw: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import MISSING_DEADLINE, strip, text
+from .text import MISSING_DEADLINE, bind, strip, text
 
 # Date and time forms, and the years that a notice can have.
 ROC_DATE = r"(\d{2,3})\s*[年/-]\s*(\d{1,2})\s*[月/-]\s*(\d{1,2})"
@@ -33,30 +33,46 @@ def _roc(year: Column) -> Column:
     return F.when(year < ROC_OFFSET, year + ROC_OFFSET).otherwise(year)
 
 
+def _numbers(hit: Column) -> Column:
+    return F.transform(F.split(hit, r"\D+"), _int)
+
+
 def parse_day(c: Column) -> Column:
     """F7, on text in NFKC form. Where a short-year form is found, its result stands, even if null."""
-    clean = strip(c)
-    digits, n = F.regexp_replace(clean, r"\D", ""), F.length(F.regexp_replace(clean, r"\D", ""))
-    century = digits.rlike("^(19|20)")
-    at = lambda i, k: _int(F.substring(digits, i, k))
-    compact = (
-        F.when((n == 8) & century, _notice_day(at(1, 4), at(5, 2), at(7, 2)))
-        .when(n == 7, _notice_day(at(1, 3) + ROC_OFFSET, at(4, 2), at(6, 2)))
-        .when((n == 6) & ~century, _notice_day(at(1, 2) + ROC_OFFSET, at(3, 2), at(5, 2)))
-    )
-    part = lambda i: _int(F.regexp_extract(clean, ROC_DATE, i))
-    other = F.coalesce(*(F.try_to_date(clean, f) for f in OTHER_FORMS))
-    return F.coalesce(compact, F.when(clean.rlike(ROC_DATE), _notice_day(_roc(part(1)), part(2), part(3))).otherwise(F.when(F.year(other).between(FIRST_YEAR, LAST_YEAR), other)))
+
+    def from_digits(digits: Column) -> Column:
+        n, century = F.length(digits), digits.startswith("19") | digits.startswith("20")
+        at = lambda i, k: _int(F.substring(digits, i, k))
+        return (
+            F.when((n == 8) & century, _notice_day(at(1, 4), at(5, 2), at(7, 2)))
+            .when(n == 7, _notice_day(at(1, 3) + ROC_OFFSET, at(4, 2), at(6, 2)))
+            .when((n == 6) & ~century, _notice_day(at(1, 2) + ROC_OFFSET, at(3, 2), at(5, 2)))
+        )
+
+    def other(clean: Column) -> Column:
+        return bind(F.coalesce(*(F.try_to_date(clean, f) for f in OTHER_FORMS)), lambda d: F.when(F.year(d).between(FIRST_YEAR, LAST_YEAR), d))
+
+    def short(hit: Column, clean: Column) -> Column:
+        return F.when(hit != "", bind(_numbers(hit), lambda p: _notice_day(_roc(F.get(p, 0)), F.get(p, 1), F.get(p, 2)))).otherwise(other(clean))
+
+    return bind(strip(c), lambda clean: F.coalesce(bind(F.regexp_replace(clean, r"\D", ""), from_digits), bind(F.regexp_extract(clean, ROC_DATE, 0), lambda hit: short(hit, clean))))
 
 
 def parse_deadline(c: Column) -> Column:
     """F8: struct(d date, minutes int); minutes are null without a valid time; null without a valid date."""
-    clean = strip(c)
-    part = lambda i: _int(F.regexp_extract(clean, DEADLINE_DATE, i))
-    rest = F.regexp_extract(clean, rf"(?s){DEADLINE_DATE}(.*)$", 4)
-    hour, minute = (_int(F.regexp_extract(rest, TIME, i)) for i in (1, 2))
-    day = F.when(~F.lower(clean).isin(MISSING_DEADLINE), make_day(_roc(part(1)), part(2), part(3)))
-    return F.when(day.isNotNull(), F.struct(day.alias("d"), F.when((hour < 24) & (minute < 60), 60 * hour + minute).alias("minutes")))
+
+    def minutes(rest: Column) -> Column:
+        at = _numbers(F.regexp_extract(rest, TIME, 0))
+        return bind(at, lambda t: F.when((F.get(t, 0) < 24) & (F.get(t, 1) < 60), 60 * F.get(t, 0) + F.get(t, 1)))
+
+    def timed(hit: Column, clean: Column) -> Column:
+        # The text that is found first stands where it occurs first.
+        rest = F.substr(clean, F.position(hit, clean) + F.length(hit))
+        day = bind(_numbers(hit), lambda p: make_day(_roc(F.get(p, 0)), F.get(p, 1), F.get(p, 2)))
+        return bind(day, lambda d: F.when(d.isNotNull(), F.struct(d.alias("d"), minutes(rest).alias("minutes"))))
+
+    found = lambda clean: bind(F.regexp_extract(clean, DEADLINE_DATE, 0), lambda hit: F.when((hit != "") & ~F.lower(clean).isin(MISSING_DEADLINE), timed(hit, clean)))
+    return bind(strip(c), found)
 
 
 def deadline_at(parsed: Column) -> Column:
@@ -66,22 +82,25 @@ def deadline_at(parsed: Column) -> Column:
 
 def is_expired(c: Column, now: Column) -> Column:
     """a day alone is over the day after; text without a date never is."""
-    parsed = parse_deadline(c)
-    return F.coalesce(F.when(parsed["minutes"].isNull(), parsed["d"] < F.to_date(now)).otherwise(deadline_at(parsed) < now), F.lit(False))
+    over = lambda p: F.when(p["minutes"].isNull(), p["d"] < F.to_date(now)).otherwise(deadline_at(p) < now)
+    return F.coalesce(bind(parse_deadline(c), over), F.lit(False))
 
 
 def deadline_order(c: Column) -> Column:
     """sorts by deadline; what cannot be read sorts last."""
-    parsed = parse_deadline(c)
-    return F.struct(F.coalesce(parsed["d"], F.lit("9999-12-31").cast("date")).alias("d"), F.coalesce(parsed["minutes"], F.when(parsed.isNull(), 1439).otherwise(0)).alias("minutes"))
+    order = lambda p: F.struct(F.coalesce(p["d"], F.lit("9999-12-31").cast("date")).alias("d"), F.coalesce(p["minutes"], F.when(p.isNull(), 1439).otherwise(0)).alias("minutes"))
+    return bind(parse_deadline(c), order)
 
 
 def show_deadline(c: Column) -> Column:
     """``2026/04/29 17:00``, or without the time; other text as it is."""
-    parsed = parse_deadline(c)
-    day = F.date_format(parsed["d"], "yyyy/MM/dd")
-    timed = F.format_string("%s %02d:%02d", day, F.floor(parsed["minutes"] / 60).cast("int"), parsed["minutes"] % 60)
-    return F.when(parsed.isNull(), text(c)).when(parsed["minutes"].isNull(), day).otherwise(timed)
+
+    def show(p: Column) -> Column:
+        day = F.date_format(p["d"], "yyyy/MM/dd")
+        timed = F.format_string("%s %02d:%02d", day, F.floor(p["minutes"] / 60).cast("int"), p["minutes"] % 60)
+        return F.when(p.isNull(), text(c)).when(p["minutes"].isNull(), day).otherwise(timed)
+
+    return bind(parse_deadline(c), show)
 
 
 def effective_day(announced: Column, due: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -28,6 +29,11 @@ def nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
 
 
+def bind(c: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(c)`` with ``c`` computed once, however often ``f`` reads it."""
+    return F.get(F.transform(F.array(c), f), 0)
+
+
 def text(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
@@ -45,7 +51,7 @@ def normalize_text(c: Column, *, compose: bool = True) -> Column:
 
 def first_text(*columns: Column) -> Column:
     """the first that is not empty once stripped; '' if none."""
-    return F.coalesce(*(F.nullif(strip(c), F.lit("")) for c in columns), F.lit(""))
+    return F.coalesce(*(F.nullif(F.when(c.isNotNull(), strip(c)), F.lit("")) for c in columns), F.lit(""))
 
 
 def query_value(url: Column, name: str) -> Column:

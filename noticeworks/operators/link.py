@@ -84,26 +84,29 @@ def match_by_ids(candidates: DataFrame, targets: DataFrame) -> DataFrame:
     return hits.groupBy("cand").agg(F.min("target").alias("target"), F.count("*").alias("n"))
 
 
-def _in_band(candidates: DataFrame, targets: DataFrame, days: int, keys: list[str], more: list[str] | None = None) -> DataFrame:
+def in_band(candidates: DataFrame, targets: DataFrame, days: int, keys: list[str]) -> DataFrame:
     """Candidates meet targets within ``days`` by an equi-join: each candidate's day is spread over the band."""
     spread = candidates.filter(F.col("day").isNotNull()).withColumn("day", F.explode(F.sequence(F.date_sub("day", max(days, 0)), F.date_add("day", max(days, 0)))))
-    title = [] if "n_title" in keys else [F.col("n_title").alias("t_title")]
-    return spread.join(targets.select("target", *keys, *title, *(more or []), "day"), [*keys, "day"])
+    return spread.join(targets.select("target", *keys, "day"), [*keys, "day"])
 
 
 def match_by_title(candidates: DataFrame, targets: DataFrame, days: int = 1) -> DataFrame:
     """(cand, target, n): equal organisation and title, days apart at most ``days``."""
-    hits = _in_band(candidates, targets, days, ["n_org", "n_title"]).select("cand", "target").distinct()
+    hits = in_band(candidates, targets, days, ["n_org", "n_title"]).select("cand", "target").distinct()
     return hits.groupBy("cand").agg(F.min("target").alias("target"), F.count("*").alias("n"))
 
 
 def match_fuzzy(candidates: DataFrame, targets: DataFrame, days: int = 1, least: float = 0.92, gap: float = 0.03) -> DataFrame:
     """(cand, target, n): the best title of the organisation and band; n is 2 if the next is within ``gap``."""
     counts = letter_counts(targets, "n_title")
-    own = candidates.select("cand", "n_org", "n_title", "day", rare_letters(F.col("n_title"), least, counts).alias("_own")).withColumn("_rare", F.explode("_own"))
-    other = targets.select("target", "n_org", "n_title", "day", rare_letters(F.col("n_title"), least, counts).alias("_other")).withColumn("_rare", F.explode("_other"))
+    prefixed = lambda df: df.filter(F.col("day").isNotNull()).withColumn("_p", rare_letters(F.col("n_title"), least, counts))
+    # Each row once for each of its rare characters, candidates also for each day of the band, in one step.
+    met = lambda day, c: lambda x: F.struct(day.alias("day"), x.alias("_rare"), F.col("_p").alias(c))
+    band = F.sequence(F.date_sub("day", max(days, 0)), F.date_add("day", max(days, 0)))
+    own = prefixed(candidates).select("cand", "n_org", "n_title", F.inline(F.flatten(F.transform(band, lambda d: F.transform("_p", met(d, "_own"))))))
+    other = prefixed(targets).select("target", "n_org", F.col("n_title").alias("t_title"), F.inline(F.transform("_p", met(F.col("day"), "_other"))))
     first = F.array_min(F.array_intersect("_own", "_other")) == F.col("_rare")
-    pairs = _in_band(own, other, days, ["n_org", "_rare"], ["_other"]).filter(first & could_reach(F.col("n_title"), F.col("t_title"), least))
+    pairs = own.join(other, ["n_org", "day", "_rare"]).filter(first & could_reach(F.col("n_title"), F.col("t_title"), least))
     scored = pairs.select("cand", "target", ratio("n_title", "t_title").alias("score")).filter(F.col("score") >= least)
     by = Window.partitionBy("cand").orderBy(F.desc("score"), "target")
     ranked = scored.withColumns({"rank": F.row_number().over(by), "next": F.lead("score").over(by)}).filter("rank = 1")

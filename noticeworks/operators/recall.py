@@ -21,6 +21,11 @@ def category_vectors(df: DataFrame, *, label: str = "label", vector: str = "embe
     return centres.join(F.broadcast(every)).select((F.array_position("names", F.col("category")) - 1).cast("int").alias("idx"), "category", "centre")
 
 
+def category_by_index(df: DataFrame, categories: DataFrame, *, idx: str = "idx") -> DataFrame:
+    """Rows with the category of their index; null if there is no such index."""
+    return df.join(categories.select(F.col("idx").alias(idx), "category"), idx, "left")
+
+
 def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))

@@ -48,10 +48,11 @@ def mark_notified(entries: DataFrame, batch: DataFrame, now: Column, *, row: str
 
     Rows resolve against the entries as they were before the batch."""
     named = _targets(batch, entries, row, by_alias)
+    # Keys repeat from row to row, so they are made distinct before they are gathered.
+    names = named.select("entry", F.explode(F.concat(F.array("entry", "primary_key"), F.col("keys"))).alias("key")).distinct().groupBy("entry").agg(F.array_sort(F.collect_list("key")).alias("aliases"))
     new = named.groupBy("entry").agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.concat(F.array("entry", "primary_key"), F.col("keys")))))).alias("aliases"),
         F.max_by(F.struct(F.left("title", F.lit(300)).alias("title"), F.left("organization", F.lit(240)).alias("org"), "source", "announcement_date", "bid_date", "bid_deadline"), row).alias("n"),
-    )
+    ).join(names, "entry")
     old = entries.select(F.col("primary_key").alias("entry"), F.struct(*entries.columns).alias("o"))
     both = old.join(new, "entry", "full_outer")
     is_new = F.col("n").isNotNull()
@@ -95,6 +96,13 @@ def cache_counts(df: DataFrame) -> DataFrame:
     return df.agg(F.count_if(F.col("detail_cache_status") == "hit").alias("hit"), F.count_if(F.col("detail_cache_status") == "miss").alias("miss"))
 
 
+def queue_counts(before: DataFrame, after: DataFrame, asked: DataFrame) -> DataFrame:
+    """One row: entries after a batch, those that are new, and the rows that asked for detail."""
+    new = after.join(before.select("primary_key"), "primary_key", "left_anti")
+    count = lambda df, name: df.agg(F.count("*").alias(name))
+    return count(after, "entries").join(count(new, "added")).join(count(asked, "asked"))
+
+
 def enqueue_missing(queue: DataFrame, batch: DataFrame, now: Column, *, sources: list[str], most_attempts: int = 3, row: str = "ingest_ord") -> DataFrame:
     """The queue after a batch: rows that lack detail, the last of each entry; those that were tried often
     enough stay as they are; counters of known entries stay. ``queue`` has primary_key, alias_keys, source, title, org,

@@ -179,13 +179,18 @@ def exact_dedup(spark, sf_dir):
     """Each exact group's first row, survivor and size."""
     rows = _bids(spark, sf_dir).withColumn("uid", F.col("ingest_ord").cast("string"))
     sizes = rows.groupBy("exact_key").agg(F.count("*").alias("n_rows"))
-    merged = dedup.merge_large(rows, "exact_key").join(sizes, "exact_key")
+    merged = dedup.exact_dedup(rows).join(sizes, "exact_key")
     return merged.select(F.col("ingest_ord").alias("first_id"), F.col("uid").cast("long").alias("survivor"), "n_rows")
 
 
 
 
-@query()
+@query(
+    """WITH RECURSIVE k AS (SELECT o_orderkey AS o, 'c:' || o_custkey || ':' || strftime(o_orderdate, '%Y-%m') AS key FROM orders UNION ALL SELECT o_orderkey, 'd:' || CAST(o_orderdate AS DATE) || ':' || floor(o_totalprice / 1000)::BIGINT FROM orders),
+    h AS (SELECT key, min(o) AS hub FROM k GROUP BY key), e AS (SELECT DISTINCT o, hub FROM k JOIN h USING (key) WHERE o <> hub), b AS (SELECT o, hub FROM e UNION SELECT hub, o FROM e),
+    r(o, reached) AS (SELECT o_orderkey, o_orderkey FROM orders UNION SELECT r.o, b.hub FROM r JOIN b ON r.reached = b.o WHERE b.hub < r.o OR true)
+    SELECT o AS ingest_ord, min(reached) AS component FROM r GROUP BY o"""
+)
 def identity_components(spark, sf_dir):
     """Orders linked by customer and month, or by day and price band, directly or through others."""
     orders = table(spark, sf_dir, "orders")
@@ -244,9 +249,10 @@ def hint_match_title(spark, sf_dir):
 def band_join(spark, sf_dir):
     """Items shipped within a day of each order; the band is an equi-join on spread days."""
     days = table(spark, sf_dir, "lineitem").groupBy(F.to_date("l_shipdate").alias("day")).agg(F.count("*").alias("n"))
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("d"))
-    spread = orders.withColumn("day", F.explode(F.sequence(F.date_sub("d", 1), F.date_add("d", 1))))
-    return spread.join(days, "day").groupBy("o_orderkey").agg(F.sum("n").alias("shipped"))
+    one = {"n_org": F.lit("x"), "n_title": F.lit("x")}
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("day")).withColumns(one)
+    met = link.in_band(orders, days.withColumnRenamed("n", "target").withColumns(one), 1, ["n_org", "n_title"])
+    return met.groupBy("o_orderkey").agg(F.sum("target").alias("shipped"))
 
 
 CUT = "1998-01-01"
@@ -496,7 +502,7 @@ def latest_partition(spark, sf_dir):
 
 
 @query(
-    """WITH o AS (SELECT o_orderkey, o_totalprice * 50 AS amount, CASE o_orderstatus WHEN 'O' THEN '勞務' WHEN 'F' THEN '財物' ELSE '其他' END AS kind, CASE c_mktsegment WHEN 'BUILDING' THEN 'A' ELSE '' END AS tier, quantile_cont(o_totalprice * 50, 0.8) OVER (PARTITION BY o_orderstatus) AS p80 FROM orders JOIN customer ON o_custkey = c_custkey)
+    """WITH o AS (SELECT o_orderkey, o_totalprice * 50 AS amount, CASE o_orderstatus WHEN 'O' THEN '勞務' WHEN 'F' THEN '財物' ELSE '其他' END AS kind, CASE c_mktsegment WHEN 'BUILDING' THEN 'A' ELSE '' END AS tier, round(quantile_cont(o_totalprice * 50, 0.8) OVER (PARTITION BY o_orderstatus), 2) AS p80 FROM orders JOIN customer ON o_custkey = c_custkey)
     SELECT o_orderkey, kind, amount >= 10000000 OR amount >= p80 OR (amount >= 5000000 AND tier = 'A') AS is_high, amount >= CASE kind WHEN '勞務' THEN 20000000 ELSE 100000000 END AS is_gigantic,
     (amount >= 10000000)::INT + (amount >= p80)::INT + (amount >= 5000000 AND tier = 'A')::INT + (amount >= CASE kind WHEN '勞務' THEN 20000000 ELSE 100000000 END)::INT AS n_reasons FROM o"""
 )
@@ -506,8 +512,8 @@ def high_amount(spark, sf_dir):
     rows = orders.join(orders.groupBy("o_orderstatus").agg(F.percentile("amount", 0.8).alias("p80")), "o_orderstatus")
     title = F.when(F.col("o_orderstatus") == "O", "維運服務").when(F.col("o_orderstatus") == "F", "電腦設備").otherwise("x")
     kind = C.procurement_category(F.lit(""), title, F.lit(""))
-    # Percentiles differ in the last bits between engines, so the threshold goes through its exact comparison here.
-    meta = F.create_map(F.lit("won_p80_amount"), F.when(F.col("amount") >= F.col("p80"), "0").otherwise("99999999999"), F.lit("customer_tier"), F.when(F.col("c_mktsegment") == "BUILDING", "A").otherwise(""))
+    # Percentiles differ in the last bits between engines, so both round them.
+    meta = F.create_map(F.lit("won_p80_amount"), F.round("p80", 2).cast("decimal(20,2)").cast("string"), F.lit("customer_tier"), F.when(F.col("c_mktsegment") == "BUILDING", "A").otherwise(""))
     d = C.high_amount(F.col("amount"), kind, title, F.lit(""), meta)
     return rows.select("o_orderkey", kind.alias("kind"), d["is_high_amount"].alias("is_high"), d["is_gigantic_amount"].alias("is_gigantic"), F.size(d["reasons"]).alias("n_reasons"))
 

@@ -57,7 +57,8 @@ def detail_fields(df: DataFrame, *, payload: str = "payload") -> DataFrame:
     """Adds budget_amount, amount_value, bid_bond, bid_deadline, bid_opening_time, contact_info, award_method and
     organization of a detail payload; what is not given says so."""
     rows = df.withColumn("_d", detail_object(F.col(payload)))
-    f = {k: pick_text(F.col("_d"), keys) for k, keys in DETAIL.items()}
+    rows = rows.withColumns({f"_f_{k}": pick_text(F.col("_d"), keys) for k, keys in DETAIL.items()})
+    f = {k: F.col(f"_f_{k}") for k in DETAIL}
     hidden = is_no(f["budget_public"]) | (F.lower(text(F.col("_d")["budget_public"])) == "false")
     bond = F.nullif(bond_text(f["bond"], keep_plain=True), F.lit(""))
     status = F.nullif(bond_text(f["bond_status"]), F.lit(""))
@@ -67,6 +68,6 @@ def detail_fields(df: DataFrame, *, payload: str = "payload") -> DataFrame:
             "budget_amount": F.when(f["budget"] != "", f["budget"]).when(hidden, UNPUBLISHED).otherwise(NOT_GIVEN), "amount_value": parse_amount(f["budget"]), "bid_bond": F.coalesce(F.when(bond != "需繳納", bond), status, bond, F.lit(NOT_GIVEN)), "bid_deadline": or_not(f["deadline"]),
             "bid_opening_time": or_not(f["opening"]), "contact_info": F.when(f["contact"] != "", strip(F.concat_ws(" ", f["contact"], f["phone"]))), "award_method": F.nullif(f["award_method"], F.lit("")), "organization": f["organization"],
         }
-    ).drop("_d")
+    ).drop("_d", *(f"_f_{k}" for k in DETAIL))
 
 

@@ -19,58 +19,62 @@ def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-def _letters(c: Column) -> Column:
-    return F.filter(F.split(c, ""), lambda x: x != "")
-
-
-def could_reach(a: Column, b: Column, least: float) -> Column:
-    """A native upper bound on the ratio: by lengths, then by shared different characters and the surplus of repeats."""
-    la, lb = F.length(a), F.length(b)
-    total = F.greatest(la + lb, F.lit(1))
-    only = lambda x, y: F.size(F.array_except(_letters(x), _letters(y)))
-    by_letters = 2 * F.least(la - only(a, b), lb - only(b, a)) / total
-    return ((2 * F.least(la, lb) / total >= least) & (by_letters >= least)) | ((la == 0) & (lb == 0))
-
-
 def letter_counts(df: DataFrame, title: str) -> dict[str, int]:
     """How often each character occurs; there are no more than Unicode has."""
-    return {r[0]: r[1] for r in df.select(F.explode(_letters(F.col(title))).alias("x")).groupBy("x").count().collect()}
+    return {r[0]: r[1] for r in df.select(F.explode(F.split(title, "")).alias("x")).filter("x <> ''").groupBy("x").count().collect()}
 
 
-def rare_letters(title: Column, least: float, counts: dict[str, int]) -> Column:
-    """A prefix filter: a title's rarest characters (the k-th of a kind apart from the first), as many as must hold one
-    that any title reaching ``least`` shares. Titles whose prefixes have nothing in common cannot reach it."""
+def rare_letters(title: Column, counts: dict[str, int]) -> Column:
+    """A title's characters, the rarest first, as numbers; the k-th of a kind is apart from the first. What two titles
+    have in common of them bounds their ratio."""
 
-    @F.pandas_udf("array<string>")
-    def prefix(titles: pd.Series) -> pd.Series:
+    @F.pandas_udf("array<long>")
+    def letters(titles: pd.Series) -> pd.Series:
         out = []
         for t in titles:
             seen: dict[str, int] = {}
-            letters = []
+            own = []
             for x in t or "":
                 seen[x] = seen.get(x, 0) + 1
-                letters.append((counts.get(x, 0) // seen[x], x, seen[x]))
-            need = math.ceil(len(letters) * least / (2 - least) - 1e-9)
-            out.append([f"{x}{k}" for _, x, k in sorted(letters)[: len(letters) - need + 1]] or [""])
+                own.append((counts.get(x, 0) // seen[x], ord(x) << 32 | seen[x]))
+            out.append([code for _, code in sorted(own)] or [0])
         return pd.Series(out)
 
-    return prefix(title)
+    return letters(title)
+
+
+def prefix_of(letters: Column, title: Column, least: float) -> Column:
+    """As many of the rarest as must hold one that any title reaching ``least`` shares: titles whose prefixes have
+    nothing in common cannot reach it."""
+    n = F.length(F.coalesce(title, F.lit("")))
+    return F.slice(letters, 1, (n - F.ceil(n * least / (2 - least) - 1e-9) + 1).cast("int"))
+
+
+def letters_reach(a: Column, b: Column, least: float) -> Column:
+    """The bound by common characters."""
+    return 2 * F.size(F.array_intersect(a, b)) >= least * (F.size(a) + F.size(b)) - 1e-9
+
+
+def lengths_reach(a: Column, b: Column, least: float) -> Column:
+    return 2 * F.least(F.size(a), F.size(b)) >= least * (F.size(a) + F.size(b)) - 1e-9
 
 
 def fuzzy_pairs(df: DataFrame, *, block: list[str], title: str = "n_title", order: str = "ingest_ord", amount: str | None = "amount_value", least: float = 0.90) -> DataFrame:
     """Pairs (a_ord, b_ord, score) of one block, earlier row first, whose titles reach ``least`` and whose amounts
     are close. An equi-join on the block (null meets null) and a rare character of the titles; of the characters that a
     pair shares the first one brings it. Python scores only pairs that pass the native bound."""
-    rows = df.withColumn("_prefix", rare_letters(F.col(title), least, letter_counts(df, title)))
-    columns = [*block, title, order, *([amount] if amount else []), "_prefix", "_rare"]
+    rows = df.withColumn("_letters", rare_letters(F.col(title), letter_counts(df, title)))
+    rows = rows.withColumn("_prefix", prefix_of(F.col("_letters"), F.col(title), least))
+    columns = [*block, title, order, *([amount] if amount else []), "_letters", "_prefix", "_rare"]
     rows = rows.withColumn("_rare", F.explode("_prefix")).select(*columns)
     a, b = rows.alias("a"), rows.alias("b")
     on = F.col("a._rare") == F.col("b._rare")
     for c in block:
         on = on & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
-    near = (F.array_min(F.array_intersect("a._prefix", "b._prefix")) == F.col("a._rare")) & could_reach(F.col(f"a.{title}"), F.col(f"b.{title}"), least)
+    near = lengths_reach(F.col("a._letters"), F.col("b._letters"), least)
     if amount:
         near = near & amounts_close(F.col(f"a.{amount}"), F.col(f"b.{amount}"))
+    near = near & (F.array_min(F.array_intersect("a._prefix", "b._prefix")) == F.col("a._rare")) & letters_reach(F.col("a._letters"), F.col("b._letters"), least)
     pairs = a.join(b, on & (F.col(f"a.{order}") < F.col(f"b.{order}")) & near)
     scored = pairs.select(F.col(f"a.{order}").alias("a_ord"), F.col(f"b.{order}").alias("b_ord"), ratio(F.col(f"a.{title}"), F.col(f"b.{title}")).alias("score"))
     return scored.filter(F.col("score") >= least)
@@ -99,14 +103,14 @@ def match_by_title(candidates: DataFrame, targets: DataFrame, days: int = 1) ->
 def match_fuzzy(candidates: DataFrame, targets: DataFrame, days: int = 1, least: float = 0.92, gap: float = 0.03) -> DataFrame:
     """(cand, target, n): the best title of the organisation and band; n is 2 if the next is within ``gap``."""
     counts = letter_counts(targets, "n_title")
-    prefixed = lambda df: df.filter(F.col("day").isNotNull()).withColumn("_p", rare_letters(F.col("n_title"), least, counts))
+    lettered = lambda df: df.filter(F.col("day").isNotNull()).withColumn("_l", rare_letters(F.col("n_title"), counts)).withColumn("_p", prefix_of(F.col("_l"), F.col("n_title"), least))
     # Each row once for each of its rare characters, candidates also for each day of the band, in one step.
-    met = lambda day, c: lambda x: F.struct(day.alias("day"), x.alias("_rare"), F.col("_p").alias(c))
+    met = lambda day, side: lambda x: F.struct(day.alias("day"), x.alias("_rare"), F.col("_p").alias(f"{side}_p"), F.col("_l").alias(f"{side}_l"))
     band = F.sequence(F.date_sub("day", max(days, 0)), F.date_add("day", max(days, 0)))
-    own = prefixed(candidates).select("cand", "n_org", "n_title", F.inline(F.flatten(F.transform(band, lambda d: F.transform("_p", met(d, "_own"))))))
-    other = prefixed(targets).select("target", "n_org", F.col("n_title").alias("t_title"), F.inline(F.transform("_p", met(F.col("day"), "_other"))))
-    first = F.array_min(F.array_intersect("_own", "_other")) == F.col("_rare")
-    pairs = own.join(other, ["n_org", "day", "_rare"]).filter(first & could_reach(F.col("n_title"), F.col("t_title"), least))
+    own = lettered(candidates).select("cand", "n_org", "n_title", F.inline(F.flatten(F.transform(band, lambda d: F.transform("_p", met(d, "own"))))))
+    other = lettered(targets).select("target", "n_org", F.col("n_title").alias("t_title"), F.inline(F.transform("_p", met(F.col("day"), "other"))))
+    first = F.array_min(F.array_intersect("own_p", "other_p")) == F.col("_rare")
+    pairs = own.join(other, ["n_org", "day", "_rare"]).filter(first & letters_reach(F.col("own_l"), F.col("other_l"), least))
     scored = pairs.select("cand", "target", ratio("n_title", "t_title").alias("score")).filter(F.col("score") >= least)
     by = Window.partitionBy("cand").orderBy(F.desc("score"), "target")
     ranked = scored.withColumns({"rank": F.row_number().over(by), "next": F.lead("score").over(by)}).filter("rank = 1")

@@ -415,12 +415,12 @@ def deduplicate(spark, sf_dir):
 
 @query()
 def fuzzy_dedup(spark, sf_dir):
-    """D3: page titles of one language; tests hold it against a sequential model."""
+    """D3: page titles of one host; tests hold it against a sequential model."""
     from .monitor import complete
 
     title = F.regexp_extract("html", r"(?is)<title>(.*?)</title>", 1)
-    lang = F.regexp_extract("html", r'(?i)lang="(\w+)"', 1)
-    rows = complete(table(spark, sf_dir, "pages").select(F.col("page_id").alias("ingest_ord"), title.alias("title"), lang.alias("organization"), "url", F.lit("gov_pcc").alias("source"))).withColumn("tags", F.array("organization"))
+    host = F.regexp_extract("url", "^[^:]*://([^/?#]*)", 1)
+    rows = complete(table(spark, sf_dir, "pages").select(F.col("page_id").alias("ingest_ord"), title.alias("title"), host.alias("organization"), "url", F.lit("gov_pcc").alias("source"))).withColumn("tags", F.array("organization"))
     keyed = standardize.standardize_keys(rows, compose=False).filter("n_title <> ''")
     return dedup.fuzzy_dedup(keyed).select("ingest_ord", "n_title", "n_org")
 

@@ -82,8 +82,9 @@ def test_bound_never_drops_a_pair(spark):
     rng = random.Random(3)
     words = ["".join(rng.choice("abc") for _ in range(rng.randrange(1, 12))) for _ in range(60)]
     pairs = [(a, b) for a in words for b in words]
-    df = spark.createDataFrame(pairs, "a string, b string")
-    for a, b, ok in df.select("a", "b", link.could_reach(F.col("a"), F.col("b"), 0.8)).collect():
+    df = spark.createDataFrame(pairs, "a string, b string").withColumns({c: link.rare_letters(F.col(c[1]), {"a": 5, "b": 2}) for c in ("la", "lb")})
+    bound = link.lengths_reach(F.col("la"), F.col("lb"), 0.8) & link.letters_reach(F.col("la"), F.col("lb"), 0.8)
+    for a, b, ok in df.select("a", "b", bound).collect():
         assert ok or SequenceMatcher(None, a, b).ratio() < 0.8
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from dataclasses import dataclass
@@ -10,8 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where unset (tests), a temporary folder."""
+    """``spark.checkpoint.dir``; where it is unset and Spark runs in one process (tests), a temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not base:
         base = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", base)
@@ -33,10 +36,11 @@ class Stored:
         drop_path(self.df.sparkSession, self.path)
 
 
-def store(df: DataFrame, name: str) -> Stored:
+def store(df: DataFrame, name: str, **options: str) -> Stored:
+    """``options`` are those of the Parquet writer."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return Stored(spark.read.schema(df.schema).parquet(path), path)
 
 

@@ -18,8 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import byte_chunks
+from .common import byte_chunks, store
 from .wordhash import hash_words, mix
 
 K1, B = 1.2, 0.75
@@ -27,7 +28,9 @@ K1, B = 1.2, 0.75
 THRESHOLD, OVERLAP, SHINGLE = 0.6, 0.8, 5
 #: Impacts of an item's commonest words, up to this share, count as given: such words need no lookup.
 GIVEN = 0.2
-BLOCK_ITEMS, SHARD_ITEMS, LEAST_WINDOW = 16, 20_000, 64
+BLOCK_ITEMS, LEAST_WINDOW = 16, 64
+#: Bytes of items in a shard: an index takes some ten times as much.
+SHARD_BYTES = 8 << 20
 _SENTENCE = re.compile(rb"(?<=[.!?])\s+")
 
 
@@ -74,10 +77,35 @@ class ItemIndex:
     window: int
     keys: list[tuple[np.ndarray, np.ndarray]]  # shingle hashes of question and answer
     sizes: list[tuple[int, int]]  # words in these shingles
+    weights: list[tuple[np.ndarray, np.ndarray]]  # all terms of each item and their shares of its weight
 
 
-def build_index(item_ids: list, texts: list[bytes]) -> ItemIndex:
-    """Items without a word are left out."""
+@dataclass
+class ItemStatistics:
+    """Of all items that have a word: how many, their mean number of words, and in how many each term stands."""
+
+    n: int
+    mean: float
+    terms: np.ndarray  # sorted hashes
+    df: np.ndarray
+
+
+def item_terms(items: DataFrame, text_col: str) -> DataFrame:
+    """(words, term, one): a row for each item with its number of words, and one for each of its terms."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts in byte_chunks(batches, text_col):
+            hashes, words = hash_words(texts)
+            own = [np.unique(w) for w in np.split(hashes, np.cumsum(words)[:-1])]
+            terms = np.concatenate(own) if own else hashes
+            rows = pa.array([*words[words > 0].tolist(), *[None] * len(terms)], pa.int64())
+            yield pa.RecordBatch.from_arrays([rows, pa.array([*[None] * int((words > 0).sum()), *terms.view(np.int64).tolist()], pa.int64())], ["words", "term"])
+
+    return items.select(text_col).mapInArrow(run, "words long, term long")
+
+
+def build_index(item_ids: list, texts: list[bytes], known: ItemStatistics) -> ItemIndex:
+    """The index of a shard by the statistics of all items. Items without a word are left out."""
     hashes, words = hash_words(texts)
     own = np.split(hashes, np.cumsum(words)[:-1]) if len(texts) else []
     keep = [i for i, w in enumerate(own) if len(w)]
@@ -85,15 +113,16 @@ def build_index(item_ids: list, texts: list[bytes]) -> ItemIndex:
     # Items of one vocabulary share blocks, which keeps the blocks' bounds tight.
     order = sorted(range(len(own)), key=lambda i: (int(np.bincount((own[i] >> np.uint64(58)).astype(int), minlength=64).argmax()), int(own[i].min())))
     item_ids, texts, own = [item_ids[i] for i in order], [texts[i] for i in order], [own[i] for i in order]
-    n, mean = len(own), max(1.0, float(np.mean([len(w) for w in own]))) if own else 1.0
+    n, mean, terms = len(own), known.mean, known.terms
     counted = [np.unique(w, return_counts=True) for w in own]
-    terms, df = np.unique(np.concatenate([t for t, _ in counted]), return_counts=True) if n else (np.zeros(0, np.uint64), np.zeros(0))
-    idf = np.log1p((n - df + 0.5) / (df + 0.5))
+    idf = np.log1p((known.n - known.df + 0.5) / (known.df + 0.5))
+    weights = []
     t_all, i_all, x_all = [], [], []
     for i, (t, tf) in enumerate(counted):
         at = np.searchsorted(terms, t)
         weight = idf[at] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(own[i]) / mean))
         weight = weight / weight.sum()
+        weights.append((t, weight))
         # The lightest words, up to GIVEN in all, are taken as present.
         light = np.argsort(weight, kind="stable")
         given = light[np.cumsum(weight[light]) <= GIVEN]
@@ -117,7 +146,7 @@ def build_index(item_ids: list, texts: list[bytes]) -> ItemIndex:
         sizes.append((min(SHINGLE, int(w[0])), min(SHINGLE, int(w[1]))))
     return ItemIndex(
         item_ids, terms[used], np.maximum.reduceat(x_all, first[:-1]) if len(used) else x_all, first, i_all, x_all, np.searchsorted(t_all[at], np.arange(len(used) + 1)), i_all[at] // BLOCK_ITEMS, block_most,
-        max([LEAST_WINDOW, *map(len, own)]), keys, sizes,
+        max([LEAST_WINDOW, *map(len, own)]), keys, sizes, weights,
     )
 
 
@@ -170,6 +199,13 @@ def retrieve(index: ItemIndex, hashes: np.ndarray, words: np.ndarray, threshold:
     keys, code = np.unique(passage[source] * n_items + index.items[post], return_inverse=True)
     hits = keys[np.bincount(code, weights=index.impacts[post]) >= need]
     texts = np.searchsorted(half_begin, hits // n_items, side="right") - 1
+    # With the light words as they are: the item's BM25 score in the passage, of the score that it has in itself.
+    good = np.zeros(len(hits), bool)
+    for i, (passage, item, text) in enumerate(zip((hits // n_items).tolist(), (hits % n_items).tolist(), texts.tolist(), strict=True)):
+        start = begin[text] + (passage - half_begin[text]) * index.window
+        own, weight = index.weights[item]
+        good[i] = weight[np.isin(own, hashes[start : min(start + 2 * index.window, begin[text] + words[text])])].sum() >= threshold - 1e-9
+    hits, texts = hits[good], texts[good]
     # Texts without words have no halves and share the next one's start.
     return np.unique(np.stack([texts, hits % n_items], axis=1), axis=0)
 
@@ -177,21 +213,32 @@ def retrieve(index: ItemIndex, hashes: np.ndarray, words: np.ndarray, threshold:
 def find_leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD, least: float = OVERLAP) -> DataFrame:
     """(id, item id, question_overlap, answer_overlap): a row for each text and item that it repeats.
 
-    Items come to the driver SHARD_ITEMS at a time, in order of id, and each shard's index is broadcast; every text is
-    held against every shard. Null texts, texts and items without a word match nothing; an item of one part needs only
+    Document frequencies and lengths are counted over all items by Spark. Items then come to the driver in shards of
+    about SHARD_BYTES, of which each index is broadcast; every text is held against every shard, and what is found does
+    not depend on their number. Null texts, texts and items without a word match nothing; an item of one part needs only
     that part. Repeated rows stay; an empty table on either side gives an empty result; other columns are not read.
     """
     spark = docs.sparkSession
     types, item_type = dict(docs.dtypes), dict(items.dtypes)[item_id]
+    arrow_type = to_arrow_type(items.schema[item_id].dataType)
     schema = f"{id_col} {types[id_col]}, {item_id} {item_type}, question_overlap double, answer_overlap double"
     rows = items.select(item_id, F.col(item_text).alias("item_text")).filter(F.col("item_text").isNotNull())
-    n = rows.count()
-    shards = max(1, -(-n // SHARD_ITEMS))
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("item_text")), F.lit(0))).first()[0]
+    shards = max(1, -(-size // SHARD_BYTES))
+    counted = item_terms(rows, "item_text")
+    n, mean = counted.agg(F.count("words"), F.coalesce(F.avg("words"), F.lit(1.0))).first()
+    terms = counted.filter("term is not null").groupBy("term").agg(F.count("*").alias("df"))
+    terms = store(terms, "item-terms").df if shards > 1 else terms
     out = None
     for shard in range(shards):
         part = rows if shards == 1 else rows.filter(F.pmod(F.xxhash64(item_id, "item_text"), shards) == shard)
+        own = terms if shards == 1 else terms.join(item_terms(part, "item_text").select("term").distinct(), "term")
+        found = own.toArrow()
+        term = found["term"].to_numpy().view(np.uint64)
+        order = np.argsort(term)
+        known = ItemStatistics(n, max(1.0, mean), term[order], found["df"].to_numpy()[order])
         got = sorted(part.collect(), key=lambda r: (r[0] is None, r[0], r[1]))
-        index = spark.sparkContext.broadcast(build_index([r[0] for r in got], [r[1].encode() for r in got]))
+        index = spark.sparkContext.broadcast(build_index([r[0] for r in got], [r[1].encode() for r in got], known))
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             known = index.value
@@ -215,7 +262,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", tex
                     id_type = batch.column(id_col).type
                     names = batch.column(id_col).to_pylist()
                     t, i, q, a = zip(*hits, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([names[x] for x in t], id_type), pa.array([known.item_ids[x] for x in i]), pa.array(q), pa.array(a)], [id_col, item_id, "question_overlap", "answer_overlap"])
+                    yield pa.RecordBatch.from_arrays([pa.array([names[x] for x in t], id_type), pa.array([known.item_ids[x] for x in i], arrow_type), pa.array(q), pa.array(a)], [id_col, item_id, "question_overlap", "answer_overlap"])
 
         found = docs.select(id_col, text_col).mapInArrow(run, schema)
         out = found if out is None else out.unionByName(found)

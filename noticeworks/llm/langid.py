@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 
 from .common import byte_chunks
 
-BINS, SMOOTHING, ROUNDS, PENALTY, MOST = 1 << 16, 0.1, 12, 4.0, 4
+BINS, SMOOTHING, PENALTY = 1 << 16, 0.1, 4.0
+#: EM ends for a document when no share moves by more than this in a round; rounds between two looks.
+SETTLED, LOOK = 1e-3, 4
 UNDETERMINED = "und"
 
 
@@ -85,13 +87,21 @@ def fit_languages(docs: DataFrame, *, text_col: str = "text", lang_col: str = "l
 
 
 def _em(like: np.ndarray, first: np.ndarray, words: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Proportions and log-likelihood after EM. like: word likelihoods relative to the word's best language."""
-    doc = np.repeat(np.arange(len(words)), words)
-    for _ in range(ROUNDS):
-        joint = like * share[doc]
-        total = joint.sum(1, keepdims=True)
-        share = np.add.reduceat(joint / total, first, axis=0) / words[:, None]
-    return share, np.add.reduceat(np.log((like * share[doc]).sum(1)), first)
+    """Proportions and log-likelihood after EM. like: word likelihoods relative to the word's best language.
+
+    Documents whose proportions have settled are left out of the further rounds."""
+    done, open_docs = share.copy(), np.arange(len(words))
+    own, at, n, now = like, first, words, share
+    while len(open_docs):
+        for _ in range(LOOK):
+            last, joint = now, own * np.repeat(now, n, axis=0)
+            joint /= joint.sum(1, keepdims=True)
+            now = np.add.reduceat(joint, at, axis=0) / n[:, None]
+        done[open_docs] = now
+        go = np.abs(now - last).max(1) > SETTLED
+        own, open_docs, n, now = own[np.repeat(go, n)], open_docs[go], n[go], now[go]
+        at = np.cumsum(n) - n
+    return done, np.add.reduceat(np.log((like * np.repeat(done, words, axis=0)).sum(1)), first)
 
 
 def infer(model: LanguageModel, texts: list[bytes]) -> tuple[list[str], np.ndarray, list[list[str]]]:
@@ -133,7 +143,7 @@ def infer(model: LanguageModel, texts: list[bytes]) -> tuple[list[str], np.ndarr
         full, _ = _em(like, at, n, np.full((len(mixed), n_lang), 1.0 / n_lang))
         order = np.argsort(-full, axis=1, kind="stable")
         gain = top[mixed].copy()
-        for k in range(2, min(MOST, n_lang) + 1):
+        for k in range(2, n_lang + 1):
             allowed = np.zeros((len(mixed), n_lang))
             np.put_along_axis(allowed, order[:, :k], 1.0 / k, axis=1)
             share, ll = _em(like, at, n, allowed)

@@ -64,7 +64,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return telephony.media_report(telephony.encode_media(table(spark, sf_dir, "documents")))
+    return telephony.stored_report(table(spark, sf_dir, "documents"))
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Telephony audio columns: mu-law, A-law and IMA ADPCM in WAV, decoded to resampled 16-bit PCM.
+"""Telephony audio columns: mu-law, A-law and wideband IMA ADPCM in WAV, decoded to 16-bit PCM of one rate.
 
 mu-law and A-law expand by lookup tables. ADPCM blocks are decoded together: the loop runs over the samples of a
 block, and each step is one numpy operation over all blocks of the batch.
@@ -16,13 +16,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import byte_chunks, runs
+from .common import byte_chunks, runs, store
 
 #: WAVE format tags.
 ALAW, MULAW, IMA_ADPCM = 0x0006, 0x0007, 0x0011
 CODECS = (MULAW, ALAW, IMA_ADPCM)
 NAMES = {MULAW: "mulaw", ALAW: "alaw", IMA_ADPCM: "ima_adpcm"}
+RATES = {MULAW: 8000, ALAW: 8000, IMA_ADPCM: 16000}
 RATE, UNIT, FILL = 8000, 576, 255
+#: Parquet options of the media tables: they hold what is hard to compress, and much of it.
+STORED = {"compression": "zstd", "parquet.compression.codec.zstd.level": "6"}
 BLOCK_SAMPLES = 1 + 2 * (UNIT - 4)
 #: Fixed values of the IMA ADPCM format.
 INDEX_STEP = np.array([-1, -1, -1, -1, 2, 4, 6, 8], np.int32)
@@ -69,10 +72,11 @@ def pad(raw: bytes) -> bytes:
 
 def wav(payload: bytes, codec: int) -> bytes:
     """A mono WAV file that holds the payload as it is."""
+    rate = RATES[codec]
     if codec == IMA_ADPCM:
-        fmt, n = struct.pack("<HHIIHHHH", codec, 1, RATE, RATE * UNIT // BLOCK_SAMPLES, UNIT, 4, 2, BLOCK_SAMPLES), len(payload) // UNIT * BLOCK_SAMPLES
+        fmt, n = struct.pack("<HHIIHHHH", codec, 1, rate, rate * UNIT // BLOCK_SAMPLES, UNIT, 4, 2, BLOCK_SAMPLES), len(payload) // UNIT * BLOCK_SAMPLES
     else:
-        fmt, n = struct.pack("<HHIIHHH", codec, 1, RATE, RATE, 1, 8, 0), len(payload)
+        fmt, n = struct.pack("<HHIIHHH", codec, 1, rate, rate, 1, 8, 0), len(payload)
     chunk = lambda name, body: name + struct.pack("<I", len(body)) + body + b"\0" * (len(body) & 1)
     body = b"WAVE" + chunk(b"fmt ", fmt) + chunk(b"fact", struct.pack("<I", n)) + chunk(b"data", payload)
     return b"RIFF" + struct.pack("<I", len(body)) + body
@@ -96,9 +100,13 @@ def parse_wav(media: bytes) -> tuple[int, int, bytes]:
 
 
 def resample(pcm: np.ndarray, rate: int, to: int) -> np.ndarray:
-    """Linear interpolation between samples, rounded half to even; the length is scaled and rounded down."""
+    """Halving takes the means of pairs, rounded down (a last single sample stays); doubling puts means between samples;
+    other rates interpolate, rounded half to even, and their length is scaled and rounded down."""
     if rate == to or not len(pcm):
         return pcm
+    if rate == 2 * to:
+        wide = np.append(pcm, pcm[-1:] if len(pcm) % 2 else []).astype(np.int32)
+        return ((wide[::2] + wide[1::2]) >> 1).astype(np.int16)
     if to == 2 * rate:
         wide = pcm.astype(np.int32)
         out = np.empty(2 * len(pcm), np.int16)
@@ -146,46 +154,53 @@ def _media_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Record
             yield batch.slice(i, j - i), media[i:j]
 
 
-def decode_media(df: DataFrame, *, to: int = 16000, id_col: str = "doc_id") -> DataFrame:
-    """The column ``media`` (WAV files) as PCM: id, codec, rate, pcm (little-endian 16-bit samples)."""
-    schema = f"{id_col} {dict(df.dtypes)[id_col]}, codec string, rate int, pcm binary"
+#: What is kept of a stored file beside its samples.
+DIGESTS = {"payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "long", "media_bytes": "long", "media_sha256": "string"}
+
+
+def decode_media(df: DataFrame, *, to: int = RATE, id_col: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
+    """The column ``media`` (WAV files) as PCM: id, ``keep`` columns, DIGESTS of the data, its last 32 bytes and the
+    file, codec, rate, and pcm (little-endian 16-bit samples at the rate ``to``). Repeated rows stay; an empty table
+    gives an empty result; a file that is no WAV fails the job."""
+    types, names = dict(df.dtypes), [id_col, *(keep or [])]
+    columns = [*names, *DIGESTS, "codec", "rate", "pcm"]
+    schema = ", ".join(f"`{c}` {types[c]}" for c in names) + ", " + ", ".join(f"{c} {t}" for c, t in DIGESTS.items()) + ", codec string, rate int, pcm binary"
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, media in _media_chunks(batches):
             parsed = [parse_wav(m) for m in media]
-            pcm = decode_all(parsed, to)
-            yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array([NAMES[p[0]] for p in parsed], pa.string()), pa.array([to] * len(pcm), pa.int32()), pa.array([x.astype("<i2").tobytes() for x in pcm], pa.binary())], [id_col, "codec", "rate", "pcm"])
+            data, pcm = [p[2] for p in parsed], decode_all(parsed, to)
+            digests = [
+                pa.array(map(len, data), pa.int64()), pa.array([hashlib.sha256(d).hexdigest() for d in data], pa.string()), pa.array([zlib.crc32(d[-32:]) for d in data], pa.int64()),
+                pa.array(map(len, media), pa.int64()), pa.array([hashlib.sha256(m).hexdigest() for m in media], pa.string()),
+            ]
+            sound = [pa.array([NAMES[p[0]] for p in parsed], pa.string()), pa.array([to] * len(pcm), pa.int32()), pa.array([x.astype("<i2").tobytes() for x in pcm], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *digests, *sound], columns)
 
-    return df.select(id_col, "media").mapInArrow(decode, schema)
+    return df.select(*dict.fromkeys([*names, "media"])).mapInArrow(decode, schema)
 
 
-def media_report(df: DataFrame, *, to: int = 16000, id_col: str = "doc_id") -> DataFrame:
-    """Digests and features of stored media, all from reading ``media`` back.
+def pcm_feature(codec: str, pcm: np.ndarray) -> str:
+    """Codec, samples, peak, mean magnitude, sign changes and CRC-32 of the samples."""
+    wide, low = np.abs(pcm.astype(np.int32)), pcm < 0
+    return f"{codec}:{len(pcm)}:{wide.max()}:{wide.sum() // len(pcm)}:{np.count_nonzero(low[1:] != low[:-1])}:{zlib.crc32(pcm.tobytes()):08x}"
 
-    Takes id, n_bytes and media; returns these columns in the place of media: payload_bytes, payload_sha256,
-    tail_crc32 (the last 32 bytes), media_bytes, media_sha256 and feature (codec, samples, peak, mean magnitude,
-    sign changes and CRC-32 of the resampled PCM).
-    """
-    names = [id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    schema = f"{id_col} {dict(df.dtypes)[id_col]}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
-    def feature(codec: int, pcm: np.ndarray) -> str:
-        wide = np.abs(pcm.astype(np.int32))
-        low = pcm < 0
-        return f"{NAMES[codec]}:{len(pcm)}:{wide.max()}:{wide.sum() // len(pcm)}:{np.count_nonzero(low[1:] != low[:-1])}:{zlib.crc32(pcm.astype('<i2').tobytes()):08x}"
+def pcm_features(df: DataFrame) -> DataFrame:
+    """``df`` with ``feature`` in the place of codec, rate and pcm."""
+    names = [c for c in df.columns if c not in ("codec", "rate", "pcm")]
 
-    def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, media in _media_chunks(batches):
-            parsed = [parse_wav(m) for m in media]
-            pcm = decode_all(parsed, to)
-            data = [p[2] for p in parsed]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(id_col), batch.column("n_bytes"), pa.array(map(len, data), pa.int64()), pa.array([hashlib.sha256(d).hexdigest() for d in data], pa.string()),
-                    pa.array([zlib.crc32(d[-32:]) for d in data], pa.int64()), pa.array(map(len, media), pa.int64()), pa.array([hashlib.sha256(m).hexdigest() for m in media], pa.string()),
-                    pa.array([feature(p[0], x) for p, x in zip(parsed, pcm, strict=True)], pa.string()),
-                ],
-                names,
-            )
-
-    return df.select(id_col, "n_bytes", "media").mapInArrow(report, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            feature = [pcm_feature(c, np.frombuffer(p.as_buffer(), "<i2")) for c, p in zip(batch.column("codec").to_pylist(), batch.column("pcm"), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(feature, pa.string())], [*names, "feature"])
+
+    types = dict(df.dtypes)
+    return df.mapInArrow(run, ", ".join(f"`{c}` {types[c]}" for c in names) + ", feature string")
+
+
+def stored_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Texts as media that are written, read back, decoded to PCM that is written, and read back: id, n_bytes, DIGESTS
+    and feature."""
+    media = store(encode_media(docs, id_col=id_col, text_col=text_col), "media", **STORED).df
+    return pcm_features(store(decode_media(media, id_col=id_col, keep=["n_bytes"]), "pcm", **STORED).df)

@@ -102,17 +102,17 @@ def test_media_round_trip(spark, odd, none):
     import wave
 
     media = telephony.encode_media(odd)
-    got = {r.doc_id: r for r in telephony.media_report(media).collect()}
+    got = {r.doc_id: r for r in telephony.stored_report(odd).collect()}
     texts = {r.doc_id: (r.text or "").encode() for r in odd.collect()}
     for i, r in got.items():
         payload = telephony.pad(texts[i])
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(texts[i]), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
     assert len(payload) % telephony.UNIT == 0 and got[1].payload_bytes == telephony.UNIT and got[8].feature == got[9].feature
     pcm = telephony.decode_media(media).first()
-    assert pcm.rate == 16000 and len(pcm.pcm) % 4 == 0
+    assert pcm.rate == 8000 and len(pcm.pcm) % 2 == 0
     with pytest.raises(wave.Error):  # a true WAV file, of a format that the standard library knows by number only
         wave.open(io.BytesIO(telephony.wav(b"x" * 576, telephony.MULAW)))
-    assert telephony.media_report(telephony.encode_media(none)).count() == 0
+    assert telephony.stored_report(none).count() == 0
     with pytest.raises(ValueError):
         telephony.parse_wav(b"RIFFxxxxWAVE")
 
@@ -120,7 +120,36 @@ def test_media_round_trip(spark, odd, none):
 def test_resampling():
     x = np.array([0, 100, -100], np.int16)
     assert telephony.resample(x, 8000, 16000).tolist() == [0, 50, 100, 0, -100, -100]
-    assert telephony.resample(x, 8000, 8000) is x and len(telephony.resample(x, 8000, 4000)) == 1
+    assert telephony.resample(x, 8000, 8000) is x and telephony.resample(x, 16000, 8000).tolist() == [50, -100]
+    assert len(telephony.resample(x, 8000, 6000)) == 2
+
+
+def plain_alaw(code):
+    code ^= 0x55
+    exponent, step = code >> 4 & 7, (code & 15) << 4
+    value = step + 8 if exponent == 0 else (step + 264) << (exponent - 1)
+    return value if code & 128 else -value
+
+
+def test_media_query_equals_plain_version(spark, corpus):
+    got = {r.doc_id: r for r in queries.op6_telephony(spark, SMALL).collect()}
+    assert len(got) == len(corpus)
+    for i, text in zip(corpus.doc_id, corpus.text, strict=True):
+        raw = (text or "").encode()
+        payload = raw + b"\xff" * (-len(raw) % 576 or (0 if raw else 576))
+        codec = zlib.crc32(payload) % 3
+        if codec == 2:
+            wide = [x for at in range(0, len(payload), 576) for x in plain_adpcm(payload[at : at + 576])]
+            wide += wide[-1:] * (len(wide) % 2)
+            pcm = [(a + b) >> 1 for a, b in zip(wide[::2], wide[1::2], strict=True)]
+        else:
+            pcm = [(plain_mulaw, plain_alaw)[codec](x) for x in payload]
+        sound = struct.pack(f"<{len(pcm)}h", *pcm)
+        turns = sum((a < 0) != (b < 0) for a, b in zip(pcm, pcm[1:], strict=False))
+        feature = f"{('mulaw', 'alaw', 'ima_adpcm')[codec]}:{len(pcm)}:{max(map(abs, pcm))}:{sum(map(abs, pcm)) // len(pcm)}:{turns}:{zlib.crc32(sound):08x}"
+        media = telephony.wav(payload, telephony.CODECS[codec])
+        assert payload in media and got[i].feature == feature
+        assert (got[i].n_bytes, got[i].payload_bytes, got[i].payload_sha256, got[i].tail_crc32, got[i].media_bytes, got[i].media_sha256) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest())
 
 
 def check_packing(rows, texts):

@@ -104,8 +104,49 @@ def test_leak_cases(spark, odd, none):
 
 
 def test_several_shards(spark, corpus, monkeypatch):
-    items = spark.read.parquet(f"{SMALL}/benchmark.parquet")
+    """What is found, with its overlaps, does not depend on the number of shards; ids keep their type."""
+    items = spark.read.parquet(f"{SMALL}/benchmark.parquet").selectExpr("cast(item_id as int) as item_id", "text")
     docs = spark.createDataFrame(corpus)
-    whole = {tuple(r) for r in decontam.find_leaks(docs, items).collect()}
-    monkeypatch.setattr(decontam, "SHARD_ITEMS", 7)
-    assert {tuple(r)[:2] for r in decontam.find_leaks(docs, items).collect()} == {r[:2] for r in whole}
+    whole = sorted(tuple(r) for r in decontam.find_leaks(docs, items).collect())
+    for size in (700, 3000):
+        monkeypatch.setattr(decontam, "SHARD_BYTES", size)
+        found = decontam.find_leaks(docs, items)
+        assert sorted(tuple(r) for r in found.collect()) == whole and dict(found.dtypes)["item_id"] == "int"
+
+
+def test_retrieval_equals_plain_bm25(corpus):
+    """Every item that scores the threshold or more in a passage is retrieved, and no other."""
+    import math
+    from collections import Counter
+
+    import numpy as np
+
+    from noticeworks.llm.wordhash import hash_words
+
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(60)]
+    draw = lambda n: " ".join(rng.choices(vocabulary, weights=range(1, 61), k=n))
+    items = [draw(rng.randrange(5, 40)) for _ in range(50)]
+    texts = [" ".join([draw(rng.randrange(0, 90)), " ".join(rng.sample(items[k % 50].split(), 5 + k % 30 if k % 30 + 5 < len(items[k % 50].split()) else 5)), draw(20)]) for k in range(60)]
+    own = [i.split() for i in items]
+    n, mean, df = len(items), sum(map(len, own)) / len(own), Counter(w for o in own for w in set(o))
+
+    def weights(o):
+        tf = Counter(o)
+        w = {t: math.log1p((n - df[t] + 0.5) / (df[t] + 0.5)) * c * (decontam.K1 + 1) / (c + decontam.K1 * (1 - decontam.B + decontam.B * len(o) / mean)) for t, c in tf.items()}
+        return {t: x / sum(w.values()) for t, x in w.items()}
+
+    hashed = {w: hash_words([w.encode()])[0][0] for w in vocabulary}
+    terms = np.sort(np.array([hashed[w] for w in df], np.uint64))
+    known = decontam.ItemStatistics(n, mean, terms, np.array([df[next(w for w in df if hashed[w] == t)] for t in terms]))
+    index = decontam.build_index(list(range(n)), [i.encode() for i in items], known)
+    hashes, words = hash_words([t.encode() for t in texts])
+    for threshold in (0.4, 0.6):
+        got = {(t, index.item_ids[i]) for t, i in decontam.retrieve(index, hashes, words, threshold).tolist()}
+        want = set()
+        for t, text in enumerate(texts):
+            w = text.split()
+            for at in range(0, len(w), index.window):
+                inside = set(w[at : at + 2 * index.window])
+                want |= {(t, i) for i, o in enumerate(own) if sum(x for k, x in weights(o).items() if k in inside) >= threshold}
+        assert got == want and want

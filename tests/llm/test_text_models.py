@@ -49,6 +49,56 @@ def test_mixture_is_seen(spark, corpus):
     assert pred[1] == "en" and score[1] > 0.9 and pred[2] == "und" and pred[3] in model.languages and pred[4] == "und"
 
 
+def plain_mixture(model, text):
+    """EM and the choice of the set for one text, word by word."""
+    import math
+
+    low = "".join(c.lower() if c.isascii() else c for c in text).encode()
+    letters = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in low)
+    likes = []
+    for w in letters.split():
+        padded = b" " + w + b" "
+        bins = [((padded[i] << 16 | padded[i + 1] << 8 | padded[i + 2]) * 2654435761 % 2**32) >> 16 for i in range(len(w))]
+        likes.append([sum(float(model.logp[b, k]) for b in bins) for k in range(len(model.languages))])
+    n, langs = len(likes), range(len(model.languages))
+
+    def em(share):
+        rounds = 0
+        while True:
+            rounds += 1
+            joint = [[share[k] * math.exp(max(w[k] - max(w), -80.0)) for k in langs] for w in likes]
+            new = [sum(j[k] / sum(j) for j in joint) / n for k in langs]
+            moved, share = max(abs(a - b) for a, b in zip(new, share, strict=True)), new
+            if rounds % langid.LOOK == 0 and moved <= langid.SETTLED:
+                break
+        return share, sum(max(w) + math.log(sum(share[k] * math.exp(max(w[k] - max(w), -80.0)) for k in langs)) for w in likes)
+
+    cost = langid.PENALTY * math.log1p(n)
+    single = [sum(w[k] for w in likes) for k in langs]
+    best = max(langs, key=lambda k: single[k])
+    gain, chosen, score = single[best], [best], 1 / sum(math.exp(max(s - single[best], -700)) for s in single)
+    full, _ = em([1 / len(langs)] * len(langs))
+    order = sorted(langs, key=lambda k: -full[k])
+    for size in range(2, len(langs) + 1):
+        share, ll = em([1 / size if k in order[:size] else 0.0 for k in langs])
+        if ll - (size - 1) * cost > gain:
+            gain, chosen = ll - (size - 1) * cost, sorted(langs, key=lambda k: -share[k])[:size]
+            score = share[chosen[0]]
+    return model.languages[chosen[0]], score, {model.languages[k] for k in chosen}
+
+
+def test_mixtures_equal_plain_inference(spark, corpus):
+    model = langid.fit_languages(spark.createDataFrame(corpus[["text", "lang"]]))
+    by = {x: corpus[corpus.lang == x].text.str.slice(0, 700).tolist() for x in model.languages}
+    texts = [t for x in model.languages for t in by[x][:4]]
+    texts += [" ".join(by[x][k][: 200 + 90 * k] for x in model.languages[: 2 + k % (len(model.languages) - 1)]) for k in range(6)]
+    pred, score, sets = langid.infer(model, [t.encode() for t in texts])
+    for i, t in enumerate(texts):
+        want = plain_mixture(model, t)
+        assert (pred[i], set(sets[i])) == (want[0], want[2]) and abs(score[i] - want[1]) < 1e-6
+    assert max(map(len, sets)) > 2
+
+
 def test_odd_rows(spark, odd, none):
     labelled = odd.select("doc_id", "text", F.when(F.col("doc_id") % 2 == 0, 1).otherwise(0).alias("label"))
     tox = toxicity.score_toxicity(odd, toxicity.fit_toxicity(labelled), keep=["fp"]).toPandas()

@@ -1,9 +1,12 @@
 """WARC records in ZIP packages: written by Spark, read back by their directories.
 
 A package holds three stored members: the records (``archive/data.warc.gz``, a gzip member for each record), an index
-(``indexes/index.cdx``, a line for each record with its range) and a description. A reader parses the end record, the
-ZIP64 end record if there is one, and the central directory; finds the stored members; and reads each record by its
-range, without extracting anything.
+(``indexes/index.cdx``, a line of CDXJ for each record with its range) and a description. A reader takes paths and
+lengths alone from Spark. One task a package reads the end record, the ZIP64 end record if there is one, the central
+directory and the index by their ranges; the ranges of records are then dealt over all tasks, which read each by
+seeking. No package is read whole, and nothing is extracted.
+
+Ranges are read by ``pyarrow.fs``, which knows local, HDFS, S3, GCS and Azure paths; ``opener`` puts another in its place.
 """
 
 from __future__ import annotations
@@ -11,6 +14,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import io
+import json
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -23,6 +27,8 @@ from pyspark.sql import functions as F
 DATA, INDEX, ABOUT = "archive/data.warc.gz", "indexes/index.cdx", "datapackage.json"
 #: Bytes of records after which a package is closed.
 PACKAGE_BYTES = 4 << 20
+#: Bytes of neighbouring records that are read at once.
+RANGE_BYTES = 1 << 20
 #: Signatures of the ZIP format.
 LOCAL, CENTRAL, END, END64, LOCATOR64 = b"PK\x03\x04", b"PK\x01\x02", b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07"
 _MANY, _LARGE = 0xFFFF, 0xFFFFFFFF
@@ -60,7 +66,10 @@ def directory(read: Read, size: int) -> list[Member]:
     tail_at = max(0, size - 22 - _MANY)
     tail = read(tail_at, size - tail_at)
     at = tail.rfind(END)
-    if at < 0 or at + 22 > len(tail):
+    # The comment may hold the signature: the true record's comment ends with the file.
+    while at >= 0 and (at + 22 > len(tail) or at + 22 + struct.unpack_from("<H", tail, at + 20)[0] != len(tail)):
+        at = tail.rfind(END, 0, at)
+    if at < 0:
         raise BadArchive("no end of central directory")
     count, length, start = struct.unpack_from("<HII", tail, at + 10)
     if _MANY == count or _LARGE in (length, start):
@@ -189,7 +198,8 @@ def write_packages(pages: DataFrame, path: str, *, id_col: str = "page_id", url_
                 raw = warc_record(kind, _one_line(row["url"]), page, row["body"] or b"", length=row["n"], digest=digest, refers_to=row["refers_to"])
                 packed, at = zlib.compressobj(6, zlib.DEFLATED, 31), data.tell()
                 data.write(packed.compress(raw) + packed.flush())
-                lines.append(f"{page} {at} {data.tell() - at} {kind}\n")
+                about = {"url": _one_line(row["url"]), "mime": "text/html" if kind == "response" else "warc/revisit", "status": "200", "digest": f"sha1:{digest}", "offset": str(at), "length": str(data.tell() - at), "filename": DATA.partition("/")[2]}
+                lines.append(f"{page or '-'} 19700101000000 {json.dumps(about)}\n")
                 if data.tell() >= package_bytes:
                     yield close()
         if lines:
@@ -199,38 +209,82 @@ def write_packages(pages: DataFrame, path: str, *, id_col: str = "page_id", url_
     packages.select(F.col("value").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).text(path)
 
 
-def package_records(read: Read, size: int) -> Iterator[tuple[str, str, dict[str, str], bytes]]:
-    """(page, kind, headers, payload) of each record that the index of a package lists."""
-    members = {m.name: m for m in directory(read, size)}
-    if DATA not in members or INDEX not in members:
-        raise BadArchive("no records or no index")
-    index_at, data_at = member_start(read, members[INDEX]), member_start(read, members[DATA])
-    for line in read(index_at, members[INDEX].size).decode().splitlines():
-        page, at, n, kind = line.rsplit(" ", 3)
-        if int(at) + int(n) > members[DATA].size:
-            raise BadArchive("range beyond the records")
-        yield page, kind, *parse_record(zlib.decompress(read(data_at + int(at), int(n)), 31))
+def open_path(path: str) -> tuple[Read, Callable[[], None]]:
+    """(a reader of ranges, what closes it) of a file that ``pyarrow.fs`` can reach."""
+    from pyarrow import fs
+
+    where, inner = fs.FileSystem.from_uri(path if "://" in path else path.replace("file:", "file://", 1))
+    file = where.open_input_file(inner)
+    return lambda at, n: file.read_at(n, at), file.close
 
 
-def read_packages(spark: SparkSession, path: str, *, id_type: str = "long") -> DataFrame:
+def record_ranges(read: Read, size: int) -> list[list[tuple[int, int]]]:
+    """The places and lengths of a package's records, in runs of neighbours of about RANGE_BYTES."""
+    members = {m.name: m for m in directory(read, size)}
+    if INDEX not in members:
+        raise BadArchive("no index")
+    starts: dict[str, int] = {}
+    found = []
+    for line in read(member_start(read, members[INDEX]), members[INDEX].size).decode().splitlines():
+        if "{" not in line or line.startswith("!"):
+            continue
+        about = json.loads(line[line.index("{") :])
+        name = f"archive/{about['filename']}"
+        if name not in members:
+            raise BadArchive(f"no records {name}")
+        at, n = int(about["offset"]), int(about["length"])
+        if at < 0 or n < 1 or at + n > members[name].size:
+            raise BadArchive("range beyond the records")
+        if name not in starts:
+            starts[name] = member_start(read, members[name])
+        found.append((starts[name] + at, n))
+    out: list[list[tuple[int, int]]] = []
+    for at, n in sorted(found):
+        if out and at == sum(out[-1][-1]) and at + n - out[-1][0][0] <= RANGE_BYTES:
+            out[-1].append((at, n))
+        else:
+            out.append([(at, n)])
+    return out
+
+
+def read_packages(spark: SparkSession, path: str, *, id_type: str = "long", opener: Callable[[str], tuple[Read, Callable[[], None]]] = open_path) -> DataFrame:
     """A row for each record of the packages under ``path``: page_id, url, payload_bytes, payload_digest, record_type,
     refers_to, payload (null for revisits). A response whose payload belies its digest or length fails the job."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").load(path).select("path", "length")
+
+    def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, size in zip(batch.column("path").to_pylist(), batch.column("length").to_pylist(), strict=True):
+                read, close = opener(name)
+                found = record_ranges(read, size)
+                close()
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(found)), pa.array([[x[0] for x in r] for r in found], pa.list_(pa.int64())), pa.array([[x[1] for x in r] for r in found], pa.list_(pa.int64()))], ["path", "at", "n"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, read, close = None, None, None
         for batch in batches:
-            for content in batch.column("content"):
-                whole = memoryview(content.as_buffer())
-                rows = []
-                for page, kind, headers, payload in package_records(lambda at, n, whole=whole: bytes(whole[at : at + n]), len(whole)):
-                    n, digest = int(headers["WARC-Payload-Length"]), headers["WARC-Payload-Digest"].removeprefix("sha1:")
-                    if kind == "response" and (len(payload) != n or base32_sha1(payload) != digest):
+            for name, at, n in zip(*(batch.column(c).to_pylist() for c in ("path", "at", "n")), strict=True):
+                if name != held:
+                    if close:
+                        close()
+                    held, (read, close) = name, opener(name)
+                whole, rows = read(at[0], at[-1] + n[-1] - at[0]), []
+                for a, k in zip(at, n, strict=True):
+                    headers, payload = parse_record(zlib.decompress(whole[a - at[0] : a - at[0] + k], 31))
+                    kind, page = headers["WARC-Type"], headers["WARC-Record-ID"][len("<urn:page:") : -1]
+                    size, digest = int(headers["WARC-Payload-Length"]), headers["WARC-Payload-Digest"].removeprefix("sha1:")
+                    if kind == "response" and (len(payload) != size or base32_sha1(payload) != digest):
                         raise BadArchive(f"page {page}: the payload differs from its digest")
                     to = headers.get("WARC-Refers-To", "")[len("<urn:page:") : -1]
-                    rows.append((page or None, headers["WARC-Target-URI"], n, digest, kind, to or None, payload if kind == "response" else None))
+                    rows.append((page or None, headers["WARC-Target-URI"], size, digest, kind, to or None, payload if kind == "response" else None))
                 columns = list(zip(*rows, strict=True))
                 types = (pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
+        if close:
+            close()
 
-    out = files.mapInArrow(scan, "page_id string, url string, payload_bytes long, payload_digest string, record_type string, refers_to string, payload binary")
+    found = files.mapInArrow(ranges, "path string, at array<long>, n array<long>")
+    dealt = found.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    out = dealt.mapInArrow(scan, "page_id string, url string, payload_bytes long, payload_digest string, record_type string, refers_to string, payload binary")
     return out.withColumns({c: F.col(c).cast(id_type) for c in ("page_id", "refers_to")})

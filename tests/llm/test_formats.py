@@ -64,6 +64,38 @@ def test_warc_round_trip(spark):
     assert warczip.read_packages(spark, empty).count() == 0
 
 
+def test_records_are_read_by_their_ranges(spark, tmp_path, monkeypatch):
+    """No read comes near the package's size, with ZIP64 records, a comment that holds the end record's signature, and
+    a second archive; a range beyond the records fails."""
+    import json
+
+    records = [zlib.compressobj(6, zlib.DEFLATED, 31) for _ in range(40)]
+    bodies = []
+    for i, c in enumerate(records):
+        payload = bytes([65 + i % 26]) * (3000 + i) + np.random.default_rng(i).bytes(3000)
+        raw = warczip.warc_record("response", f"u{i}", str(i), payload, length=len(payload), digest=warczip.base32_sha1(payload))
+        bodies.append((c.compress(raw) + c.flush(), payload))
+    parts, lines = {"one.warc.gz": b"", "two.warc.gz": b""}, ["!meta {}"]
+    for i, (body, _) in enumerate(bodies):
+        name = ("one.warc.gz", "two.warc.gz")[i % 2]
+        lines.append(f"k{i} 20200101000000 " + json.dumps({"filename": name, "offset": str(len(parts[name])), "length": len(body)}))
+        parts[name] += body
+    index = "\n".join(lines).encode()
+    whole = warczip.package([*((f"archive/{n}", b) for n, b in parts.items()), (warczip.INDEX, index)], zip64=True, comment=b"x" + warczip.END + b"y" * 30)
+    (tmp_path / "a.wacz").write_bytes(whole)
+    monkeypatch.setattr(warczip, "RANGE_BYTES", 8000)
+    sizes = []
+    ranges = warczip.record_ranges(lambda at, n: sizes.append(n) or whole[at : at + n], len(whole))
+    assert sum(map(len, ranges)) == 40 and len(ranges) >= 20 and max(sum(r[-1]) - r[0][0] for r in ranges) <= 8000
+    assert sum(sizes) < len(whole) / 2
+    got = {r.page_id: bytes(r.payload) for r in warczip.read_packages(spark, str(tmp_path)).collect()}
+    assert got == {i: p for i, (_, p) in enumerate(bodies)}
+    broken = index.replace(b'"offset": "0"', b'"offset": "99999999"')
+    bad = warczip.package([*((f"archive/{n}", b) for n, b in parts.items()), (warczip.INDEX, broken)])
+    with pytest.raises(warczip.BadArchive):
+        warczip.record_ranges(lambda at, n: bad[at : at + n], len(bad))
+
+
 def test_short_payloads_are_responses(spark):
     path = new_path(spark, "warc")
     warczip.write_packages(spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab")], "page_id long, url string, html string"), path, least_bytes=3)

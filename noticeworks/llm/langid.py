@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_chunks
+from .common import byte_chunks, runs
+from .wordhash import SEGMENT, segments
 
 BINS, SMOOTHING, PENALTY = 1 << 16, 0.1, 4.0
 #: EM ends for a document when no share moves by more than this in a round; rounds between two looks.
@@ -35,20 +36,42 @@ _LETTERS = _letters()
 _ASCII_LETTER = re.compile(rb"[A-Za-z]")
 
 
-def trigrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(trigram bins, start of each word among them, words of each text); a word of n bytes has n trigrams."""
-    buf = _LETTERS[np.frombuffer(b" " + b"  ".join([*texts, b""]) + b" ", np.uint8)]
+def _part(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(trigram bins, words' starts among them, words' starts in the buffer) of a part that ends with 32."""
     inside = buf != 32
     edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    if inside[0]:
+        edge = np.concatenate(([0], edge))
     start, end = edge[::2], edge[1::2]
-    wide = buf.astype(np.uint32)
-    at = np.flatnonzero(inside)  # a trigram is centred on each byte of a word
+    wide = np.concatenate(([32], buf)).astype(np.uint32)
+    at = np.flatnonzero(inside) + 1  # a trigram is centred on each byte of a word
     code = (wide[at - 1] << np.uint32(16)) | (wide[at] << np.uint32(8)) | wide[at + 1]
-    bins = ((code * np.uint32(2654435761)) >> np.uint32(16)).astype(np.int32)
     size = end - start
-    first = np.cumsum(size) - size
-    last = 1 + np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 2)
-    return bins, first, np.diff(np.searchsorted(start, last), prepend=0)
+    return ((code * np.uint32(2654435761)) >> np.uint32(16)).astype(np.int32), np.cumsum(size) - size, start
+
+
+def trigrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(trigram bins, start of each word among them, words of each text); a word of n bytes has n trigrams."""
+    buf = _LETTERS[np.frombuffer(b" ".join([*texts, b""]), np.uint8)]
+    if not len(buf):
+        return np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
+    bins, first, start, before = [], [], [], 0
+    for a, b in segments(buf == 32, SEGMENT):
+        own, at, where = _part(buf[a:b])
+        bins.append(own)
+        first.append(at + before)
+        start.append(where + a)
+        before += len(own)
+    last = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+    return np.concatenate(bins), np.concatenate(first), np.diff(np.searchsorted(np.concatenate(start), last), prepend=0)
+
+
+def word_likelihoods(logp: np.ndarray, bins: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Log-likelihoods of each word by language, some words at a time."""
+    out, ends = np.empty((len(first), logp.shape[1])), np.append(first, len(bins))
+    for a, b in runs(np.diff(ends), SEGMENT):
+        out[a:b] = np.add.reduceat(logp[bins[ends[a] : ends[b]]], first[a:b] - first[a], axis=0)
+    return out
 
 
 @dataclass
@@ -122,7 +145,7 @@ def infer(model: LanguageModel, texts: list[bytes]) -> tuple[list[str], np.ndarr
     has = np.flatnonzero(words)
     if not len(has):
         return pred, score, chosen
-    word_ll = np.add.reduceat(model.logp[bins], first, axis=0).astype(np.float64)
+    word_ll = word_likelihoods(model.logp, bins, first)
     count = words[has]
     start = np.cumsum(count) - count
     single = np.add.reduceat(word_ll, start, axis=0)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from noticeworks.llm import langid, quality, queries, toxicity
+from noticeworks.llm import langid, quality, queries, toxicity, wordhash
 from noticeworks.llm.wordhash import hash_words
 
 SOME = "/root/testdata/sf0.01"
@@ -26,6 +28,21 @@ def test_word_hashes():
     assert h[0] == h[1] == h[2] == h[8] and h[3] != h[4] and h[5] == h[6]
 
 
+def test_long_texts_are_gone_through_in_parts(spark, corpus, monkeypatch):
+    """Words, trigrams and languages do not depend on where a text is cut; one word may be longer than a part."""
+    texts = [t.encode() for t in corpus.text.dropna()] + [b"", b"x" * 5000 + b" a b", "é".encode() * 3000, b" \n", b"end"]
+    model = langid.fit_languages(spark.createDataFrame(corpus[["text", "lang"]]))
+    whole = [*hash_words(texts), *langid.trigrams(texts)]
+    languages = langid.infer(model, texts[:60])
+    for size in (100, 4097):
+        monkeypatch.setattr(wordhash, "SEGMENT", size)
+        monkeypatch.setattr(langid, "SEGMENT", size)
+        for got, want in zip([*hash_words(texts), *langid.trigrams(texts)], whole, strict=True):
+            assert np.array_equal(got, want)
+        pred, score, sets = langid.infer(model, texts[:60])
+        assert (pred, sets) == (languages[0], languages[2]) and np.allclose(score, languages[1])
+
+
 @pytest.mark.parametrize(("name", "label", "least"), [("op1_toxicity", "toxic", 0.85), ("op5_quality", "quality", 0.95)])
 def test_held_out_accuracy(spark, name, label, least):
     got = queries.queries()[name](spark, SOME).toPandas().merge(pd.read_parquet(f"{SOME}/labels.parquet"), on="doc_id")
@@ -99,6 +116,84 @@ def test_mixtures_equal_plain_inference(spark, corpus):
     assert max(map(len, sets)) > 2
 
 
+def test_ratios_equal_plain_kneser_ney():
+    """Continuation counts less a discount, and a shared backoff by the classes that saw the word."""
+    import math
+
+    counts = np.array([[5, 1, 0, 0, 7], [2, 0, 3, 0, 1]])
+    classes = [sum(c[w] > 0 for c in counts) or 0.5 for w in range(5)]
+    want = []
+    for w in range(5):
+        log = []
+        for own in counts:
+            kept = max(own[w] - toxicity.DISCOUNT, 0) / own.sum()
+            left = 1 - sum(max(x - toxicity.DISCOUNT, 0) for x in own) / own.sum()
+            log.append(math.log(kept + left * classes[w] / sum(classes)))
+        want.append(log[1] - log[0])
+    assert np.allclose(toxicity.log_ratios(counts), want, atol=1e-6)
+
+
+def test_counts_and_measures_equal_plain_ones(spark):
+    rows = [(1, "a b a b c", 0), (2, "a b x", 1), (3, "b c b c", 0), (4, None, 1), (5, "x x x", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    got = {(r.k0, r.k1): 0 for r in toxicity.bigrams(df).collect()}
+    seen = {}
+    for _, t, y in rows:
+        w = ["^", *(t or "").split()]
+        for pair in zip(w, w[1:], strict=False):
+            seen.setdefault(pair, set()).add(y)
+    found = toxicity.bigrams(df).collect()
+    assert sorted((r.k0, r.k1) for r in found) == sorted((int(0 in y), int(1 in y)) for y in seen.values()) and len(got) == 3
+    rng = np.random.default_rng(2)
+    model = toxicity.ToxicityModel(rng.normal(0, 1, 1 << toxicity.BITS).astype(np.float32), np.zeros(6))
+    texts = [b"a b c d e f", b"", b"b", b"c c"]
+    for t, m in zip(texts, model.measures(texts), strict=True):
+        r = [float(model.ratio[int(h) >> (64 - toxicity.BITS)]) for h in hash_words([t])[0]]
+        windows = [(r[i] + (r[i - 1] if i else 0.0)) / 2 for i in range(len(r))]
+        strong = sum(max(x - toxicity.STRONG, 0) for x in windows)
+        assert np.allclose(m, [sum(r) / len(r), max(windows), np.log(len(r)), (strong / len(r)) ** 0.5, np.log1p(strong)] if r else 0)
+
+
+def test_discriminant_equals_plain_densities():
+    """Means, shrunk covariances and Mahalanobis log-densities by their definitions; a class of too few rows takes the
+    pooled covariance."""
+    rng = np.random.default_rng(3)
+    for n1 in (60, 3):
+        x = [rng.normal(0, 1, (80, 4)), rng.normal(1, 2, (n1, 4))]
+        model = quality.discriminant(np.array([80.0, n1]), np.array([a.sum(0) for a in x]), np.array([a.T @ a for a in x]))
+        cov = [np.cov(a.T, bias=True) for a in x]
+        pooled = (80 * cov[0] + n1 * cov[1]) / (80 + n1)
+        probe = rng.normal(0, 1, (5, 4))
+        density = []
+        for k in (0, 1):
+            own = cov[k] if len(x[k]) > 4 else pooled
+            s = (1 - quality.TO_SPHERE) * ((1 - quality.TO_POOLED) * own + quality.TO_POOLED * pooled) + quality.TO_SPHERE * np.diag(np.diag(pooled)) + 1e-9 * np.eye(4)
+            d = probe - x[k].mean(0)
+            density.append(-0.5 * np.einsum("ij,jk,ik->i", d, np.linalg.inv(s), d) - 0.5 * np.linalg.slogdet(s)[1])
+        assert np.allclose(model.difference(probe), (density[1] - density[0]) / 4)
+
+
+def test_statistics_equal_plain_ones():
+    import math
+
+    texts = ["Hello, World!! 42\nHello\n\n", "", "héé --- ### a a a", "\n"]
+    for t, row in zip(texts, quality.statistics([x.encode() for x in texts]), strict=True):
+        raw = t.encode()
+        words = [w.lower() for w in re.findall(rb"(?:[A-Za-z0-9]|[\x80-\xff])+", raw)]
+        lines, n, w = raw.split(b"\n"), max(len(raw), 1), max(len(words), 1)
+        count = lambda f: sum(map(f, raw))
+        stop, letter, digit = (lambda b: b in b".,;:!?"), (lambda b: chr(b).isascii() and chr(b).isalpha()), (lambda b: 48 <= b <= 57)
+        symbol = lambda b: 32 < b < 127 and not (letter(b) or digit(b) or stop(b))
+        marks = count(stop) + count(symbol)
+        doubled = sum(a == b and symbol(a) for a, b in zip(raw, raw[1:], strict=False))
+        root = lambda a, b: math.sqrt(a / b)
+        want = [
+            math.log1p(len(raw)), math.log1p(len(words)), math.log1p((len(raw) - raw.count(b"\n")) / w), root(count(letter), n), root(count(digit), n), root(count(lambda b: letter(b) and b < 97), n), root(count(stop), n), root(count(symbol), n),
+            root(count(lambda b: b > 127), n), root(raw.count(b"\n"), n), root(len(set(words)), w), root(max(map(words.count, words), default=0), w), root(len(set(lines)), len(lines)), math.log1p(len(raw) / len(lines)), math.log1p(marks / w), root(doubled, n),
+        ]
+        assert np.allclose(row, want, atol=1e-5), t
+
+
 def test_odd_rows(spark, odd, none):
     labelled = odd.select("doc_id", "text", F.when(F.col("doc_id") % 2 == 0, 1).otherwise(0).alias("label"))
     tox = toxicity.score_toxicity(odd, toxicity.fit_toxicity(labelled), keep=["fp"]).toPandas()

@@ -188,7 +188,6 @@ def check_packing(rows, texts):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(queries.tokenizer_path())
-    tokenizer.encode_special_tokens = True
     ids = {i: np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 1], "<u4") for i, t in texts.items()}
     for i, own in ids.items():
         pieces = sorted((r for r in rows if r.doc_id == i), key=lambda r: r.start)
@@ -231,7 +230,6 @@ def test_ids_equal_the_tokenizer():
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(queries.tokenizer_path())
-    tokenizer.encode_special_tokens = True
     encode = packing.encoder(queries.tokenizer_path()).encode
     assert [encode(t).tolist() for t in ODD_TEXTS] == [tokenizer.encode(t, add_special_tokens=False).ids for t in ODD_TEXTS]
 

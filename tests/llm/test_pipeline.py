@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import re
+from itertools import takewhile
+
 import corpus_pipeline as p
-from noticeworks.llm import decontam, simhash
+from noticeworks.llm import decontam, langid, simhash
 
 from ..conftest import SMALL
+from .test_near_copies import grouped, similar_pairs
+from .test_near_duplicates import shares
+from .test_text_models import plain_mixture
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -54,3 +60,54 @@ def test_whole_pipeline(spark):
     packed = p.run(spark, SMALL)
     ids = {r.doc_id for r in docs.select("doc_id").collect()}
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == ids
+
+
+def cut_repeats(rows, length=100):
+    """Texts without the bytes of strings that start earlier; characters that are cut through stay."""
+    seen, out = set(), {}
+    for i, t in sorted(rows):
+        raw = t.encode()
+        gone = bytearray(len(raw))
+        for at in range(len(raw) - length + 1):
+            s = raw[at : at + length]
+            if s in seen:
+                gone[at : at + length] = b"\1" * length
+            seen.add(s)
+        at = 0
+        while at < len(raw):
+            size = 1 + sum(1 for _ in takewhile(lambda b: b & 0xC0 == 0x80, raw[at + 1 : at + 4]))
+            if not all(gone[at : at + size]):
+                gone[at : at + size] = bytes(size)
+            at += size
+        out[i] = bytes(b for b, g in zip(raw, gone, strict=True) if not g).decode()
+    return out
+
+
+def test_pipeline_equals_brute_force(spark, corpus):
+    """Every stage by its definition, one after the other, over the whole table."""
+    import zlib
+
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    docs = dict(zip(corpus.doc_id.tolist(), corpus.text.tolist(), strict=True))
+    lang = dict(zip(corpus.doc_id.tolist(), corpus.lang.tolist(), strict=True))
+    known = [(docs[i], lang[i]) for i in docs if zlib.crc32(str(i).encode()) % 3 != 1]
+    model = langid.fit_languages(spark.createDataFrame(known, "text string, lang string"))
+    judged = {i: plain_mixture(model, t) if re.search(r"[^\W\d_]", t or "") else None for i, t in docs.items()}
+    docs = {i: t for i, t in docs.items() if judged[i] and judged[i][1] >= p.LEAST_SHARE}
+    ids = sorted(docs)
+    near = grouped(ids, similar_pairs(ids, [docs[i] for i in ids]))
+    docs = {i: docs[i] for i in ids if near[i] == i}
+    docs = {i: t for i, t in cut_repeats(docs.items()).items() if t}
+    items = p.table(spark, SMALL, "benchmark").toPandas()
+    parts = [decontam.question_answer(t.encode()) for t in items.text]
+    docs = {i: t for i, t in docs.items() if not any(min(shares(x, t) for x in part) >= decontam.OVERLAP for part in parts)}
+    tokenizer = Tokenizer.from_file(p.tokenizer_path())
+    want = {i: np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 1], "<u4") for i, t in docs.items()}
+    rows = p.run(spark, SMALL).collect()
+    assert {r.doc_id for r in rows} == set(want)
+    for r in rows:
+        own = want[r.doc_id]
+        assert r.doc_tokens == len(own) and r.ids_crc32 == zlib.crc32(own[r.start : r.start + r.length].tobytes())
+    assert sum(r.length for r in rows) == sum(map(len, want.values()))

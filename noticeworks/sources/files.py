@@ -44,17 +44,21 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """(file, pos, value): lines of log files. ``pos`` rises along each file."""
-    return spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), (F.col("_metadata.file_block_start") * 1_000_000 + F.monotonically_increasing_id()).alias("pos"), "value")
+    """(file, pos, value): lines of log files. ``pos`` rises along each file: the place of the line's block, then
+    that of the line in its task."""
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("block"), row.alias("row")).alias("pos"), "value")
 
 
 def union_sources(readers: dict[str, Callable[[], DataFrame]]) -> tuple[DataFrame | None, dict[str, str]]:
     """Rows of all sources that could be opened, with source and ingest_ord (source rank above the row), and
-    the errors of the others. A source that fails does not stop the rest."""
+    the errors of the others. A source that fails when it is opened or when its first row is read does not stop the rest;
+    ``ingest_ord`` follows the order in which Spark reads a source."""
     out, errors = None, {}
     for rank, (name, read) in enumerate(readers.items()):
         try:
             rows = read()
+            rows.take(1)
         except Exception as e:  # noqa: BLE001  a source may fail in any way of its own
             errors[name] = str(e)
             continue

@@ -205,3 +205,25 @@ def test_streaming_monitor(spark, tmp_path):
         start_monitor(spark, str(tmp_path / "in"), str(tmp_path / "state"), str(tmp_path / "check"), deliver).awaitTermination(120)
     assert seen == [(0, 1)]
     assert Snapshots(spark, str(tmp_path / "state")).read(state.STATE_SCHEMA).count() == 1
+
+
+def test_lines_keep_their_order_over_blocks(spark, tmp_path):
+    """A file of many blocks, and files that share a task: ``pos`` follows the lines."""
+    for name, n in (("a.log", 4000), ("b.log", 3), ("c.log", 40)):
+        (tmp_path / name).write_text("".join(f"{i}\n" for i in range(n)))
+    held = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    try:
+        got = files.read_log(spark, str(tmp_path)).orderBy("file", "pos").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", held)
+    by = {}
+    for r in got:
+        by.setdefault(r.file.rsplit("/", 1)[-1], []).append(int(r.value))
+    assert by == {"a.log": list(range(4000)), "b.log": [0, 1, 2], "c.log": list(range(40))}
+
+
+def test_a_source_that_fails_when_read_does_not_stop_the_rest(spark):
+    bad = lambda: spark.range(3).select(F.raise_error(F.lit("broken")).alias("x"))
+    rows, errors = files.union_sources({"good": lambda: spark.range(2).select(F.col("id").cast("string").alias("x")), "bad": bad})
+    assert rows.count() == 2 and "broken" in errors["bad"]

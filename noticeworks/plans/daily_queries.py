@@ -14,7 +14,9 @@ from noticeworks.operators import dedup, digest, gate, link, logs, recall, repli
 from noticeworks.sources import api, files, pages
 from noticeworks.tables import Snapshots, new_path
 
-from .queries import PACK, _doc_cache, _doc_rows, _log_lines, _order_rows, _state, notices, query, table
+from noticeworks.streaming import monitor as streaming
+
+from .queries import _GATED, _TAGS, PACK, _doc_cache, _doc_rows, _log_lines, _order_rows, _state, notices, query, table
 
 STRINGS = "array<string>"
 
@@ -653,3 +655,29 @@ def source_states(spark, sf_dir):
     days = table(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("day")).agg(F.collect_list(status).alias("source_status"))
     run = logs.run_sources(F.struct("source_status"))
     return days.select("day", run["ok"].alias("ok"), run["failed"].alias("failed"))
+
+
+# Streams
+
+@query(f"SELECT doc_id, array_to_string({_TAGS}, ',') AS tags FROM documents WHERE {_GATED}")
+def streamed_gate(spark, sf_dir):
+    """P9 over a watched folder, some files a micro-batch."""
+    source, out = new_path(spark, "stream-in"), new_path(spark, "stream-out")
+    rows = notices(spark, sf_dir).repartition(6)
+    rows.write.parquet(source)
+    schema = "doc_id long, title string, organization string, summary string, category string, metadata map<string,string>"
+    streaming.start_gate(spark, source, out, new_path(spark, "stream-checkpoint"), schema=schema, pack=PACK, files=2).awaitTermination()
+    return spark.read.parquet(out).select("doc_id", F.array_join("tags", ",").alias("tags"))
+
+
+@query("SELECT 'c:' || o_custkey AS primary_key, count(*) > 0 AS held FROM orders GROUP BY o_custkey")
+def streamed_state(spark, sf_dir):
+    """J5, J8, K1 over micro-batches: each customer is notified once, whatever the batch."""
+    source, held = new_path(spark, "stream-in"), new_path(spark, "stream-state")
+    key = F.concat(F.lit("c:"), F.col("o_custkey").cast("string"))
+    date = F.lit(None).cast("date")
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ingest_ord"), F.array(key).alias("keys"), key.alias("primary_key"), F.col("o_orderpriority").alias("title"), F.col("o_orderstatus").alias("organization"), F.lit("gov_pcc").alias("source"), date.alias("announcement_date"), date.alias("bid_date"), F.lit("").alias("bid_deadline"))
+    rows.repartition(3).write.parquet(source)
+    schema = "ingest_ord long, keys array<string>, primary_key string, title string, organization string, source string, announcement_date date, bid_date date, bid_deadline string"
+    streaming.start_notified(spark, source, held, new_path(spark, "stream-checkpoint"), schema=schema, files=1).awaitTermination()
+    return Snapshots(spark, held).read(state.STATE_SCHEMA).select("primary_key", F.lit(True).alias("held"))

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from noticeworks.operators.state import STATE_SCHEMA
+from noticeworks.operators import gate
+from noticeworks.operators.state import STATE_SCHEMA, drop_notified, mark_notified
 from noticeworks.plans.monitor import BIDS, monitor
 from noticeworks.rules import DEFAULT, RulePack
 from noticeworks.tables import Snapshots
@@ -26,3 +27,22 @@ def start_monitor(spark: SparkSession, source: str, state_path: str, checkpoint:
 
     stream = spark.readStream.schema(BIDS).parquet(source).writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return (stream.trigger(availableNow=True) if once else stream.trigger(processingTime="1 minute")).start()
+
+
+def start_gate(spark: SparkSession, source: str, out: str, checkpoint: str, *, schema: str = BIDS, pack: RulePack = DEFAULT, files: int = 100, once: bool = True) -> StreamingQuery:
+    """Notices of a watched folder that pass the gate, appended to ``out``. Stateless, so it scales with its files."""
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(source)
+    stream = gate.filter_notices(rows, pack).writeStream.format("parquet").option("checkpointLocation", checkpoint).option("path", out)
+    return (stream.trigger(availableNow=True) if once else stream.trigger(processingTime="1 minute")).start()
+
+
+def start_notified(spark: SparkSession, source: str, state_path: str, checkpoint: str, *, schema: str, files: int = 100, once: bool = True) -> StreamingQuery:
+    """Keeps the state of a watched folder of keyed rows: each micro-batch resolves against the state before it."""
+    snapshots = Snapshots(spark, state_path)
+
+    def run(batch: DataFrame, number: int) -> None:
+        held = snapshots.read(STATE_SCHEMA)
+        snapshots.write(mark_notified(held, drop_notified(batch, held), F.current_timestamp()))
+
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(source).writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+    return (stream.trigger(availableNow=True) if once else stream.trigger(processingTime="1 minute")).start()

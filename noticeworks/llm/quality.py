@@ -67,7 +67,7 @@ def statistics(texts: list[bytes]) -> np.ndarray:
 
 
 def document_statistics(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, stats array<double>); null texts count as empty."""
+    """(id, stats array<double>); null texts count as empty. Repeated rows stay; an empty table gives an empty result."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in byte_chunks(batches, text_col):
@@ -151,7 +151,8 @@ def fit_quality(labelled: DataFrame) -> Discriminant:
 
 
 def score_quality(stats: DataFrame, model: Discriminant, *, keep: list[str]) -> DataFrame:
-    """``keep`` columns and score (0 to 1, the probability of label 1) of each row with ``stats``."""
+    """``keep`` columns and score (0 to 1, the probability of label 1) of each row with ``stats``. A model without rows
+    gives 0.5 to all; repeated rows stay; an empty table gives an empty result."""
     types = dict(stats.dtypes)
     shared = stats.sparkSession.sparkContext.broadcast(model)
 

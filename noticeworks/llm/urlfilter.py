@@ -54,7 +54,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id", u
     ``rules`` has host, path and action ('allow' or 'block'). A rule fits its host and all subdomains of it if the
     URL's path starts with the rule's. Returns one row per row of ``pages``: the id, host, path, rule (null if none
     fits) and verdict (``default`` if none fits). Every rule and every (host suffix, path prefix) of a URL is a
-    canonical key; the blocked Bloom filter of the rules' keys passes possible hits to an exact join.
+    canonical key (suffixes and prefixes of the sizes that rules have); the blocked Bloom filter of the rules' keys passes possible hits to an exact join.
 
     Null URLs and URLs without ``://`` have an empty host and path and fit no rule with a host. Of equal rules the
     action that sorts last ('block') counts. Repeated rows stay; an empty table gives an empty result; other columns
@@ -67,12 +67,14 @@ def judge_urls(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id", u
         .groupBy(F.concat("rule_host", "rule_path").alias("key"))
         .agg(F.max("action").alias("action"))
     )
-    # As many numbers as rule paths have lengths: bounded by the length of a URL.
-    sizes = sorted(r[0] for r in rules.select(F.length(F.coalesce("path", F.lit(""))).alias("n")).distinct().collect())
+    # As many numbers as rule paths have lengths, and rule hosts numbers of labels: bounded by the length of a URL.
+    shapes = rules.select(F.length(F.coalesce("path", F.lit(""))).alias("n"), F.size(F.split("host", r"\.", -1)).alias("k")).agg(F.array_sort(F.collect_set("n")), F.array_sort(F.collect_set("k"))).first()
+    sizes, counts = shapes[0], [k for k in shapes[1] if k > 0]
     n_rules, n_bytes = listed.agg(F.count("*"), F.coalesce(F.sum(F.length("key") + 32), F.lit(0))).first()
     n_blocks = max(1, -(-n_rules // KEYS_PER_BLOCK))
     labels = F.split("host", r"\.", -1)
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    ends = [F.when(F.size(labels) >= k, F.array_join(F.slice(labels, -k, k), ".")) for k in counts]
+    suffixes = F.filter(F.array(*ends), lambda s: s.isNotNull()) if ends else F.array().cast("array<string>")
     prefixes = F.filter(F.array(*(F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in sizes)), lambda p: p.isNotNull()) if sizes else F.array().cast("array<string>")
     keys = F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(s, p))))
     asked = urls.groupBy("host", "path").agg(F.count("*").alias("n")).select("host", "path", F.explode(keys).alias("key"))

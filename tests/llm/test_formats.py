@@ -235,7 +235,7 @@ def test_ids_equal_the_tokenizer():
 
 
 def test_url_rules(spark):
-    urls = ["https://example.com/en/x", "http://WWW.Example.COM/en/?q", "//example.com/en/", "http://shop.net/es/", "http://shop.net/es", "http://net/fr/a#b", "http://com", "http://com/", "http://notexample.com/en/", None, "", "x://", "a\n://b.com/c", "http://example.com:80/en/"]
+    urls = ["https://example.com/en/x", "http://WWW.Example.COM/en/?q", "//example.com/en/", "http://shop.net/es/", "http://shop.net/es", "http://net/fr/a#b", "http://com", "http://com/", "http://notexample.com/en/", None, "", "x://", "a\n://b.com/c", "http://example.com:80/en/", "http://" + "a." * 3000 + "net/fr/" + "x" * 9000, "http://net.", "http://.net/es/"]
     pages = spark.createDataFrame([(i, u, "x", "y") for i, u in enumerate(urls)] + [(0, urls[0], "x", "y")], "page_id long, url string, rule string, key string")
     got = [(r.host, r.path, r.rule, r.verdict) for r in urlfilter.judge_urls(pages, spark.sql(queries.URL_RULES).toDF("host", "path", "action")).orderBy("page_id").collect()]
     rules = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]

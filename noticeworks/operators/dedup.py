@@ -120,6 +120,8 @@ def merge_groups(df: DataFrame, group: str, *, pack: RulePack = DEFAULT) -> Data
     names = [c for c in df.columns if c != group]
     held = store(df, "dedup-rows").df
     several = held.groupBy(group).agg(F.count("*").alias("_n")).filter("_n > 1").select(group)
+    if several.isEmpty():
+        return held
     marked = store(_with_winners(held.join(several, group).withColumns(_rank(pack)), group), "dedup-marked").df
     confidence = F.col("metadata")["keyword_confidence"]
     class_ = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in CONFIDENCE.items() for x in kv)), strip(confidence)), F.lit(-1))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from noticeworks.functions.text import log_literal, log_number
 
@@ -14,10 +15,35 @@ RUN_SCHEMA = "crawled_count int, filtered_count int, deduped_count int, new_coun
 FAILURES = ["embedding_model_load_failed", "embedding_recall_failed", "source_failed", "notification_failed", "embedding_ab_failed"]
 
 
+#: Rows of a partition whose neighbours are looked up together.
+CHUNK = 1 << 14
+
+
+def _chunk(df: DataFrame, order: str) -> Column:
+    """The chunk that a row's place falls into; places are numbers, or (block, row) as ``read_log`` gives them."""
+    last = F.col(order)
+    if isinstance(df.schema[order].dataType, StructType):
+        block, row = df.schema[order].dataType.names
+        return F.struct(last[block].alias("b"), F.floor(last[row] / CHUNK).alias("r"))
+    return F.struct(F.lit(0).alias("b"), F.floor(last / CHUNK).alias("r"))
+
+
 def drop_repeated(df: DataFrame, *, value: str, partition: list[str], order: str) -> DataFrame:
-    """Rows whose value equals that of the row before; empty values are dropped and do not come between."""
-    by = Window.partitionBy(*partition).orderBy(order)
-    return df.filter(F.coalesce(F.col(value), F.lit("")) != "").withColumn("_last", F.lag(value).over(by)).filter(~F.col(value).eqNullSafe(F.col("_last"))).drop("_last")
+    """Rows whose value equals that of the row before; empty values are dropped and do not come between.
+
+    The row before is looked up inside chunks of CHUNK places, and for a chunk's first row among the chunks' last
+    values, so one long partition is spread over tasks."""
+    rows = df.filter(F.coalesce(F.col(value), F.lit("")) != "").withColumn("_chunk", _chunk(df, order))
+    ends = rows.groupBy(*partition, "_chunk").agg(F.max_by(value, order).alias("_end"))
+    before = ends.withColumn("_end", F.lag("_end").over(Window.partitionBy(*partition).orderBy("_chunk")))
+    last = F.lag(value).over(Window.partitionBy(*partition, "_chunk").orderBy(order))
+    names = [*partition, "_chunk"]
+    before = before.select(*(F.col(c).alias(f"_of{i}") for i, c in enumerate(names)), "_end")
+    same = F.lit(True)
+    for i, c in enumerate(names):
+        same = same & F.col(c).eqNullSafe(F.col(f"_of{i}"))
+    joined = rows.join(before, same, "left")
+    return joined.withColumn("_last", F.coalesce(last, "_end")).filter(~F.col(value).eqNullSafe(F.col("_last"))).select(*df.columns)
 
 
 def scan_log(lines: DataFrame, *, line: str = "value", file: str = "file", pos: str = "pos") -> DataFrame:

@@ -227,3 +227,19 @@ def test_a_source_that_fails_when_read_does_not_stop_the_rest(spark):
     bad = lambda: spark.range(3).select(F.raise_error(F.lit("broken")).alias("x"))
     rows, errors = files.union_sources({"good": lambda: spark.range(2).select(F.col("id").cast("string").alias("x")), "bad": bad})
     assert rows.count() == 2 and "broken" in errors["bad"]
+
+
+def test_repeats_are_dropped_over_chunks(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(i, rng.choice(["f", "g", None]), rng.choice(["a", "b", "", None])) for i in range(300)]
+    want = []
+    for f in ("f", "g", None):
+        last = None
+        for i, own, v in rows:
+            if own == f and v:
+                want += [i] if v != last else []
+                last = v
+    for chunk in (1, 7, 1 << 14):
+        monkeypatch.setattr(logs, "CHUNK", chunk)
+        df = spark.createDataFrame(rows, "pos long, file string, value string").repartition(3)
+        assert sorted(r.pos for r in logs.drop_repeated(df, value="value", partition=["file"], order="pos").collect()) == sorted(want)

@@ -25,7 +25,7 @@ NAMES = {MULAW: "mulaw", ALAW: "alaw", IMA_ADPCM: "ima_adpcm"}
 RATES = {MULAW: 8000, ALAW: 8000, IMA_ADPCM: 16000}
 RATE, UNIT, FILL = 8000, 576, 255
 #: Parquet options of the media tables: they hold what is hard to compress, and much of it.
-STORED = {"compression": "zstd", "parquet.compression.codec.zstd.level": "6"}
+STORED = {"compression": "zstd", "parquet.compression.codec.zstd.level": "9", "parquet.page.size": str(8 << 20)}
 BLOCK_SAMPLES = 1 + 2 * (UNIT - 4)
 #: Fixed values of the IMA ADPCM format.
 INDEX_STEP = np.array([-1, -1, -1, -1, 2, 4, 6, 8], np.int32)

@@ -321,7 +321,7 @@ def active_rows(spark, sf_dir):
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderkey % 4 <> 1 AND (o_orderkey % 5 = 0 OR CAST(o_orderdate AS DATE) >= DATE '1998-06-15')")
-def open_listings(spark, sf_dir):
+def listings_still_open(spark, sf_dir):
     """S2."""
     k = F.col("o_orderkey")
     rows = table(spark, sf_dir, "orders").select("o_orderkey", F.when(k % 5 > 0, F.to_date("o_orderdate")).alias("bid_date"), F.when(k % 4 == 1, "115/01/02 已決標").otherwise("115/01/02").alias("date_text"))

@@ -1,8 +1,9 @@
 """SimHash near-duplicates, with pivot distance tables.
 
 Fingerprints that differ in at most 4 of 64 bits agree in at least 3 of 7 bit blocks, so every link lies in one of
-35 tables keyed by three blocks. Candidate pairs of a bucket are held against the table of their distances to fixed
-pivots: if a coordinate differs by more than the allowed distance, so do the fingerprints. Survivors are verified.
+35 tables keyed by three blocks. Candidate pairs of a bucket, in both passes below, are held against the table of their
+distances to fixed pivots: if a coordinate differs by more than the allowed distance, so do the fingerprints. Survivors
+are verified.
 
 Only links between different components are of interest, so a first pass links neighbours in sorted buckets, and the
 second pass looks only into buckets that still hold several components. No bucket's pairs are all written out.
@@ -73,10 +74,13 @@ def table_keys(fp: Column) -> Column:
     return F.array(*keys)
 
 
+#: Reference fingerprints: multiples of an odd constant, so they are spread.
+PIVOT_VALUES = [(0x9E3779B97F4A7C15 * (i + 1)) % (1 << 64) for i in range(PIVOTS)]
+
+
 def pivot_distances(fp: Column) -> list[Column]:
-    """Distances to the pivots, eight to a long. Pivots are multiples of an odd constant, so they are spread."""
-    pivots = [(0x9E3779B97F4A7C15 * (i + 1)) % (1 << 64) for i in range(PIVOTS)]
-    signed = [p - (1 << 64) if p >> 63 else p for p in pivots]
+    """Distances to the pivots, eight to a long."""
+    signed = [p - (1 << 64) if p >> 63 else p for p in PIVOT_VALUES]
     packed = []
     for i in range(0, PIVOTS, 8):
         total = F.lit(0).cast("long")
@@ -95,6 +99,16 @@ def _near(a: str, b: str, distance: int) -> Column:
     return near & (F.bit_count(F.col(f"{a}.fp").bitwiseXOR(F.col(f"{b}.fp"))) <= distance)
 
 
+def near_pairs(fp: np.ndarray, a: np.ndarray, b: np.ndarray, distance: int) -> np.ndarray:
+    """Which of the pairs of places a and b are within ``distance``: pivot by pivot, pairs whose coordinates differ by
+    more are discarded, and the fingerprints of those that survive are compared."""
+    left = np.arange(len(a))
+    for pivot in PIVOT_VALUES:
+        to = np.bitwise_count(fp ^ np.uint64(pivot)).astype(np.int8)
+        left = left[np.abs(to[a[left]] - to[b[left]]) <= distance]
+    return left[np.bitwise_count(fp[a[left]] ^ fp[b[left]]) <= distance]
+
+
 def _neighbour_links(tables: DataFrame, distance: int) -> DataFrame:
     """Links between near neighbours in the order of (key, fp); which are found depends on the partitioning."""
 
@@ -104,7 +118,8 @@ def _neighbour_links(tables: DataFrame, distance: int) -> DataFrame:
             key, fp = np.concatenate([tail, [batch.column("key").to_numpy(), batch.column("fp").to_numpy()]], axis=1)
             u, v = [], []
             for d in range(1, min(NEIGHBOURS, len(fp) - 1) + 1):
-                near = np.flatnonzero((key[d:] == key[:-d]) & (np.bitwise_count((fp[d:] ^ fp[:-d]).view(np.uint64)) <= distance))
+                same = np.flatnonzero(key[d:] == key[:-d])
+                near = same[near_pairs(fp.view(np.uint64), same, same + d, distance)]
                 u.append(np.maximum(fp[near + d], fp[near]))
                 v.append(np.minimum(fp[near + d], fp[near]))
             if u:

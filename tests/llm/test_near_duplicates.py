@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import re
 
+import numpy as np
 import xxhash
 
 from noticeworks.llm import decontam, queries, simhash
@@ -62,6 +63,16 @@ def test_dense_clusters_and_chains(spark):
     assert all(len(r) == 1 for r in seen.values()) and len({next(iter(r)) for r in seen.values()}) == len(seen)
 
 
+def test_pivots_lose_no_pair():
+    rng = random.Random(3)
+    fps = [rng.getrandbits(64) for _ in range(40)]
+    fps += [f ^ sum(1 << b for b in rng.sample(range(64), k % 7)) for k, f in enumerate(fps)]
+    a, b = np.array([(i, j) for i in range(80) for j in range(i)]).T
+    for distance in (0, 2, 4):
+        got = simhash.near_pairs(np.array(fps, np.uint64), a, b, distance)
+        assert got.tolist() == [k for k, (i, j) in enumerate(zip(a, b, strict=True)) if (fps[i] ^ fps[j]).bit_count() <= distance]
+
+
 def test_odd_rows(odd, none):
     got = simhash.near_duplicates(odd).toPandas()
     assert len(got) == odd.count()

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from noticeworks.functions import amounts as A
@@ -19,6 +19,7 @@ from noticeworks.functions import text as X
 from noticeworks.operators import dedup, digest, gate, link, logs, recall, state
 from noticeworks.rules import RulePack
 from noticeworks.sources import api, pages
+from noticeworks.tables import store
 
 PACK = RulePack(
     org_include=["src1", "src2"], org_exclude_strong=["src13"], org_exclude_weak=["src19"], org_whitelist=["src2"], project_context=["licensed", "street"],
@@ -536,9 +537,10 @@ def rank_notifications(spark, sf_dir):
     """Places in the order of notifications, numbered partition by partition of the sorted rows."""
     p = F.col("o_orderpriority")
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ingest_ord"), F.to_date("o_orderdate").alias("bid_date"), F.lit(None).cast("date").alias("announcement_date"), F.col("o_totalprice").alias("amount_value"), F.when(p == "1-URGENT", "high").when(p == "2-HIGH", "medium").when(p == "3-MEDIUM", "low").otherwise("").alias("ai_priority"))
-    ranked = gate.rank_notifications(rows).withColumns({"part": F.spark_partition_id(), "at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
-    sizes = ranked.groupBy("part").agg(F.count("*").alias("n"))
-    before = sizes.alias("a").join(sizes.alias("b"), F.col("b.part") < F.col("a.part"), "left").groupBy(F.col("a.part").alias("part")).agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("before"))
+    # Written once, so that the places and the partitions' sizes are of one sort; a row for each partition is counted up.
+    ranked = store(gate.rank_notifications(rows).withColumns({"part": F.spark_partition_id(), "at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}), "ranked").df
+    upto = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = ranked.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"))
     return ranked.join(F.broadcast(before), "part").select(F.col("ingest_ord").alias("o_orderkey"), (F.col("before") + F.col("at") + 1).alias("place"))
 
 

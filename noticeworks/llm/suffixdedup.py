@@ -305,10 +305,12 @@ def removed_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     later = found.df.join(first.df.filter("rows > 1").select("gram", "ctx", "first"), ["gram", "ctx"]).filter(F.struct("first.id", "first.tid", "first.lo") < here).select("id", "tid", "lo", "n")
     whole = store(later, "suffix-whole")
     found.drop()
-    several = first.df.groupBy("gram").agg(F.count("*").alias("contexts")).filter("contexts > 1").select("gram")
-    reps = first.df.join(several, "gram").select("first.*")
+    # Written, so that the join deals both sides itself and can split a gram of very many contexts.
+    several = store(first.df.groupBy("gram").agg(F.count("*").alias("contexts")).filter("contexts > 1").select("gram"), "suffix-several")
+    reps = first.df.join(several.df, "gram").select("first.*")
     contested = store(_with_bytes(reps, docs, id_col, text_col, length).withColumn("frag", F.monotonically_increasing_id()), "suffix-contested")
-    first.drop()
+    for held in (first, several):
+        held.drop()
     sorted_out = repeats(contested.df, length).select("id", "tid", F.col("p").alias("lo"), F.lit(1).alias("n"))
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +15,7 @@ from noticeworks.tables import Stored, drop_path, new_path, shared_dir, store
 
 from .wordhash import mix
 
-__all__ = ["Stored", "bloom_filter", "byte_chunks", "drop_path", "fold", "may_hold", "new_path", "runs", "shared_dir", "store"]
+__all__ = ["Stored", "bloom_filter", "byte_chunks", "drop_path", "fold", "may_hold", "new_path", "pieces", "runs", "shared_dir", "store"]
 
 #: Bytes of text that a task turns into arrays at a time.
 CHUNK_BYTES = 1 << 20
@@ -48,6 +49,18 @@ def byte_chunks(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterat
             yield batch.slice(i, j - i), [x or b"" for x in column.slice(i, j - i).to_pylist()]
 
 
+def pieces(text: bytes, word: re.Pattern[bytes]) -> Iterator[bytes]:
+    """Pieces of about CHUNK_BYTES of a text that cut none of its longest matches of ``word``."""
+    at = 0
+    while len(text) - at > CHUNK_BYTES:
+        end = at + CHUNK_BYTES
+        if rest := word.match(text, end):
+            end = rest.end()
+        yield text[at:end]
+        at = end
+    yield text[at:]
+
+
 def _places(h: np.ndarray, bits: int) -> list[np.ndarray]:
     """Three places of a hash in a Bloom filter of ``bits`` (a power of two)."""
     x, y = mix(h), mix(h ^ np.uint64(0xD6E8FEB86659FD93))

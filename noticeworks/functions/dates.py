@@ -77,7 +77,7 @@ def parse_deadline(c: Column) -> Column:
 
 def deadline_at(parsed: Column) -> Column:
     """The deadline as a timestamp without zone; null for a day alone."""
-    return F.when(parsed["minutes"].isNotNull(), F.timestamp_seconds(F.unix_date(parsed["d"]) * 86400 + parsed["minutes"] * 60))
+    return F.when(parsed["minutes"].isNotNull(), F.timestamp_seconds(F.unix_date(parsed["d"]).cast("long") * 86400 + parsed["minutes"] * 60))
 
 
 def is_expired(c: Column, now: Column) -> Column:

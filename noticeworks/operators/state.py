@@ -47,6 +47,15 @@ def mark_notified(entries: DataFrame, batch: DataFrame, now: Column, *, row: str
     """J8 (J9 without ``by_alias``): entries after a batch. Aliases unite, the last row describes, first times stay.
 
     Rows resolve against the entries as they were before the batch."""
+    return _upsert(entries, batch, now, row, by_alias, "full_outer")
+
+
+def changed_entries(entries: DataFrame, batch: DataFrame, now: Column, *, row: str = "ingest_ord", by_alias: bool = True) -> DataFrame:
+    """Those entries of ``mark_notified`` that the batch adds or changes."""
+    return _upsert(entries, batch, now, row, by_alias, "right_outer")
+
+
+def _upsert(entries: DataFrame, batch: DataFrame, now: Column, row: str, by_alias: bool, how: str) -> DataFrame:
     named = _targets(batch, entries, row, by_alias)
     # Keys repeat from row to row, so they are made distinct before they are gathered.
     names = named.select("entry", F.explode(F.concat(F.array("entry", "primary_key"), F.col("keys"))).alias("key")).distinct().groupBy("entry").agg(F.array_sort(F.collect_list("key")).alias("aliases"))
@@ -54,7 +63,7 @@ def mark_notified(entries: DataFrame, batch: DataFrame, now: Column, *, row: str
         F.max_by(F.struct(F.left("title", F.lit(300)).alias("title"), F.left("organization", F.lit(240)).alias("org"), "source", "announcement_date", "bid_date", "bid_deadline"), row).alias("n"),
     ).join(names, "entry")
     old = entries.select(F.col("primary_key").alias("entry"), F.struct(*entries.columns).alias("o"))
-    both = old.join(new, "entry", "full_outer")
+    both = old.join(new, "entry", how)
     is_new = F.col("n").isNotNull()
     pick = lambda c: F.when(is_new, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}"))
     held = F.coalesce("o.alias_keys", F.array().cast("array<string>"))

@@ -10,12 +10,15 @@ from noticeworks.functions import classify as C
 from noticeworks.functions import dates as D
 from noticeworks.functions import keys as K
 from noticeworks.functions import text as X
+from noticeworks.keyed import KeyedTable
 from noticeworks.operators import dedup, digest, gate, link, logs, recall, replies, standardize, state
+from noticeworks.operators.notified import NotifiedState
 from noticeworks.sources import api, files, pages
 from noticeworks.tables import Snapshots, new_path
 
 from noticeworks.streaming import monitor as streaming
 
+from .monitor import complete
 from .queries import _GATED, _TAGS, PACK, _doc_cache, _doc_rows, _log_lines, _order_rows, _state, notices, query, table
 
 STRINGS = "array<string>"
@@ -418,8 +421,6 @@ def deduplicate(spark, sf_dir):
 @query()
 def fuzzy_dedup(spark, sf_dir):
     """D3: page titles of one host; tests hold it against a sequential model."""
-    from .monitor import complete
-
     title = F.regexp_extract("html", r"(?is)<title>(.*?)</title>", 1)
     host = F.regexp_extract("url", "^[^:]*://([^/?#]*)", 1)
     rows = complete(table(spark, sf_dir, "pages").select(F.col("page_id").alias("ingest_ord"), title.alias("title"), host.alias("organization"), "url", F.lit("gov_pcc").alias("source"))).withColumn("tags", F.array("organization"))
@@ -430,17 +431,28 @@ def fuzzy_dedup(spark, sf_dir):
 # State, cache and queue
 
 @query(
-    """WITH o AS (SELECT *, CAST(o_orderdate AS DATE) < DATE '1998-01-01' AS early FROM orders), s AS (SELECT o_custkey, min(o_orderkey) AS entry, min(o_orderdate) AS first FROM o WHERE early GROUP BY o_custkey)
-    SELECT 'o:' || entry AS primary_key, first AS first_seen, false AS new FROM s UNION ALL SELECT 'o:' || o_orderkey, TIMESTAMP '2024-01-01 00:00:00', true FROM o WHERE NOT early"""
+    """WITH b AS (SELECT o_custkey, o_orderkey, o_orderkey % 10 AS turn, CAST(o_orderdate AS DATE) AS day FROM orders),
+    g AS (SELECT 'c:' || o_custkey AS primary_key, turn, arg_max(day, o_orderkey) AS day FROM b GROUP BY o_custkey, turn),
+    l AS (SELECT primary_key, max(turn) AS turn FROM g GROUP BY primary_key)
+    SELECT primary_key, CAST(TIMESTAMP '2024-01-01 00:00:00' + to_days(CAST(turn AS INT)) AS TIMESTAMP) AS first_seen, day AS bid_date FROM g JOIN l USING (primary_key, turn)
+    WHERE CAST(regexp_extract(primary_key, '[0-9]+') AS BIGINT) % 5 <> 0"""
 )
 def table_upsert(spark, sf_dir):
-    """J9, K3, by snapshots: rows go by their own primary key, and what is seen again starts anew."""
-    now = F.lit("2024-01-01").cast("timestamp")
-    batch = _order_rows(spark, sf_dir).filter("day >= '1998-01-01'").withColumns({"announcement_date": F.lit(None).cast("date"), "bid_date": F.col("day"), "bid_deadline": F.lit("")})
-    held = Snapshots(spark, new_path(spark, "state"))
-    held.write(_state(spark, sf_dir))
-    held.write(state.mark_notified(held.read(state.STATE_SCHEMA), batch, now, by_alias=False))
-    return held.read(state.STATE_SCHEMA).select("primary_key", F.col("first_seen_at").cast("timestamp_ntz").alias("first_seen"), (F.col("last_seen_at") == now).alias("new"))
+    """Ten batches of orders change a keyed table of customers; each writes what it changes, what is seen
+    again starts anew, some entries are taken out, and the deltas are merged halfway."""
+    held = KeyedTable(spark, new_path(spark, "state"), state.STATE_SCHEMA, ["primary_key"], buckets=8)
+    rows = _order_rows(spark, sf_dir).withColumns({"primary_key": F.get("keys", 1), "announcement_date": F.lit(None).cast("date"), "bid_date": F.col("day"), "bid_deadline": F.lit("")})
+    rows = rows.withColumns({"keys": F.array("primary_key"), "turn": F.col("ingest_ord") % 10})
+    for turn in range(10):
+        batch = rows.filter(F.col("turn") == turn)
+        known = held.lookup(batch.select("primary_key"))
+        now = F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(F.lit(turn))
+        held.write(state.changed_entries(known, batch, now, by_alias=False))
+        if turn == 4:
+            held.compact()
+    fifth = held.read().filter(F.regexp_extract("primary_key", r"(\d+)", 1).cast("long") % 5 == 0)
+    held.write(held.read().limit(0), gone=fifth)
+    return held.read().select("primary_key", F.col("first_seen_at").cast("timestamp_ntz").alias("first_seen"), "bid_date")
 
 
 _CACHE = "SELECT 'd:' || doc_id AS primary_key FROM labels WHERE NOT (doc_id % 3 = 0 OR quality = 1)"
@@ -680,4 +692,31 @@ def streamed_state(spark, sf_dir):
     rows.repartition(3).write.parquet(source)
     schema = "ingest_ord long, keys array<string>, primary_key string, title string, organization string, source string, announcement_date date, bid_date date, bid_deadline string"
     streaming.start_notified(spark, source, held, new_path(spark, "stream-checkpoint"), schema=schema, files=1).awaitTermination()
-    return Snapshots(spark, held).read(state.STATE_SCHEMA).select("primary_key", F.lit(True).alias("held"))
+    return NotifiedState(spark, held).read().select("primary_key", F.lit(True).alias("held"))
+
+
+@query("SELECT 'c:' || c_custkey AS url, count(*) AS n FROM customer WHERE c_custkey % 5 <> 0 GROUP BY 1")
+def streamed_deliveries(spark, sf_dir):
+    """J5, J8, P10, T1 over micro-batches with an outbox: the first delivery of each batch fails, some notices come in
+    both batches, some are over. After a restart each of the others has been delivered once."""
+    source, held, waiting, sent = (new_path(spark, n) for n in ("stream-in", "stream-state", "stream-outbox", "stream-sent"))
+    c = table(spark, sf_dir, "customer")
+    url = F.concat(F.lit("c:"), F.col("c_custkey").cast("string"))
+    due = F.when(F.col("c_custkey") % 5 == 0, "112/01/02 17:00").otherwise("299/12/31 17:00")
+    rows = c.select(F.col("c_custkey").alias("ingest_ord"), F.concat(F.lit("資訊設備採購 "), F.md5("c_name")).alias("title"), F.concat(F.col("c_name"), F.lit(" 國小")).alias("organization"), F.lit("g0v").alias("source"), url.alias("url"), due.alias("bid_deadline"))
+    rows = complete(rows)
+    for part in (rows.filter("ingest_ord % 3 <> 0"), rows.filter("ingest_ord % 3 <> 1")):
+        part.coalesce(1).write.mode("append").parquet(source)
+    tried: set[int] = set()
+
+    def deliver(new, number):
+        if number not in tried:
+            tried.add(number)
+            return False
+        new.select("url").write.mode("append").parquet(sent)
+        return True
+
+    checkpoint = new_path(spark, "stream-checkpoint")
+    for _ in range(3):
+        streaming.start_monitor(spark, source, held, waiting, checkpoint, deliver, files=1).awaitTermination()
+    return spark.read.parquet(sent).groupBy("url").agg(F.count("*").alias("n"))

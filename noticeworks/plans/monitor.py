@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -52,9 +53,21 @@ class MonitorResult:
     queue: DataFrame | None
 
 
-def monitor(bids: DataFrame, notified: DataFrame, now: Column, *, pack: RulePack = DEFAULT, cache: DataFrame | None = None, queue: DataFrame | None = None, recent_days: int = 3, retention_days: int = 90, backfill_sources: tuple[str, ...] = ("gov_pcc", "g0v"), propagate_hint: bool = False) -> MonitorResult:
+def monitor(
+    bids: DataFrame,
+    notified: DataFrame | Callable[[DataFrame], DataFrame],
+    now: Column,
+    *,
+    pack: RulePack = DEFAULT,
+    cache: DataFrame | None = None,
+    queue: DataFrame | None = None,
+    recent_days: int = 3,
+    retention_days: int = 90,
+    backfill_sources: tuple[str, ...] = ("gov_pcc", "g0v"),
+    propagate_hint: bool = False,
+) -> MonitorResult:
     """Entry A without its deliveries: hints, gate, duplicates, cache, expiry, state anti-join, ranking, and the state
-    and queue to write once the digest was sent."""
+    and queue to write once the digest was sent. ``notified`` is the state, or gives the entries that rows can meet."""
     bids = complete(bids)
     formal, _ = apply_hints(bids, propagate_hint=propagate_hint)
     gated = gate.filter_notices(formal.withColumn("metadata", F.when(F.col("category_hint").isNotNull(), F.map_concat("metadata", F.create_map(F.lit("category_hint"), F.col("category_hint")))).otherwise(F.col("metadata"))) if propagate_hint else formal, pack)
@@ -63,7 +76,7 @@ def monitor(bids: DataFrame, notified: DataFrame, now: Column, *, pack: RulePack
     if cache is not None:
         unique = state.read_through(unique, state.prune_cache(cache, now))
     active = gate.drop_candidates(gate.drop_expired(unique, now))
-    held = state.prune_state(notified, now, retention_days)
+    held = state.prune_state(notified(active) if callable(notified) else notified, now, retention_days)
     new = store(gate.with_reason(state.drop_notified(active, held), F.to_date(now), recent_days), "monitor-new").df
     after = state.mark_notified(held, new, now)
     later = None

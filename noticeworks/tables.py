@@ -54,6 +54,23 @@ def drop_path(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p, fs = _fs(spark, path)
+    return fs.exists(p)
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if there is no such folder."""
+    p, fs = _fs(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def touch(spark: SparkSession, path: str) -> None:
+    """An empty file, as a mark."""
+    p, fs = _fs(spark, path)
+    fs.create(p, True).close()
+
+
 class Snapshots:
     """A table kept as numbered snapshots under one folder (K1-K3). A new version is written beside the one that is
     read; its number counts once Spark's commit marker is there, so a failed write leaves the last one in force."""
@@ -62,11 +79,7 @@ class Snapshots:
         self.spark, self.path = spark, path.rstrip("/")
 
     def _versions(self) -> list[int]:
-        p, fs = _fs(self.spark, self.path)
-        if not fs.exists(p):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(p)]
-        whole = [n for n in names if n.startswith("v") and n[1:].isdigit() and fs.exists(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS"))]
+        whole = [n for n in names_in(self.spark, self.path) if n.startswith("v") and n[1:].isdigit() and exists(self.spark, f"{self.path}/{n}/_SUCCESS")]
         return sorted(int(n[1:]) for n in whole)
 
     def read(self, schema: str) -> DataFrame:

@@ -191,22 +191,6 @@ def test_monitor_end_to_end(spark):
     assert monitor(spark.createDataFrame([], BIDS), empty, now()).new.count() == 0
 
 
-def test_streaming_monitor(spark, tmp_path):
-    from noticeworks.streaming.monitor import start_monitor
-
-    bids(spark, [row(0, url="u0")]).write.parquet(str(tmp_path / "in"))
-    seen = []
-
-    def deliver(new, number):
-        seen.append((number, new.count()))
-        return True
-
-    for _ in range(2):
-        start_monitor(spark, str(tmp_path / "in"), str(tmp_path / "state"), str(tmp_path / "check"), deliver).awaitTermination(120)
-    assert seen == [(0, 1)]
-    assert Snapshots(spark, str(tmp_path / "state")).read(state.STATE_SCHEMA).count() == 1
-
-
 def test_lines_keep_their_order_over_blocks(spark, tmp_path):
     """A file of many blocks, and files that share a task: ``pos`` follows the lines."""
     for name, n in (("a.log", 4000), ("b.log", 3), ("c.log", 40)):

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 from difflib import SequenceMatcher
+from hashlib import blake2b
+from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -13,71 +15,122 @@ from pyspark.sql.types import DoubleType
 from noticeworks.functions.classify import amounts_close
 
 
-@F.pandas_udf(DoubleType())
-def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratcliff/Obershelp similarity, with its asymmetry and its handling of popular characters."""
-    return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+#: Signatures that a title has for one length of common subsequence, at most; where more would be needed, they have fewer
+#: letters.
+SIGNATURES = 200
+#: Titles of a block that meet by a single letter; in larger blocks, signatures have up to so many letters.
+FEW, LETTERS = 32, 8
 
 
-def letter_counts(df: DataFrame, title: str) -> dict[str, int]:
-    """How often each character occurs; there are no more than Unicode has."""
-    return {r[0]: r[1] for r in df.select(F.explode(F.split(title, "")).alias("x")).filter("x <> ''").groupBy("x").count().collect()}
+def least_common(total: int, least: float) -> int:
+    """The length of a common subsequence that two titles of ``total`` characters need to reach ``least``."""
+    return math.ceil(total * least / 2 - 1e-9)
 
 
-def rare_letters(title: Column, counts: dict[str, int]) -> Column:
-    """A title's characters, the rarest first, as numbers; the k-th of a kind is apart from the first. What two titles
-    have in common of them bounds their ratio."""
+def common_length(a: str, b: str) -> int:
+    """The length of the longest common subsequence, by bits: one step for each character of ``b``."""
+    places: dict[str, int] = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    every = (1 << len(a)) - 1
+    row = every
+    for x in b:
+        hit = row & places.get(x, 0)
+        row = (row + hit | row - hit) & every
+    return len(a) - row.bit_count()
 
-    @F.pandas_udf("array<long>")
-    def letters(titles: pd.Series) -> pd.Series:
-        out = []
-        for t in titles:
-            seen: dict[str, int] = {}
-            own = []
-            for x in t or "":
-                seen[x] = seen.get(x, 0) + 1
-                own.append((counts.get(x, 0) // seen[x], ord(x) << 32 | seen[x]))
-            out.append([code for _, code in sorted(own)] or [0])
-        return pd.Series(out)
-
-    return letters(title)
 
+def ratio(a: Column, b: Column, least: float = 0.0) -> Column:
+    """Ratcliff/Obershelp similarity, with its asymmetry and its handling of popular characters. Its matching blocks are
+    a common subsequence: pairs whose longest one is too short for ``least`` get 0 without being matched."""
 
-def prefix_of(letters: Column, title: Column, least: float) -> Column:
-    """As many of the rarest as must hold one that any title reaching ``least`` shares: titles whose prefixes have
-    nothing in common cannot reach it."""
-    n = F.length(F.coalesce(title, F.lit("")))
-    return F.slice(letters, 1, (n - F.ceil(n * least / (2 - least) - 1e-9) + 1).cast("int"))
+    @F.pandas_udf(DoubleType())
+    def score(a: pd.Series, b: pd.Series) -> pd.Series:
+        out = []
+        for x, y in zip(a, b, strict=True):
+            x, y = x or "", y or ""
+            reach = least <= 0 or common_length(x, y) >= least_common(len(x) + len(y), least)
+            out.append(SequenceMatcher(None, x, y).ratio() if reach else 0.0)
+        return pd.Series(out, dtype="float64")
+
+    return score(a, b)
+
+
+def title_signatures(title: str, counts: dict[str, int], lengths: dict[int, int], least: float) -> set[int]:
+    """Numbers of which two titles of a block share one if they reach ``least``.
+
+    Such titles have a common subsequence of t letters, t following from their lengths. In the order of the block's
+    letter counts, each has its length less t letters at most that do not belong to it; so the first d of the
+    subsequence's letters are among the first (length - t + d) letters of either. A signature is the two lengths and d
+    of these letters, in the order in which they stand. Of the more letters it is made, the fewer titles share it by
+    chance; those that all titles of a block have come last, so they bring no pairs together. ``lengths`` counts the
+    block's titles of each length.
+    """
+    order = sorted(range(len(title)), key=lambda i: (counts.get(title[i], 0), title[i], i))
+    own, n = len(title), sum(lengths.values())
+    out, single = set(), 0
+    for other in lengths:
+        t = least_common(own + other, least)
+        if t > min(own, other):
+            continue
+        extra, spare, d = own - t, max(own, other) - t, min(LETTERS if n > FEW else 1, t)
+        while d > 1 and math.comb(spare + d, d) > min(n, SIGNATURES):
+            d -= 1
+        if d == 1:
+            single = max(single, extra + 1)  # one letter stands for all lengths
+        else:
+            out |= {f"{min(own, other)}:{max(own, other)}:" + "".join(title[i] for i in sorted(some)) for some in combinations(order[: extra + d], d)}
+    out |= {title[i] for i in order[:single]}
+    return {int.from_bytes(blake2b(x.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True) for x in out}
+
+
+def title_counts(rows: DataFrame, block: list[str], title: str) -> DataFrame:
+    """``block``, _n (its titles) and _counts: how many of its titles hold each letter (no more than Unicode has), and
+    have each length (``#`` and the length)."""
+    text = F.coalesce(title, F.lit(""))
+    found = F.concat(F.array_distinct(F.split(text, "")), F.array(F.concat(F.lit("#"), F.length(text))))
+    counted = rows.select(*block, F.explode(found).alias("what")).groupBy(*block, "what").agg(F.count("*").alias("n"))
+    return counted.groupBy(*block).agg(F.sum(F.when(F.length("what") > 1, F.col("n"))).alias("_n"), F.collect_list(F.struct("what", "n")).alias("_counts"))
+
+
+def with_signatures(rows: DataFrame, counts: DataFrame, block: list[str], title: str, least: float) -> DataFrame:
+    """Each row once for each of its signatures in its block (column _sign). Rows of blocks without counts are left out."""
 
+    @F.pandas_udf("array<long>")
+    def signs(titles: pd.Series, counted: pd.Series) -> pd.Series:
+        out = []
+        for t, own in zip(titles, counted, strict=True):
+            held = {x["what"]: x["n"] for x in own}
+            lengths = {int(k[1:]): n for k, n in held.items() if len(k) > 1}
+            out.append(sorted(title_signatures(t or "", held, lengths, least)))
+        return pd.Series(out)
 
-def letters_reach(a: Column, b: Column, least: float) -> Column:
-    """The bound by common characters."""
-    return 2 * F.size(F.array_intersect(a, b)) >= least * (F.size(a) + F.size(b)) - 1e-9
+    named = counts.select(*(F.col(c).alias(f"_b{i}") for i, c in enumerate(block)), "_counts")
+    on = [rows[c].eqNullSafe(named[f"_b{i}"]) for i, c in enumerate(block)]
+    return rows.join(named, on).select(*rows.columns, F.explode(signs(F.col(title), F.col("_counts"))).alias("_sign"))
 
 
-def lengths_reach(a: Column, b: Column, least: float) -> Column:
-    return 2 * F.least(F.size(a), F.size(b)) >= least * (F.size(a) + F.size(b)) - 1e-9
+def candidate_pairs(df: DataFrame, *, block: list[str], title: str, order: str, amount: str | None, least: float) -> DataFrame:
+    """a_ord, b_ord, a_title and b_title of the pairs that share a signature and whose amounts are close, each once."""
+    rows = df.select(*block, F.col(title).alias("_title"), F.col(order).alias("_ord"), *([F.col(amount).alias("_amount")] if amount else []))
+    counts = title_counts(rows, block, "_title").filter("_n > 1")  # a row alone in its block has no pair
+    signed = with_signatures(rows, counts, block, "_title", least)
+    a, b = signed.alias("a"), signed.alias("b")
+    on = (F.col("a._sign") == F.col("b._sign")) & (F.col("a._ord") < F.col("b._ord"))
+    for c in block:
+        on = on & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+    if amount:
+        on = on & amounts_close(F.col("a._amount"), F.col("b._amount"))
+    met = a.join(b, on).select(F.col("a._ord").alias("a_ord"), F.col("b._ord").alias("b_ord"), F.col("a._title").alias("a_title"), F.col("b._title").alias("b_title"))
+    return met.dropDuplicates(["a_ord", "b_ord"])
 
 
 def fuzzy_pairs(df: DataFrame, *, block: list[str], title: str = "n_title", order: str = "ingest_ord", amount: str | None = "amount_value", least: float = 0.90) -> DataFrame:
     """Pairs (a_ord, b_ord, score) of one block, earlier row first, whose titles reach ``least`` and whose amounts
-    are close. An equi-join on the block (null meets null) and a rare character of the titles; of the characters that a
-    pair shares the first one brings it. Python scores only pairs that pass the native bound."""
-    rows = df.withColumn("_letters", rare_letters(F.col(title), letter_counts(df, title)))
-    rows = rows.withColumn("_prefix", prefix_of(F.col("_letters"), F.col(title), least))
-    columns = [*block, title, order, *([amount] if amount else []), "_letters", "_prefix", "_rare"]
-    rows = rows.withColumn("_rare", F.explode("_prefix")).select(*columns)
-    a, b = rows.alias("a"), rows.alias("b")
-    on = F.col("a._rare") == F.col("b._rare")
-    for c in block:
-        on = on & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
-    near = lengths_reach(F.col("a._letters"), F.col("b._letters"), least)
-    if amount:
-        near = near & amounts_close(F.col(f"a.{amount}"), F.col(f"b.{amount}"))
-    near = near & (F.array_min(F.array_intersect("a._prefix", "b._prefix")) == F.col("a._rare")) & letters_reach(F.col("a._letters"), F.col("b._letters"), least)
-    pairs = a.join(b, on & (F.col(f"a.{order}") < F.col(f"b.{order}")) & near)
-    scored = pairs.select(F.col(f"a.{order}").alias("a_ord"), F.col(f"b.{order}").alias("b_ord"), ratio(F.col(f"a.{title}"), F.col(f"b.{title}")).alias("score"))
-    return scored.filter(F.col("score") >= least)
+    are close. An equi-join on the block (null meets null) and the titles' signatures, which loses no pair; Python scores
+    those whose longest common subsequence allows it."""
+    pairs = candidate_pairs(df, block=block, title=title, order=order, amount=amount, least=least)
+    return pairs.select("a_ord", "b_ord", ratio(F.col("a_title"), F.col("b_title"), least).alias("score")).filter(F.col("score") >= least)
 
 
 def match_by_ids(candidates: DataFrame, targets: DataFrame) -> DataFrame:
@@ -102,16 +155,14 @@ def match_by_title(candidates: DataFrame, targets: DataFrame, days: int = 1) ->
 
 def match_fuzzy(candidates: DataFrame, targets: DataFrame, days: int = 1, least: float = 0.92, gap: float = 0.03) -> DataFrame:
     """(cand, target, n): the best title of the organisation and band; n is 2 if the next is within ``gap``."""
-    counts = letter_counts(targets, "n_title")
-    lettered = lambda df: df.filter(F.col("day").isNotNull()).withColumn("_l", rare_letters(F.col("n_title"), counts)).withColumn("_p", prefix_of(F.col("_l"), F.col("n_title"), least))
-    # Each row once for each of its rare characters, candidates also for each day of the band, in one step.
-    met = lambda day, side: lambda x: F.struct(day.alias("day"), x.alias("_rare"), F.col("_p").alias(f"{side}_p"), F.col("_l").alias(f"{side}_l"))
+    block = ["n_org", "day"]
+    dated = targets.select("target", *block, "n_title").filter(F.col("day").isNotNull())
     band = F.sequence(F.date_sub("day", max(days, 0)), F.date_add("day", max(days, 0)))
-    own = lettered(candidates).select("cand", "n_org", "n_title", F.inline(F.flatten(F.transform(band, lambda d: F.transform("_p", met(d, "own"))))))
-    other = lettered(targets).select("target", "n_org", F.col("n_title").alias("t_title"), F.inline(F.transform("_p", met(F.col("day"), "other"))))
-    first = F.array_min(F.array_intersect("own_p", "other_p")) == F.col("_rare")
-    pairs = own.join(other, ["n_org", "day", "_rare"]).filter(first & letters_reach(F.col("own_l"), F.col("other_l"), least))
-    scored = pairs.select("cand", "target", ratio("n_title", "t_title").alias("score")).filter(F.col("score") >= least)
+    spread = candidates.filter(F.col("day").isNotNull()).select("cand", "n_org", F.explode(band).alias("day"), "n_title")
+    counts = title_counts(spread.select(*block, "n_title").unionByName(dated.select(*block, "n_title")), block, "n_title")
+    own, other = (with_signatures(rows, counts, block, "n_title", least) for rows in (spread, dated))
+    pairs = own.join(other.withColumnRenamed("n_title", "t_title"), [*block, "_sign"]).select("cand", "target", "n_title", "t_title").dropDuplicates(["cand", "target"])
+    scored = pairs.select("cand", "target", ratio(F.col("n_title"), F.col("t_title"), least).alias("score")).filter(F.col("score") >= least)
     by = Window.partitionBy("cand").orderBy(F.desc("score"), "target")
     ranked = scored.withColumns({"rank": F.row_number().over(by), "next": F.lead("score").over(by)}).filter("rank = 1")
     return ranked.select("cand", "target", F.when(F.col("score") - F.col("next") < gap, 2).otherwise(1).alias("n"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 from datetime import date, datetime
 from difflib import SequenceMatcher
 
+import pytest
 from pyspark.sql import functions as F
 
 from noticeworks.operators import dedup, digest, gate, link, logs, recall, standardize, state
@@ -78,14 +80,78 @@ def test_ratio_traps(spark):
     assert [r.s for r in df.select(link.ratio("a", "b").alias("s")).collect()] == [SequenceMatcher(None, a, b).ratio() for a, b in pairs]
 
 
-def test_bound_never_drops_a_pair(spark):
-    rng = random.Random(3)
-    words = ["".join(rng.choice("abc") for _ in range(rng.randrange(1, 12))) for _ in range(60)]
-    pairs = [(a, b) for a in words for b in words]
-    df = spark.createDataFrame(pairs, "a string, b string").withColumns({c: link.rare_letters(F.col(c[1]), {"a": 5, "b": 2}) for c in ("la", "lb")})
-    bound = link.lengths_reach(F.col("la"), F.col("lb"), 0.8) & link.letters_reach(F.col("la"), F.col("lb"), 0.8)
-    for a, b, ok in df.select("a", "b", bound).collect():
-        assert ok or SequenceMatcher(None, a, b).ratio() < 0.8
+def test_longest_common_subsequence():
+    rng = random.Random(2)
+    for _ in range(300):
+        a, b = ("".join(rng.choice("abc資") for _ in range(rng.randrange(0, 12))) for _ in range(2))
+        row = [0] * (len(b) + 1)
+        for x in a:
+            row = [0, *itertools.accumulate(range(1, len(b) + 1), lambda left, j, row=row, x=x: row[j - 1] + 1 if b[j - 1] == x else max(left, row[j]), initial=0)][1:]
+        assert link.common_length(a, b) == row[-1]
+
+
+@pytest.mark.parametrize("n", [1, 100, 5_000, 10**7])
+@pytest.mark.parametrize("least", [0.8, 0.9, 0.92])
+def test_signatures_lose_no_pair(n, least):
+    """For every depth, and for orders of letters that have nothing to do with the titles."""
+    rng = random.Random(n)
+    base = ["".join(rng.choice("abcdefgh資訊設備") for _ in range(rng.randrange(0, 45))) for _ in range(12)]
+    titles = list(base)
+    for t in base * 8:
+        t = list(t)
+        for _ in range(rng.randrange(1, 5)):
+            at = rng.randrange(len(t) + 1)
+            t[at : at + rng.randrange(2)] = rng.choice(["", "x", "資", "9"])
+        titles.append("".join(t))
+    counts = {x: rng.randrange(n + 1) for x in "abcdefgh資訊"}
+    lengths = dict.fromkeys(map(len, titles), max(1, n // 40))
+    signs = [link.title_signatures(t, counts, lengths, least) for t in titles]
+    near = 0
+    for i, j in itertools.permutations(range(len(titles)), 2):
+        if SequenceMatcher(None, titles[i], titles[j]).ratio() >= least:
+            near += 1
+            assert signs[i] & signs[j], (titles[i], titles[j])
+    assert near > 100
+
+
+def test_numbered_titles_of_one_block(spark):
+    """6,000 titles that differ in a six-digit number: under one pair in a hundred meets, and none that is near is lost."""
+    rng = random.Random(1)
+    numbers = rng.sample(range(10**6), 6_000)
+    df = spark.createDataFrame([(i, f"資訊設備採購案{x:06d}", None) for i, x in enumerate(numbers)], "ingest_ord long, n_title string, block string").repartition(4)
+    met = link.candidate_pairs(df, block=["block"], title="n_title", order="ingest_ord", amount=None, least=0.9)
+    assert met.count() < 6_000 * 5_999 / 2 / 100
+    got = {(r.a_ord, r.b_ord) for r in link.fuzzy_pairs(df, block=["block"], amount=None).collect()}
+    for i in range(300):
+        for j in range(i + 1, 3_000):
+            if link.common_length(f"{numbers[i]:06d}", f"{numbers[j]:06d}") >= 4:  # others cannot be near
+                near = SequenceMatcher(None, f"資訊設備採購案{numbers[i]:06d}", f"資訊設備採購案{numbers[j]:06d}").ratio() >= 0.9
+                assert near == ((i, j) in got)
+
+
+def test_near_targets_of_candidates(spark):
+    """J3, W4 against all pairs of an organisation within a day."""
+    rng = random.Random(7)
+    base = ["".join(rng.choice("資訊設備採購電腦維護") for _ in range(18)) for _ in range(5)]
+
+    def some(n):
+        rows = []
+        for i in range(n):
+            t = list(rng.choice(base))
+            for _ in range(rng.randrange(3)):
+                t[rng.randrange(len(t))] = rng.choice("甲乙丙")
+            rows.append((i, rng.choice("op"), "".join(t), rng.choice([None, *(date(2026, 4, d) for d in (1, 2, 3, 4))])))
+        return rows
+
+    candidates, targets, want = some(60), some(90), {}
+    for c, org, title, day in candidates:
+        hits = sorted((-SequenceMatcher(None, title, other).ratio(), t) for t, own, other, at in targets if own == org and day and at and abs((at - day).days) <= 1)
+        hits = [(-s, t) for s, t in hits if -s >= 0.92]
+        if hits:
+            want[c] = (hits[0][1], 2 if len(hits) > 1 and hits[0][0] - hits[1][0] < 0.03 else 1)
+    frame = lambda name, rows: spark.createDataFrame(rows, f"{name} long, n_org string, n_title string, day date")
+    got = {r.cand: (r.target, r.n) for r in link.match_fuzzy(frame("cand", candidates), frame("target", targets)).collect()}
+    assert got == want and len({n for _, n in want.values()}) == 2
 
 
 def _side(spark, name, rows):

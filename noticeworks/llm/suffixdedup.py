@@ -331,12 +331,14 @@ def removed_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
 def with_spans(docs: DataFrame, name: str = "spans", *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """``docs`` with the column ``name`` (empty where nothing repeats)."""
-    spans = store(removed_spans(docs, id_col=id_col, text_col=text_col, length=length), "suffix-spans").df
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # so that no column is called like one used here
+    id_, text = (plain[f"c{docs.columns.index(c)}"] for c in (id_col, text_col))
+    spans = store(removed_spans(plain.select(id_.alias("doc_id"), text.alias("text")), length=length), "suffix-spans").df
     spans = spans.withColumnsRenamed({"id": "span_id", "tid": "span_tid", "spans": "found_spans"})
-    own = docs.withColumn("_tid", F.xxhash64(F.coalesce(docs[text_col], F.lit(""))))
-    joined = own.join(spans, own[id_col].eqNullSafe(spans["span_id"]) & (own["_tid"] == spans["span_tid"]), "left")
+    own = plain.withColumn("own_tid", F.xxhash64(F.coalesce(text, F.lit(""))))
+    joined = own.join(spans, id_.eqNullSafe(spans["span_id"]) & (own["own_tid"] == spans["span_tid"]), "left")
     none = F.array().cast("array<struct<from:long,to:long>>")
-    return joined.select(*(own[c] for c in docs.columns), F.coalesce("found_spans", none).alias(name))
+    return joined.select(*(plain[f"c{i}"].alias(c) for i, c in enumerate(docs.columns)), F.coalesce("found_spans", none).alias(name))
 
 
 def kept(raw: bytes, spans: list[dict]) -> bytes:

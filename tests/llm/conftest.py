@@ -6,7 +6,7 @@ import pytest
 from ..conftest import SMALL
 
 #: Columns whose names the operators use inside.
-CLASHES = ("fp", "id", "tid", "score", "host", "key", "data", "spans", "frag", "gram", "value")
+CLASHES = ("fp", "id", "tid", "score", "host", "key", "data", "spans", "frag", "gram", "value", "_tid", "found_spans", "span_id", "row", "c0", "c1")
 
 
 @pytest.fixture(scope="session")

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import importlib
 import re
 from itertools import takewhile
+from pathlib import Path
+
+from pyspark.sql import functions as F
 
 import corpus_pipeline as p
 from noticeworks.llm import decontam, langid, simhash
@@ -24,6 +28,26 @@ def test_stages_keep_the_columns(spark, odd):
         assert stage(spark, docs.limit(0), SMALL).count() == 0
 
 
+def test_columns_of_any_name_and_type(spark):
+    """Every name that the stages' modules use inside, and columns of every kind."""
+    modules = [p, *(importlib.import_module(f"noticeworks.llm.{m}") for m in ("langid", "nearcopies", "simhash", "suffixdedup", "decontam", "common"))]
+    names = sorted({n for m in modules for n in re.findall(r"[\"']([A-Za-z_]\w*)[\"']", Path(m.__file__).read_text())} - set(COLUMNS) - {"doc_id"})
+    kinds = {"m": F.create_map(F.lit("k"), F.lit(1)), "a": F.array(F.lit(1)), "s": F.struct(F.lit(1).alias("text")), "b": F.lit("b").cast("binary"), "d": F.current_date(), "n": F.lit(None).cast("map<string,array<int>>"), "x": F.lit("1.5").cast("decimal(9,2)")}
+    text = "a passage of words that goes on for more than a hundred bytes so that it can be found in two of the documents here"
+    rows = [(1, text + " and an ending", "en", "a", 1), (1, text + " and an ending", "en", "b", 1), (2, "something else that comes first, and then " + text, "en", "a", 1), (3, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.select("*", *(F.lit("x").alias(n) for n in names if n not in kinds), *(c.alias(n) for n, c in kinds.items()))
+    assert len(names) > 60
+    for _, stage in p.STAGES[:-1]:
+        out = stage(spark, docs, SMALL)
+        assert out.columns == docs.columns and out.schema.simpleString() == docs.schema.simpleString()
+        assert out.count() > 0
+    cut = {r.doc_id: r for r in p.repeated_passages(spark, docs, SMALL).collect()}
+    assert len(cut[2].text) < 60 and cut[2].m == {"k": 1}
+    assert sorted((r.doc_id, r.source or "") for r in p.near_duplicates(spark, docs, SMALL).collect()) == [(1, "a"), (2, "a"), (3, "")]
+    assert p.pack(spark, docs, SMALL).count() == 4
+
+
 def test_decisions(spark, odd):
     docs = odd.select(*COLUMNS)
     assert {r.doc_id for r in p.language_id(spark, docs, SMALL).collect()}.isdisjoint({1, 2, 3, 4})

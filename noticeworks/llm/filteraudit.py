@@ -158,10 +158,12 @@ def audit_documents(docs: DataFrame, labels: DataFrame, filters: TextFilters | N
     """
     named = docs.select(docs[id_col].alias("doc_id"), docs[part_col].cast("string").alias("part"), docs[text_col].cast("string").alias("text"))
     flags = store((filters or TextFilters()).flags(named), "filter-flags")
-    first = flags.df.groupBy("digest").agg(F.min("doc_id").alias("first_id"))
+    # Written, so that the join deals both sides itself and can split a text of very many copies.
+    first = store(flags.df.groupBy("digest").agg(F.min("doc_id").alias("first_id")), "first-copies")
     said = labels.groupBy("doc_id").agg(F.max(F.col("quality") == 1).alias("good"), F.max(F.col("toxic") == 1).alias("toxic"))
-    rows = flags.df.join(first, "digest").join(said, "doc_id", "left")
+    rows = flags.df.join(first.df, "digest").join(said, "doc_id", "left")
     conditions = {f: F.col(f) for f in "ABCD"} | {"E": F.col("first_id") < F.col("doc_id")}
     out = audit_orders(rows, conditions, part=F.col("part"), measures={"good_lost": F.col("good"), "toxic_lost": F.col("toxic")})
     flags.drop()
+    first.drop()
     return out

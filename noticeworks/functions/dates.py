@@ -12,8 +12,11 @@ ROC_DATE = r"(\d{2,3})\s*[年/-]\s*(\d{1,2})\s*[月/-]\s*(\d{1,2})"
 DEADLINE_DATE = r"(\d{2,4})\s*[年/-]\s*(\d{1,2})\s*[月/-]\s*(\d{1,2})"
 TIME = r"(\d{1,2})\s*[:：]\s*(\d{1,2})"
 FIRST_YEAR, LAST_YEAR, ROC_OFFSET = 2000, 2100, 1911
-#: Forms tried where no numeric form is found.
-OTHER_FORMS = ["yyyy.M.d", "M/d/yyyy", "MMM d, yyyy", "MMMM d, yyyy", "d MMM yyyy", "d MMMM yyyy"]
+#: Numeric forms tried where no short-year form is found.
+OTHER_FORMS = ["yyyy.M.d", "M/d/yyyy"]
+# Month names, in English, and times of day with their zones.
+MONTHS = ["jan(?:uary)?", "feb(?:ruary)?", "mar(?:ch)?", "apr(?:il)?", "may", "june?", "july?", "aug(?:ust)?", "sept?(?:ember)?", "oct(?:ober)?", "nov(?:ember)?", "dec(?:ember)?"]
+CLOCK = r"\b\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?(?:\s*[ap]m\b)?(?:\s*(?:z|utc|gmt)\b)?(?:\s*[+-]\d{2}:?\d{2}\b)?|\b\d{1,2}\s*[ap]m\b"
 
 
 def _int(c: Column) -> Column:
@@ -37,6 +40,31 @@ def _numbers(hit: Column) -> Column:
     return F.transform(F.split(hit, r"\D+"), _int)
 
 
+def _named_month(clean: Column) -> Column:
+    """A day told with a month's name: of the three parts month, day and year in any order, whatever words and times of
+    day stand between them. A number above 31 is the year; of two that are not, the day comes first unless the month comes
+    last. Years of two digits lie within 50 years of now. Texts with fewer or more numbers have no day."""
+    words = [rf"\b{m}\b" for m in MONTHS]
+    plain = F.regexp_replace(F.lower(clean), CLOCK, " ")
+    parts = F.regexp_extract_all(plain, F.lit(rf"({'|'.join(words)}|\d+)"), F.lit(1))
+    is_month = lambda x: ~x.rlike(r"^\d")
+    now = F.year(F.current_date())
+
+    def whole(year: Column) -> Column:
+        near = F.when(year + 2000 >= now + 50, year + 1900).otherwise(year + 2000)
+        return F.when(year < 100, near).otherwise(year)
+
+    def day(p: Column) -> Column:
+        name, numbers = F.get(F.filter(p, is_month), 0), F.transform(F.filter(p, lambda x: ~is_month(x)), _int)
+        month = F.coalesce(*(F.when(name.rlike(f"^{m}$"), i) for i, m in enumerate(MONTHS, 1)))
+        a, b = F.get(numbers, 0), F.get(numbers, 1)
+        last = is_month(F.get(p, 2))
+        year_first = F.when(last, b <= 31).otherwise(a > 31)
+        return F.when((F.size(p) == 3) & (F.size(numbers) == 2), _notice_day(whole(F.when(year_first, a).otherwise(b)), month, F.when(year_first, b).otherwise(a)))
+
+    return bind(parts, day)
+
+
 def parse_day(c: Column) -> Column:
     """F7, on text in NFKC form. Where a short-year form is found, its result stands, even if null."""
 
@@ -50,7 +78,8 @@ def parse_day(c: Column) -> Column:
         )
 
     def other(clean: Column) -> Column:
-        return bind(F.coalesce(*(F.try_to_date(clean, f) for f in OTHER_FORMS)), lambda d: F.when(F.year(d).between(FIRST_YEAR, LAST_YEAR), d))
+        numeric = bind(F.coalesce(*(F.try_to_date(clean, f) for f in OTHER_FORMS)), lambda d: F.when(F.year(d).between(FIRST_YEAR, LAST_YEAR), d))
+        return F.when(F.lower(clean).rlike("|".join(rf"\b{m}\b" for m in MONTHS)), _named_month(clean)).otherwise(numeric)
 
     def short(hit: Column, clean: Column) -> Column:
         return F.when(hit != "", bind(_numbers(hit), lambda p: _notice_day(_roc(F.get(p, 0)), F.get(p, 1), F.get(p, 2)))).otherwise(other(clean))

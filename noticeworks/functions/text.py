@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ast
+import json
+import re
 import unicodedata
 from collections.abc import Callable
 
@@ -116,14 +119,36 @@ def log_number(extra: Column, key: str) -> Column:
     return F.regexp_extract(extra, rf"\b{key}=(\d+)\b", 1).try_cast("int")
 
 
-def log_literal(extra: Column, key: str, *, brackets: str = "{}") -> Column:
-    """the literal after ``key=`` as JSON text. Strings that hold quotes cannot be told apart and give bad JSON."""
-    opening, closing = brackets
-    body = rf"(\{opening}.*\{closing})" if opening == "{" else rf"(\{opening}[^\{closing}]*\{closing})"
-    raw = F.nullif(F.regexp_extract(extra, rf"\b{key}=\s*{body}", 1), F.lit(""))
-    for python, json in (("'", '"'), (r"\bTrue\b", "true"), (r"\bFalse\b", "false"), (r"\bNone\b", "null")):
-        raw = F.regexp_replace(raw, python, json)
-    return raw
+def _balanced(said: str, key: str, *, anywhere: bool) -> str | None:
+    """The text from the bracket after ``key=`` to the one that closes it; other kinds of brackets do not count."""
+    _, found, rest = said.partition(f"{key}=")
+    begin = rest.find("{") if anywhere else len(rest) - len(rest.lstrip())
+    if not found or begin < 0 or rest[begin : begin + 1] not in ("{", "["):
+        return None
+    opening, depth = rest[begin], 0
+    for bracket in re.finditer(r"[{}]" if opening == "{" else r"[\[\]]", rest[begin:]):
+        depth += 1 if bracket[0] == opening else -1
+        if not depth:
+            return rest[begin : begin + bracket.end()]
+    return None
+
+
+def log_literal(extra: Column, key: str, *, anywhere: bool = False) -> Column:
+    """the dictionary or list after ``key=`` as JSON text: nested, with quotes of either kind inside. It must begin
+    there; with ``anywhere`` the first dictionary after ``key=`` counts. What is not a plain literal gives null."""
+
+    @F.pandas_udf(StringType())
+    def read(texts: pd.Series) -> pd.Series:
+        def one(said: str | None) -> str | None:
+            raw = _balanced(said, key, anywhere=anywhere) if said and f"{key}=" in said else None
+            try:
+                return None if raw is None else json.dumps(ast.literal_eval(raw), ensure_ascii=False)
+            except (ValueError, SyntaxError, TypeError, MemoryError, RecursionError):
+                return None
+
+        return texts.map(one)
+
+    return read(extra)
 
 
 def platform(user_agent: Column) -> Column:
@@ -160,8 +185,6 @@ def lookup_url(metadata: Column, url: Column) -> Column:
 
 def any_of(c: Column, words: list[str]) -> Column:
     """Whether any word is a substring: one alternation. An empty list matches nothing."""
-    import re
-
     return c.rlike("|".join(re.escape(w) for w in dict.fromkeys(words))) if words else F.lit(False)
 
 

@@ -53,17 +53,21 @@ def scan_log(lines: DataFrame, *, line: str = "value", file: str = "file", pos:
     return kept.select(file, pos, F.try_to_timestamp(part(1)).alias("ts"), part(2).alias("level"), part(3).alias("logger"), part(4).alias("event"), part(5).alias("extra"))
 
 
-def daily_rollup(log: DataFrame, *, pos: str = "pos") -> DataFrame:
-    """A row for each day: runs and the last run, last keyword counts, sums, warnings, failure events."""
+def daily_rollup(log: DataFrame, *, file: str = "file", pos: str = "pos") -> DataFrame:
+    """A row for each day: runs and the last run, last keyword counts, sums, warnings, failure events. Of several
+    files of a day the last line is the latest one; of lines of one second that of the last file, then of the last place."""
+    place = F.struct("ts", file, pos)
     is_event = lambda e: F.col("event") == e
     number = lambda k: log_number(F.col("extra"), k)
-    last = lambda v, when: F.max_by(v, F.when(when, F.col(pos)))
-    keyword, bond, applied, done = (is_event(e) for e in ("keyword_screen_distribution", "bid_bond_unparsed_summary", "embedding_recall_applied", "embedding_recall_done"))
-    run = F.from_json(log_literal(F.col("extra"), "result"), RUN_SCHEMA)
+    last = lambda v, when: F.max_by(v, F.when(when, place))
+    done_run, keyword, bond, applied, done = (is_event(e) for e in ("local_run_finished", "keyword_screen_distribution", "bid_bond_unparsed_summary", "embedding_recall_applied", "embedding_recall_done"))
+    run = F.from_json(F.nullif(log_literal(F.when(done_run, F.col("extra")), "result", anywhere=True), F.lit("{}")), RUN_SCHEMA)
     total = lambda v, when: F.coalesce(F.sum(F.when(when, F.coalesce(v, F.lit(0)))), F.lit(0))
     candidates = F.when(applied, number("original")).when(done, number("candidate_count"))
-    return log.groupBy(F.to_date("ts").alias("day")).agg(
-        F.count_if(is_event("local_run_finished")).alias("runs"), F.max_by(run, F.when(is_event("local_run_finished") & run.isNotNull(), F.col(pos))).alias("latest_run"),
+    read = log.withColumn("_run", run)  # once a row
+    run = F.col("_run")
+    return read.groupBy(F.to_date("ts").alias("day")).agg(
+        F.count_if(done_run).alias("runs"), last(run, run.isNotNull()).alias("latest_run"),
         last(number("high_confidence"), keyword).alias("keyword_high"), last(number("boundary"), keyword).alias("keyword_boundary"), last(number("included_total"), keyword).alias("keyword_included_total"),
         last(number("unparsed_count"), bond & number("unparsed_count").isNotNull()).alias("bond_unparsed"), F.count_if(applied).alias("applied_runs"), F.count_if(done).alias("recall_runs"),
         total(candidates, applied | done).alias("candidates_total"), total(number("recalled"), applied | done).alias("recalled_total"), F.count_if(is_event("embedding_duration_warning")).alias("duration_warnings"), F.count_if(is_event("embedding_memory_warning")).alias("memory_warnings"),

@@ -146,6 +146,16 @@ def date_parse(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", D.parse_day(F.concat(F.lit("開標 "), roc)).alias("roc"), D.parse_day(F.date_format(day, "yyyyMMdd")).alias("compact"))
 
 
+@query("SELECT o_orderkey, CAST(o_orderdate + INTERVAL 10 YEAR AS DATE) AS day FROM orders")
+def named_months(spark, sf_dir):
+    """days told in words, in eight forms."""
+    day = F.add_months(F.to_date("o_orderdate"), 120)
+    forms = ["EEE, d MMM yyyy HH:mm:ss", "MMMM d, yyyy", "yyyy MMM dd", "d MMMM yyyy h:mm a", "'due' d'th of' MMMM, yyyy", "MMM dd yyyy HH:mm", "d-MMM-yyyy", "d MMM yy"]
+    at = F.col("o_orderkey") % len(forms)
+    said = F.coalesce(*(F.when(at == i, F.date_format(day, f)) for i, f in enumerate(forms)))
+    return table(spark, sf_dir, "orders").select("o_orderkey", D.parse_day(said).alias("day"))
+
+
 @query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN false WHEN o_orderstatus = 'O' THEN CAST(o_orderdate AS DATE) < DATE '1998-06-15' ELSE CAST(o_orderdate AS DATE) + INTERVAL 17 HOUR < TIMESTAMP '1998-06-15 12:00:00' END AS expired FROM orders")
 def deadline_expired(spark, sf_dir):
     """A day alone, a day with a time, and text without a date."""
@@ -401,31 +411,32 @@ def success_by_dimension(spark, sf_dir):
 
 
 def _log_lines(spark, sf_dir) -> DataFrame:
-    """Events as lines of a run log, a file for each day."""
+    """Events as lines of a run log, two files for each day; a run's sources tell errors with quotes and brackets."""
     k = F.get_json_object("props", "$.k")
     kind = F.col("event_type")
     said = (
         F.when(kind == "view", F.concat(F.lit("embedding_recall_done candidate_count="), k, F.lit(" recalled="), F.when(F.col("value") > 20, k).otherwise("0")))
-        .when(kind == "purchase", F.concat(F.lit("local_run_finished result={'new_count': "), k, F.lit(", 'notification_sent': True}")))
+        .when(kind == "purchase", F.concat(F.lit("local_run_finished result={'new_count': "), k, F.lit(", 'notification_sent': True, 'source_status': [{'source': 'g0v', 'success': False, 'error': \"can't open {"), k, F.lit("}\"}]}")))
         .when(kind == "error", "source_failed error=timeout")
         .when(kind == "signup", F.concat(F.lit("keyword_screen_distribution high_confidence="), k, F.lit(" boundary=1 included_total=2")))
         .otherwise("idle")
     )
     line = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(",000 INFO bid-monitor "), said)
-    return table(spark, sf_dir, "events").select(F.to_date("ts").cast("string").alias("file"), F.col("event_id").alias("pos"), line.alias("value"))
+    file = F.concat(F.to_date("ts").cast("string"), F.lit("-"), (F.col("event_id") % 2).cast("string"))
+    return table(spark, sf_dir, "events").select(file.alias("file"), F.col("event_id").alias("pos"), line.alias("value"))
 
 
-_DAYS = """SELECT CAST(ts AS DATE) AS day, count(*) FILTER (event_type = 'purchase') AS runs, arg_max(k, event_id) FILTER (event_type = 'purchase') AS last_new, arg_max(k, event_id) FILTER (event_type = 'signup') AS keyword_high,
+_DAYS = """SELECT CAST(ts AS DATE) AS day, count(*) FILTER (event_type = 'purchase') AS runs, arg_max(k, place) FILTER (event_type = 'purchase') AS last_new, 'can''t open {' || arg_max(k, place) FILTER (event_type = 'purchase') || '}' AS last_error, arg_max(k, place) FILTER (event_type = 'signup') AS keyword_high,
   count(*) FILTER (event_type = 'view') AS recall_runs, coalesce(sum(k) FILTER (event_type = 'view'), 0)::BIGINT AS candidates_total, coalesce(sum(CASE WHEN value > 20 THEN k ELSE 0 END) FILTER (event_type = 'view'), 0)::BIGINT AS recalled_total,
   CASE WHEN count(*) FILTER (event_type = 'error') > 0 THEN 'source_failed' ELSE '' END AS failures
-  FROM (SELECT *, CAST(json_extract(props, '$.k') AS INT) AS k FROM events) GROUP BY 1"""
+  FROM (SELECT *, CAST(json_extract(props, '$.k') AS INT) AS k, strftime(ts, '%Y-%m-%d %H:%M:%S') || '-' || event_id % 2 || lpad(CAST(event_id AS VARCHAR), 15, '0') AS place FROM events) GROUP BY 1"""
 
 
 @query(_DAYS)
 def daily_rollup(spark, sf_dir):
     """S14, F28, F29, A12, W3."""
     days = logs.daily_rollup(logs.scan_log(_log_lines(spark, sf_dir)))
-    return days.select("day", "runs", F.col("latest_run.new_count").alias("last_new"), "keyword_high", "recall_runs", "candidates_total", "recalled_total", F.array_join("failure_events", ",").alias("failures"))
+    return days.select("day", "runs", F.col("latest_run.new_count").alias("last_new"), F.get("latest_run.source_status", 0)["error"].alias("last_error"), "keyword_high", "recall_runs", "candidates_total", "recalled_total", F.array_join("failure_events", ",").alias("failures"))
 
 
 @query(f"WITH d AS ({_DAYS}) SELECT count(*) AS streak FROM d WHERE day > coalesce((SELECT max(day) FROM d WHERE NOT (recall_runs > 0 AND runs >= 12)), DATE '0001-01-01')")

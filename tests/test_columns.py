@@ -98,10 +98,73 @@ def test_urls(one):
 def test_sources_and_log_fields(one):
     assert one(lambda c: X.append_source(c, F.lit("b")), "a+b") == "a+b"
     assert one(lambda e: X.log_number(e, "n"), "xn=3 n=12") == 12
-    assert one(lambda e: X.log_literal(e, "result"), "a result={'x': True, 'y': None}") == '{"x": true, "y": null}'
+    assert one(lambda e: X.log_literal(e, "result", anywhere=True), "a result={'x': True, 'y': None}") == '{"x": true, "y": null}'
     assert one(lambda e: X.sanitize(e, 6), "a [b]\n c d") == "a (b) "
 
 
+LITERALS = [
+    ("result={'a': {'b': [1, 2.5]}, 'c': None} tail={'d': 1}", '{"a": {"b": [1, 2.5]}, "c": null}'),
+    ("""result={'error': "can't open {x}", 'ok': False}""", '{"error": "can\'t open {x}", "ok": false}'),
+    ("""result={'error': 'said "no"', 't': (1, 'True')}""", '{"error": "said \\"no\\"", "t": [1, "True"]}'),
+    ("result={'error': 'an open { bracket'}", None),
+    ("result={'x': open}", None),
+    ("result={'x': 1", None),
+    ("result=none", None),
+    ("other={'x': 1}", None),
+    ("result={(1, 2): 3}", None),
+    ("result={'名': '臺'}", '{"名": "臺"}'),
+    ("", None),
+    (None, None),
+]
+
+
+@pytest.mark.parametrize(("extra", "want"), LITERALS)
+def test_log_literals(one, extra, want):
+    assert one(lambda e: X.log_literal(e, "result", anywhere=True), extra) == want
+
+
+def test_a_literal_begins_after_its_key(one):
+    assert one(lambda e: X.log_literal(e, "top"), "top= [('a', 2), ('b [x]', 1)] n=2") == '[["a", 2], ["b [x]", 1]]'
+    assert one(lambda e: X.log_literal(e, "top"), "top=x [1]") is None
+    assert one(lambda e: X.log_literal(e, "top", anywhere=True), "top=x {'a': 1}") == '{"a": 1}'
+
+
+SAID = [
+    "Thu, 30 Apr 2026 10:00", "Thu, 30 Apr 2026 10:00:59 GMT", "Thu, 30 Apr 2026 10:00 +0800", "April 30th, 2026", "the 1st of May 2026", "2026 Apr 30", "2026-Apr-30", "30-APR-2026", "Apr-2026-30", "Apr 30 26", "30 Apr 26", "26 30 Apr",
+    "due Sept. 3, 2026 at 5 pm", "September 3 2026 5:30pm", "3 June 1999", "Feb 30, 2026", "7 Mar 2101", "4/30/2026", "2026.4.30", "30/04/2026", "37/04/30", "no date at all", "Mar 2026 maybe 3 or 4", "decide on 5 things 2026", "July 4, 76", "July 4, 75",
+]
+
+
+@pytest.mark.parametrize("said", SAID)
+def test_days_in_words(one, said):
+    """Against a fuzzy parser of the same texts, behind the same numeric forms."""
+    import re
+
+    from dateutil import parser
+
+    def plain():
+        digits = re.sub(r"\D", "", said)
+        era = {8: (digits[:4], 0, 4), 7: (digits[:3], 1911, 3), 6: (digits[:2], 1911, 2)}.get(len(digits))
+        if era and (len(digits) == 7 or digits.startswith(("19", "20")) == (len(digits) == 8)):
+            year, at = int(era[0]) + era[1], era[2]
+            try:
+                if 2000 <= year <= 2100:
+                    return date(year, int(digits[at : at + 2]), int(digits[at + 2 : at + 4]))
+            except ValueError:
+                pass
+        if m := re.search(D.ROC_DATE, said):
+            y, mo, d = map(int, m.groups())
+            y += 1911 if y < 1911 else 0
+            return date(y, mo, d) if 2000 <= y <= 2100 else None
+        try:
+            found = {parser.parse(said, fuzzy=True, default=datetime(*default)).date() for default in ((2020, 1, 1), (2021, 2, 2))}
+        except (ValueError, OverflowError):
+            return None
+        return found.pop() if len(found) == 1 and 2000 <= min(found).year <= 2100 else None  # what a default fills in is no day
+
+    assert one(D.parse_day, said) == plain()
+
+
 def test_notification_keys(spark):
     row = spark.createDataFrame([({"pkPmsMain": "AB=="}, "https://x/?unit_id=3.79&job_number=7")], "m map<string,string>, url string")
     none = F.lit(None).cast("date")

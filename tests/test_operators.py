@@ -257,6 +257,14 @@ def test_monitor_end_to_end(spark):
     assert monitor(spark.createDataFrame([], BIDS), empty, now()).new.count() == 0
 
 
+def test_the_last_value_of_a_day_over_files(spark):
+    line = lambda at, n: f"2026-04-01 {at},000 INFO bid keyword_screen_distribution high_confidence={n} boundary=1"
+    run = """2026-04-01 08:00:00,000 INFO bid local_run_finished result={'new_count': 3, 'source_status': [{'source': 'x', 'success': False, 'error': "can't"}]}"""
+    rows = [("a.log", 70, line("09:00:00", 1)), ("a.log", 71, run), ("b.log", 1, line("20:00:00", 2)), ("b.log", 2, line("20:00:00", 3)), ("b.log", 3, "2026-04-01 20:00:01,000 INFO bid local_run_finished result={'new_count': broken}"), ("c.log", 900, line("07:00:00", 4))]
+    got = logs.daily_rollup(logs.scan_log(spark.createDataFrame(rows, "file string, pos long, value string"))).first()
+    assert got.keyword_high == 3 and got.runs == 2 and got.latest_run.new_count == 3 and got.latest_run.source_status[0].error == "can't"
+
+
 def test_lines_keep_their_order_over_blocks(spark, tmp_path):
     """A file of many blocks, and files that share a task: ``pos`` follows the lines."""
     for name, n in (("a.log", 4000), ("b.log", 3), ("c.log", 40)):

@@ -13,7 +13,7 @@ from noticeworks.functions import text as X
 from noticeworks.keyed import KeyedTable
 from noticeworks.operators import dedup, digest, gate, link, logs, recall, replies, standardize, state
 from noticeworks.operators.notified import NotifiedState
-from noticeworks.sources import api, files, pages
+from noticeworks.sources import api, files, pages, selectors
 from noticeworks.tables import Snapshots, new_path
 
 from noticeworks.streaming import monitor as streaming
@@ -600,6 +600,17 @@ def listing_rows(spark, sf_dir):
     return found.select("page_id", "pos", "title", "url")
 
 
+@query(
+    r"""WITH h AS (SELECT page_id, regexp_extract_all(regexp_extract(html, '(?s)<nav><ul>(.*?)</ul></nav>', 1), '(?s)<li><a href="([^"]*)">', 1) AS links FROM pages),
+    l AS (SELECT page_id, unnest(links) AS link, unnest(range(len(links))) AS pos FROM h)
+    SELECT page_id, CAST(pos AS INT) AS pos, substr(link, 2) AS title, 'https://www.example.com' || link AS url, '' AS organization FROM l"""
+)
+def selected_listings(spark, sf_dir):
+    """Rows and fields by selectors, on the pages' own markup."""
+    found = selectors.selected_rows(table(spark, sf_dir, "pages"), base="https://www.example.com", source="gov_pcc", rows=["table tbody tr", "nav > ul li"], fields={"title": ["h2", "li > a[href]"], "link": ["b", "a[href^='/']"]})
+    return found.select("page_id", "pos", "title", "url", "organization")
+
+
 @query("SELECT 'o:' || min(o_orderkey) AS primary_key, count(*) + 1 AS n_aliases, arg_max(o_orderpriority, o_orderkey) AS title, CAST(max(o_orderdate) AS DATE) AS bid_date FROM orders WHERE o_orderdate < '1998-01-01' GROUP BY o_custkey")
 def state_documents(spark, sf_dir):
     """State written as JSON documents and read back; a document that is broken gives nothing."""

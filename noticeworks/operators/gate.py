@@ -75,7 +75,8 @@ def source_health(df: DataFrame, sources: list[str], *, least: int = 5, errors:
 
 
 def run_funnel(**stages: DataFrame) -> DataFrame:
-    """A10: a row for each stage, in order, with its number of rows."""
+    """A10: a row for each stage, in order, with its number of rows. Stages are best given as written tables, which are
+    counted from their footers; metrics observed on the way would count a task again that a lost executor repeats."""
     out = None
     for i, (name, df) in enumerate(stages.items()):
         row = df.agg(F.count("*").alias("n")).select(F.lit(i).alias("stage"), F.lit(name).alias("name"), "n")

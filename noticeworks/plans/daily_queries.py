@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -650,15 +652,28 @@ def log_files(spark, sf_dir):
     return logs.scan_log(files.read_log(spark, path)).groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("lines"))
 
 
-@query("SELECT 'a' AS source, count(*) AS n, '' AS error FROM customer UNION ALL SELECT 'b', 0, 'failed' UNION ALL SELECT 'c', count(*), '' FROM supplier")
+@query("SELECT event_id FROM events WHERE CAST(ts AS DATE) = (SELECT max(CAST(ts AS DATE)) FROM events WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-11' AND DATE '2024-01-15' AND event_type = 'purchase' AND dayofmonth(ts) % 3 <> 0) AND event_type = 'purchase'")
+def latest_folder(spark, sf_dir):
+    """From a table partitioned by day; folders whose rows are not wanted are passed over."""
+    path = new_path(spark, "days")
+    table(spark, sf_dir, "events").withColumn("day", F.to_date("ts")).repartition("day").write.partitionBy("day").parquet(path)
+    wanted = lambda rows: rows.filter((F.col("event_type") == "purchase") & (F.dayofmonth("ts") % 3 != 0))
+    return files.read_latest(spark, path, datetime.date(2024, 1, 15), accept=wanted).select("event_id")
+
+
+@query("SELECT 'a' AS source, count(*) AS n, '' AS error FROM customer UNION ALL SELECT 'b', 0, 'failed' UNION ALL SELECT 'c', count(*), '' FROM supplier UNION ALL SELECT 'd', 0, 'failed'")
 def union_of_sources(spark, sf_dir):
     """A source that fails does not stop the others."""
 
     def broken():
         return spark.read.parquet(f"{sf_dir}/none.parquet")
 
-    rows, errors = files.union_sources({"a": lambda: table(spark, sf_dir, "customer").select("c_name"), "b": broken, "c": lambda: table(spark, sf_dir, "supplier").select("s_name")})
-    return gate.source_health(rows, ["a", "b", "c"], errors={k: "failed" for k in errors}).select("source", "n", "error")
+    def late():
+        last = table(spark, sf_dir, "orders").agg(F.max("o_orderkey")).first()[0]
+        return table(spark, sf_dir, "orders").select(F.when(F.col("o_orderkey") == last, F.raise_error(F.lit("broken at its last row"))).otherwise(F.col("o_orderstatus")).alias("status"))
+
+    rows, errors = files.union_sources({"a": lambda: table(spark, sf_dir, "customer").select("c_name"), "b": broken, "c": lambda: table(spark, sf_dir, "supplier").select("s_name"), "d": late})
+    return gate.source_health(rows, ["a", "b", "c", "d"], errors={k: "failed" for k in errors}).select("source", "n", "error")
 
 
 @query("SELECT o_orderstatus AS status, count(*) AS n FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1")

@@ -71,6 +71,7 @@ def monitor(
     bids = complete(bids)
     formal, _ = apply_hints(bids, propagate_hint=propagate_hint)
     gated = gate.filter_notices(formal.withColumn("metadata", F.when(F.col("category_hint").isNotNull(), F.map_concat("metadata", F.create_map(F.lit("category_hint"), F.col("category_hint")))).otherwise(F.col("metadata"))) if propagate_hint else formal, pack)
+    gated = store(gated, "monitor-gated").df
     unique = store(dedup.deduplicate(standardize.standardize_keys(gated)), "monitor").df
     unique = standardize.standardize_keys(unique.drop("keys", "primary_key", "exact_key", "n_title", "n_org", "amount_key", "record_date"))
     if cache is not None:

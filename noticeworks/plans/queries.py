@@ -572,8 +572,9 @@ def source_health(spark, sf_dir):
 def run_funnel(spark, sf_dir):
     """A10."""
     rows = notices(spark, sf_dir)
-    kept = gate.filter_notices(rows, PACK)
-    return gate.run_funnel(crawled=rows, filtered=kept, deduped=kept.select(F.sha2(X.normalize_text(F.col("title"), compose=False).cast("binary"), 256)).distinct())
+    named = gate.filter_notices(rows, PACK).select(F.sha2(X.normalize_text(F.col("title"), compose=False).cast("binary"), 256).alias("title"))
+    kept = store(named, "funnel").df  # the gate runs once
+    return gate.run_funnel(crawled=rows, filtered=kept, deduped=kept.distinct())
 
 
 @query("SELECT raw, n FROM (SELECT 'x(' || p_type || ')' AS raw, count(*) AS n, min(p_partkey) AS first FROM part WHERE p_size > 25 GROUP BY 1) ORDER BY n DESC, first LIMIT 3")

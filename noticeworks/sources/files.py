@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noticeworks.functions.dates import parse_instant
+from noticeworks.tables import names_in, store
 
 ENTRY = "primary_key string, alias_keys array<string>, title string, org string, source string, first_seen_at string, last_seen_at string, notified_at string, announcement_date string, bid_date string, bid_deadline string, created_at string"
 _STRUCT = "struct<" + ENTRY.replace(" array", ":array").replace(" string", ":string") + ">"
@@ -51,22 +53,34 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def union_sources(readers: dict[str, Callable[[], DataFrame]]) -> tuple[DataFrame | None, dict[str, str]]:
-    """Rows of all sources that could be opened, with source and ingest_ord (source rank above the row), and
-    the errors of the others. A source that fails when it is opened or when its first row is read does not stop the rest;
-    ``ingest_ord`` follows the order in which Spark reads a source."""
+    """Rows of all sources that could be read whole, with source and ingest_ord (source rank above the row), and
+    the errors of the others. Each source is written by a job of its own, so one that fails, even at its last row, adds
+    nothing and does not stop the rest. ``ingest_ord`` follows the order in which Spark reads a source."""
     out, errors = None, {}
     for rank, (name, read) in enumerate(readers.items()):
         try:
-            rows = read()
-            rows.take(1)
+            rows = read().withColumns({"source": F.lit(name), "ingest_ord": F.lit(rank) * (1 << 52) + F.monotonically_increasing_id()})
+            rows = store(rows, "source").df
         except Exception as e:  # noqa: BLE001  a source may fail in any way of its own
             errors[name] = str(e)
             continue
-        rows = rows.withColumns({"source": F.lit(name), "ingest_ord": F.lit(rank) * (1 << 52) + F.monotonically_increasing_id()})
         out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
     return out, errors
 
 
+def read_latest(spark: SparkSession, path: str, today: date, *, day: str = "day", back: int = 4, accept: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame | None:
+    """What ``accept`` keeps of the latest day, from ``today`` back ``back`` days, that has any of it; None if none has.
+    The Parquet table under ``path`` is partitioned by ``day``: days without a folder are passed over, and no other day
+    than those tried is read."""
+    held = set(names_in(spark, path))
+    for at in (today - timedelta(i) for i in range(back + 1)):
+        if f"{day}={at}" in held:
+            rows = accept(spark.read.option("basePath", path).parquet(f"{path}/{day}={at}"))
+            if not rows.isEmpty():
+                return rows
+    return None
+
+
 def write_json(df: DataFrame, path: str) -> None:
     """K4, K6."""
     df.write.mode("overwrite").json(path)

@@ -281,10 +281,25 @@ def test_lines_keep_their_order_over_blocks(spark, tmp_path):
     assert by == {"a.log": list(range(4000)), "b.log": [0, 1, 2], "c.log": list(range(40))}
 
 
-def test_a_source_that_fails_when_read_does_not_stop_the_rest(spark):
-    bad = lambda: spark.range(3).select(F.raise_error(F.lit("broken")).alias("x"))
-    rows, errors = files.union_sources({"good": lambda: spark.range(2).select(F.col("id").cast("string").alias("x")), "bad": bad})
-    assert rows.count() == 2 and "broken" in errors["bad"]
+def test_a_source_that_fails_at_its_last_row_does_not_stop_the_rest(spark):
+    bad = lambda: spark.range(0, 3000, 1, 3).select(F.when(F.col("id") == 2999, F.raise_error(F.lit("broken"))).otherwise("x").alias("x"))
+    gone = lambda: spark.read.parquet("/nowhere/at/all")
+    good = lambda: spark.range(2).select(F.col("id").cast("string").alias("x"))
+    rows, errors = files.union_sources({"good": good, "bad": bad, "gone": gone, "more": good})
+    assert sorted((r.source, r.x) for r in rows.collect()) == [("good", "0"), ("good", "1"), ("more", "0"), ("more", "1")]
+    assert rows.select("ingest_ord").distinct().count() == 4 and set(errors) == {"bad", "gone"} and "broken" in errors["bad"]
+    assert files.union_sources({"bad": bad})[0] is None
+
+
+def test_the_latest_day_is_the_one_folder_read(spark, tmp_path):
+    path = str(tmp_path / "days")
+    rows = [(date(2026, 4, d), k) for d, k in ((1, "a"), (2, "a"), (3, "b"), (9, "a"))]
+    spark.createDataFrame(rows, "day date, kind string").write.partitionBy("day").parquet(path)
+    read = lambda d, **more: files.read_latest(spark, path, date(2026, 4, d), **more)
+    wanted = lambda df: df.filter("kind = 'a'")
+    got = read(5, accept=wanted)
+    assert [(r.day, r.kind) for r in got.collect()] == [(date(2026, 4, 2), "a")] and all("day=2026-04-02" in f for f in got.inputFiles())
+    assert read(5).first().kind == "b" and read(8) is None and read(8, back=5).first().kind == "b"
 
 
 def test_repeats_are_dropped_over_chunks(spark, monkeypatch):

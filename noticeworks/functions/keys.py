@@ -21,24 +21,30 @@ def compact(*columns: Column) -> Column:
     return F.array_distinct(F.filter(F.array(*columns), lambda x: x.isNotNull() & (x != "")))
 
 
-def source_keys(metadata: Column, url: Column, *, compose: bool = True) -> list[Column]:
-    pk = first_text(*(metadata[k] for k in PK), query_value(url, PK[0]), query_value(metadata["g0v_human_url"], PK[0]))
+def source_parts(metadata: Column, url: Column) -> dict[str, Column]:
+    """What a source's own key is made of: pk, or unit and job. Texts without them give ''."""
     places = (metadata["g0v_tender_api_url"], metadata["tender_api_url"], url)
-    unit, job = (first_text(metadata[f"g0v_{k}"], metadata[k], *(query_value(p, k) for p in places)) for k in ("unit_id", "job_number"))
+    parts = {k: first_text(metadata[f"g0v_{name}"], metadata[name], *(query_value(p, name) for p in places)) for k, name in (("unit", "unit_id"), ("job", "job_number"))}
+    return {"pk": first_text(*(metadata[k] for k in PK), query_value(url, PK[0]), query_value(metadata["g0v_human_url"], PK[0])), **parts}
+
+
+def source_keys(parts: dict[str, Column], *, compose: bool = True) -> list[Column]:
     normal = lambda c: normalize_text(c, compose=compose)
+    pk, unit, job = (parts[k] for k in ("pk", "unit", "job"))
     return [
         F.when(pk != "", F.concat(F.lit("source:gov_pcc:pkPmsMain:"), normal(pk))),
         F.when((unit != "") & (job != ""), F.concat(F.lit("source:g0v:"), normal(unit), F.lit(":"), normal(job))),
     ]
 
 
-def notification_keys(*, title: Column, org: Column, amount: Column, announced: Column, due: Column, url: Column, metadata: Column, uid: Column | None = None, compose: bool = True) -> Column:
-    """C4: all names of a notice, the strongest first: source, URL, content, older content forms, its own uid."""
+def notification_keys(*, title: Column, org: Column, amount: Column, announced: Column, due: Column, url: Column, metadata: Column, uid: Column | None = None, compose: bool = True, parts: dict[str, Column] | None = None) -> Column:
+    """C4: all names of a notice, the strongest first: source, URL, content, older content forms, its own uid. ``parts``
+    are those of ``source_parts`` where a plan has them as columns."""
     base = F.concat_ws("|", title, org, amount)
     named = (title != "") | (org != "")
     dated = lambda d: F.when(named & d.isNotNull(), hash_key("fallback:title_org_amount_date", F.concat_ws("|", base, d.cast("string"))))
     older = [content_uid(title, org, d, amount) for d in (due, announced, F.lit(None).cast("date"))]
-    return compact(*source_keys(metadata, url, compose=compose), url_key(url), F.when(named, hash_key("fallback:title_org_amount", base)), dated(announced), dated(due), *older, text(uid) if uid is not None else F.lit(None).cast("string"))
+    return compact(*source_keys(parts or source_parts(metadata, url), compose=compose), url_key(url), F.when(named, hash_key("fallback:title_org_amount", base)), dated(announced), dated(due), *older, text(uid) if uid is not None else F.lit(None).cast("string"))
 
 
 def primary_key(keys: Column) -> Column:

@@ -162,7 +162,8 @@ def identity_entries(df: DataFrame, *, pack: RulePack = DEFAULT) -> DataFrame:
     """
     part = lambda prefix: F.get(F.filter("strong", lambda k: k.startswith(prefix)), 0)
     rows = df.withColumns(_rank(pack)).select("ingest_ord", "_p", "_s", F.get("strong", 0).alias("lead"), part("source:gov_pcc:").alias("k0"), part("source:g0v:").alias("k1"), part("url:").alias("k2"), "strong")
-    rows = store(rows.join(identity_components(rows), "ingest_ord"), "dedup-identity").df
+    narrow = store(rows, "dedup-strong").df  # the wide rows are read once
+    rows = store(narrow.join(identity_components(narrow), "ingest_ord"), "dedup-identity").df
     kinds = rows.groupBy("component").agg(F.count("*").alias("n"), (F.min("lead") == F.max("lead")).alias("one"))
     plain = rows.join(kinds.filter("n = 1 or one"), "component").select("ingest_ord", F.col("component").alias("entry"))
     mixed = rows.join(kinds.filter("n > 1 and not coalesce(one, false)"), "component").select("component", "ingest_ord", F.struct("_p", "_s").alias("rank"), "k0", "k1", "k2")
@@ -197,24 +198,33 @@ def near_entries(df: DataFrame, *, pack: RulePack = DEFAULT, least: float = SIMI
     pairs = store(fuzzy_pairs(blocked, block=["_block"], least=least), "dedup-near").df
     found = components(pairs.select(F.col("a_ord").alias("u"), F.col("b_ord").alias("v"))).df
     roots = found.select(F.col("u").alias("ingest_ord"), "v").unionByName(found.select(F.col("v").alias("ingest_ord"), "v").distinct())
-    near = pairs.groupBy(F.col("b_ord").alias("ingest_ord")).agg(F.collect_list("a_ord").alias("near"))
-    rows = df.withColumns(_rank(pack)).select("ingest_ord", "_p", "_s").join(roots, "ingest_ord").join(near, "ingest_ord", "left")
+    rows = df.withColumns(_rank(pack)).select("ingest_ord", "_p", "_s").join(roots, "ingest_ord")
+    # A row comes after its near rows before it, one line for each: no list of them is gathered.
+    met = pairs.select(F.col("b_ord").alias("ingest_ord"), F.col("a_ord").alias("near")).join(roots, "ingest_ord")
+    lines = met.unionByName(rows, allowMissingColumns=True)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        component, speaks, best = None, {}, {}
+        component, speaks, best, entry = None, {}, {}, None
         for batch in batches:
-            entries = []
-            for c, order, p, s, near in zip(*(batch.column(x).to_pylist() for x in ("v", "ingest_ord", "_p", "_s", "near")), strict=True):
+            rows, entries = [], []
+            for c, order, near, p, s in zip(*(batch.column(x).to_pylist() for x in ("v", "ingest_ord", "near", "_p", "_s")), strict=True):
                 if c != component:
-                    component, speaks, best = c, {}, {}  # survivor: its entry; entry: its survivor and rank
-                entry = min((speaks[a] for a in near or () if a in speaks), default=order)
+                    component, speaks, best, entry = c, {}, {}, None  # survivor: its entry; entry: its survivor and rank
+                if near is not None:
+                    if near in speaks and (entry is None or speaks[near] < entry):
+                        entry = speaks[near]
+                    continue
+                entry = order if entry is None else entry
                 if entry == order or (p, s) > best[entry][1]:
                     speaks.pop(best[entry][0] if entry in best else None, None)
                     speaks[order], best[entry] = entry, (order, (p, s))
+                rows.append(order)
                 entries.append(entry)
-            yield pa.RecordBatch.from_arrays([batch.column("ingest_ord"), pa.array(entries, pa.int64())], ["ingest_ord", "entry"])
+                entry = None
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(entries, pa.int64())], ["ingest_ord", "entry"])
 
-    return rows.repartition("v").sortWithinPartitions("v", "ingest_ord").mapInArrow(assign, "ingest_ord long, entry long")
+    placed = lines.select("v", "ingest_ord", "near", "_p", "_s").repartition("v").sortWithinPartitions("v", "ingest_ord", F.col("near").asc_nulls_last())
+    return placed.mapInArrow(assign, "ingest_ord long, entry long")
 
 
 def _merge_entries(df: DataFrame, entries: DataFrame, pack: RulePack) -> DataFrame:

@@ -16,8 +16,11 @@ def standardize_keys(df: DataFrame, *, compose: bool = True, title: str = "title
     n = lambda c: X.normalize_text(F.col(c), compose=compose)
     named = df.withColumns({"n_title": n(title), "n_org": n(org), "_raw": n(raw)})
     named = named.withColumns({"amount_key": A.amount_key(F.col(amount), F.col("_raw")), "record_date": D.effective_day(F.col(announced), F.col(due))}).drop("_raw")
-    keys = K.notification_keys(title=F.col("n_title"), org=F.col("n_org"), amount=F.col("amount_key"), announced=F.col(announced), due=F.col(due), url=F.col(url), metadata=F.col(metadata), uid=F.col("uid") if "uid" in df.columns else None, compose=compose)
-    named = named.withColumn("keys", keys)
+    # As columns, so that what several keys need is found once a row.
+    parts = K.source_parts(F.col(metadata), F.col(url)) | {"link": X.strip(F.col(url))}
+    named = named.withColumns({f"_{k}": c for k, c in parts.items()})
+    keys = K.notification_keys(title=F.col("n_title"), org=F.col("n_org"), amount=F.col("amount_key"), announced=F.col(announced), due=F.col(due), url=F.col("_link"), metadata=F.col(metadata), uid=F.col("uid") if "uid" in df.columns else None, compose=compose, parts={k: F.col(f"_{k}") for k in parts})
+    named = named.withColumn("keys", keys).drop(*(f"_{k}" for k in parts))
     return named.withColumns({"primary_key": K.primary_key(F.col("keys")), "exact_key": K.exact_key(F.col("n_title"), F.col("n_org"), F.col(announced), F.col(due), F.col("amount_key"))})
 
 

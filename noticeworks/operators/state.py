@@ -81,6 +81,24 @@ def prune_state(entries: DataFrame, now: Column, retention_days: int = 90) -> Da
     return entries.filter(~(old & over))
 
 
+def cache_entries(df: DataFrame, status: str, now: Column) -> DataFrame:
+    """Notices with keys and primary_key as entries of the detail cache or queue: 24 fields, titles cut to 300 and
+    organisations to 240. A link that was only a fallback gives the official one of the metadata."""
+    state_of, human = F.col("metadata")["g0v_link_resolution_state"], F.col("metadata")["g0v_human_url"]
+    official = F.when(state_of == "fallback_api", F.coalesce(F.nullif(human, F.lit("")), "url")).otherwise(F.col("url"))
+    none = F.lit(None).cast("timestamp")
+    return df.select(
+        "primary_key", F.col("keys").alias("alias_keys"), F.left("title", F.lit(300)).alias("title"), F.left("organization", F.lit(240)).alias("org"), "source", "url", official.alias("official_url"), "metadata", "amount_raw", "amount_value", "budget_amount", "bid_bond", "bid_deadline", "bid_opening_time",
+        "announcement_date", "bid_date", F.lit(status).alias("status"), F.lit("").alias("failure_reason"), F.lit(0).alias("attempt_count"), F.create_map().cast("map<string,int>").alias("attempt_counts"), now.alias("first_seen_at"), none.alias("last_attempt_at"), (now if status == "success" else none).alias("last_success_at"), none.alias("expires_at"),
+    )
+
+
+def entry_notices(entries: DataFrame) -> DataFrame:
+    """Entries back as notices; missing texts are empty."""
+    texts = {"title": "title", "organization": "org", "amount_raw": "amount_raw", "source": "source", "url": "url", "budget_amount": "budget_amount", "bid_bond": "bid_bond", "bid_deadline": "bid_deadline", "bid_opening_time": "bid_opening_time"}
+    return entries.select("primary_key", *(F.coalesce(c, F.lit("")).alias(n) for n, c in texts.items()), "amount_value", "announcement_date", "bid_date", F.coalesce("metadata", F.create_map().cast("map<string,string>")).alias("metadata"))
+
+
 def prune_cache(cache: DataFrame, now: Column) -> DataFrame:
     """I4."""
     return cache.filter(~C.is_expired_entry(F.col, now))

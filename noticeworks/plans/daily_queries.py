@@ -624,6 +624,26 @@ def state_documents(spark, sf_dir):
     return files.read_state(spark, path).select("primary_key", F.size("alias_keys").cast("long").alias("n_aliases"), "title", "bid_date")
 
 
+@query(
+    """SELECT 'd:' || doc_id AS primary_key, left(repeat(coalesce(source, '') || '"}' || chr(10) || '    }', 60), 300) AS title, left(repeat('x', 100 + CAST(doc_id % 200 AS INT)), 240) AS org, CASE WHEN doc_id % 4 = 0 THEN 'h' || doc_id ELSE 'u' || doc_id END AS official_url,
+    CASE WHEN doc_id % 3 = 0 THEN NULL ELSE doc_id * 1.5 END AS amount_value, 'a' AS note FROM documents"""
+)
+def detail_documents(spark, sf_dir):
+    """Notices as cache entries, written as JSON documents, read entry by entry and turned back."""
+    path = new_path(spark, "details")
+    i = F.col("doc_id").cast("string")
+    meta = F.create_map(F.lit("note"), F.lit("a"), F.lit("g0v_link_resolution_state"), F.when(F.col("doc_id") % 4 == 0, "fallback_api").otherwise("resolved_official"), F.lit("g0v_human_url"), F.concat(F.lit("h"), i))
+    title = F.repeat(F.concat(F.coalesce("source", F.lit("")), F.lit('"}\n    }')), 60)  # what a broken reader would take for an entry's end
+    rows = complete(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ingest_ord"), title.alias("title"), F.repeat(F.lit("x"), (100 + F.col("doc_id") % 200).cast("int")).alias("organization"), F.concat(F.lit("u"), i).alias("url"), F.when(F.col("doc_id") % 3 > 0, F.col("doc_id") * 1.5).alias("amount_value"), meta.alias("metadata")))
+    keyed = rows.withColumn("primary_key", F.concat(F.lit("d:"), F.col("ingest_ord").cast("string"))).withColumn("keys", F.array("primary_key"))
+    entries = state.cache_entries(keyed, "success", F.lit("2024-01-01 12:00:00").cast("timestamp"))
+    said = F.to_json(F.struct(F.map_from_entries(F.collect_list(F.struct("primary_key", F.struct(*entries.columns)))).alias("entries")), {"pretty": "true"})
+    entries.groupBy(F.floor(F.regexp_extract("primary_key", r"(\d+)", 1).cast("long") / 100)).agg(said.alias("value")).select("value").write.option("maxRecordsPerFile", 1).text(path)
+    read = files.read_details(spark, path)
+    back = state.entry_notices(read).select("primary_key", "title", F.col("organization").alias("org"), "amount_value", F.col("metadata")["note"].alias("note"))
+    return back.join(read.select("primary_key", "official_url"), "primary_key")
+
+
 @query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '' ELSE 'a,' || doc_id END AS aliases FROM documents")
 def state_rows(spark, sf_dir):
     """Aliases as JSON text; bad JSON is an empty list."""

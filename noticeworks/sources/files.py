@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from datetime import date, timedelta
 
@@ -12,7 +13,14 @@ from noticeworks.functions.dates import parse_instant
 from noticeworks.tables import names_in, store
 
 ENTRY = "primary_key string, alias_keys array<string>, title string, org string, source string, first_seen_at string, last_seen_at string, notified_at string, announcement_date string, bid_date string, bid_deadline string, created_at string"
-_STRUCT = "struct<" + ENTRY.replace(" array", ":array").replace(" string", ":string") + ">"
+
+
+def _struct(schema: str) -> str:
+    """Columns as the type of a struct."""
+    return "struct<" + re.sub(r"(^|, )(\w+) ", r"\1\2:", schema) + ">"
+
+
+_STRUCT = _struct(ENTRY)
 STATE = f"version int, updated_at string, entries map<string,{_STRUCT}>, keys map<string,{_STRUCT}>, _corrupt_record string"
 EVENT = "timestamp string, url string, outcome string, status_code int, proxy string, user_agent string, session_id string, error string, strategy string"
 
@@ -32,6 +40,32 @@ def read_state(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+#: Entries of the detail cache and of the detail queue, as their documents have them.
+CACHED = (
+    "primary_key string, alias_keys array<string>, title string, org string, source string, url string, official_url string, metadata map<string,string>, amount_raw string, amount_value double, budget_amount string, bid_bond string, bid_deadline string, bid_opening_time string, "
+    "announcement_date string, bid_date string, status string, failure_reason string, attempt_count int, attempt_counts map<string,int>, first_seen_at string, last_attempt_at string, last_success_at string, expires_at string"
+)
+INSTANTS, DAYS = ("first_seen_at", "last_attempt_at", "last_success_at", "expires_at"), ("announcement_date", "bid_date")
+
+
+def read_entries(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """(file, key, entry): the entries of JSON documents that are written with an indent of two. An entry ends
+    where its closing bracket stands four spaces in, which no text inside can hold, so Spark splits a document between
+    its entries, however large it is. A broken or an empty entry has no row; its neighbours stay."""
+    parts = spark.read.option("lineSep", "\n    }").text(path)
+    begun = F.regexp_extract("value", r'(?s)(?:^|\n) {4}"(?:[^"\\\n]|\\.)*" ?: \{\n.*$', 0)
+    body = F.concat(F.lit("{"), F.regexp_replace(begun, r"^\n", ""), F.lit("}}"))
+    read = F.from_json(body, f"map<string,{_struct(schema)}>")
+    return parts.filter(begun != "").select(F.col("_metadata.file_path").alias("file"), F.explode(read).alias("key", "entry")).filter("entry is not null")
+
+
+def read_details(spark: SparkSession, path: str) -> DataFrame:
+    """The detail cache or queue from its documents: all 24 fields, with times and days read."""
+    rows = read_entries(spark, path, CACHED).select("key", "entry.*")
+    read = {c: parse_instant(F.nullif(F.col(c), F.lit(""))) for c in INSTANTS} | {c: F.try_to_date(c) for c in DAYS}
+    return rows.withColumns(read | {"primary_key": F.coalesce("primary_key", "key")}).drop("key")
+
+
 def state_from_rows(df: DataFrame) -> DataFrame:
     """A key-value table whose alias_keys_json holds a JSON array; bad JSON is an empty one."""
     return df.withColumn("alias_keys", F.coalesce(F.from_json("alias_keys_json", "array<string>"), F.array().cast("array<string>"))).drop("alias_keys_json")

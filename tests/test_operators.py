@@ -291,6 +291,28 @@ def test_a_source_that_fails_at_its_last_row_does_not_stop_the_rest(spark):
     assert files.union_sources({"bad": bad})[0] is None
 
 
+def test_documents_are_read_entry_by_entry(spark, tmp_path):
+    """Many tasks share one document; texts hold brackets, quotes and breaks; a broken entry costs itself alone."""
+    import json
+
+    entries = {f"k{i}": {"primary_key": f"k{i}", "title": f'a "title" {{\n    }},\n    "k": {{ 臺 \\ {i}', "alias_keys": [f"k{i}", "x"], "attempt_counts": {"g0v": i}, "amount_value": i / 2, "first_seen_at": "2026-04-01T10:00:00Z", "bid_date": "2026-04-02", "expires_at": ""} for i in range(500)}
+    entries |= {'odd "key"\n': {"title": "t"}, "empty": {}}
+    (tmp_path / "a.json").write_text(json.dumps({"version": 1, "entries": entries, "updated_at": "x"}, ensure_ascii=False, indent=2, sort_keys=True), encoding="utf-8")
+    (tmp_path / "b.json").write_text(json.dumps({"entries": {"p": {"title": "p"}, "q": {"title": "q"}, "r": {"title": "r"}}}, indent=2).replace('"title": "q"', '"title": q'), encoding="utf-8")
+    (tmp_path / "c.json").write_text("", encoding="utf-8")
+    held = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        read = files.read_details(spark, str(tmp_path))
+        assert read.rdd.getNumPartitions() > 20 and len(read.columns) == 24
+        got = {r.primary_key: r for r in read.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", held)
+    assert set(got) == {*entries, "p", "r"} - {"empty"}
+    assert all(got[k].title == e["title"] for k, e in entries.items() if e)
+    assert got["k7"].attempt_counts == {"g0v": 7} and got["k7"].amount_value == 3.5 and got["k7"].bid_date == date(2026, 4, 2) and got["k7"].expires_at is None
+
+
 def test_the_latest_day_is_the_one_folder_read(spark, tmp_path):
     path = str(tmp_path / "days")
     rows = [(date(2026, 4, d), k) for d, k in ((1, "a"), (2, "a"), (3, "b"), (9, "a"))]

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+import time
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from noticeworks.functions.classify import parse_reply, prompt
+from noticeworks.keyed import KeyedTable
+from noticeworks.tables import store
 
 #: Columns that a reply fills, by the parsed reply's fields.
 FILLED = {"ai_edu_score": "edu_score", "ai_it_score": "it_score", "ai_priority": "priority", "ai_summary": "summary", "ai_reason": "reason"}
@@ -30,6 +35,55 @@ def merge_replies(df: DataFrame, replies: DataFrame, *, row: str = "ingest_ord",
     return joined.select(*(F.col(c) for c in df.columns if c not in new), *(v.alias(c) for c, v in new.items()))
 
 
+REPLIES = "hash string, reply string"
+#: Scorers of this Python worker by name: a worker that takes several tasks sets a scorer up once.
+_scorers: dict[str, Callable[[list[str]], list[str]]] = {}
+
+
+def ask(asked: DataFrame, make: Callable[[], Callable[[list[str]], list[str]]], held: KeyedTable, *, name: str, row: str = "ingest_ord", size: int = 16, tries: int = 3, wait: float = 1.0, per_round: int = 100_000) -> DataFrame:
+    """Between C13 and C14: (row, reply) of the prompts in ``asked`` (row, prompt) that have a reply.
+
+    ``make`` sets up a scorer, once for each Python worker and ``name``; it takes ``size`` prompts and gives as many
+    replies. Equal prompts are asked once. Replies are kept in ``held`` (columns REPLIES, key hash) by the prompt's hash,
+    a round of ``per_round`` prompts at a time: what an earlier call or an earlier round was told is not asked again, and
+    a task that is lost repeats its part of one round. Prompts that fail ``tries`` times, ``wait`` seconds apart and
+    longer each time, have no reply and are asked by the next call. Null prompts are not asked."""
+    hashed = asked.select(row, "prompt", F.sha2(F.col("prompt").cast("binary"), 256).alias("hash")).filter("prompt is not null")
+    prompts = hashed.select("hash", "prompt").dropDuplicates(["hash"])
+    missing = store(prompts.join(held.lookup(prompts.select("hash")).select("hash"), "hash", "left_anti"), "prompts")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if name not in _scorers:
+                _scorers[name] = make()
+            for at in range(0, batch.num_rows, size):
+                some = batch.slice(at, size)
+                told = _replies(_scorers[name], some.column("prompt").to_pylist(), tries, wait)
+                yield pa.RecordBatch.from_arrays([some.column("hash"), pa.array(told, pa.string())], ["hash", "reply"])
+
+    rounds = math.ceil(missing.df.count() / per_round)
+    for i in range(rounds):
+        part = missing.df.filter(F.pmod(F.xxhash64("hash"), F.lit(rounds)) == i)
+        told = store(part.mapInArrow(run, REPLIES).filter("reply is not null"), "replies")  # the table's write sorts it, which must ask nothing again
+        held.write(told.df)
+        told.drop()
+    missing.drop()
+    return hashed.join(held.lookup(hashed.select("hash")), "hash").select(row, "reply")
+
+
+def _replies(score: Callable[[list[str]], list[str]], prompts: list[str], tries: int, wait: float) -> list[str | None]:
+    for i in range(tries):
+        try:
+            told = score(prompts)
+            if len(told) == len(prompts):
+                return told
+        except Exception:  # noqa: BLE001  a scorer may fail in any way of its own
+            pass
+        if i + 1 < tries:
+            time.sleep(wait * 2**i)
+    return [None] * len(prompts)
+
+
 def classify(df: DataFrame, template: str, score: Callable[[DataFrame], DataFrame], *, fields: tuple[str, ...] = ("title", "organization", "summary"), row: str = "ingest_ord", validation: bool = False) -> DataFrame:
     """``score`` takes (row, prompt) and gives (row, reply); its replies are merged into the rows."""
     asked = df.select(row, prompt(template, **{f: F.col(f) for f in fields}).alias("prompt"))

@@ -232,6 +232,21 @@ def merged_replies(spark, sf_dir):
     return done.select(F.col("ingest_ord").alias("doc_id"), F.col("ai_priority").alias("priority"), F.col("ai_edu_score").alias("edu_score"), F.array_join("tags", ",").alias("tags"), F.coalesce("ai_model", F.lit("")).alias("model"))
 
 
+@query("SELECT doc_id, length(coalesce(lang, '') || ' in ' || coalesce(source, '')) % 6 AS edu_score FROM documents WHERE doc_id % 5 < 4")
+def asked_replies(spark, sf_dir):
+    """C13-C15 with a scorer in the workers: equal prompts are asked once, later calls ask what is new."""
+
+    def make():
+        return lambda prompts: ['{"edu_score": %d}' % (len(p) % 6) for p in prompts]
+
+    held = KeyedTable(spark, new_path(spark, "replies"), replies.REPLIES, ["hash"], buckets=8)
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ingest_ord"), F.coalesce("lang", F.lit("")).alias("title"), F.coalesce("source", F.lit("")).alias("organization"), F.lit("").alias("summary"), F.array().cast("array<string>").alias("tags"))
+    score = lambda asked: replies.ask(asked, make, held, name="by length", per_round=50)
+    replies.classify(rows.filter("ingest_ord % 5 < 2"), "{title} in {organization}", score).count()
+    done = replies.classify(rows.filter("ingest_ord % 5 < 4"), "{title} in {organization}", score)
+    return done.select(F.col("ingest_ord").alias("doc_id"), F.col("ai_edu_score").alias("edu_score"))
+
+
 @query("SELECT doc_id, sha256(CASE WHEN doc_id % 2 = 0 OR coalesce(source, '') = '' THEN '' ELSE source || ' ' END || coalesce(lang, '')) AS sha FROM documents WHERE lang IS NOT NULL")
 def candidate_texts(spark, sf_dir):
     """C16."""

@@ -291,6 +291,38 @@ def test_a_source_that_fails_at_its_last_row_does_not_stop_the_rest(spark):
     assert files.union_sources({"bad": bad})[0] is None
 
 
+def test_prompts_are_asked_once(spark, tmp_path):
+    """Equal prompts, later calls and rounds ask nothing twice; what fails is tried again, at last by the next call."""
+    from noticeworks.keyed import KeyedTable
+    from noticeworks.operators import replies
+
+    at = str(tmp_path)
+
+    def make():
+        import os
+        import uuid
+
+        def score(prompts):
+            for p in prompts:
+                open(f"{at}/call-{p}-{uuid.uuid4().hex}", "w").close()
+            calls = sum(f.startswith("call-bad") for f in os.listdir(at))
+            if "bad" in prompts and calls < 4 or "slow" in prompts and sum(f.startswith("call-slow") for f in os.listdir(at)) < 2:
+                raise OSError("busy")
+            return [f"to {p}" for p in prompts]
+
+        return score
+
+    held = KeyedTable(spark, f"{at}/held", replies.REPLIES, ["hash"], buckets=2)
+    asked = lambda *prompts: spark.createDataFrame(list(enumerate(prompts)), "ingest_ord long, prompt string").repartition(3)
+    ask = lambda df: {r.ingest_ord: r.reply for r in replies.ask(df, make, held, name=at, size=1, tries=3, wait=0.01, per_round=2).collect()}
+    calls = lambda p: len([f for f in tmp_path.iterdir() if f.name.startswith(f"call-{p}-")])
+    assert ask(asked("a", "b", "a", None, "slow", "bad", "c")) == {0: "to a", 1: "to b", 2: "to a", 4: "to slow", 6: "to c"}
+    assert [calls(p) for p in ("a", "b", "c", "slow", "bad")] == [1, 1, 1, 2, 3]
+    assert ask(asked("a", "d", "bad")) == {0: "to a", 1: "to d", 2: "to bad"}
+    assert [calls(p) for p in ("a", "d", "bad")] == [1, 1, 4]
+    assert ask(asked()) == {} and ask(asked("a")) == {0: "to a"}
+
+
 def test_documents_are_read_entry_by_entry(spark, tmp_path):
     """Many tasks share one document; texts hold brackets, quotes and breaks; a broken entry costs itself alone."""
     import json

@@ -209,11 +209,19 @@ def write_packages(pages: DataFrame, path: str, *, id_col: str = "page_id", url_
     packages.select(F.col("value").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).text(path)
 
 
+def arrow_uri(path: str) -> str:
+    """A path as Spark lists it, as ``pyarrow.fs`` names it: Hadoop's names of S3 are one scheme there."""
+    if "://" not in path:
+        return path.replace("file:", "file://", 1)
+    scheme, rest = path.split("://", 1)
+    return f"{'s3' if scheme.lower() in ('s3a', 's3n') else scheme}://{rest}"
+
+
 def open_path(path: str) -> tuple[Read, Callable[[], None]]:
     """(a reader of ranges, what closes it) of a file that ``pyarrow.fs`` can reach."""
     from pyarrow import fs
 
-    where, inner = fs.FileSystem.from_uri(path if "://" in path else path.replace("file:", "file://", 1))
+    where, inner = fs.FileSystem.from_uri(arrow_uri(path))
     file = where.open_input_file(inner)
     return lambda at, n: file.read_at(n, at), file.close
 

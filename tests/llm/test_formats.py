@@ -261,3 +261,8 @@ def test_bloom_loses_no_key(spark):
     asked = spark.range(4000).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"))
     passed = {r.key for r in urlfilter.maybe_listed(asked, "key", urlfilter.bloom_blocks(keys, "key", 64), 64).collect()}
     assert {f"k{i}" for i in range(500)} <= passed and len(passed) < 1500
+
+
+def test_paths_as_spark_lists_them():
+    names = {"file:/a/b.zip": "file:///a/b.zip", "file:///a/b.zip": "file:///a/b.zip", "s3a://bucket/a.zip": "s3://bucket/a.zip", "s3n://bucket/a.zip": "s3://bucket/a.zip", "gs://bucket/a": "gs://bucket/a", "hdfs://host:1/a": "hdfs://host:1/a"}
+    assert {k: warczip.arrow_uri(k) for k in names} == names

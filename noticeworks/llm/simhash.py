@@ -99,12 +99,16 @@ def _near(a: str, b: str, distance: int) -> Column:
     return near & (F.bit_count(F.col(f"{a}.fp").bitwiseXOR(F.col(f"{b}.fp"))) <= distance)
 
 
-def near_pairs(fp: np.ndarray, a: np.ndarray, b: np.ndarray, distance: int) -> np.ndarray:
-    """Which of the pairs of places a and b are within ``distance``: pivot by pivot, pairs whose coordinates differ by
-    more are discarded, and the fingerprints of those that survive are compared."""
+def pivot_table(fp: np.ndarray) -> np.ndarray:
+    """The distances of fingerprints (columns) to the pivots (rows)."""
+    return np.stack([np.bitwise_count(fp ^ np.uint64(pivot)).astype(np.int8) for pivot in PIVOT_VALUES])
+
+
+def near_pairs(fp: np.ndarray, a: np.ndarray, b: np.ndarray, distance: int, table: np.ndarray | None = None) -> np.ndarray:
+    """Which of the pairs of places a and b are within ``distance``: pivot by pivot, pairs whose coordinates in the table
+    differ by more are discarded, and the fingerprints of those that survive are compared."""
     left = np.arange(len(a))
-    for pivot in PIVOT_VALUES:
-        to = np.bitwise_count(fp ^ np.uint64(pivot)).astype(np.int8)
+    for to in pivot_table(fp) if table is None else table:
         left = left[np.abs(to[a[left]] - to[b[left]]) <= distance]
     return left[np.bitwise_count(fp[a[left]] ^ fp[b[left]]) <= distance]
 
@@ -116,10 +120,11 @@ def _neighbour_links(tables: DataFrame, distance: int) -> DataFrame:
         tail = np.zeros((2, 0), np.int64)
         for batch in batches:
             key, fp = np.concatenate([tail, [batch.column("key").to_numpy(), batch.column("fp").to_numpy()]], axis=1)
+            table = pivot_table(fp.view(np.uint64))
             u, v = [], []
             for d in range(1, min(NEIGHBOURS, len(fp) - 1) + 1):
                 same = np.flatnonzero(key[d:] == key[:-d])
-                near = same[near_pairs(fp.view(np.uint64), same, same + d, distance)]
+                near = same[near_pairs(fp.view(np.uint64), same, same + d, distance, table)]
                 u.append(np.maximum(fp[near + d], fp[near]))
                 v.append(np.minimum(fp[near + d], fp[near]))
             if u:

@@ -49,6 +49,7 @@ def test_entry(spark):
 def test_entry_without_corpus_operators(tmp_path):
     root = os.path.dirname(entry.__file__)
     shutil.copytree(f"{root}/noticeworks", tmp_path / "noticeworks", ignore=shutil.ignore_patterns("llm", "__pycache__"))
-    shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
-    code = "import __spark_entry__ as e; q = e.queries(); assert q and not any(k.startswith('op') for k in q) and set(e.oracle_sql()) <= set(q)"
+    for name in ("__spark_entry__.py", "corpus_pipeline.py"):
+        shutil.copy(f"{root}/{name}", tmp_path)
+    code = "import __spark_entry__ as e; q = e.queries(); assert q and 'pipeline' not in q and not any(k.startswith('op') for k in q) and set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=os.environ | {"PYTHONPATH": str(tmp_path)})

@@ -3,6 +3,10 @@
 Each word is drawn from one of the document's languages; a language gives a word the product of its hashed byte
 trigrams' probabilities. Expectation-maximisation estimates the proportions of the languages, and the set of
 languages is chosen by penalised likelihood.
+
+Word likelihoods are taken a part of the words at a time. Texts whose likelihoods fit KEPT are grouped and keep them for
+all rounds of EM; those of a longer text are computed anew in each round, so memory follows neither its length times the
+number of languages nor the number of rounds.
 """
 
 from __future__ import annotations
@@ -22,6 +26,8 @@ from .wordhash import SEGMENT, segments
 BINS, SMOOTHING, PENALTY = 1 << 16, 0.1, 4.0
 #: EM ends for a document when no share moves by more than this in a round; rounds between two looks.
 SETTLED, LOOK = 1e-3, 4
+#: Word likelihoods (words x languages) that EM keeps; trigram likelihoods that are taken at a time, for each byte of a part.
+KEPT, WIDE = 1 << 20, 4
 UNDETERMINED = "und"
 
 
@@ -47,14 +53,14 @@ def _part(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     at = np.flatnonzero(inside) + 1  # a trigram is centred on each byte of a word
     code = (wide[at - 1] << np.uint32(16)) | (wide[at] << np.uint32(8)) | wide[at + 1]
     size = end - start
-    return ((code * np.uint32(2654435761)) >> np.uint32(16)).astype(np.int32), np.cumsum(size) - size, start
+    return ((code * np.uint32(2654435761)) >> np.uint32(16)).astype(np.uint16), np.cumsum(size) - size, start
 
 
 def trigrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(trigram bins, start of each word among them, words of each text); a word of n bytes has n trigrams."""
     buf = _LETTERS[np.frombuffer(b" ".join([*texts, b""]), np.uint8)]
     if not len(buf):
-        return np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
+        return np.zeros(0, np.uint16), np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
     bins, first, start, before = [], [], [], 0
     for a, b in segments(buf == 32, SEGMENT):
         own, at, where = _part(buf[a:b])
@@ -66,12 +72,25 @@ def trigrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(bins), np.concatenate(first), np.diff(np.searchsorted(np.concatenate(start), last), prepend=0)
 
 
-def word_likelihoods(logp: np.ndarray, bins: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Log-likelihoods of each word by language, some words at a time."""
-    out, ends = np.empty((len(first), logp.shape[1])), np.append(first, len(bins))
-    for a, b in runs(np.diff(ends), SEGMENT):
-        out[a:b] = np.add.reduceat(logp[bins[ends[a] : ends[b]]], first[a:b] - first[a], axis=0)
-    return out
+def _cuts(ends: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of words of about ``most`` trigrams; a longer word stands alone."""
+    at = 0
+    while at < len(ends) - 1:
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + most, side="right")) - 1)
+        yield at, to
+        at = to
+
+
+def word_likelihoods(logp: np.ndarray, bins: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(a, b, log-likelihoods by language of the words a to b), a part at a time. Word w has the trigrams from ends[w]
+    to ends[w + 1]."""
+    most = max(1, SEGMENT * WIDE // logp.shape[1])
+    for a, b in _cuts(ends, most):
+        if ends[b] - ends[a] > most:  # one long word
+            whole = sum(logp[bins[at : min(at + most, ends[b])]].sum(0, dtype=np.float64) for at in range(ends[a], ends[b], most))
+            yield a, b, whole[None, :]
+        else:
+            yield a, b, np.add.reduceat(logp[bins[ends[a] : ends[b]]], ends[a:b] - ends[a], axis=0).astype(np.float64)
 
 
 @dataclass
@@ -91,9 +110,11 @@ def fit_languages(docs: DataFrame, *, text_col: str = "text", lang_col: str = "l
             bins, first, words = trigrams(texts)
             upto = np.concatenate([first, [len(bins)]])[np.concatenate([[0], np.cumsum(words)])]
             names, codes = np.unique(np.array(batch.column(lang_col).to_pylist(), object).astype(str), return_inverse=True)
-            flat = np.bincount(np.repeat(codes, np.diff(upto)) * BINS + bins, minlength=len(names) * BINS).reshape(len(names), BINS)
-            for name, row in zip(names.tolist(), flat, strict=True):
-                totals[name] = totals.get(name, 0) + row
+            for a in range(0, len(bins), SEGMENT):
+                place = np.repeat(codes, np.diff(np.clip(upto, a, a + SEGMENT))) * BINS + bins[a : a + SEGMENT]
+                flat = np.bincount(place, minlength=len(names) * BINS).reshape(len(names), BINS)
+                for name, row in zip(names.tolist(), flat, strict=True):
+                    totals[name] = totals.get(name, 0) + row
         for name, row in totals.items():
             at = np.flatnonzero(row)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(row[at].astype(np.int64))], ["lang", "bin", "n"])
@@ -109,22 +130,89 @@ def fit_languages(docs: DataFrame, *, text_col: str = "text", lang_col: str = "l
     return LanguageModel(list(languages), np.log(counts / counts.sum(0)).astype(np.float32))
 
 
-def _em(like: np.ndarray, first: np.ndarray, words: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Proportions and log-likelihood after EM. like: word likelihoods relative to the word's best language.
+def _relative(like: np.ndarray) -> np.ndarray:
+    """Likelihoods relative to the word's best language."""
+    return np.exp(np.maximum(like - like.max(1, keepdims=True), -80.0))
+
+
+class _Kept:
+    """Relative likelihoods of the words of some texts, held in memory."""
+
+    def __init__(self, like: np.ndarray, text: np.ndarray):
+        self.like, self.text, self.first = like, text, np.flatnonzero(np.diff(text, prepend=-1))
+
+    def __iter__(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(likelihoods, text of each word, where texts begin)."""
+        yield self.like, self.text, self.first
+
+    def only(self, stay: np.ndarray) -> _Kept:
+        """Of the texts that stay, numbered anew."""
+        rows = stay[self.text]
+        return _Kept(self.like[rows], (np.cumsum(stay) - 1)[self.text[rows]])
+
+
+class _Anew:
+    """Relative likelihoods of the words of one long text, computed a part at a time whenever they are gone through."""
+
+    def __init__(self, logp: np.ndarray, bins: np.ndarray, ends: np.ndarray):
+        self.logp, self.bins, self.ends = logp, bins, ends
+
+    def __iter__(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for a, b, like in word_likelihoods(self.logp, self.bins, self.ends):
+            yield _relative(like), np.zeros(b - a, np.int64), np.zeros(1, np.int64)
+
+    def only(self, stay: np.ndarray) -> _Anew:
+        return self
+
+
+def _em(likes: _Kept | _Anew, words: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Proportions after EM, their log-likelihood, and a bound on what any proportions of all languages can reach.
 
-    Documents whose proportions have settled are left out of the further rounds."""
-    done, open_docs = share.copy(), np.arange(len(words))
-    own, at, n, now = like, first, words, share
-    while len(open_docs):
+    Texts whose proportions have settled are left out of the further rounds. The bound follows from concavity: other
+    proportions gain no more than the words' number times the log of the greatest mean ratio of a language's likelihood
+    to the mixture's."""
+    done, open_texts = share.copy(), np.arange(len(words))
+    own, n, now = likes, words, share
+    while len(open_texts):
         for _ in range(LOOK):
-            last, joint = now, own * np.repeat(now, n, axis=0)
-            joint /= joint.sum(1, keepdims=True)
-            now = np.add.reduceat(joint, at, axis=0) / n[:, None]
-        done[open_docs] = now
+            last, now = now, np.zeros_like(now)
+            for like, text, first in own:
+                joint = like * last[text]
+                joint /= joint.sum(1, keepdims=True)
+                now[text[first]] += np.add.reduceat(joint, first, axis=0)
+            now /= n[:, None]
+        done[open_texts] = now
         go = np.abs(now - last).max(1) > SETTLED
-        own, open_docs, n, now = own[np.repeat(go, n)], open_docs[go], n[go], now[go]
-        at = np.cumsum(n) - n
-    return done, np.add.reduceat(np.log((like * np.repeat(done, words, axis=0)).sum(1)), first)
+        own, open_texts, n, now = own if go.all() else own.only(go), open_texts[go], n[go], now[go]
+    found, ratio = np.zeros(len(words)), np.zeros_like(share)
+    for like, text, first in likes:
+        mixed = (like * done[text]).sum(1)
+        found[text[first]] += np.add.reduceat(np.log(mixed), first)
+        ratio[text[first]] += np.add.reduceat(like / mixed[:, None], first, axis=0)
+    return done, found, found + words * np.log(ratio.max(1) / words)
+
+
+def _sets(likes: _Kept | _Anew, words: np.ndarray, base: np.ndarray, alone: np.ndarray, cost: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(text, languages by falling share, their shares) for every set that beats the best one so far, by growing size.
+    A text is left out of the sizes that it cannot gain from any more."""
+    n_lang = likes.logp.shape[1] if isinstance(likes, _Anew) else likes.like.shape[1]
+    full, _, most = _em(likes, words, np.full((len(words), n_lang), 1.0 / n_lang))
+    order = np.argsort(-full, axis=1, kind="stable")
+    gain, open_texts = alone.copy(), np.arange(len(words))
+    for k in range(2, n_lang + 1):
+        stay = (most + base - (k - 1) * cost > gain)[open_texts]
+        if not stay.all():
+            likes, open_texts = likes.only(stay), open_texts[stay]
+        if not len(open_texts):
+            return
+        allowed = np.zeros((len(open_texts), n_lang))
+        np.put_along_axis(allowed, order[open_texts, :k], 1.0 / k, axis=1)
+        share, ll, _ = _em(likes, words[open_texts], allowed)
+        value = ll + (base - (k - 1) * cost)[open_texts]
+        for j in np.flatnonzero(value > gain[open_texts]):
+            gain[open_texts[j]] = value[j]
+            by = np.argsort(-share[j], kind="stable")[:k]
+            yield int(open_texts[j]), by, share[j, by]
 
 
 def infer(model: LanguageModel, texts: list[bytes]) -> tuple[list[str], np.ndarray, list[list[str]]]:
@@ -145,37 +233,32 @@ def infer(model: LanguageModel, texts: list[bytes]) -> tuple[list[str], np.ndarr
     has = np.flatnonzero(words)
     if not len(has):
         return pred, score, chosen
-    word_ll = word_likelihoods(model.logp, bins, first)
+    ends = np.append(first, len(bins))
     count = words[has]
-    start = np.cumsum(count) - count
-    single = np.add.reduceat(word_ll, start, axis=0)
+    upto = np.append(0, np.cumsum(count))
+    text = np.repeat(np.arange(len(has), dtype=np.int32), count)
+    single, bound = np.zeros((len(has), n_lang)), np.zeros(len(has))
+    for a, b, like in word_likelihoods(model.logp, bins, ends):
+        at = np.flatnonzero(np.diff(text[a:b], prepend=-1))
+        single[text[a:b][at]] += np.add.reduceat(like, at, axis=0)
+        bound[text[a:b][at]] += np.add.reduceat(like.max(1), at)
     best = single.argmax(1)
     top = single[np.arange(len(has)), best]
-    top_word = word_ll.max(1)
-    bound = np.add.reduceat(top_word, start)
     cost = PENALTY * np.log1p(count)
     sure = np.exp(top - np.logaddexp.reduce(single, axis=1))
     sets = [[int(b)] for b in best]
     # No mixture can gain more than the bound: most documents need no EM.
     mixed = np.flatnonzero(bound - top > cost)
-    if len(mixed):
-        pick = np.repeat(np.isin(np.arange(len(has)), mixed), count)
-        like = np.exp(np.maximum(word_ll[pick] - top_word[pick, None], -80.0))
-        base, n = bound[mixed], count[mixed]
-        at = np.cumsum(n) - n
-        full, _ = _em(like, at, n, np.full((len(mixed), n_lang), 1.0 / n_lang))
-        order = np.argsort(-full, axis=1, kind="stable")
-        gain = top[mixed].copy()
-        for k in range(2, n_lang + 1):
-            allowed = np.zeros((len(mixed), n_lang))
-            np.put_along_axis(allowed, order[:, :k], 1.0 / k, axis=1)
-            share, ll = _em(like, at, n, allowed)
-            value = ll + base - (k - 1) * cost[mixed]
-            for j in np.flatnonzero(value > gain):
-                gain[j] = value[j]
-                by = np.argsort(-share[j], kind="stable")[:k]
-                sets[mixed[j]] = [int(x) for x in by]
-                best[mixed[j]], sure[mixed[j]] = by[0], share[j, by[0]]
+    for a, b in runs(count[mixed] * n_lang, KEPT):
+        own = mixed[a:b]
+        if len(own) == 1 and count[own[0]] * n_lang > KEPT:
+            here = ends[upto[own[0]] : upto[own[0] + 1] + 1]
+            likes = _Anew(model.logp, bins[here[0] : here[-1]], here - here[0])
+        else:
+            like = [x for d in own for _, _, x in word_likelihoods(model.logp, bins, ends[upto[d] : upto[d + 1] + 1])]
+            likes = _Kept(_relative(np.concatenate(like)), np.repeat(np.arange(len(own)), count[own]))
+        for j, by, share in _sets(likes, count[own], bound[own], top[own], cost[own]):
+            sets[own[j]], best[own[j]], sure[own[j]] = by.tolist(), by[0], share[0]
     for i, d in enumerate(has):
         pred[d], score[d], chosen[d] = model.languages[best[i]], min(1.0, float(sure[i])), [model.languages[x] for x in sets[i]]
     return pred, score, chosen

@@ -66,6 +66,38 @@ def test_mixture_is_seen(spark, corpus):
     assert pred[1] == "en" and score[1] > 0.9 and pred[2] == "und" and pred[3] in model.languages and pred[4] == "und"
 
 
+def test_mixtures_do_not_depend_on_what_is_kept(spark, corpus, monkeypatch):
+    """Texts whose likelihoods are computed anew in each round get what they get from kept ones."""
+    model = langid.fit_languages(spark.createDataFrame(corpus[["text", "lang"]]))
+    by = {x: corpus[corpus.lang == x].text.tolist() for x in model.languages}
+    texts = [" ".join(by[x][k] for x in model.languages[: 1 + k % 4]).encode() for k in range(12)]
+    whole = langid.infer(model, texts)
+    assert {len(x) for x in whole[2]} >= {1, 2, 3}
+    for kept, segment in ((1, 512), (3000, 2048)):
+        monkeypatch.setattr(langid, "KEPT", kept)
+        monkeypatch.setattr(langid, "SEGMENT", segment)
+        pred, score, sets = langid.infer(model, texts)
+        assert (pred, sets) == (whole[0], whole[2]) and np.allclose(score, whole[1])
+
+
+def test_memory_follows_parts_of_a_long_text():
+    """A text of two languages among 40, of which the likelihoods of all words would take 200 MB at 8 bytes each."""
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    model = langid.LanguageModel([f"l{i:02}" for i in range(40)], np.log(rng.dirichlet(np.full(langid.BINS, 0.05), 40).T + 1e-7).astype(np.float32))
+    words = ["".join(chr(97 + c) for c in rng.integers(0, 26, 5)) for _ in range(3000)]
+    bins, first, _ = langid.trigrams([" ".join(words).encode()])
+    best = np.concatenate([x for _, _, x in langid.word_likelihoods(model.logp, bins, np.append(first, len(bins)))]).argmax(1)
+    mine = [w for w, b in zip(words, best, strict=True) if b in (3, 8)]
+    text = " ".join(mine[i] for i in rng.integers(0, len(mine), 650_000)).encode()
+    tracemalloc.start()
+    pred, _, sets = langid.infer(model, [text])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert set(sets[0]) == {"l03", "l08"} and pred[0] in sets[0] and peak < 120 << 20
+
+
 def plain_mixture(model, text):
     """EM and the choice of the set for one text, word by word."""
     import math

@@ -6,13 +6,19 @@ of them. Impacts are BM25 weights divided by the item's own total: a passage tha
 greatest impacts, then, for each block of items, the sum of the block's greatest impacts, and only then is an item
 scored. The bounds of many passages are taken together. Every item above the threshold is then verified: its question
 and its answer must each share most of their word shingles with the text.
+
+Items are dealt over shards by their hash. Tasks build the shards' indexes and write them to the shared folder; a task
+that reads texts holds many of them at a time and goes through the shards one after another, so the corpus is scanned
+once, and neither the driver nor a task holds more than one shard's index.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import byte_chunks, store
+from .common import byte_chunks, new_path
+from .warczip import arrow_uri
 from .wordhash import hash_words, mix
 
 K1, B = 1.2, 0.75
@@ -29,8 +36,10 @@ THRESHOLD, OVERLAP, SHINGLE = 0.6, 0.8, 5
 #: Impacts of an item's commonest words, up to this share, count as given: such words need no lookup.
 GIVEN = 0.2
 BLOCK_ITEMS, LEAST_WINDOW = 16, 64
-#: Bytes of items in a shard: an index takes some ten times as much.
-SHARD_BYTES = 8 << 20
+#: Bytes of items in a shard: an index takes some ten times as much. Bytes of an index in a row of its table.
+SHARD_BYTES, PIECE_BYTES = 8 << 20, 4 << 20
+#: Bytes of texts that meet a shard at a time.
+HELD_BYTES = 32 << 20
 _SENTENCE = re.compile(rb"(?<=[.!?])\s+")
 
 
@@ -66,6 +75,7 @@ class ItemIndex:
     """Postings of one shard of items, by term; a term's block postings hold its greatest impact in each block."""
 
     item_ids: list
+    times: list[int]  # how often an item is given
     terms: np.ndarray  # sorted hashes
     most: np.ndarray  # greatest impact of each term
     first: np.ndarray  # postings of term t: first[t] to first[t + 1]
@@ -90,29 +100,33 @@ class ItemStatistics:
     df: np.ndarray
 
 
-def item_terms(items: DataFrame, text_col: str) -> DataFrame:
-    """(words, term, one): a row for each item with its number of words, and one for each of its terms."""
+def item_terms(items: DataFrame) -> DataFrame:
+    """(shard, words, term): of rows (shard, item_text), one for each item with its number of words, and one for each
+    of its terms."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in byte_chunks(batches, text_col):
+        for batch, texts in byte_chunks(batches, "item_text"):
             hashes, words = hash_words(texts)
             own = [np.unique(w) for w in np.split(hashes, np.cumsum(words)[:-1])]
-            terms = np.concatenate(own) if own else hashes
-            rows = pa.array([*words[words > 0].tolist(), *[None] * len(terms)], pa.int64())
-            yield pa.RecordBatch.from_arrays([rows, pa.array([*[None] * int((words > 0).sum()), *terms.view(np.int64).tolist()], pa.int64())], ["words", "term"])
+            shard = batch.column("shard").to_numpy()
+            shards = np.concatenate([shard[words > 0], np.repeat(shard, list(map(len, own)))])
+            count, terms = words[words > 0].tolist(), np.concatenate(own).view(np.int64).tolist()
+            columns = [pa.array(shards.astype(np.int32)), pa.array([*count, *[None] * len(terms)], pa.int64()), pa.array([*[None] * len(count), *terms], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["shard", "words", "term"])
 
-    return items.select(text_col).mapInArrow(run, "words long, term long")
+    return items.select("shard", "item_text").mapInArrow(run, "shard int, words long, term long")
 
 
-def build_index(item_ids: list, texts: list[bytes], known: ItemStatistics) -> ItemIndex:
+def build_index(item_ids: list, texts: list[bytes], known: ItemStatistics, times: list[int] | None = None) -> ItemIndex:
     """The index of a shard by the statistics of all items. Items without a word are left out."""
+    times = times or [1] * len(item_ids)
     hashes, words = hash_words(texts)
     own = np.split(hashes, np.cumsum(words)[:-1]) if len(texts) else []
     keep = [i for i, w in enumerate(own) if len(w)]
-    item_ids, texts, own = [item_ids[i] for i in keep], [texts[i] for i in keep], [own[i] for i in keep]
+    item_ids, times, texts, own = ([x[i] for i in keep] for x in (item_ids, times, texts, own))
     # Items of one vocabulary share blocks, which keeps the blocks' bounds tight.
     order = sorted(range(len(own)), key=lambda i: (int(np.bincount((own[i] >> np.uint64(58)).astype(int), minlength=64).argmax()), int(own[i].min())))
-    item_ids, texts, own = [item_ids[i] for i in order], [texts[i] for i in order], [own[i] for i in order]
+    item_ids, times, texts, own = ([x[i] for i in order] for x in (item_ids, times, texts, own))
     n, mean, terms = len(own), known.mean, known.terms
     counted = [np.unique(w, return_counts=True) for w in own]
     idf = np.log1p((known.n - known.df + 0.5) / (known.df + 0.5))
@@ -145,7 +159,7 @@ def build_index(item_ids: list, texts: list[bytes], known: ItemStatistics) -> It
         keys.append((distinct(shingle_hashes(h[: w[0]])), distinct(shingle_hashes(h[w[0] :]))))
         sizes.append((min(SHINGLE, int(w[0])), min(SHINGLE, int(w[1]))))
     return ItemIndex(
-        item_ids, terms[used], np.maximum.reduceat(x_all, first[:-1]) if len(used) else x_all, first, i_all, x_all, np.searchsorted(t_all[at], np.arange(len(used) + 1)), i_all[at] // BLOCK_ITEMS, block_most,
+        item_ids, times, terms[used], np.maximum.reduceat(x_all, first[:-1]) if len(used) else x_all, first, i_all, x_all, np.searchsorted(t_all[at], np.arange(len(used) + 1)), i_all[at] // BLOCK_ITEMS, block_most,
         max([LEAST_WINDOW, *map(len, own)]), keys, sizes, weights,
     )
 
@@ -210,60 +224,99 @@ def retrieve(index: ItemIndex, hashes: np.ndarray, words: np.ndarray, threshold:
     return np.unique(np.stack([texts, hits % n_items], axis=1), axis=0)
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD, least: float = OVERLAP) -> DataFrame:
+def store_indexes(items: DataFrame, shards: int, *, item_id: str, item_text: str) -> list[list[str]]:
+    """Files of each shard's index in the shared folder. An item that is given many times is held once."""
+    spark = items.sparkSession
+    shard = F.pmod(F.xxhash64("item_id", "item_text"), F.lit(shards)).cast("int")
+    rows = items.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("item_text")).filter(F.col("item_text").isNotNull()).withColumn("shard", shard)
+    counted = item_terms(rows)
+    n, mean = counted.agg(F.count("words"), F.coalesce(F.avg("words"), F.lit(1.0))).first()
+    frequency = counted.filter("term is not null").groupBy("term").agg(F.count("*").alias("df"))
+    known = counted.filter("term is not null").select("shard", "term").distinct().join(frequency, "term")
+    once = rows.groupBy("shard", "item_id", "item_text").agg(F.count("*").alias("times"))
+
+    def build(key: tuple, own: pa.Table, terms: pa.Table) -> pa.Table:
+        got = sorted(zip(own["item_id"].to_pylist(), own["item_text"].to_pylist(), own["times"].to_pylist(), strict=True), key=lambda r: (r[0] is None, r[0], r[1]))
+        term = terms["term"].to_numpy().view(np.uint64)
+        order = np.argsort(term)
+        index = build_index([r[0] for r in got], [r[1].encode() for r in got], ItemStatistics(n, max(1.0, mean), term[order], terms["df"].to_numpy()[order]), [r[2] for r in got])
+        data = pickle.dumps(index, protocol=5)
+        parts = [data[at : at + PIECE_BYTES] for at in range(0, len(data), PIECE_BYTES)] if index.item_ids else []
+        return pa.table([pa.array([key[0].as_py()] * len(parts), pa.int32()), pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], ["shard", "part", "data"])
+
+    path = new_path(spark, "item-indexes")
+    schema = "shard int, part int, data binary"
+    built = once.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(build, schema)
+    built.write.partitionBy("shard").parquet(path)
+    files: dict[str, list[str]] = {}
+    for name in sorted(spark.read.schema(schema).parquet(path).inputFiles()):
+        files.setdefault(name.rsplit("/", 2)[1], []).append(name)
+    return list(files.values())
+
+
+@lru_cache(maxsize=1)
+def load_index(files: tuple[str, ...]) -> ItemIndex:
+    """A shard's index; a worker keeps the last one."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    parts: dict[int, bytes] = {}
+    for name in files:
+        where, inner = fs.FileSystem.from_uri(arrow_uri(name))
+        with where.open_input_file(inner) as file:
+            table = pq.ParquetFile(file).read(columns=["part", "data"])
+        parts |= zip(table["part"].to_pylist(), table["data"].to_pylist(), strict=True)
+    return pickle.loads(b"".join(parts[k] for k in sorted(parts)))
+
+
+def leaks(index: ItemIndex, hashes: np.ndarray, words: np.ndarray, threshold: float, least: float) -> Iterator[tuple[int, int, float, float]]:
+    """(text, item, share of the question's shingles, of the answer's) of the items that a text repeats."""
+    begin = np.cumsum(words) - words
+    last, ready = -1, {}
+    for text, item in retrieve(index, hashes, words, threshold).tolist():
+        if text != last:
+            last, ready = text, {}
+        shares = []
+        for own, size in zip(index.keys[item], index.sizes[item], strict=True):
+            if size not in ready:
+                ready[size] = distinct(shingle_hashes(hashes[begin[text] : begin[text] + words[text]], size)) if size <= words[text] else np.zeros(0, np.uint64)
+            shares.append(float(np.isin(own, ready[size]).mean()) if len(own) else 1.0)
+        if min(shares) >= least:
+            yield text, item, *shares
+
+
+def find_leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD, least: float = OVERLAP, held_bytes: int = HELD_BYTES) -> DataFrame:
     """(id, item id, question_overlap, answer_overlap): a row for each text and item that it repeats.
 
-    Document frequencies and lengths are counted over all items by Spark. Items then come to the driver in shards of
-    about SHARD_BYTES, of which each index is broadcast; every text is held against every shard, and what is found does
-    not depend on their number. Null texts, texts and items without a word match nothing; an item of one part needs only
-    that part. Repeated rows stay; an empty table on either side gives an empty result; other columns are not read.
+    Document frequencies and lengths are counted over all items by Spark. Every text is held against every shard of
+    about SHARD_BYTES of items, and what is found does not depend on their number. Null texts, texts and items without a
+    word match nothing; an item of one part needs only that part. Repeated rows stay; an empty table on either side gives
+    an empty result; other columns are not read. The indexes are written at once and read when the result is.
     """
-    spark = docs.sparkSession
     types, item_type = dict(docs.dtypes), dict(items.dtypes)[item_id]
     arrow_type = to_arrow_type(items.schema[item_id].dataType)
     schema = f"{id_col} {types[id_col]}, {item_id} {item_type}, question_overlap double, answer_overlap double"
-    rows = items.select(item_id, F.col(item_text).alias("item_text")).filter(F.col("item_text").isNotNull())
-    size = rows.agg(F.coalesce(F.sum(F.octet_length("item_text")), F.lit(0))).first()[0]
-    shards = max(1, -(-size // SHARD_BYTES))
-    counted = item_terms(rows, "item_text")
-    n, mean = counted.agg(F.count("words"), F.coalesce(F.avg("words"), F.lit(1.0))).first()
-    terms = counted.filter("term is not null").groupBy("term").agg(F.count("*").alias("df"))
-    terms = store(terms, "item-terms").df if shards > 1 else terms
-    out = None
-    for shard in range(shards):
-        part = rows if shards == 1 else rows.filter(F.pmod(F.xxhash64(item_id, "item_text"), shards) == shard)
-        own = terms if shards == 1 else terms.join(item_terms(part, "item_text").select("term").distinct(), "term")
-        found = own.toArrow()
-        term = found["term"].to_numpy().view(np.uint64)
-        order = np.argsort(term)
-        known = ItemStatistics(n, max(1.0, mean), term[order], found["df"].to_numpy()[order])
-        got = sorted(part.collect(), key=lambda r: (r[0] is None, r[0], r[1]))
-        index = spark.sparkContext.broadcast(build_index([r[0] for r in got], [r[1].encode() for r in got], known))
-
-        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            known = index.value
-            id_type = None
-            for batch, texts in byte_chunks(batches, text_col):
-                hashes, words = hash_words(texts)
-                begin = np.cumsum(words) - words
-                hits = []
-                last, ready = -1, {}
-                for text, item in retrieve(known, hashes, words, threshold).tolist():
-                    if text != last:
-                        last, ready = text, {}
-                    shares = []
-                    for own, size in zip(known.keys[item], known.sizes[item], strict=True):
-                        if size not in ready:
-                            ready[size] = distinct(shingle_hashes(hashes[begin[text] : begin[text] + words[text]], size)) if size <= words[text] else np.zeros(0, np.uint64)
-                        shares.append(float(np.isin(own, ready[size]).mean()) if len(own) else 1.0)
-                    if min(shares) >= least:
-                        hits.append((text, item, *shares))
+    size = items.agg(F.coalesce(F.sum(F.octet_length(item_text)), F.lit(0))).first()[0]
+    shards = store_indexes(items, max(1, -(-size // SHARD_BYTES)), item_id=item_id, item_text=item_text)
+
+    def found(held: list[tuple[pa.Array, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        for files in shards:
+            index = load_index(tuple(files))
+            for ids, hashes, words in held:
+                hits = [h for h in leaks(index, hashes, words, threshold, least) for _ in range(index.times[h[1]])]
                 if hits:
-                    id_type = batch.column(id_col).type
-                    names = batch.column(id_col).to_pylist()
-                    t, i, q, a = zip(*hits, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([names[x] for x in t], id_type), pa.array([known.item_ids[x] for x in i], arrow_type), pa.array(q), pa.array(a)], [id_col, item_id, "question_overlap", "answer_overlap"])
-
-        found = docs.select(id_col, text_col).mapInArrow(run, schema)
-        out = found if out is None else out.unionByName(found)
-    return out
+                    text, item, q, a = zip(*hits, strict=True)
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(text)), pa.array([index.item_ids[x] for x in item], arrow_type), pa.array(q), pa.array(a)], [id_col, item_id, "question_overlap", "answer_overlap"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch, texts in byte_chunks(batches, text_col):
+            held.append((batch.column(id_col), *hash_words(texts)))
+            size += sum(map(len, texts))
+            if size >= held_bytes:
+                yield from found(held)
+                held, size = [], 0
+        if held:
+            yield from found(held)
+
+    return docs.select(id_col, text_col).mapInArrow(run, schema)

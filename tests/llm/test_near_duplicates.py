@@ -115,14 +115,18 @@ def test_leak_cases(spark, odd, none):
 
 
 def test_several_shards(spark, corpus, monkeypatch):
-    """What is found, with its overlaps, does not depend on the number of shards; ids keep their type."""
+    """What is found, with its overlaps, does not depend on the number of shards or on how many texts meet one at a time;
+    ids keep their type, repeated items stay, and the texts are read once."""
     items = spark.read.parquet(f"{SMALL}/benchmark.parquet").selectExpr("cast(item_id as int) as item_id", "text")
     docs = spark.createDataFrame(corpus)
     whole = sorted(tuple(r) for r in decontam.find_leaks(docs, items).collect())
-    for size in (700, 3000):
+    for size, held in ((700, 1), (3000, 100_000)):
         monkeypatch.setattr(decontam, "SHARD_BYTES", size)
-        found = decontam.find_leaks(docs, items)
-        assert sorted(tuple(r) for r in found.collect()) == whole and dict(found.dtypes)["item_id"] == "int"
+        assert len(decontam.store_indexes(items, 3, item_id="item_id", item_text="text")) == 3
+        found = decontam.find_leaks(docs, items.union(items), held_bytes=held)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("MapInArrow") == 1 and "Union" not in plan and dict(found.dtypes)["item_id"] == "int"
+        assert sorted((r.doc_id, r.item_id) for r in found.collect()) == sorted(2 * [r[:2] for r in whole])
 
 
 def test_retrieval_equals_plain_bm25(corpus):

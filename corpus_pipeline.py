@@ -27,6 +27,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near copies (five-word shingles, similarity 0.8 or more): the one of least id.
+    Pairs are found by SimHash and pivot distance tables and verified exactly.
     Texts that are null, empty or without words are copies of each other. See ``one_of_each`` for ids that are null or
     shared and for repeated rows."""
     return simhash.one_of_each(docs)

@@ -1,19 +1,21 @@
 """Near copies for the corpus pipeline: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-At that similarity SimHash fingerprints lie about 10 of 64 bits apart, so the tables of ``simhash`` do not reach it. Here
-candidates share all ROWS min-hashes of one of BANDS bands: a pair at 0.8 does so with probability 0.99993, one at 0.9
-nearly always. Every candidate is then verified on the shingle sets, so no pair below SIMILAR links.
-
-Only links between different components matter. A first pass holds each text of a bucket against the bucket's hub, the
-text that meets most others in its buckets: of a group of near copies that is the one that is nearest to all. The second
-pass looks only into buckets that still hold several components; their pairs are verified inside the join, once each, and
-links alone come out. Equal texts are one node throughout.
+Candidates come from SimHash and pivot distance tables. At that similarity about 15 % of a fingerprint's bits differ, so a
+fingerprint has BITS bits and each of many tables takes a key and REST further bits from them. A pair is looked at where
+it shares a table's key; there the distances of its REST bits to the pivots discard it, or the bits themselves do, if
+more than RADIUS differ. The longer the key, the more tables: as many as would leave a pair at 0.8 unseen with probability
+MISS, were no bit in two tables. What is left is held against the whole fingerprints and then verified on the shingle sets, so no pair below SIMILAR links.
+
+Only links between different components matter. First each text is verified against that text of its bucket that is near
+to most others, then what is left between different components. Each row of a bucket meets its next WINDOW rows in order;
+buckets with more rows are joined with themselves once the first components are known. Equal texts are one node throughout.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from math import ceil, comb, log
 
 import numpy as np
 import pyarrow as pa
@@ -24,12 +26,28 @@ from pyspark.sql import functions as F
 from noticeworks.operators.components import components
 
 from .common import bloom_filter, byte_chunks, may_hold, store
+from .pivots import near, near_pairs, pivot_distances, pivot_table
+from .wordhash import mix
 
-SEED, SHINGLE, BANDS, ROWS = 42, 5, 24, 5
+SEED, SHINGLE, BITS = 42, 5, 1024
 #: The least similarity of a link, as numerator and denominator.
 SIMILAR = (4, 5)
-#: Shingles that are min-hashed at a time.
-STEP = 1 << 11
+#: Bits that a table compares beside its key, and how many of them may differ.
+REST, RADIUS = 32, 6
+#: A bucket has about FULL texts that are not near; its rows meet WINDOW others before it is joined with itself.
+FULL, WINDOW = 64, 128
+#: The share of bits that differ at SIMILAR; up to BRIEF shingles it is greater (4 of 5 shingles: 3/16), so those texts have more tables.
+SHARE, BRIEF, BRIEF_SHARE = 0.1515, 5, 0.1875
+#: The probability that a pair at SIMILAR shares no table, if all tables had bits of their own.
+MISS, BRIEF_MISS = 1e-6, 1e-8
+#: Bits of the whole fingerprint that a candidate may differ in: 5 standard deviations above the mean at SIMILAR.
+APART, BRIEF_APART = 216, 256
+#: Bits of a code: its table's number, its key, REST.
+TABLE_BITS, KEY_BITS = 11, 21
+#: Texts of a block that are verified together.
+BLOCK = 512
+#: Rows that get their codes at a time.
+STEP = 1 << 8
 
 
 def joined(text: bytes) -> bytes:
@@ -49,26 +67,56 @@ def shingle_set(words: bytes) -> np.ndarray:
 
 @lru_cache(maxsize=1)
 def _multipliers() -> tuple[np.ndarray, np.ndarray]:
-    masks, factors = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64)
+    masks, factors = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BITS // 64), np.uint64)
     return masks, factors | np.uint64(1)
 
 
-def band_keys(shingles: np.ndarray) -> list[int]:
-    """A signed key for each band; none for a text without words."""
-    if not len(shingles):
-        return []
+def fingerprint(shingles: np.ndarray) -> np.ndarray:
+    """The SimHash of a set of shingles, BITS bits in signed words: a bit is 1 if set in over half of the hashes."""
     masks, factors = _multipliers()
-    least = np.full(BANDS * ROWS, (1 << 64) - 1, np.uint64)
-    for i in range(0, len(shingles), STEP):
-        least = np.minimum(least, ((shingles[i : i + STEP, None] ^ masks) * factors).min(axis=0))
-    keys = [xxhash.xxh64_intdigest(band.tobytes(), i) for i, band in enumerate(least.reshape(BANDS, ROWS))]
-    return np.array(keys, np.uint64).view(np.int64).tolist()
+    counts = np.zeros(BITS, np.int64)
+    for i in range(0, len(shingles), 255):
+        words = mix((shingles[i : i + 255, None] ^ masks) * factors)
+        counts += np.unpackbits(words.view(np.uint8), axis=1).sum(0, dtype=np.uint8)
+    return np.packbits(2 * counts > len(shingles)).view(np.int64)
 
 
-def similar(a: Column, b: Column) -> Column:
-    """Whether two arrays of distinct shingles reach SIMILAR."""
+def key_bits(texts: int) -> int:
+    """Bits of a key that leave about FULL of so many texts in a bucket."""
+    return min(max(ceil(log(max(texts, 1) / FULL, 2)), 4), KEY_BITS - 1)
+
+
+def table_count(key: int, *, brief: bool = False) -> int:
+    """The number of tables for keys of so many bits."""
+    share, miss = (BRIEF_SHARE, BRIEF_MISS) if brief else (SHARE, MISS)
+    seen = (1 - share) ** key * sum(comb(REST, i) * share**i * (1 - share) ** (REST - i) for i in range(RADIUS + 1))
+    return min(ceil(log(miss) / log(1 - seen)), 1 << TABLE_BITS)
+
+
+@lru_cache(maxsize=1)
+def _places(key: int) -> np.ndarray:
+    """For each table the places that its codes' 64 bits take from a fingerprint to which a 0 and a 1 are added."""
+    rng, order, out = np.random.default_rng(SEED), np.zeros(0, np.int64), []
+    for t in range(table_count(key, brief=True)):
+        if len(order) < key + REST:
+            order = rng.permutation(BITS)
+        number = [BITS + (t >> b & 1) for b in range(TABLE_BITS - 1, -1, -1)]
+        out.append([*number, *[BITS] * (KEY_BITS - key), *order[: key + REST]])
+        order = order[key + REST :]
+    return np.array(out)
+
+
+def codes(prints: np.ndarray, key: int, tables: int) -> np.ndarray:
+    """The codes (signed) of fingerprints, a column for each table."""
+    added = np.tile(np.array([0, 1], np.uint8), (len(prints), 1))
+    bits = np.concatenate([np.unpackbits(prints.view(np.uint8).reshape(len(prints), -1), axis=1), added], axis=1)
+    return np.packbits(np.take(bits, _places(key)[:tables].ravel(), axis=1), axis=1).view(">u8").astype(np.uint64).view(np.int64).reshape(len(prints), tables)
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets of shingles reach SIMILAR."""
     over, under = SIMILAR
-    return (over + under) * F.size(F.array_intersect(a, b)) >= over * (F.size(a) + F.size(b))
+    return (over + under) * len(np.intersect1d(a, b, assume_unique=True)) >= over * (len(a) + len(b))
 
 
 def could_be_similar(a: Column, b: Column) -> Column:
@@ -82,21 +130,115 @@ def _node(words: bytes) -> int:
 
 
 def _marked(docs: DataFrame) -> DataFrame:
-    """(id, tid, node, size, keys): the hashes of the text and of its words, the number of distinct shingles, the keys of
-    the bands."""
+    """(id, tid, node, size, print): the hashes of the text and of its words, the number of distinct shingles, the
+    fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in byte_chunks(batches):
             words = [joined(t) for t in texts]
-            sizes, keys = [], []
+            sizes, prints = [], []
             for w in words:
                 own = shingle_set(w)
                 sizes.append(len(own))
-                keys.append(band_keys(own))
-            columns = [batch.column("id"), batch.column("tid"), pa.array([_node(w) for w in words], pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "tid", "node", "size", "keys"])
+                prints.append(fingerprint(own))
+            columns = [batch.column("id"), batch.column("tid"), pa.array([_node(w) for w in words], pa.int64()), pa.array(sizes, pa.int64()), pa.array(prints, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "tid", "node", "size", "print"])
+
+    return docs.mapInArrow(run, f"id {dict(docs.dtypes)['id']}, tid long, node long, size long, print array<long>")
+
+
+def _rows(nodes: DataFrame, key: int) -> DataFrame:
+    """(code, node): a row for each text and table. Texts without words have none."""
+    usual, brief = table_count(key), table_count(key, brief=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, size = batch.column("node").to_numpy(), batch.column("size").to_numpy()
+            prints = batch.column("print").flatten().to_numpy().reshape(len(node), -1)
+            for tables, which in ((usual, size > BRIEF), (brief, (size > 0) & (size <= BRIEF))):
+                at = np.flatnonzero(which)
+                for i in range(0, len(at), STEP):
+                    part = at[i : i + STEP]
+                    yield pa.RecordBatch.from_arrays([pa.array(codes(prints[part], key, tables).ravel()), pa.array(np.repeat(node[part], tables))], ["code", "node"])
+
+    return nodes.select("node", "size", "print").mapInArrow(run, "code long, node long")
 
-    return docs.mapInArrow(run, f"id {dict(docs.dtypes)['id']}, tid long, node long, size long, keys array<long>")
+
+def _bucket(code: Column) -> Column:
+    return F.shiftrightunsigned(code, REST)
+
+
+OTHER, BEST, FULLER = 0, 1, 2
+
+
+def _found(rows: DataFrame) -> DataFrame:
+    """(u, v, kind): near pairs of texts that share a bucket. BEST pairs hold a text and that one of those near to it in the
+    bucket that is near to most. FULLER rows name (u) buckets of which not all rows have met."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tail = np.zeros((2, 0), np.int64)
+        for batch in batches:
+            code, node = np.concatenate([tail, [batch.column("code").to_numpy(), batch.column("node").to_numpy()]], axis=1)
+            bucket, fp = code.view(np.uint64) >> np.uint64(REST), code.view(np.uint64) & np.uint64((1 << REST) - 1)
+            table = pivot_table(fp)
+            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for d in range(1, min(WINDOW, len(code) - 1) + 1):
+                same = np.flatnonzero(bucket[d:] == bucket[:-d])
+                if not len(same):
+                    break
+                at = same[near_pairs(fp, same, same + d, RADIUS, table)]
+                a.append(at)
+                b.append(at + d)
+            x, y = np.concatenate([*a, *b]), np.concatenate([*b, *a])
+            meets = np.bincount(x, minlength=len(code))
+            order = np.lexsort((node[y], meets[y], x))
+            x, y = x[order], y[order]
+            best = np.append(x[1:] != x[:-1], True)[: len(x)]
+            fuller = np.unique(bucket[WINDOW + 1 :][bucket[WINDOW + 1 :] == bucket[: -WINDOW - 1]]).view(np.int64)
+            pairs = np.unique(np.stack([np.maximum(node[x], node[y]), np.minimum(node[x], node[y]), best]), axis=1)
+            u, v, kind = np.concatenate([pairs, np.stack([fuller, fuller, np.full(len(fuller), FULLER)])], axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(kind)], ["u", "v", "kind"])
+            tail = np.stack([code[-WINDOW - 1 :], node[-WINDOW - 1 :]])
+
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartition(n, _bucket(F.col("code"))).sortWithinPartitions("code", "node")
+    return dealt.mapInArrow(run, "u long, v long, kind long").distinct()
+
+
+def _alike(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs that may be similar by their sizes and whole fingerprints."""
+    u, v = (nodes.select(F.col("node").alias(c), F.col("size").alias(f"{c}_size"), F.col("print").alias(f"{c}_print")) for c in "uv")
+    differ = F.lit(0)
+    for i in range(BITS // 64):
+        differ = differ + F.bit_count(F.col("u_print")[i].bitwiseXOR(F.col("v_print")[i]))
+    apart = F.when(F.greatest("u_size", "v_size") > BRIEF, APART).otherwise(BRIEF_APART)
+    return pairs.join(u, "u").join(v, "v").filter(could_be_similar(F.col("u_size"), F.col("v_size")) & (differ <= apart)).select(pairs.columns)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs that are similar. Texts are dealt into blocks of about BLOCK, so that a set is sent once for each pair of
+    blocks, not for each pair of texts."""
+    blocks = F.lit(max(ceil(sets.count() / BLOCK), 1))
+    dealt = pairs.select("u", "v", F.pmod("u", blocks).alias("p"), F.pmod("v", blocks).alias("q"))
+    asked = dealt.select(F.col("p").alias("r"), F.col("q").alias("s"), F.explode(F.array("u", "v")).alias("node")).distinct().join(sets, "node")
+
+    def run(met: pa.Table, held: pa.Table) -> pa.Table:
+        own = {n: x.values.to_numpy() for n, x in zip(held["node"].to_pylist(), held["shingles"], strict=True)}
+        u, v = met["u"].to_pylist(), met["v"].to_pylist()
+        return met.select(["u", "v"]).filter(pa.array([similar(own[a], own[b]) for a, b in zip(u, v, strict=True)], pa.bool_()))
+
+    return dealt.groupBy("p", "q").cogroup(asked.groupBy("r", "s")).applyInArrow(run, "u long, v long")
+
+
+def _fuller_pairs(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """(u, v): near pairs of different components in the buckets of ``rows``. Of a bucket's components the largest only
+    answers."""
+    named = rows.join(roots, "node", "left").select("bucket", "fp", "node", F.coalesce("root", "node").alias("root"))
+    mixed = named.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("roots")).filter("roots > 1").select("bucket", F.col("top.root").alias("top"))
+    both = named.join(mixed, "bucket").select("*", *(p.alias(f"p{i}") for i, p in enumerate(pivot_distances(F.col("fp")))))
+    a, b = both.filter("root <> top").alias("a"), both.alias("b")
+    apart = (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.root") != F.col("b.root")) & ((F.col("b.root") == F.col("b.top")) | (F.col("a.node") < F.col("b.node")))
+    return a.join(b, apart & near("a", "b", RADIUS)).select(F.greatest("a.node", "b.node").alias("u"), F.least("a.node", "b.node").alias("v")).distinct()
 
 
 def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -114,48 +256,42 @@ def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "node long, shingles array<long>").dropDuplicates(["node"]).join(nodes, "node")
 
 
-def _hub_links(buckets: DataFrame, sets: DataFrame) -> DataFrame:
-    """(u, v): verified links between the texts of a bucket and its hub."""
-    degree = buckets.groupBy("node").agg(F.sum("n").alias("degree"))
-    hubs = buckets.join(degree, "node").groupBy("key").agg(F.max(F.struct("degree", "node", "size")).alias("hub"))
-    met = buckets.join(hubs, "key").filter((F.col("node") != F.col("hub.node")) & could_be_similar(F.col("size"), F.col("hub.size")))
-    pairs = met.select(F.greatest("node", "hub.node").alias("u"), F.least("node", "hub.node").alias("v")).distinct()
-    u, v = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"{c}_set")) for c in "uv")
-    return pairs.join(u, "u").join(v, "v").filter(similar(F.col("u_set"), F.col("v_set"))).select("u", "v")
-
-
-def _other_links(buckets: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
-    """(u, v): verified links between different components that share a bucket. Of a bucket's components the largest
-    only answers; of the buckets that a pair shares the one of least key speaks."""
-    named = buckets.join(roots, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
-    mixed = named.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("roots")).filter("roots > 1").select("key", F.col("top.root").alias("top"))
-    rows = store(named.join(mixed, "key").join(sets, "node"), "copies-mixed")
-    a, b = rows.df.filter("root <> top").alias("a"), rows.df.alias("b")
-    apart = (F.col("a.key") == F.col("b.key")) & (F.col("a.root") != F.col("b.root")) & ((F.col("b.root") == F.col("b.top")) | (F.col("a.node") < F.col("b.node")))
-    once = F.array_min(F.array_intersect("a.keys", "b.keys")) == F.col("a.key")
-    links = a.join(b, apart & could_be_similar(F.col("a.size"), F.col("b.size")) & once & similar(F.col("a.shingles"), F.col("b.shingles")))
-    found = store(links.select(F.greatest("a.node", "b.node").alias("u"), F.least("a.node", "b.node").alias("v")), "copies-links").df
-    rows.drop()
-    return found
+def _links(plain: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(u, v): verified links that connect what is near."""
+    rows = _rows(nodes, key_bits(nodes.count()))
+    found = store(_found(rows), "copies-found")
+    pairs = found.df.filter(F.col("kind") < FULLER).groupBy("u", "v").agg(F.max("kind").alias("kind"))
+    pairs = store(_alike(pairs, nodes), "copies-pairs")
+    fuller = found.df.filter(F.col("kind") == FULLER).select(F.col("u").alias("bucket")).distinct()
+    rest = F.col("code").bitwiseAND(F.lit((1 << REST) - 1))
+    full = None if fuller.isEmpty() else store(rows.select(_bucket(F.col("code")).alias("bucket"), rest.alias("fp"), "node").join(fuller, "bucket"), "copies-full")
+    met = pairs.df.select(F.explode(F.array("u", "v")).alias("node"))
+    if full:
+        met = met.unionByName(full.df.select("node"))
+    sets = store(_sets(plain, met.distinct()), "copies-sets")
+    first = store(_verified(pairs.df.filter(F.col("kind") == BEST), sets.df), "copies-links").df
+    roots = components(first).df.toDF("node", "root")
+    root = lambda c: F.coalesce(f"{c}_root", c)
+    named = pairs.df.filter(F.col("kind") == OTHER)
+    for c in "uv":
+        named = named.join(roots.toDF(c, f"{c}_root"), c, "left")
+    others = named.filter(root("u") != root("v")).select("u", "v")
+    if full:
+        others = others.unionByName(_alike(_fuller_pairs(full.df, roots), nodes)).distinct()
+    second = store(_verified(others, sets.df), "copies-links").df
+    for held in (found, pairs, sets, *([full] if full else [])):
+        held.drop()
+    return first.unionByName(second)
 
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, tid, node, root) of each row: rows of one root are linked."""
     plain = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tid"), F.col(text_col).alias("text"))
     marked = store(_marked(plain), "copies-marked")
-    nodes = marked.df.select("node", "size", "keys").dropDuplicates(["node"])
-    keyed = store(nodes.select("node", "size", F.explode("keys").alias("key")), "copies-keys")
-    shared = keyed.df.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    buckets = store(keyed.df.join(shared, "key"), "copies-buckets")
-    keyed.drop()
-    met = buckets.df.groupBy("node").agg(F.collect_list("key").alias("keys"))
-    sets = store(_sets(plain, met), "copies-sets")
-    first = store(_hub_links(buckets.df, sets.df), "copies-links").df
-    other = _other_links(buckets.df, sets.df, components(first).df.toDF("node", "root"))
-    roots = components(first.unionByName(other)).df.toDF("node", "root")
-    for held in (buckets, sets):
-        held.drop()
-    return marked.df.join(roots, "node", "left").select("id", "tid", "node", F.coalesce("root", "node").alias("root"))
+    nodes = store(marked.df.select("node", "size", "print").dropDuplicates(["node"]), "copies-nodes")
+    roots = components(_links(plain, nodes.df)).df.toDF("node", "root")
+    nodes.drop()
+    return marked.df.select("id", "tid", "node").join(roots, "node", "left").select("id", "tid", "node", F.coalesce("root", "node").alias("root"))
 
 
 def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

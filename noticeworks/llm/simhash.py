@@ -24,10 +24,11 @@ from noticeworks.operators.components import components
 
 from .common import byte_chunks, store
 from .nearcopies import one_of_each  # the operator's entrance for word shingles at a similarity of 0.8
+from .pivots import near, near_pairs, pivot_distances, pivot_table
 
-__all__ = ["fingerprint", "fingerprints", "near_duplicates", "one_of_each"]
+__all__ = ["fingerprint", "fingerprints", "near_duplicates", "near_pairs", "one_of_each"]
 
-SEED, SHINGLE, DISTANCE, PIVOTS = 42, 4, 4, 16
+SEED, SHINGLE, DISTANCE = 42, 4, 4
 BLOCKS = [(0, 10), *((10 + 9 * i, 9) for i in range(6))]
 TABLES = list(combinations(range(len(BLOCKS)), len(BLOCKS) - DISTANCE))
 NEIGHBOURS = 8
@@ -74,45 +75,6 @@ def table_keys(fp: Column) -> Column:
     return F.array(*keys)
 
 
-#: Reference fingerprints: multiples of an odd constant, so they are spread.
-PIVOT_VALUES = [(0x9E3779B97F4A7C15 * (i + 1)) % (1 << 64) for i in range(PIVOTS)]
-
-
-def pivot_distances(fp: Column) -> list[Column]:
-    """Distances to the pivots, eight to a long."""
-    signed = [p - (1 << 64) if p >> 63 else p for p in PIVOT_VALUES]
-    packed = []
-    for i in range(0, PIVOTS, 8):
-        total = F.lit(0).cast("long")
-        for p in signed[i : i + 8]:
-            total = F.shiftleft(total, 8).bitwiseOR(F.bit_count(fp.bitwiseXOR(F.lit(p))).cast("long"))
-        packed.append(total)
-    return packed
-
-
-def _near(a: str, b: str, distance: int) -> Column:
-    """Pivot coordinates within the distance, then the fingerprints themselves."""
-    near = F.lit(True)
-    for i in range(PIVOTS):
-        at = lambda s, i=i: F.shiftright(F.col(f"{s}.p{i // 8}"), 8 * (i % 8)).bitwiseAND(F.lit(127).cast("long"))
-        near = near & (F.abs(at(a) - at(b)) <= distance)
-    return near & (F.bit_count(F.col(f"{a}.fp").bitwiseXOR(F.col(f"{b}.fp"))) <= distance)
-
-
-def pivot_table(fp: np.ndarray) -> np.ndarray:
-    """The distances of fingerprints (columns) to the pivots (rows)."""
-    return np.stack([np.bitwise_count(fp ^ np.uint64(pivot)).astype(np.int8) for pivot in PIVOT_VALUES])
-
-
-def near_pairs(fp: np.ndarray, a: np.ndarray, b: np.ndarray, distance: int, table: np.ndarray | None = None) -> np.ndarray:
-    """Which of the pairs of places a and b are within ``distance``: pivot by pivot, pairs whose coordinates in the table
-    differ by more are discarded, and the fingerprints of those that survive are compared."""
-    left = np.arange(len(a))
-    for to in pivot_table(fp) if table is None else table:
-        left = left[np.abs(to[a[left]] - to[b[left]]) <= distance]
-    return left[np.bitwise_count(fp[a[left]] ^ fp[b[left]]) <= distance]
-
-
 def _neighbour_links(tables: DataFrame, distance: int) -> DataFrame:
     """Links between near neighbours in the order of (key, fp); which are found depends on the partitioning."""
 
@@ -124,9 +86,9 @@ def _neighbour_links(tables: DataFrame, distance: int) -> DataFrame:
             u, v = [], []
             for d in range(1, min(NEIGHBOURS, len(fp) - 1) + 1):
                 same = np.flatnonzero(key[d:] == key[:-d])
-                near = same[near_pairs(fp.view(np.uint64), same, same + d, distance, table)]
-                u.append(np.maximum(fp[near + d], fp[near]))
-                v.append(np.minimum(fp[near + d], fp[near]))
+                at = same[near_pairs(fp.view(np.uint64), same, same + d, distance, table)]
+                u.append(np.maximum(fp[at + d], fp[at]))
+                v.append(np.minimum(fp[at + d], fp[at]))
             if u:
                 pairs = np.unique(np.stack([np.concatenate(u), np.concatenate(v)]), axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["u", "v"])
@@ -146,7 +108,7 @@ def fingerprint_components(fps: DataFrame, distance: int = DISTANCE) -> DataFram
     mixed = keyed.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("roots")).filter("roots > 1").select("key", F.col("top.root").alias("top"))
     rows = store(keyed.join(mixed, "key").select("key", "fp", "root", "top", *(p.alias(f"p{i}") for i, p in enumerate(pivot_distances(F.col("fp"))))), "simhash-mixed")
     a, b = rows.df.filter("root <> top").alias("a"), rows.df.alias("b")
-    links = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.root") != F.col("b.root")) & _near("a", "b", distance)).select(F.greatest("a.root", "b.root").alias("u"), F.least("a.root", "b.root").alias("v")).distinct()
+    links = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.root") != F.col("b.root")) & near("a", "b", distance)).select(F.greatest("a.root", "b.root").alias("u"), F.least("a.root", "b.root").alias("v")).distinct()
     second = components(links)
     rows.drop()
     up = second.df.select(F.col("u").alias("root"), F.col("v").alias("top"))

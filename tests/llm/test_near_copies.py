@@ -5,6 +5,8 @@ from __future__ import annotations
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
+
 import corpus_pipeline
 from noticeworks.llm import nearcopies
 
@@ -76,3 +78,47 @@ def test_large_group_of_near_copies(spark):
     rows = [*enumerate([" ".join(base), *texts]), (900, None), (901, " \n"), (902, "")]
     got = {r.doc_id: r.component_id for r in nearcopies.near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
     assert got == grouped([r[0] for r in rows], [*similar_pairs([r[0] for r in rows], [r[1] for r in rows]), (900, 901), (900, 902)])
+
+
+def test_fingerprints_are_simhashes():
+    """A bit is 1 if set in over half of the hashes; at a similarity of 0.8 about 15 % of the bits differ."""
+    rng = np.random.default_rng(2)
+    hashes = rng.integers(0, 1 << 64, 700, np.uint64)
+    masks, factors = nearcopies._multipliers()
+    words = nearcopies.mix((hashes[:, None] ^ masks) * factors)
+    got = nearcopies.fingerprint(hashes).view(np.uint8)
+    for place in range(0, nearcopies.BITS, 37):
+        column = words.view(np.uint8)[:, place // 8] >> (7 - place % 8) & 1
+        assert got[place // 8] >> (7 - place % 8) & 1 == (2 * int(column.sum()) > 700)
+    a, b = (nearcopies.fingerprint(hashes[k : k + 630]) for k in (0, 70))
+    assert 110 < np.bitwise_count(a ^ b).sum() < nearcopies.APART
+
+
+def test_pairs_come_through_the_pivots(spark, monkeypatch):
+    """Near copies are found where the pivot distances let a pair pass, and nowhere else."""
+    words = [f"w{i}" for i in range(90)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[1:])), (3, " ".join(words).upper())], "doc_id long, text string")
+    assert {r.component_id for r in nearcopies.near_copies(docs).collect()} == {1}
+    monkeypatch.setattr(nearcopies, "near_pairs", lambda fp, a, b, distance, table: np.zeros(0, np.int64))
+    assert {r.doc_id: r.component_id for r in nearcopies.near_copies(docs).collect()} == {1: 1, 2: 2, 3: 1}
+
+
+def test_brief_texts_and_full_buckets(spark, monkeypatch):
+    """Texts of few shingles, of which one word more changes a fifth, and groups larger than what meets in order."""
+    rng, rows = random.Random(7), []
+    for i in range(40):
+        words = [f"v{rng.randrange(10**6)}" for _ in range(9)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[:8]))]
+    for g in range(2):
+        base = [f"b{g}x{i}" for i in range(100)]
+        for k in range(12):
+            words = list(base)
+            for at in rng.sample(range(100), k % 4):
+                words[at] = f"e{rng.randrange(10**6)}"
+            rows.append((100 + 20 * g + k, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = grouped([r[0] for r in rows], similar_pairs([r[0] for r in rows], [r[1] for r in rows]))
+    for window, block in ((2, 7), (128, 512)):
+        monkeypatch.setattr(nearcopies, "WINDOW", window)
+        monkeypatch.setattr(nearcopies, "BLOCK", block)
+        assert {r.doc_id: r.component_id for r in nearcopies.near_copies(docs).collect()} == want

@@ -6,9 +6,12 @@ it shares a table's key; there the distances of its REST bits to the pivots disc
 more than RADIUS differ. The longer the key, the more tables: as many as would leave a pair at 0.8 unseen with probability
 MISS, were no bit in two tables. What is left is held against the whole fingerprints and then verified on the shingle sets, so no pair below SIMILAR links.
 
-Only links between different components matter. First each text is verified against that text of its bucket that is near
-to most others, then what is left between different components. Each row of a bucket meets its next WINDOW rows in order;
-buckets with more rows are joined with themselves once the first components are known. Equal texts are one node throughout.
+A row of a bucket meets its next WINDOW rows in order, and only what is near to one of them goes on, as one row with the text of
+those that is near to most. Such pairs of texts, if their whole fingerprints are near, make near groups. What is near in a
+bucket and lies in different groups joins them, also in buckets with more rows, which are joined with themselves for that.
+Each group is then compared whole: its texts are dealt into chunks, and two chunks meet in a task, which compares the
+fingerprints and verifies what its own links do not yet connect. So rows are written for texts, links and chunks met, and
+for no pair inside a group. Equal texts are one node throughout.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from pyspark.sql import functions as F
 
 from noticeworks.operators.components import components
 
-from .common import bloom_filter, byte_chunks, may_hold, store
+from .common import Stored, bloom_filter, byte_chunks, may_hold, store
 from .pivots import near, near_pairs, pivot_distances, pivot_table
 from .wordhash import mix
 
@@ -44,8 +47,8 @@ MISS, BRIEF_MISS = 1e-6, 1e-8
 APART, BRIEF_APART = 216, 256
 #: Bits of a code: its table's number, its key, REST.
 TABLE_BITS, KEY_BITS = 11, 21
-#: Texts of a block that are verified together.
-BLOCK = 512
+#: Texts and shingles of a chunk of a near group.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 19
 #: Rows that get their codes at a time.
 STEP = 1 << 8
 
@@ -113,10 +116,13 @@ def codes(prints: np.ndarray, key: int, tables: int) -> np.ndarray:
     return np.packbits(np.take(bits, _places(key)[:tables].ravel(), axis=1), axis=1).view(">u8").astype(np.uint64).view(np.int64).reshape(len(prints), tables)
 
 
-def similar(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether two sets of shingles reach SIMILAR."""
+def similar(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Which of the sets of shingles (sorted, none empty) reach SIMILAR with ``one``."""
     over, under = SIMILAR
-    return (over + under) * len(np.intersect1d(a, b, assume_unique=True)) >= over * (len(a) + len(b))
+    sizes = np.fromiter(map(len, others), np.int64, len(others))
+    flat = np.concatenate(others)
+    both = np.add.reduceat(one[np.searchsorted(one, flat).clip(max=len(one) - 1)] == flat, np.cumsum(sizes) - sizes, dtype=np.int64)
+    return (over + under) * both >= over * (len(one) + sizes)
 
 
 def could_be_similar(a: Column, b: Column) -> Column:
@@ -168,12 +174,14 @@ def _bucket(code: Column) -> Column:
     return F.shiftrightunsigned(code, REST)
 
 
-OTHER, BEST, FULLER = 0, 1, 2
+def _dealt(rows: DataFrame, bucket: Column) -> DataFrame:
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, bucket)
 
 
 def _found(rows: DataFrame) -> DataFrame:
-    """(u, v, kind): near pairs of texts that share a bucket. BEST pairs hold a text and that one of those near to it in the
-    bucket that is near to most. FULLER rows name (u) buckets of which not all rows have met."""
+    """(bucket, fp, node, best): what is near to another row of its bucket, with that of those that is near to most; a row
+    may come twice. Rows without a node name buckets of which not all rows have met."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail = np.zeros((2, 0), np.int64)
@@ -194,15 +202,41 @@ def _found(rows: DataFrame) -> DataFrame:
             order = np.lexsort((node[y], meets[y], x))
             x, y = x[order], y[order]
             best = np.append(x[1:] != x[:-1], True)[: len(x)]
+            x, y = x[best], y[best]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[x].view(np.int64)), pa.array(fp[x].view(np.int64)), pa.array(node[x]), pa.array(node[y])], ["bucket", "fp", "node", "best"])
             fuller = np.unique(bucket[WINDOW + 1 :][bucket[WINDOW + 1 :] == bucket[: -WINDOW - 1]]).view(np.int64)
-            pairs = np.unique(np.stack([np.maximum(node[x], node[y]), np.minimum(node[x], node[y]), best]), axis=1)
-            u, v, kind = np.concatenate([pairs, np.stack([fuller, fuller, np.full(len(fuller), FULLER)])], axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(kind)], ["u", "v", "kind"])
+            none = pa.nulls(len(fuller), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(fuller), none, none, none], ["bucket", "fp", "node", "best"])
             tail = np.stack([code[-WINDOW - 1 :], node[-WINDOW - 1 :]])
 
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartition(n, _bucket(F.col("code"))).sortWithinPartitions("code", "node")
-    return dealt.mapInArrow(run, "u long, v long, kind long").distinct()
+    return _dealt(rows, _bucket(F.col("code"))).sortWithinPartitions("code", "node").mapInArrow(run, "bucket long, fp long, node long, best long")
+
+
+def _other_pairs(found: DataFrame, groups: DataFrame) -> DataFrame:
+    """(u, v): near pairs of different groups among the found rows of a bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tail = np.zeros((4, 0), np.int64)
+        for batch in batches:
+            rows = np.concatenate([tail, [batch.column(c).to_numpy() for c in ("bucket", "fp", "node", "near")]], axis=1)
+            rows = rows[:, np.append(True, (rows[:3, 1:] != rows[:3, :-1]).any(axis=0))[: rows.shape[1]]]
+            bucket, fp, node, near = rows
+            fp, table = fp.view(np.uint64), pivot_table(fp.view(np.uint64))
+            u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for d in range(1, min(WINDOW, len(node) - 1) + 1):
+                same = bucket[d:] == bucket[:-d]
+                if not same.any():
+                    break
+                apart = np.flatnonzero(same & (near[d:] != near[:-d]))
+                at = apart[near_pairs(fp, apart, apart + d, RADIUS, table)]
+                u.append(np.maximum(node[at], node[at + d]))
+                v.append(np.minimum(node[at], node[at + d]))
+            pairs = np.unique(np.stack([np.concatenate(u), np.concatenate(v)]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["u", "v"])
+            tail = rows[:, -WINDOW - 1 :]
+
+    named = found.join(groups, "node", "left").select("bucket", "fp", "node", F.coalesce("near", "node").alias("near"))
+    return _dealt(named, F.col("bucket")).sortWithinPartitions("bucket", "fp", "node").mapInArrow(run, "u long, v long").distinct()
 
 
 def _alike(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -215,25 +249,42 @@ def _alike(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.join(u, "u").join(v, "v").filter(could_be_similar(F.col("u_size"), F.col("v_size")) & (differ <= apart)).select(pairs.columns)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs that are similar. Texts are dealt into blocks of about BLOCK, so that a set is sent once for each pair of
-    blocks, not for each pair of texts."""
-    blocks = F.lit(max(ceil(sets.count() / BLOCK), 1))
-    dealt = pairs.select("u", "v", F.pmod("u", blocks).alias("p"), F.pmod("v", blocks).alias("q"))
-    asked = dealt.select(F.col("p").alias("r"), F.col("q").alias("s"), F.explode(F.array("u", "v")).alias("node")).distinct().join(sets, "node")
-
-    def run(met: pa.Table, held: pa.Table) -> pa.Table:
-        own = {n: x.values.to_numpy() for n, x in zip(held["node"].to_pylist(), held["shingles"], strict=True)}
-        u, v = met["u"].to_pylist(), met["v"].to_pylist()
-        return met.select(["u", "v"]).filter(pa.array([similar(own[a], own[b]) for a, b in zip(u, v, strict=True)], pa.bool_()))
-
-    return dealt.groupBy("p", "q").cogroup(asked.groupBy("r", "s")).applyInArrow(run, "u long, v long")
-
-
-def _fuller_pairs(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    """(u, v): near pairs of different components in the buckets of ``rows``. Of a bucket's components the largest only
-    answers."""
-    named = rows.join(roots, "node", "left").select("bucket", "fp", "node", F.coalesce("root", "node").alias("root"))
+def _verified(members: DataFrame) -> DataFrame:
+    """(u, v): links that connect what is similar in each group of ``members`` (node, near, size, print, shingles). A group
+    is dealt into chunks, so that a text is sent once for each chunk of its group, not for each text."""
+    chunks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_SHINGLES)).cast("int")
+    dealt = members.join(members.groupBy("near").agg(chunks.alias("chunks")), "near").withColumn("chunk", F.pmod(F.xxhash64("node"), "chunks").cast("int"))
+    sent = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumns({"p": F.least("chunk", "other"), "q": F.greatest("chunk", "other")})
+
+    def run(held: pa.Table) -> pa.Table:
+        node, size, chunk = (held[c].to_numpy() for c in ("node", "size", "chunk"))
+        prints = np.stack([x.values.to_numpy().view(np.uint64) for x in held["print"]])
+        sets = [x.values.to_numpy().view(np.uint64) for x in held["shingles"]]
+        p, q = held["p"][0].as_py(), held["q"][0].as_py()
+        left, right = np.flatnonzero(chunk == p), np.flatnonzero(chunk == q)
+        may = np.zeros((len(node), len(node)), bool)
+        for k in left:
+            low, high = np.minimum(size[right], size[k]), np.maximum(size[right], size[k])
+            apart = np.bitwise_count(prints[right] ^ prints[k]).sum(1, dtype=np.int64)
+            may[k, right] = (apart <= np.where(high > BRIEF, APART, BRIEF_APART)) & (SIMILAR[1] * low >= SIMILAR[0] * high) & (right != k)
+        may |= may.T
+        linked, u, v = np.arange(len(node)), [], []
+        for k in np.argsort(-may.sum(1), kind="stable"):  # what most are near to is likely to link most
+            others = np.flatnonzero(may[k] & (linked != linked[k]))
+            may[k], may[:, k] = False, False
+            for m in others[similar(sets[k], [sets[m] for m in others])] if len(others) else ():
+                if linked[m] != linked[k]:
+                    linked[linked == linked[m]] = linked[k]
+                    u.append(max(node[k], node[m]))
+                    v.append(min(node[k], node[m]))
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    return sent.select("near", "p", "q", "chunk", "node", "size", "print", "shingles").groupBy("near", "p", "q").applyInArrow(run, "u long, v long")
+
+
+def _fuller_pairs(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """(u, v): near pairs of different groups in the buckets of ``rows``. Of a bucket's groups the largest only answers."""
+    named = rows.join(groups.withColumnRenamed("near", "root"), "node", "left").select("bucket", "fp", "node", F.coalesce("root", "node").alias("root"))
     mixed = named.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("roots")).filter("roots > 1").select("bucket", F.col("top.root").alias("top"))
     both = named.join(mixed, "bucket").select("*", *(p.alias(f"p{i}") for i, p in enumerate(pivot_distances(F.col("fp")))))
     a, b = both.filter("root <> top").alias("a"), both.alias("b")
@@ -242,7 +293,7 @@ def _fuller_pairs(rows: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, shingles): of the texts that ``nodes`` names, the shingles' 64-bit hashes. A Bloom filter of the nodes keeps
+    """The rows of ``nodes`` with their texts' shingles, as 64-bit hashes. A Bloom filter of the nodes keeps
     other texts from being cut up; what it lets pass in vain, the join drops."""
     sent = docs.sparkSession.sparkContext.broadcast(bloom_filter(nodes, "node"))
 
@@ -256,32 +307,41 @@ def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "node long, shingles array<long>").dropDuplicates(["node"]).join(nodes, "node")
 
 
-def _links(plain: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(u, v): verified links that connect what is near."""
+def _pair(a: str, b: str) -> list[Column]:
+    return [F.greatest(a, b).alias("u"), F.least(a, b).alias("v")]
+
+
+def _near_groups(nodes: DataFrame) -> Stored:
+    """(node, near): the texts that have a near one, with their group's least node, which itself has no row."""
     rows = _rows(nodes, key_bits(nodes.count()))
     found = store(_found(rows), "copies-found")
-    pairs = found.df.filter(F.col("kind") < FULLER).groupBy("u", "v").agg(F.max("kind").alias("kind"))
-    pairs = store(_alike(pairs, nodes), "copies-pairs")
-    fuller = found.df.filter(F.col("kind") == FULLER).select(F.col("u").alias("bucket")).distinct()
-    rest = F.col("code").bitwiseAND(F.lit((1 << REST) - 1))
-    full = None if fuller.isEmpty() else store(rows.select(_bucket(F.col("code")).alias("bucket"), rest.alias("fp"), "node").join(fuller, "bucket"), "copies-full")
-    met = pairs.df.select(F.explode(F.array("u", "v")).alias("node"))
-    if full:
-        met = met.unionByName(full.df.select("node"))
-    sets = store(_sets(plain, met.distinct()), "copies-sets")
-    first = store(_verified(pairs.df.filter(F.col("kind") == BEST), sets.df), "copies-links").df
-    roots = components(first).df.toDF("node", "root")
-    root = lambda c: F.coalesce(f"{c}_root", c)
-    named = pairs.df.filter(F.col("kind") == OTHER)
-    for c in "uv":
-        named = named.join(roots.toDF(c, f"{c}_root"), c, "left")
-    others = named.filter(root("u") != root("v")).select("u", "v")
-    if full:
-        others = others.unionByName(_alike(_fuller_pairs(full.df, roots), nodes)).distinct()
-    second = store(_verified(others, sets.df), "copies-links").df
-    for held in (found, pairs, sets, *([full] if full else [])):
+    near = found.df.filter(F.col("node").isNotNull())
+    asked = store(near.select(*_pair("node", "best")).distinct(), "copies-asked")
+    first = components(_alike(asked.df, nodes))
+    groups = first.df.toDF("node", "near")
+    others = _other_pairs(near, groups)
+    fuller = found.df.filter(F.col("node").isNull()).select("bucket").distinct()
+    full = None
+    if not fuller.isEmpty():
+        rest = F.col("code").bitwiseAND(F.lit((1 << REST) - 1))
+        full = store(rows.select(_bucket(F.col("code")).alias("bucket"), rest.alias("fp"), "node").join(fuller, "bucket"), "copies-full")
+        others = others.unionByName(_fuller_pairs(full.df, groups)).distinct()
+    joins = store(_alike(others.join(asked.df, ["u", "v"], "left_anti"), nodes), "copies-joins")
+    whole = first if joins.df.isEmpty() else components(first.df.unionByName(joins.df))
+    for held in (found, asked, joins, *([full] if full else []), *([first] if whole is not first else [])):
+        held.drop()
+    return Stored(whole.df.toDF("node", "near"), whole.path)
+
+
+def _links(plain: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(u, v): verified links that connect what is similar."""
+    groups = _near_groups(nodes)
+    inside = groups.df.unionByName(groups.df.select(F.col("near").alias("node"), "near").distinct())
+    sets = store(_sets(plain, inside), "copies-sets")
+    links = store(_verified(sets.df.join(nodes, "node")), "copies-links").df
+    for held in (groups, sets):
         held.drop()
-    return first.unionByName(second)
+    return links
 
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

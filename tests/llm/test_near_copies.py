@@ -122,3 +122,33 @@ def test_brief_texts_and_full_buckets(spark, monkeypatch):
         monkeypatch.setattr(nearcopies, "WINDOW", window)
         monkeypatch.setattr(nearcopies, "BLOCK", block)
         assert {r.doc_id: r.component_id for r in nearcopies.near_copies(docs).collect()} == want
+
+
+def test_rows_written_follow_the_texts(spark, monkeypatch):
+    """Four times the texts of a group that are near, most of them below 0.8 to each other, write at most eight times the rows,
+    not sixteen; several chunks a group find the same links."""
+    written = {}
+
+    def counted(df, name, **options):
+        out = store(df, name, **options)
+        written[name] = written.get(name, 0) + out.df.count()
+        return out
+
+    store = nearcopies.store
+    monkeypatch.setattr(nearcopies, "store", counted)
+    rng, base, rows = random.Random(12), [f"w{i}" for i in range(150)], []
+    for i in range(240):
+        words = list(base)
+        for at in rng.sample(range(150), 3 + i % 3):
+            words[at] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    sums = []
+    for n in (60, 240):
+        written.clear()
+        got = {r.doc_id: r.component_id for r in nearcopies.near_copies(spark.createDataFrame(rows[:n], "doc_id long, text string").repartition(3)).collect()}
+        pairs = similar_pairs([r[0] for r in rows[:n]], [r[1] for r in rows[:n]])
+        assert got == grouped([r[0] for r in rows[:n]], pairs) and len(set(got.values())) > 5
+        sums.append(sum(v for k, v in written.items() if k not in ("copies-marked", "copies-nodes")))
+    assert sums[1] <= 8 * sums[0]
+    monkeypatch.setattr(nearcopies, "BLOCK", 50)
+    assert got == {r.doc_id: r.component_id for r in nearcopies.near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}

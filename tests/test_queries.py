@@ -42,6 +42,21 @@ def test_query_equals_sql(spark, name):
     assert rows(entry.queries()[name](spark, SMALL).toPandas()) == rows(con.sql(entry.oracle_sql()[name]).df())
 
 
+def copied_events(spark, path, copies, key):
+    """The events several times, their ids made by ``key`` from event_id and i."""
+    made = spark.read.parquet(f"{SMALL}/events.parquet").crossJoin(spark.range(copies).withColumnRenamed("id", "i"))
+    made.selectExpr(f"{key} AS event_id", "ts", "user_id", "event_type", "value", "props").write.parquet(f"{path}/events.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{path}/events.parquet/*.parquet'")
+    return con
+
+
+@pytest.mark.parametrize("key", ["event_id * 4 + i", "event_id + 100000 * i", "event_id"])
+def test_daily_rollup_counts_events_that_say_the_same(spark, tmp_path, key):
+    con = copied_events(spark, tmp_path, 4, key)
+    assert rows(entry.queries()["daily_rollup"](spark, str(tmp_path)).toPandas()) == rows(con.sql(entry.oracle_sql()["daily_rollup"]).df())
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 

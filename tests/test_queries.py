@@ -57,6 +57,13 @@ def test_daily_rollup_counts_events_that_say_the_same(spark, tmp_path, key):
     assert rows(entry.queries()["daily_rollup"](spark, str(tmp_path)).toPandas()) == rows(con.sql(entry.oracle_sql()["daily_rollup"]).df())
 
 
+@pytest.mark.parametrize("key", ["event_id * 4 + i", "event_id"])
+@pytest.mark.parametrize("name", ["last_days", "zero_streak"])
+def test_days_count_events_that_say_the_same(spark, tmp_path, name, key):
+    con = copied_events(spark, tmp_path, 4, key)
+    assert rows(entry.queries()[name](spark, str(tmp_path)).toPandas()) == rows(con.sql(entry.oracle_sql()[name]).df())
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 

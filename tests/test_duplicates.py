@@ -208,3 +208,37 @@ def test_chains_are_not_closed(spark):
     titles = (base, base[:18] + "一二", base[:16] + "三四一二")
     rows = standardize.standardize_keys(bids(spark, [row(i, title=titles[min(i, 2)], url=f"u{i}") for i in range(40)]))
     assert [r.ingest_ord for r in dedup.fuzzy_dedup(dedup.exact_dedup(rows)).orderBy("ingest_ord").collect()] == [0, 2]
+
+
+def records_shuffled(spark, run):
+    """What ``run`` returns, and the records that its stages wrote for others."""
+    sc = spark.sparkContext
+
+    def stages():
+        found = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in map(found.apply, range(found.size()))}
+
+    before = stages()
+    out = run()
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    return out, sum(n for k, n in stages().items() if k not in before)
+
+
+def test_titles_of_a_block_are_not_written_for_each_signature(spark):
+    rng = random.Random(4)
+    titles = ["".join(rng.choice(["the", "and", "ing", "er", "on", "s"]) for _ in range(rng.randrange(8, 20))) for _ in range(400)]
+    titles += ["x" + t for t in titles[:100]] + titles[:50]
+    df = spark.createDataFrame(list(enumerate(titles)), "ingest_ord long, n_title string").withColumn("block", F.lit("b"))
+    got, written = records_shuffled(spark, lambda: link.fuzzy_pairs(df, block=["block"], amount=None).collect())
+    want = {(i, j, SequenceMatcher(None, titles[i], titles[j]).ratio()) for j in range(len(titles)) for i in range(j)}
+    assert len(got) == len(set(got)) and {tuple(r) for r in got} == {x for x in want if x[2] >= 0.9}
+    assert written < 20 * len(titles)
+
+
+def test_parts_of_a_block_lose_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(link, "PART", 8)
+    rng = random.Random(9)
+    titles = ["".join(rng.choice("abc甲乙") for _ in range(rng.randrange(0, 12))) for _ in range(120)]
+    df = spark.createDataFrame(list(enumerate(titles)), "ingest_ord long, n_title string").withColumn("block", F.lit(None).cast("string"))
+    got = [(r.a_ord, r.b_ord) for r in link.fuzzy_pairs(df, block=["block"], amount=None, least=0.8).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(i, j) for j in range(120) for i in range(j) if SequenceMatcher(None, titles[i], titles[j]).ratio() >= 0.8}
